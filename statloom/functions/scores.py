@@ -9,6 +9,7 @@ from statloom.functions import rules as R
 from statloom.functions.common import (
     all_matches, any_in, between, chain, clamp, col, count_in, hits_in, n_matches, n_words,
 )
+from statloom.functions.html import inner_text, tables
 
 _NUMBER = r"\b\d+[.,]?\d*\b"
 
@@ -191,7 +192,7 @@ def page_richness(text, html, url) -> Column:
     numbers = n_matches(low, _NUMBER)
     total = (
         F.when(h.rlike(r"(?i)<table\b"), 0.3).otherwise(0.0)
-        + F.when(h.rlike(r"(?is)<table\b(?:(?!</table>).)*?>[^<]*[0-9]"), 0.2).otherwise(0.0)
+        + F.when(F.exists(tables(html), lambda x: inner_text(x).rlike("[0-9]")), 0.2).otherwise(0.0)
         + F.least(count_in(low, R.RICHNESS_TERMS) * 0.04, F.lit(0.3))
         + chain([(numbers > 30, F.lit(0.25)), (numbers > 15, F.lit(0.15)), (numbers > 5, F.lit(0.1))], F.lit(0.0))
         + F.when(any_in(F.lower(col(url)), R.RICHNESS_URL), 0.2).otherwise(0.0)

@@ -57,7 +57,8 @@ def number(expr: str, signs: str = "") -> str:
         "WHEN instr(reverse(s), ',') < instr(reverse(s), '.') THEN replace(replace(s, '.', ''), ',', '.') "
         "ELSE replace(s, ',', '') END AS DOUBLE)"
     )
-    return let(f"ltrim(replace(regexp_replace({expr}, {strip}, '', 'g'), ' ', ''), '+')", "s", body)
+    kept = f"replace(regexp_replace({expr}, {strip}, '', 'g'), ' ', '')"
+    return let(f"regexp_replace({kept}, '^[+]([0-9.])', '\\1')", "s", body)
 
 
 def clean_number(expr: str) -> str:
@@ -97,10 +98,10 @@ def national_context(expr: str) -> dict[str, str]:
     }
 
 
-def plain_text(expr: str) -> str:
-    """Page text as the library defines it: hidden blocks and tags become spaces."""
-    hidden = "|".join(f"<{t}[^>]*>.*?</{t}>" for t in ("script", "style"))
-    return (
-        f"regexp_replace(regexp_replace(regexp_replace({expr}, '(?is)<!--.*?-->', ' ', 'g'), "
-        f"'(?is){hidden}', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-    )
+def page_text(expr: str, hidden: str | None = None, separator: str = "") -> str:
+    """Visible text of a page in the checking engine."""
+    hidden = hidden or text(r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>")
+    out = f"regexp_replace(regexp_replace({expr}, {hidden}, '', 'g'), '<[^>]*>', '{separator}', 'g')"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = f"replace({out}, {text(entity)}, {text(char)})"
+    return out
