@@ -529,17 +529,19 @@ SITE_PATTERNS = {
         r"dette.*\d+", r"pib.*\d+[.,]\d*",
     ],
 }
+# Each selector is (container tag or "", container class or "", inner tag or "").
 SITE_SELECTORS = {
     "statistical_institute": [
-        "table.data-table td", ".statistique-value", ".indicator-row",
-        ".tableau-statistique tr", ".valeur-indicateur", ".donnee-chiffree",
+        ("table", "data-table", "td"), ("", "statistique-value", ""), ("", "indicator-row", ""),
+        ("", "tableau-statistique", "tr"), ("", "valeur-indicateur", ""), ("", "donnee-chiffree", ""),
     ],
     "central_bank": [
-        "table tr td", ".tableau-statistique td", ".indicator-cell", ".valeur", ".data-cell",
+        ("table", "", "td"), ("", "tableau-statistique", "td"), ("", "indicator-cell", ""),
+        ("", "valeur", ""), ("", "data-cell", ""),
     ],
     "ministry_finance": [
-        ".financial-data td", ".budget-table td", ".economic-indicator",
-        ".valeur-budgetaire", ".donnee-financiere",
+        ("", "financial-data", "td"), ("", "budget-table", "td"), ("", "economic-indicator", ""),
+        ("", "valeur-budgetaire", ""), ("", "donnee-financiere", ""),
     ],
 }
 SELECTOR_CAP = 20
@@ -559,7 +561,7 @@ PROFILE_PATTERNS = [
     ("chomage_context", r"chômage.*?(\d+[,.]?\d*)"),
     ("croissance_context", r"croissance.*?(\d+[,.]?\d*)"),
 ]
-INVENTORY_NUMBER = r"\b\d{1,3}(?:[\s,]\d{3})*(?:[.,]\d+)?\s*(?:%|€|\$|TND|MD|milliards?|millions?)\b"
+INVENTORY_NUMBER = r"\b\d{1,3}(?:[\s,]\d{3})*(?:[.,]\d+)?\s*(?:%|€|$|TND|MD|milliards?|millions?)\b"
 TEXT_PAIR_PATTERN = r"([A-Za-zÀ-ÿ\s]+)[\s:]\s*([0-9,.-]+%?)"
 NUMBER_TOKEN = r"([0-9]+[,.]?[0-9]*)"
 FALLBACK_KEYWORDS = [

@@ -58,7 +58,7 @@ def number(expr: str, signs: str = "") -> str:
         "ELSE replace(s, ',', '') END AS DOUBLE)"
     )
     kept = f"replace(regexp_replace({expr}, {strip}, '', 'g'), ' ', '')"
-    return let(f"regexp_replace({kept}, '^[+]([0-9.])', '\\1')", "s", body)
+    return let(f"regexp_replace(regexp_replace({kept}, '^[+-][+-].*$', 'x'), '^[+]', '')", "s", body)
 
 
 def clean_number(expr: str) -> str:

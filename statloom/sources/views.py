@@ -107,7 +107,7 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, text, source
 FROM documents
 UNION ALL
 SELECT CAST(1000000000 + p_partkey AS BIGINT) AS doc_id,
-       CASE p_partkey % 9
+       CASE p_partkey % 10
          WHEN 0 THEN concat('PIB: ', CAST(p_size AS STRING), '.2 milliards en ', CAST(2014 + p_partkey % 14 AS STRING), '. Inflation: ', CAST(p_size % 9 AS STRING), ',3 %. Taux de chômage: 15,1 %. Source: INS, enquête 2022.')
          WHEN 1 THEN concat('La Banque Centrale de Tunisie (BCT) maintient le taux directeur à ', CAST(p_size % 9 AS STRING), '.5 % for ', CAST(2015 + p_partkey % 11 AS STRING), '. Masse monétaire et réserves en dinar. Crédit: ', CAST(p_size * 31 AS STRING), ' MD.')
          WHEN 2 THEN concat('Statistics Tunisia ', CAST(2012 + p_partkey % 16 AS STRING), ': population ', CAST(p_size AS STRING), ' millions habitants, natalité et mortalité. Recensement INS. Tunis, Sfax et Sousse. Janvier 2021, mars 2021, 2022.')
@@ -116,6 +116,7 @@ SELECT CAST(1000000000 + p_partkey AS BIGINT) AS doc_id,
          WHEN 5 THEN concat('Emploi, salaires et protection sociale. Taux chômage ', CAST(p_size % 20 AS STRING), '.4 %. Ministère des Finances, gouvernement tunisien. Méthodologie: enquête, sondage. Document officiel ', CAST(2018 + p_partkey % 9 AS STRING), '.')
          WHEN 6 THEN concat('GDP current US 2', lpad(CAST(p_size AS STRING), 3, '0'), ' data. Year: ', CAST(2010 + p_partkey % 20 AS STRING), chr(10), 'unemployment rate ', CAST(p_size % 30 AS STRING), ',7 % growth and trade balance 1 234 567.')
          WHEN 7 THEN ''
+         WHEN 8 THEN concat('Taux directeur: ', CAST(p_size % 9 AS STRING), ',5 %; réserves 21 4', lpad(CAST(p_size AS STRING), 2, '0'), ' md; Euro: 3,', CAST(p_size AS STRING), '; Budget: 1 2', lpad(CAST(p_size AS STRING), 2, '0'), ',5 millions; dette ', CAST(p_size + 60 AS STRING), ',2 md; investissement: ', CAST(p_size AS STRING), '.')
          ELSE concat('Note ', p_name, ' ', CAST(p_retailprice AS STRING), ' USD; ', repeat('mot sans valeur. ', CAST(p_size AS INT)), 'Fin 2020.') END AS text,
        CASE p_partkey % 4 WHEN 0 THEN 'bct.gov.tn' WHEN 1 THEN 'www.ins.tn' WHEN 2 THEN 'commerce.example' ELSE 'src' END AS source
 FROM part
@@ -129,6 +130,22 @@ SELECT CAST(1000000000 + page_id AS BIGINT) AS page_id, url, html
 FROM html
 """
 
+_NOTE_PAGES = """
+SELECT doc_id AS page_id,
+       CASE doc_id % 3 WHEN 0 THEN concat('https://www.bct.gov.tn/n/', CAST(doc_id AS STRING))
+         WHEN 1 THEN concat('https://www.ins.tn/n/', CAST(doc_id AS STRING)) ELSE concat('https://www.finances.gov.tn/n/', CAST(doc_id AS STRING)) END AS url,
+       concat('<html><body><div class="info">', text, '</div></body></html>') AS html
+FROM notes
+"""
+
+_FIELD_PAGES = """
+SELECT CAST(3000000000 + page_id AS BIGINT) AS page_id, url, html
+FROM html
+UNION ALL
+SELECT page_id, url, html
+FROM note_pages
+"""
+
 _LINK_PAGES = """
 SELECT CAST(p_partkey AS BIGINT) AS page_id,
        concat('https://s', CAST(p_partkey % 40 AS STRING), '.example.org/n/', CAST(p_partkey AS STRING)) AS url,
@@ -191,6 +208,8 @@ VIEWS: dict[str, str] = {
     "urls": _URLS,
     "notes": _NOTES,
     "sites": _SITES,
+    "note_pages": _NOTE_PAGES,
+    "field_pages": _FIELD_PAGES,
     "link_pages": _LINK_PAGES,
     "dumps": _DUMPS,
     "replies": _REPLIES,
@@ -209,6 +228,8 @@ BASES: dict[str, tuple[str, ...]] = {
     "urls": ("pages", "part"),
     "notes": ("documents", "part"),
     "sites": ("pages", "html"),
+    "note_pages": ("notes",),
+    "field_pages": ("html", "note_pages"),
     "link_pages": ("part",),
     "dumps": ("part",),
     "replies": ("part",),
