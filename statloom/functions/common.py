@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,30 @@ def any_in(c, terms: Sequence[str]) -> Column:
     return _fold([F.contains(col(c), F.lit(t)) for t in terms], lambda a, b: a | b)
 
 
+def any_word(c, terms: Sequence[str]) -> Column:
+    """As :func:`any_in` for short texts such as names: one scan, and the text expression appears
+    once however long the list is."""
+    return col(c).rlike("|".join(re.escape(t) for t in terms))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once and use it several times in the body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def keep_if(value: Column, test: Callable[[Column], Column]) -> Column:
+    """The value when it passes, else null; the value expression is evaluated once."""
+    return F.get(F.filter(F.array(value), test), F.lit(0))
+
+
+def each(df: DataFrame, keep: Sequence[str], array: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element. The outer form followed by a null filter keeps Spark from
+    evaluating the array a second time in an inferred size filter."""
+    if position is None:
+        return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(array).alias(position, name)).filter(F.col(name).isNotNull())
+
+
 def count_in(c, terms: Sequence[str]) -> Column:
     """Number of terms the text contains."""
     return _fold([F.contains(col(c), F.lit(t)).cast("int") for t in terms], lambda a, b: a + b)
@@ -40,7 +65,7 @@ def hits_in(c, terms: Sequence[str], limit: int | None = None, fold: bool = Fals
 
 def first_label(c, groups: Iterable[tuple[Sequence[str], str]], default: str) -> Column:
     """Label of the first group with a contained term."""
-    return chain([(any_in(c, terms), F.lit(label)) for terms, label in groups], F.lit(default))
+    return chain([(any_word(c, terms), F.lit(label)) for terms, label in groups], F.lit(default))
 
 
 def chain(branches: Sequence[tuple[Column, object]], default) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from statloom.functions import rules as R
-from statloom.functions.common import any_in, chain, col, count_in, first_label
+from statloom.functions.common import any_in, any_word, chain, col, count_in, first_label, let
 
 
 def category(name, groups=R.CATEGORY_GROUPS) -> Column:
@@ -18,7 +18,7 @@ def category_clean(name, groups=R.CATEGORY_GROUPS_CLEAN) -> Column:
 
 
 def is_target(name, terms=R.TARGET_TERMS) -> Column:
-    return any_in(F.lower(col(name)), terms)
+    return any_word(F.lower(col(name)), terms)
 
 
 def target_category(name, targets=R.TARGETS, keywords=R.TARGET_KEYWORDS) -> Column:
@@ -29,8 +29,8 @@ def target_category(name, targets=R.TARGETS, keywords=R.TARGET_KEYWORDS) -> Colu
         terms: list[str] = []
         for entry in entries:
             terms += [entry.lower(), *entry.lower().split()[:2]]
-        by_entry.append((any_in(low, terms), F.lit(group)))
-    by_word = [(any_in(low, terms), F.lit(group)) for terms, group in keywords]
+        by_entry.append((any_word(low, terms), F.lit(group)))
+    by_word = [(any_word(low, terms), F.lit(group)) for terms, group in keywords]
     return chain([(low == "", F.lit("unknown")), *by_entry, *by_word], F.lit("other"))
 
 
@@ -50,12 +50,8 @@ def topic(text, source, topics=R.TOPICS) -> Column:
             for i, (name, score) in enumerate(topic_scores(text, source, topics).items())
         ]
     )
-    best = F.array_max(ranked)
-    return (
-        F.when(F.coalesce(col(text), F.lit("")) == "", "empty_content")
-        .when(best["score"] > 0, best["topic"])
-        .otherwise("general")
-    )
+    best = let(F.array_max(ranked), lambda b: F.when(b["score"] > 0, b["topic"]).otherwise("general"))
+    return F.when(F.coalesce(col(text), F.lit("")) == "", "empty_content").otherwise(best)
 
 
 def page_class(text, url) -> Column:
@@ -121,8 +117,8 @@ def coverage_level(score) -> Column:
 
 def priority_bucket(message) -> Column:
     return (
-        F.when(any_in(message, R.URGENT_WORDS), "URGENT")
-        .when(any_in(message, R.IMPORTANT_WORDS), "IMPORTANT")
+        F.when(any_word(message, R.URGENT_WORDS), "URGENT")
+        .when(any_word(message, R.IMPORTANT_WORDS), "IMPORTANT")
         .otherwise("MOYEN TERME")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from statloom.functions import rules as R
-from statloom.functions.common import any_in, between, chain, col, year_like
+from statloom.functions.common import any_word, between, chain, col, keep_if, let, year_like
 
 _FLOAT = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 
@@ -17,65 +17,75 @@ def to_double(c) -> Column:
 
 
 def _decimal_point(c: Column) -> Column:
-    """The last of comma and point is the decimal separator, the other one groups thousands."""
-    comma, point = F.contains(c, F.lit(",")), F.contains(c, F.lit("."))
-    comma_last = c.rlike(r",[^.]*$")
-    return (
-        F.when(~comma, c)
-        .when(~point, F.translate(c, ",", "."))
-        .when(comma_last, F.translate(c, ",.", "."))
-        .otherwise(F.replace(c, F.lit(","), F.lit("")))
-    )
+    """The last of comma and point is the decimal separator, the other one groups thousands: drop
+    points before a final comma, then commas before a point."""
+    ungrouped = F.regexp_replace(c, r"(?s)\.(?=.*,[^.]*$)", "")
+    return F.translate(F.regexp_replace(ungrouped, r"(?s),(?=.*\.)", ""), ",", ".")
 
 
 def parse_european(c) -> Column:
     """``1.234,56`` and ``1,234.56`` and ``12,5 %``; null when no number remains. A non-breaking
     space counts as a space."""
-    kept = F.regexp_replace(col(c), r"[^0-9\s,.\-]", "")
-    return to_double(_decimal_point(F.replace(kept, F.lit(" "), F.lit(""))))
+    return _decimal_point(F.regexp_replace(col(c), r"[^0-9\t\n\x0B\f\r,.\-]", "")).try_cast("double")
 
 
 def parse_or_zero(c) -> Column:
-    return F.coalesce(to_double(_decimal_point(F.regexp_replace(col(c), r"[^0-9.,\-]", ""))), F.lit(0.0))
+    return F.coalesce(_decimal_point(F.regexp_replace(col(c), r"[^0-9.,\-]", "")).try_cast("double"), F.lit(0.0))
 
 
 def parse_clean(c) -> Column:
     """Signed form that rejects huge values and years in disguise."""
-    kept = F.regexp_replace(col(c), r"[^0-9\s,.\-+]", "")
-    value = to_double(_decimal_point(F.replace(kept, F.lit(" "), F.lit(""))))
-    return F.when((F.abs(value) <= 1e12) & ~year_like(value), value)
+    kept = F.regexp_replace(col(c), r"[^0-9\t\n\x0B\f\r,.\-+]", "")
+    value = _decimal_point(kept).try_cast("double")
+    return keep_if(value, lambda v: (F.abs(v) <= 1e12) & ~year_like(v))
 
 
-def parse_table_value(c) -> Column:
-    """Cell parser with guards against identifiers, links, long text and progress fractions."""
-    raw = F.regexp_replace(col(c), r"^\s+|\s+$", "")
-    num = F.regexp_extract(raw, r"^([0-9]+)/([0-9]+)$", 1).try_cast("double")
-    den = F.regexp_extract(raw, r"^([0-9]+)/([0-9]+)$", 2).try_cast("double")
-    id_like = (num > 1000) | (den > 1000) | ((num < 10) & (den < 10) & (num < den))
-    junk = (F.length(raw) > 50) | any_in(F.lower(raw), ["http", "www", "@", "#", "javascript"])
-    spaced = F.trim(F.replace(F.translate(raw, "\u00a0", " "), F.lit("  "), F.lit(" ")))
-    comma, point = F.contains(spaced, F.lit(",")), F.contains(spaced, F.lit("."))
-    dotted = (
-        F.when(comma & ~point, F.translate(spaced, ",", "."))
-        .when(comma & point & spaced.rlike(r",[^.]*$"), F.translate(spaced, ",.", "."))
-        .otherwise(spaced)
+def _id_like(raw: Column) -> Column:
+    """``12345/7`` and ``3/5`` are identifiers or progress, not numbers."""
+    num = F.regexp_extract(raw, r"^([0-9]+)/[0-9]+$", 1).try_cast("double")
+    den = F.regexp_extract(raw, r"^[0-9]+/([0-9]+)$", 1).try_cast("double")
+    return raw.rlike("^[0-9]+/[0-9]+$") & ((num > 1000) | (den > 1000) | ((num < 10) & (den < 10) & (num < den)))
+
+
+def _dotted(text: Column) -> Column:
+    comma, point = F.contains(text, F.lit(",")), F.contains(text, F.lit("."))
+    decimal = (
+        F.when(comma & ~point, F.translate(text, ",", "."))
+        .when(comma & point & text.rlike(r",[^.]*$"), F.translate(text, ",.", "."))
+        .otherwise(text)
     )
-    joined = F.regexp_replace(dotted, r"([0-9])\s+([0-9])", "$1$2")
-    pieces = F.split(joined, "/")
-    top, bottom = to_double(F.get(pieces, F.lit(0))), to_double(F.get(pieces, F.lit(1)))
-    fraction = F.when((bottom != 0) & (top <= 10000) & (bottom <= 10000), top / bottom)
-    plain = to_double(F.regexp_replace(joined, r"[^0-9.\-]", ""))
-    return chain(
-        [
-            ((raw == "") | F.coalesce(id_like, F.lit(False)) | junk, F.lit(None).cast("double")),
-            (F.contains(spaced, F.lit("%")), to_double(F.replace(spaced, F.lit("%"), F.lit("")))),
-            (F.size(pieces) == 2, fraction),
-            (F.abs(plain) <= 1e15, plain),
-        ],
-        F.lit(None).cast("double"),
+    return F.regexp_replace(decimal, r"([0-9])\s+([0-9])", "$1$2")
+
+
+def _fraction(text: Column) -> Column:
+    top = let(F.split_part(text, F.lit("/"), F.lit(1)), to_double)
+    bottom = let(F.split_part(text, F.lit("/"), F.lit(2)), to_double)
+    return let(
+        F.struct(top.alias("top"), bottom.alias("bottom")),
+        lambda f: F.when((f["bottom"] != 0) & (f["top"] <= 10000) & (f["bottom"] <= 10000), f["top"] / f["bottom"]),
     )
 
 
+def parse_table_value(c) -> Column:
+    """Cell parser with guards against identifiers, links, long text and progress fractions."""
+    nothing = F.lit(None).cast("double")
+
+    def parsed(text: Column) -> Column:
+        plain = keep_if(F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double"), lambda v: F.abs(v) <= 1e15)
+        return F.when(text.rlike("^[^/]*/[^/]*$"), _fraction(text)).otherwise(plain)
+
+    def guarded(raw: Column) -> Column:
+        junk = (raw == "") | (F.length(raw) > 50) | any_word(F.lower(raw), ["http", "www", "@", "#", "javascript"])
+        spaced = F.trim(F.replace(F.translate(raw, "\u00a0", " "), F.lit("  "), F.lit(" ")))
+        percent = let(F.trim(F.replace(spaced, F.lit("%"), F.lit(""))), to_double)
+        return chain(
+            [(junk | _id_like(raw), nothing), (F.contains(raw, F.lit("%")), percent)],
+            let(let(spaced, _dotted), parsed),
+        )
+
+    return let(F.regexp_replace(col(c), r"^\s+|\s+$", ""), guarded)
+
+
 def first_number(c) -> Column:
     return F.translate(F.regexp_extract(col(c), R.NUMBER_TOKEN, 1), ",", ".").try_cast("double")
 
@@ -94,13 +104,13 @@ def plausible_for_name(value, name) -> Column:
     """Plausibility by kind of indicator."""
     low = F.lower(col(name))
     v = col(value)
-    year_in_disguise = between(v, 1950.0, 2030.0) & any_in(low, R.YEAR_WORDS)
+    year_in_disguise = between(v, 1950.0, 2030.0) & any_word(low, R.YEAR_WORDS)
     return chain(
         [
             (year_in_disguise, F.lit(False)),
-            (any_in(low, R.RATE_WORDS), between(v, -100.0, 1000.0)),
+            (any_word(low, R.RATE_WORDS), between(v, -100.0, 1000.0)),
             (F.contains(low, F.lit("population")), between(v, 1000.0, 50000000.0)),
-            (any_in(low, R.GDP_WORDS), (v >= 0) & (v < 1e15)),
+            (any_word(low, R.GDP_WORDS), (v >= 0) & (v < 1e15)),
         ],
         F.abs(v) < 1e12,
     )

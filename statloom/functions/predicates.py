@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from statloom.functions import rules as R
 from statloom.functions import years
-from statloom.functions.common import any_in, between, chain, col, is_true, starts_with_pattern, year_like
+from statloom.functions.common import any_word, between, chain, col, is_true, starts_with_pattern, year_like
 
 
 def is_clean_indicator(name) -> Column:
     """No excluded pattern, and a valid or related term."""
     n = col(name)
     low = F.trim(F.lower(n))
-    known = any_in(low, R.CLEAN_VALID_TERMS) | any_in(low, R.CLEAN_RELATED_TERMS)
+    known = any_word(low, R.CLEAN_VALID_TERMS) | any_word(low, R.CLEAN_RELATED_TERMS)
     return is_true((F.length(n) >= 3) & ~starts_with_pattern(low, R.CLEAN_EXCLUDE_PATTERNS) & known)
 
 
@@ -22,12 +22,12 @@ def strict_reject(name, value) -> Column:
     """Reason to drop an obvious non-indicator, null to keep it."""
     low = F.trim(F.lower(F.coalesce(col(name), F.lit(""))))
     too_long = (F.length(low) > 150) | (F.regexp_count(low, F.lit(" ")) > 15)
-    no_context = ~any_in(low, R.STRICT_CONTEXT_TERMS)
+    no_context = ~any_word(low, R.STRICT_CONTEXT_TERMS)
     return chain(
         [
             (F.length(low) < 3, F.lit("short_name")),
             (starts_with_pattern(low, R.STRICT_REJECT_PATTERNS), F.lit("pattern")),
-            (~any_in(low, R.STRICT_TERMS) & (too_long | no_context), F.lit("no_known_term")),
+            (~any_word(low, R.STRICT_TERMS) & (too_long | no_context), F.lit("no_known_term")),
             (year_like(value), F.lit("year_like_value")),
         ],
         F.lit(None).cast("string"),
@@ -36,11 +36,11 @@ def strict_reject(name, value) -> Column:
 
 def is_general_indicator(name) -> Column:
     n = F.lower(col(name))
-    return is_true((F.length(n) >= 3) & ~n.rlike(R.GENERAL_EXCLUDE) & any_in(n, R.GENERAL_TERMS))
+    return is_true((F.length(n) >= 3) & ~n.rlike(R.GENERAL_EXCLUDE) & any_word(n, R.GENERAL_TERMS))
 
 
 def is_office_indicator(name) -> Column:
-    return is_true(any_in(F.lower(col(name)), R.OFFICE_TERMS))
+    return is_true(any_word(F.lower(col(name)), R.OFFICE_TERMS))
 
 
 def record_reject(year, value, confidence) -> Column:
@@ -65,13 +65,13 @@ def is_permissive_indicator(name) -> Column:
     return is_true(
         (F.length(n) >= 2)
         & ~starts_with_pattern(low, R.PERMISSIVE_REJECT_PATTERNS)
-        & (any_in(low, R.PERMISSIVE_TERMS) | described)
+        & (any_word(low, R.PERMISSIVE_TERMS) | described)
     )
 
 
 def is_undated_indicator(name, value) -> Column:
     low = F.lower(col(name))
-    return is_true(any_in(low, R.UNDATED_TERMS) & (F.length(low) >= 3)) & col(value).isNotNull()
+    return is_true(any_word(low, R.UNDATED_TERMS) & (F.length(low) >= 3)) & col(value).isNotNull()
 
 
 def period_outcome(year, is_gov) -> Column:

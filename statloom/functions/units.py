@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from statloom.functions import rules as R
-from statloom.functions.common import any_in, chain, col, cut
+from statloom.functions.common import any_word, chain, col, cut
 
 
 def _combined(value_text, label) -> Column:
@@ -23,7 +23,7 @@ def from_text_or_name(value_text, label) -> Column:
     """As :func:`from_text` with a finer table, then a default by the kind of indicator."""
     text, low = _combined(value_text, label), F.lower(F.coalesce(col(label), F.lit("")))
     by_pattern = [(text.rlike(p), F.lit(u)) for p, u in R.UNIT_PATTERNS_CLEAN]
-    by_name = [(any_in(low, terms), F.lit(u)) for terms, u in R.UNIT_BY_NAME_CLEAN]
+    by_name = [(any_word(low, terms), F.lit(u)) for terms, u in R.UNIT_BY_NAME_CLEAN]
     return chain(by_pattern + by_name, F.lit(""))
 
 
@@ -32,7 +32,7 @@ def default_bank(name, hint, value) -> Column:
     return chain(
         [
             (col(hint) != "", F.upper(col(hint))),
-            (any_in(low, ["taux", "rate"]), F.lit("%")),
+            (any_word(low, ["taux", "rate"]), F.lit("%")),
             (col(value) > 1000, F.lit("MD")),
         ],
         F.lit("TND"),
@@ -43,8 +43,8 @@ def default_office(name, value) -> Column:
     low = F.lower(col(name))
     return chain(
         [
-            (any_in(low, ["épargne", "formation", "capital"]), F.when(col(value) > 1000, "MD").otherwise("MDT")),
-            (any_in(low, ["taux", "croissance"]), F.lit("%")),
+            (any_word(low, ["épargne", "formation", "capital"]), F.when(col(value) > 1000, "MD").otherwise("MDT")),
+            (any_word(low, ["taux", "croissance"]), F.lit("%")),
             (F.contains(low, F.lit("population")), F.lit("habitants")),
         ],
         F.lit("MD"),
@@ -55,8 +55,8 @@ def default_context(name, value) -> Column:
     low = F.lower(col(name))
     return chain(
         [
-            (any_in(low, ["taux", "%", "croissance"]), F.lit("%")),
-            (any_in(low, ["pib", "budget", "dette"]), F.when(col(value) > 100, "MD").otherwise("MDT")),
+            (any_word(low, ["taux", "%", "croissance"]), F.lit("%")),
+            (any_word(low, ["pib", "budget", "dette"]), F.when(col(value) > 100, "MD").otherwise("MDT")),
             (F.contains(low, F.lit("population")), F.lit("habitants")),
         ],
         F.lit(""),
@@ -70,8 +70,8 @@ def standardise(unit, name, value) -> Column:
     low_name, low_unit = F.lower(col(name)), F.lower(u)
     inferred = chain(
         [
-            (any_in(low_name, ["taux", "inflation", "chomage", "%"]), F.lit("%")),
-            (any_in(low_name, ["pib", "dette", "budget"]), F.when(col(value) > 1000, "MD").otherwise("MDT")),
+            (any_word(low_name, ["taux", "inflation", "chomage", "%"]), F.lit("%")),
+            (any_word(low_name, ["pib", "dette", "budget"]), F.when(col(value) > 1000, "MD").otherwise("MDT")),
             (F.contains(low_name, F.lit("population")), F.lit("habitants")),
         ],
         F.lit(""),

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from statloom.functions import rules as R
-from statloom.functions.common import all_matches, between, col, cut
+from statloom.functions.common import all_matches, between, col, cut, let
 
 
 def in_period(year) -> Column:
@@ -30,28 +30,29 @@ def _with_digits(text, value: Column) -> Column:
 
 def most_frequent(values: Column) -> Column:
     """Most frequent entry; the first seen wins a tie."""
-    ranked = F.transform(
-        F.array_distinct(values),
-        lambda y: F.struct(
-            F.size(F.filter(values, lambda z: z == y)).alias("n"),
-            (-F.array_position(values, y)).alias("place"),
-            y.alias("year"),
-        ),
-    )
-    return F.array_max(ranked)["year"]
+
+    def ranked(seen: Column) -> Column:
+        return F.transform(
+            F.array_distinct(seen),
+            lambda y: F.struct(
+                F.size(F.filter(seen, lambda z: z == y)).alias("n"),
+                (-F.array_position(seen, y)).alias("place"),
+                y.alias("year"),
+            ),
+        )
+
+    return let(values, lambda seen: F.array_max(ranked(seen))["year"])
 
 
 def from_name(name, patterns: Sequence[str] = R.YEAR_NAME_PATTERNS) -> Column:
     """Per pattern the first year in the period, else the latest valid year of that pattern."""
     low = F.lower(col(name))
-    options = []
-    for p in patterns:
-        found = _years(low, p)
-        options += [
-            _first(found, R.PERIOD_START, R.PERIOD_END),
-            F.array_max(F.filter(found, lambda y: between(y, 1900, 2030))),
-        ]
-    return _with_digits(name, F.coalesce(*options))
+
+    def best(found: Column) -> Column:
+        latest = F.array_max(F.filter(found, lambda y: between(y, 1900, 2030)))
+        return F.coalesce(_first(found, R.PERIOD_START, R.PERIOD_END), latest)
+
+    return _with_digits(name, F.coalesce(*[let(_years(low, p), best) for p in patterns]))
 
 
 def from_text(text, patterns: Sequence[str] = R.YEAR_TEXT_PATTERNS, limit: int = 1000) -> Column:

@@ -9,14 +9,14 @@ raw_text and confidence_score.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions import html, numbers, predicates, units, urls, years
 from statloom.functions import rules as R
-from statloom.functions.common import all_matches, chain, cut, first_match, regex
+from statloom.functions.common import all_matches, cut, each, let, regex
 from statloom.functions.text import strip
 from statloom.operators import records
 
@@ -49,102 +49,92 @@ def _values(df: DataFrame, method: str, prefix: str, places: Sequence[str], conf
 # -- tables ------------------------------------------------------------------------------------
 
 
-def table_rows(pages: DataFrame, limit: int, source: Column | None = None) -> DataFrame:
+def table_rows(pages: DataFrame, tables: Column) -> DataFrame:
     """One row per table row: page_id, url, table_idx, row_idx, cells."""
-    tables = html.tables(source if source is not None else "html", limit)
-    each = pages.select("page_id", "url", F.posexplode(tables).alias("table_idx", "table_html"))
-    rows = each.select("page_id", "url", "table_idx", F.posexplode(html.rows("table_html")).alias("row_idx", "row_html"))
-    return rows.select("page_id", "url", "table_idx", "row_idx", html.cells("row_html").alias("cells"))
+    page = ("page_id", "url")
+    found = each(pages, page, tables, "table_html", "table_idx")
+    rows = each(found, (*page, "table_idx"), html.rows("table_html"), "row_html", "row_idx")
+    return rows.select(*page, "table_idx", "row_idx", html.cells("row_html").alias("cells"))
+
+
+_ROW = ("page_id", "url", "table_idx", "row_idx")
 
 
 def adjacent_pairs(pages: DataFrame) -> DataFrame:
     """Every adjacent cell pair of the first ten tables whose label is an indicator."""
-    rows = table_rows(pages, 10).filter(F.size("cells") >= 2)
-    n = F.size("cells") - 1
-    pairs = F.arrays_zip(F.slice("cells", 1, n).alias("label"), F.slice("cells", 2, n).alias("value"))
-    each = rows.select("page_id", "url", "table_idx", "row_idx", F.posexplode(pairs).alias("cell_idx", "pair"))
-    texts = each.select(
-        "page_id", "url", "table_idx", "row_idx", "cell_idx",
-        html.inner_text("pair.label").alias("label"), html.inner_text("pair.value").alias("value_text"),
-    ).filter(predicates.is_general_indicator("label"))
-    parsed = texts.select(
-        "*",
-        cut("label", 50).alias("indicator_name"),
-        numbers.parse_european("value_text").alias("value"),
-        units.from_text("value_text", "label").alias("unit"),
-        F.concat("label", F.lit(": "), "value_text").alias("raw_text"),
-    ).filter("value IS NOT NULL")
+    rows = table_rows(pages, html.tables("html", 10))
+    n = F.greatest(F.size("cells") - 1, F.lit(0))
+    zipped = F.arrays_zip(F.slice("cells", 1, n).alias("label"), F.slice("cells", 2, n).alias("value"))
+    texts = F.transform(
+        zipped,
+        lambda p, i: F.struct(
+            i.alias("cell_idx"), html.inner_text(p["label"]).alias("label"), html.inner_text(p["value"]).alias("value_text")
+        ),
+    )
+    named = F.filter(texts, lambda p: predicates.is_general_indicator(p["label"]))
+    pairs = F.transform(named, lambda p: p.withField("value", numbers.parse_european(p["value_text"])))
+    hits = each(rows, _ROW, F.filter(pairs, lambda p: p["value"].isNotNull()), "p")
+    parsed = hits.select(
+        *_ROW, "p.cell_idx", "p.value",
+        cut("p.label", 50).alias("indicator_name"),
+        units.from_text("p.value_text", "p.label").alias("unit"),
+        F.concat("p.label", F.lit(": "), "p.value_text").alias("raw_text"),
+    )
     return records.enrich(_values(parsed, "html_table", "table", ["table_idx", "row_idx", "cell_idx"], 0.8))
 
 
 def header_tables(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
     """Label by value column, with the year of the column header; first five tables, noise removed.
     The header row travels with the table as an array, so no self-join is needed."""
-    tables = html.tables(html.without_noise("html"), 5)
-    each = pages.select("page_id", "url", F.posexplode(tables).alias("table_idx", "table_html"))
-    with_rows = each.select("page_id", "url", "table_idx", html.rows("table_html").alias("rows")).filter(F.size("rows") >= 2)
+    page = ("page_id", "url")
+    tables = each(pages, page, html.tables(html.without_noise("html"), 5), "table_html", "table_idx")
+    split = tables.select(*page, "table_idx", html.rows("table_html").alias("rows"))
     headers = F.transform(html.cells(F.get("rows", F.lit(0))), html.cell_text)
-    rows = with_rows.select(
-        "page_id", "url", "table_idx", headers.alias("headers"), F.posexplode("rows").alias("row_idx", "row_html")
-    ).filter("row_idx > 0")
-    cells = rows.select("page_id", "url", "table_idx", "row_idx", "headers", html.cells("row_html").alias("cells")).filter(
-        F.size("cells") >= 2
-    )
-    labelled = cells.withColumn("label", html.cell_text(F.get("cells", F.lit(0)))).filter(predicates.is_clean_indicator("label"))
-    each_cell = labelled.select(
-        "page_id", "url", "table_idx", "row_idx", "headers", "label", F.posexplode("cells").alias("cell_idx", "cell_html")
-    ).filter("cell_idx > 0")
-    parsed = (
-        each_cell.withColumn("value_text", html.cell_text("cell_html"))
-        .withColumns(
-            {
-                "value": numbers.parse_clean("value_text"),
-                "year": years.from_headers("headers", "cell_idx", "url", as_of_year),
-            }
-        )
-        .filter(F.col("value").isNotNull() & years.in_period("year"))
-        .withColumns(
-            {
-                "indicator_name": strip("label"),
-                "unit": units.from_text_or_name("value_text", "label"),
-                "raw_text": cut(F.concat("label", F.lit(": "), "value_text"), 200),
-            }
-        )
+    with_headers = split.select(*page, "table_idx", headers.alias("headers"), "rows")
+    rows = each(with_headers, (*page, "table_idx", "headers"), F.col("rows"), "row_html", "row_idx").filter("row_idx > 0")
+    texts = F.transform(html.cells("row_html"), html.cell_text)
+    celled = rows.select(*_ROW, "headers", texts.alias("cells"))
+    labelled = celled.select(*_ROW, "headers", "cells", F.get("cells", F.lit(0)).alias("label"))
+    values = F.filter(
+        F.transform(
+            "cells",
+            lambda c, i: F.struct(i.alias("cell_idx"), c.alias("value_text"), numbers.parse_clean(c).alias("value")),
+        ),
+        lambda v: (v["cell_idx"] > 0) & v["value"].isNotNull(),
     )
+    valid = F.when(predicates.is_clean_indicator("label"), values)
+    hits = each(labelled, (*_ROW, "headers", "label"), valid, "v")
+    parsed = hits.select(
+        *_ROW, "v.cell_idx", "v.value", strip("label").alias("indicator_name"),
+        years.from_headers("headers", "v.cell_idx", "url", as_of_year).alias("year"),
+        units.from_text_or_name("v.value_text", "label").alias("unit"),
+        cut(F.concat("label", F.lit(": "), "v.value_text"), 200).alias("raw_text"),
+    ).filter(years.in_period("year"))
     return _values(parsed, "clean_table", "table", ["table_idx", "row_idx", "cell_idx"], 0.8)
 
 
 def first_two_cells(pages: DataFrame) -> DataFrame:
     """Label and first number of the second cell, first five tables."""
-    rows = table_rows(pages, 5).filter(F.size("cells") >= 2)
-    texts = rows.select(
-        "page_id", "url", "table_idx", "row_idx",
+    rows = table_rows(pages, html.tables("html", 5)).filter(F.size("cells") >= 2)
+    parsed = rows.select(
+        *_ROW,
         html.inner_text(F.get("cells", F.lit(0))).alias("label"),
         html.inner_text(F.get("cells", F.lit(1))).alias("value_text"),
+    ).select(
+        *_ROW,
+        "label",
+        cut("label", 60).alias("indicator_name"), numbers.first_number("value_text").alias("value"), F.lit("").alias("unit"),
+        F.concat("label", F.lit(": "), "value_text").alias("raw_text"),
     )
-    parsed = (
-        texts.filter(F.length("label") > 3)
-        .withColumn("value", numbers.first_number("value_text"))
-        .filter("value IS NOT NULL")
-        .withColumns(
-            {
-                "indicator_name": cut("label", 60),
-                "unit": F.lit(""),
-                "raw_text": F.concat("label", F.lit(": "), "value_text"),
-            }
-        )
-    )
-    return _values(parsed, "table_extraction", "table", ["table_idx", "row_idx"], 0.7)
+    kept = parsed.filter((F.length("label") > 3) & F.col("value").isNotNull())
+    return _values(kept, "table_extraction", "table", ["table_idx", "row_idx"], 0.7)
 
 
 def labelled_table_values(pages: DataFrame, chosen: Column | None = None) -> DataFrame:
     """Guarded parser over the first two cells of each row. ``chosen`` holds the tables to read."""
-    tables = chosen if chosen is not None else html.tables("html")
-    each = pages.select("page_id", "url", F.posexplode(tables).alias("table_idx", "table_html"))
-    rows = each.select("page_id", "url", "table_idx", F.posexplode(html.rows("table_html")).alias("row_idx", "row_html"))
-    cells = rows.select("page_id", "url", "table_idx", "row_idx", html.cells("row_html").alias("cells")).filter(F.size("cells") >= 2)
-    parsed = cells.select(
-        "page_id", "url", "table_idx", "row_idx",
+    rows = table_rows(pages, chosen if chosen is not None else html.tables("html")).filter(F.size("cells") >= 2)
+    parsed = rows.select(
+        *_ROW,
         html.cell_text(F.get("cells", F.lit(0))).alias("indicator_name"),
         html.inner_text(F.get("cells", F.lit(1))).alias("raw_text"),
     ).withColumns({"value": numbers.parse_table_value("raw_text"), "unit": F.lit("")})
@@ -155,39 +145,46 @@ def labelled_table_values(pages: DataFrame, chosen: Column | None = None) -> Dat
 def site_tables(pages: DataFrame) -> DataFrame:
     """Site-specific choice of tables: the first selector with a match decides, every other site
     reads all tables."""
-    h = F.col("html")
 
-    def classed(marker: str) -> Column:
-        pattern = rf"""(?is)<table\b[^>]*\bclass\s*=\s*["'][^"'>]*{marker}[^"'>]*["'][^>]*>(.*?)</table>"""
-        return F.regexp_extract_all(h, F.lit(pattern), F.lit(1))
+    def found(pattern: str, group: int) -> Column:
+        return F.regexp_extract_all("html", F.lit("(?is)" + pattern), F.lit(group))
 
-    def inside(tag: str, marker: str) -> Column:
-        pattern = rf"""(?is)<({tag})\b[^>]*\bclass\s*=\s*["'][^"'>]*{marker}[^"'>]*["'][^>]*>(.*?)</\1>"""
-        return F.flatten(F.transform(F.regexp_extract_all(h, F.lit(pattern), F.lit(2)), html.tables))
+    def nested(blocks: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda x: html.tables(x)))
 
-    everything = html.tables("html")
-
-    def first_of(*options: Column) -> Column:
-        return chain([(F.size(o) > 0, F.slice(o, 1, 1)) for o in options], F.slice(everything, 1, 1))
+    def classed(marker: str) -> Column:
+        return found(rf"""<table\b[^>]*\bclass\s*=\s*["'][^"'>]*{marker}[^"'>]*["'][^>]*>(.*?)</table>""", 1)
 
-    bank = first_of(classed(r"\btable-stat\b"), classed("stat"), classed("data"), inside(r"\w+", r"\bstatistiques\b"))
-    office_sections = F.concat(
+    def inside(tag: str, marker: str) -> Column:
+        return nested(found(rf"""<({tag})\b[^>]*\bclass\s*=\s*["'][^"'>]*{marker}[^"'>]*["'][^>]*>(.*?)</\1>""", 2))
+
+    options = {
+        "central_bank": [
+            classed(r"\btable-stat\b"), classed("stat"), classed("data"), inside("[a-z][a-z0-9]*", r"\bstatistiques\b"),
+        ],
+        "industry_portal": [
+            nested(found(r"""<div\b[^>]*\bid\s*=\s*["']dbs["'][^>]*>(.*?)</div>""", 1)),
+            classed(r"\bdata\b"), inside("[a-z][a-z0-9]*", r"\bentreprises\b"), inside("[a-z][a-z0-9]*", r"\bsecteurs\b"),
+        ],
+    }
+    sections = F.concat(
         inside("div", "indicateur"), inside("div", "stat"), inside("section", "data"),
-        inside(r"\w+", r"\bstatistiques\b"), inside(r"\w+", r"\bindicateurs\b"), inside("div", "contenu"),
+        inside("[a-z][a-z0-9]*", r"\bstatistiques\b"), inside("[a-z][a-z0-9]*", r"\bindicateurs\b"), inside("div", "contenu"),
     )
-    office = F.when(F.size(office_sections) > 0, office_sections).otherwise(everything)
-    portal = first_of(
-        F.flatten(F.transform(F.regexp_extract_all(h, F.lit(r"""(?is)<div\b[^>]*\bid\s*=\s*["']dbs["'][^>]*>(.*?)</div>"""), F.lit(1)), html.tables)),
-        classed(r"\bdata\b"), inside(r"\w+", r"\bentreprises\b"), inside(r"\w+", r"\bsecteurs\b"),
+    # One candidate list per option; only the list of the page's own site type is evaluated.
+    ranked = (
+        F.when(F.col("site") == "central_bank", F.array(*options["central_bank"]))
+        .when(F.col("site") == "industry_portal", F.array(*options["industry_portal"]))
+        .when(F.col("site") == "statistical_institute", F.array(sections))
     )
-    site = urls.site_type("url")
-    chosen = (
-        F.when(site == "central_bank", bank)
-        .when(site == "statistical_institute", office)
-        .when(site == "industry_portal", portal)
-        .otherwise(everything)
+    sites = pages.select("page_id", "url", "html", urls.site_type("url").alias("site"))
+    listed = sites.select(
+        "page_id", "url", "site", html.tables("html").alias("everything"),
+        F.get(F.filter(ranked, lambda o: F.size(o) > 0), F.lit(0)).alias("special"),
     )
-    return labelled_table_values(pages, chosen)
+    whole = F.coalesce("special", "everything")
+    chosen = F.when(F.col("site").isin("central_bank", "industry_portal"), F.slice(whole, 1, 1)).otherwise(whole)
+    return labelled_table_values(listed, chosen)
 
 
 # -- lists and blocks --------------------------------------------------------------------------
@@ -196,72 +193,74 @@ def site_tables(pages: DataFrame) -> DataFrame:
 def list_items(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
     """``name: value``, ``name - value`` and ``name = value`` items of the first ten lists. The first
     form with a valid name and a number wins."""
-    lists = F.slice(html.all_inner(html.without_noise("html"), html.LIST), 1, 10)
-    each = pages.select("page_id", "url", F.posexplode(lists).alias("list_idx", "list_html"))
-    items = each.select(
-        "page_id", "url", "list_idx", F.posexplode(html.all_inner("list_html", html.ITEM)).alias("item_idx", "item_html")
-    )
-    texts = items.select("page_id", "url", "list_idx", "item_idx", html.cell_text("item_html").alias("raw_text")).filter(
-        F.length("raw_text") >= 3
-    )
-
-    def candidate(pattern: str) -> Column:
-        name = strip(F.regexp_extract("raw_text", regex(pattern), 1))
-        value_text = strip(F.regexp_extract("raw_text", regex(pattern), 2))
-        value = numbers.parse_clean(value_text)
-        return F.when(
-            predicates.is_clean_indicator(name) & value.isNotNull(),
-            F.struct(name.alias("name"), value_text.alias("value_text"), value.alias("value")),
-        )
-
-    found = texts.withColumn("hit", F.coalesce(*[candidate(p) for p in R.LIST_PATTERNS])).filter("hit IS NOT NULL")
-    parsed = found.select(
-        "page_id", "url", "list_idx", "item_idx",
-        F.col("hit.name").alias("indicator_name"), F.col("hit.value").alias("value"),
-        units.from_text_or_name("hit.value_text", "hit.name").alias("unit"),
+    page = ("page_id", "url")
+    lists = each(pages, page, F.slice(html.all_inner(html.without_noise("html"), html.LIST), 1, 10), "list_html", "list_idx")
+    items = each(lists, (*page, "list_idx"), F.transform(html.all_inner("list_html", html.ITEM), html.cell_text), "raw_text", "item_idx")
+    forms_found = F.array(
+        *[
+            F.struct(
+                strip(F.regexp_extract("raw_text", regex(p), 1)).alias("name"),
+                strip(F.regexp_extract("raw_text", regex(p), 2)).alias("value_text"),
+            )
+            for p in R.LIST_PATTERNS
+        ]
+    )
+    parsed_forms = F.transform(forms_found, lambda f: f.withField("value", numbers.parse_clean(f["value_text"])))
+    accepted = F.filter(parsed_forms, lambda f: f["value"].isNotNull() & predicates.is_clean_indicator(f["name"]))
+    spot = ("page_id", "url", "list_idx", "item_idx", "raw_text")
+    hits = each(items, spot, F.slice(accepted, 1, 1), "f").filter(F.length("raw_text") >= 3)
+    parsed = hits.select(
+        "page_id", "url", "list_idx", "item_idx", F.col("f.name").alias("indicator_name"), "f.value",
+        units.from_text_or_name("f.value_text", "f.name").alias("unit"),
         years.from_snippet("raw_text", "url", as_of_year).alias("year"),
         cut("raw_text", 200).alias("raw_text"),
     ).filter(years.in_period("year"))
     return _values(parsed, "clean_list", "list", ["list_idx", "item_idx"], 0.8)
 
 
-def _matches(text, patterns: Sequence[tuple[str, bool]]) -> Column:
-    """All matches of all patterns in order, as structs of position, match, name, value and unit.
-    The text is scanned once per pattern; groups are read from the short matches."""
+def _matches(text, patterns: Sequence[tuple[str, int]], parse: Callable[[Column], Column], cap: int | None = None) -> Column:
+    """All matches of all patterns in order, as structs of position, raw match, name, value text,
+    unit hint and parsed value. The text is scanned once per pattern; groups are read from the short
+    matches. Patterns are given with their number of groups; with one group there is no name."""
 
-    def of(i: int, pattern: str, has_unit: bool) -> Column:
+    def of(i: int, pattern: str, groups: int) -> Column:
         p = regex(pattern)
+        found = all_matches(text, pattern)
         return F.transform(
-            all_matches(text, pattern),
+            F.slice(found, 1, cap) if cap else found,
             lambda m, j: F.struct(
                 F.lit(i).alias("pattern_idx"),
                 j.alias("match_idx"),
                 m.alias("raw"),
-                strip(F.regexp_extract(m, p, 1)).alias("name"),
-                strip(F.regexp_extract(m, p, 2)).alias("value_text"),
-                (F.regexp_extract(m, p, 3) if has_unit else F.lit("")).alias("hint"),
+                (strip(F.regexp_extract(m, p, 1)) if groups > 1 else F.lit("")).alias("name"),
+                strip(F.regexp_extract(m, p, min(groups, 2))).alias("value_text"),
+                (strip(F.regexp_extract(m, p, 3)) if groups > 2 else F.lit("")).alias("hint"),
             ),
         )
 
-    return F.concat(*[of(i, p, u) for i, (p, u) in enumerate(patterns)])
+    listed = F.concat(*[of(i, p, g) for i, (p, g) in patterns])
+    return F.transform(listed, lambda m: m.withField("value", parse(m["value_text"])))
+
+
+def _numbered(patterns) -> list:
+    """Patterns with a flag for a unit group, numbered."""
+    return [(i, (p, 3 if has_unit else 2)) for i, (p, has_unit) in enumerate(patterns)]
 
 
 def data_blocks(pages: DataFrame) -> DataFrame:
     """Blocks whose class speaks of data: at most five values per block, five blocks per page."""
     pattern = r"""(?is)<(ul|ol|dl|div)\b[^>]*\bclass\s*=\s*["'][^"'>]*(?:data|stat|info|metric)[^"'>]*["'][^>]*>(.*?)</\1>"""
     blocks = F.slice(F.regexp_extract_all("html", F.lit(pattern), F.lit(2)), 1, R.BLOCKS_PER_PAGE)
-    each = pages.select("page_id", "url", F.posexplode(blocks).alias("block_idx", "block_html"))
-    texts = each.select("page_id", "url", "block_idx", html.cell_text("block_html").alias("body"))
+    texts = each(pages, ("page_id", "url"), F.transform(blocks, html.cell_text), "body", "block_idx")
     accepted = F.filter(
-        _matches("body", R.BLOCK_PATTERNS),
-        lambda m: predicates.is_general_indicator(m["name"]) & numbers.parse_european(m["value_text"]).isNotNull(),
+        _matches("body", _numbered(R.BLOCK_PATTERNS), numbers.parse_european),
+        lambda m: m["value"].isNotNull() & predicates.is_general_indicator(m["name"]),
     )
-    hits = texts.select("page_id", "url", "block_idx", F.explode(F.slice(accepted, 1, R.BLOCK_CAP)).alias("m"))
-    value = numbers.parse_european("m.value_text")
+    hits = each(texts, ("page_id", "url", "block_idx"), F.slice(accepted, 1, R.BLOCK_CAP), "m")
     parsed = hits.select(
         "page_id", "url", "block_idx", "m.pattern_idx", "m.match_idx",
-        cut("m.name", 60).alias("indicator_name"), value.alias("value"),
-        F.when(F.col("m.hint") != "", F.col("m.hint")).otherwise(units.default_context("m.name", value)).alias("unit"),
+        cut("m.name", 60).alias("indicator_name"), "m.value",
+        F.when(F.col("m.hint") != "", F.col("m.hint")).otherwise(units.default_context("m.name", "m.value")).alias("unit"),
         F.col("m.raw").alias("raw_text"),
     )
     return records.enrich(_values(parsed, "html_structured", "struct", ["block_idx", "pattern_idx", "match_idx"], 0.75))
@@ -273,51 +272,44 @@ def data_blocks(pages: DataFrame) -> DataFrame:
 def text_patterns(pages: DataFrame, text: Column | None = None, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
     """Economic patterns over the text of a page without noise."""
     body = text if text is not None else html.clean_page_text("html")
-    texts = pages.select("page_id", "url", body.alias("body")).filter(F.length("body") >= 10)
-    hits = texts.select("page_id", "url", F.explode(_matches("body", R.TEXT_PATTERNS)).alias("m"))
+    texts = pages.select("page_id", "url", body.alias("body"))
+    numeric = F.filter(
+        _matches("body", _numbered(R.TEXT_PATTERNS), numbers.parse_clean), lambda m: m["value"].isNotNull()
+    )
+    hits = each(texts, ("page_id", "url"), F.when(F.length("body") >= 10, numeric), "m")
     unit = F.when(F.col("m.hint") != "", F.col("m.hint")).otherwise(units.from_text_or_name("m.value_text", "m.name"))
     parsed = hits.select(
-        "page_id", "url", "m.pattern_idx", "m.match_idx", F.col("m.name").alias("indicator_name"),
-        numbers.parse_clean("m.value_text").alias("value"), F.trim(unit).alias("unit"),
-        years.from_snippet("m.raw", "url", as_of_year).alias("year"), cut("m.raw", 200).alias("raw_text"),
-    ).filter(F.col("value").isNotNull() & years.in_period("year"))
+        "page_id", "url", "m.pattern_idx", "m.match_idx", F.col("m.name").alias("indicator_name"), "m.value",
+        unit.alias("unit"), years.from_snippet("m.raw", "url", as_of_year).alias("year"), cut("m.raw", 200).alias("raw_text"),
+    ).filter(years.in_period("year"))
     return _values(parsed, "clean_text", "text", ["pattern_idx", "match_idx"], 0.8)
 
 
 def government_patterns(pages: DataFrame) -> DataFrame:
     """Aggressive patterns over the raw content of government pages; positive values only."""
     gov = pages.filter(urls.is_gov_site("url"))
-
-    def of(i: int, pattern: str) -> Column:
-        return F.transform(
-            all_matches("html", pattern),
-            lambda m, j: F.struct(
-                F.lit(i).alias("pattern_idx"), j.alias("match_idx"), m.alias("raw"),
-                F.regexp_extract(m, regex(pattern), 1).alias("value_text"),
-            ),
-        )
-
-    hits = gov.select(
-        "page_id", "url", F.explode(F.concat(*[of(i, p) for i, p in enumerate(R.GOV_PATTERNS)])).alias("m")
-    )
+    patterns = [(i, (p, 1)) for i, p in enumerate(R.GOV_PATTERNS)]
+    positive = F.filter(_matches("html", patterns, numbers.parse_clean), lambda m: m["value"] > 0)
+    hits = each(gov, ("page_id", "url"), positive, "m")
     percent = F.contains(F.lower("m.raw"), F.lit("percent")) | F.contains("m.raw", F.lit("%"))
     parsed = hits.select(
         "page_id", "url", "m.pattern_idx", "m.match_idx",
         F.concat(F.lit("Indicateur gouvernemental tunisien "), F.col("m.pattern_idx").cast("string")).alias("indicator_name"),
-        numbers.parse_clean("m.value_text").alias("value"), F.when(percent, "%").otherwise("").alias("unit"),
+        "m.value", F.when(percent, "%").otherwise("").alias("unit"),
         F.lit(R.DEFAULT_YEAR).alias("year"), F.col("m.value_text").alias("raw_text"),
-    ).filter("value > 0")
+    )
     return _values(parsed, "government_specialized", "gov", ["pattern_idx", "match_idx"], 0.7)
 
 
 def _capped_patterns(pages: DataFrame, patterns, cap: int) -> DataFrame:
     """First ``cap`` matches with a number, over the visible text."""
     texts = pages.select("page_id", "url", html.page_text("html").alias("body"))
-    numeric = F.filter(_matches("body", patterns), lambda m: numbers.parse_european(m["value_text"]).isNotNull())
-    hits = texts.select("page_id", "url", F.explode(F.slice(numeric, 1, cap)).alias("m"))
+    numeric = F.filter(
+        _matches("body", _numbered(patterns), numbers.parse_european), lambda m: m["value"].isNotNull()
+    )
+    hits = each(texts, ("page_id", "url"), F.slice(numeric, 1, cap), "m")
     return hits.select(
-        "page_id", "url", "m.pattern_idx", "m.match_idx", "m.name", F.col("m.hint").alias("hint"),
-        numbers.parse_european("m.value_text").alias("value"), F.col("m.raw").alias("raw_text"),
+        "page_id", "url", "m.pattern_idx", "m.match_idx", "m.name", "m.hint", "m.value", F.col("m.raw").alias("raw_text")
     )
 
 
@@ -341,23 +333,20 @@ def finance_patterns(pages: DataFrame) -> DataFrame:
 def piped_lines(pages: DataFrame) -> DataFrame:
     """Statistics-office lines of the form ``name | value | value``."""
     office = pages.filter(F.contains(F.lower("url"), F.lit("ins.tn")))
-    lines = office.select("page_id", "url", F.posexplode(F.split(html.page_text("html"), "\n")).alias("line_idx", "line"))
-    parts = lines.filter(F.contains("line", F.lit("|")) & (F.length("line") > 15)).withColumn(
-        "parts", F.transform(F.split("line", r"\|"), strip)
-    )
-    named = parts.withColumn("name", F.get("parts", F.lit(0))).filter(predicates.is_office_indicator("name"))
-    each = named.select("page_id", "url", "line_idx", "line", "name", F.posexplode("parts").alias("val_idx", "value_text"))
-    parsed = (
-        each.filter("val_idx > 0")
-        .withColumn("value", numbers.parse_european("value_text"))
-        .filter("value IS NOT NULL")
-        .withColumns(
-            {
-                "indicator_name": F.concat(F.lit("INS "), "name"),
-                "unit": units.default_office("name", "value"),
-                "raw_text": F.col("line"),
-            }
-        )
+    lines = each(office, ("page_id", "url"), F.split(html.page_text("html"), "\n"), "line", "line_idx")
+    piped = lines.filter(F.contains("line", F.lit("|")) & (F.length("line") > 15))
+    split = piped.select("page_id", "url", "line_idx", "line", F.transform(F.split("line", r"\|"), strip).alias("parts"))
+    named = split.select("*", F.get("parts", F.lit(0)).alias("name"))
+    values = F.filter(
+        F.transform("parts", lambda p, i: F.struct(i.alias("val_idx"), numbers.parse_european(p).alias("value"))),
+        lambda v: (v["val_idx"] > 0) & v["value"].isNotNull(),
+    )
+    spot = ("page_id", "url", "line_idx", "line", "name")
+    hits = each(named, spot, F.when(predicates.is_office_indicator("name"), values), "v")
+    parsed = hits.select(
+        "page_id", "url", "line_idx", "v.val_idx", "v.value",
+        F.concat(F.lit("INS "), "name").alias("indicator_name"),
+        units.default_office("name", "v.value").alias("unit"), F.col("line").alias("raw_text"),
     )
     return records.enrich(_values(parsed, "ins_specialized", "ins", ["line_idx", "val_idx"], 0.85))
 
@@ -365,52 +354,50 @@ def piped_lines(pages: DataFrame) -> DataFrame:
 def generic_patterns(pages: DataFrame) -> DataFrame:
     """Generic patterns over the raw content, first 15 matches of each. Patterns with one group have
     no name and yield nothing."""
-
-    def of(i: int, pattern: str, groups: int) -> Column:
-        p = regex(pattern)
-        return F.transform(
-            F.slice(all_matches("html", pattern), 1, R.GENERIC_CAP),
-            lambda m, j: F.struct(
-                F.lit(i).alias("pattern_idx"), j.alias("match_idx"), m.alias("raw"),
-                strip(F.regexp_extract(m, p, 1)).alias("name"), strip(F.regexp_extract(m, p, 2)).alias("value_text"),
-                (strip(F.regexp_extract(m, p, 3)) if groups > 2 else F.lit("")).alias("hint"),
-            ),
-        )
-
-    named = [of(i, p, g) for i, (p, g) in enumerate(R.GENERIC_PATTERNS) if g >= 2]
-    hits = pages.select("page_id", "url", F.explode(F.concat(*named)).alias("m"))
+    patterns = [(i, (p, g)) for i, (p, g) in enumerate(R.GENERIC_PATTERNS) if g >= 2]
+    quick = F.filter(
+        _matches("html", patterns, numbers.parse_european, R.GENERIC_CAP), lambda m: numbers.is_quick_value(m["value"])
+    )
+    hits = each(pages, ("page_id", "url"), quick, "m")
     parsed = hits.select(
         "page_id", "url", "m.pattern_idx", "m.match_idx", cut("m.name", 60).alias("indicator_name"),
-        numbers.parse_european("m.value_text").alias("value"), cut("m.hint", 10).alias("unit"), F.col("m.raw").alias("raw_text"),
-    ).filter(F.col("value").isNotNull() & numbers.is_quick_value("value"))
+        "m.value", cut("m.hint", 10).alias("unit"), F.col("m.raw").alias("raw_text"),
+    )
     return records.enrich(_values(parsed, "pattern_modern", "pattern", ["pattern_idx", "match_idx"], 0.7))
 
 
+def _by_site(rules: dict, of: Callable) -> Column:
+    """Rule set of the page's own site type; only that one is evaluated."""
+    (first, own), *rest = rules.items()
+    out = F.when(F.col("site") == first, of(own))
+    for name, more in rest:
+        out = out.when(F.col("site") == name, of(more))
+    return out
+
+
+def _first_numbers(pages: DataFrame, rules: dict, of: Callable, prefix: str, method: str) -> DataFrame:
+    """First number of each text of the site's rule set."""
+    sites = pages.select("page_id", "url", "html", urls.site_type("url").alias("site")).filter(F.col("site").isin(list(rules)))
+    valued = F.transform(_by_site(rules, of), lambda m: m.withField("value", numbers.first_number(m["raw"])))
+    hits = each(sites, ("page_id", "url"), F.filter(valued, lambda m: m["value"].isNotNull()), "m", "place")
+    parsed = hits.select(
+        "page_id", "url", "m.rule_idx", "place", "m.value", F.lit("").alias("unit"), F.col("m.raw").alias("raw_text"),
+        F.concat(F.lit(f"{prefix}_"), F.col("m.rule_idx").cast("string")).alias("indicator_name"),
+    )
+    return _values(parsed, method, prefix.lower(), ["rule_idx", "place"], 0.7)
+
+
 def site_patterns(pages: DataFrame, rules=R.SITE_PATTERNS) -> DataFrame:
     """First number of each match of the patterns of the page's site type. Site types without
     patterns yield nothing."""
 
     def of(patterns: Sequence[str]) -> Column:
-        return F.concat(
-            *[
-                F.transform(all_matches("html", p), lambda m, i=i: F.struct(F.lit(i).alias("pattern_idx"), m.alias("raw")))
-                for i, p in enumerate(patterns)
-            ]
-        )
+        def texts(i: int, pattern: str) -> Column:
+            return F.transform(all_matches("html", pattern), lambda m: F.struct(F.lit(i).alias("rule_idx"), m.alias("raw")))
 
-    site = urls.site_type("url")
-    (first, patterns), *rest = rules.items()
-    matches = F.when(site == first, of(patterns))
-    for name, more in rest:
-        matches = matches.when(site == name, of(more))
-    numeric = F.filter(matches, lambda m: numbers.first_number(m["raw"]).isNotNull())
-    hits = pages.filter(site.isin(list(rules))).select("page_id", "url", F.posexplode(numeric).alias("place", "m"))
-    parsed = hits.select(
-        "page_id", "url", "m.pattern_idx", "place",
-        F.concat(F.lit("Pattern_"), F.col("m.pattern_idx").cast("string")).alias("indicator_name"),
-        numbers.first_number("m.raw").alias("value"), F.lit("").alias("unit"), F.col("m.raw").alias("raw_text"),
-    )
-    return _values(parsed, "pattern_regex", "pattern", ["pattern_idx", "place"], 0.7)
+        return F.concat(*[texts(i, p) for i, p in enumerate(patterns)])
+
+    return _first_numbers(pages, rules, of, "Pattern", "pattern_regex")
 
 
 def class_values(pages: DataFrame, rules=R.SITE_SELECTORS) -> DataFrame:
@@ -424,29 +411,16 @@ def class_values(pages: DataFrame, rules=R.SITE_SELECTORS) -> DataFrame:
         return F.flatten(F.transform(outer, lambda x: html.all_inner(x, rf"(?is)<{inner}\b[^>]*>(.*?)</{inner}>")))
 
     def of(selectors) -> Column:
-        return F.concat(
-            *[
-                F.transform(
-                    F.slice(elements(*s), 1, R.SELECTOR_CAP),
-                    lambda x, i=i: F.struct(F.lit(i).alias("selector_idx"), html.inner_text(x).alias("raw")),
-                )
-                for i, s in enumerate(selectors)
-            ]
-        )
+        def texts(i: int, selector) -> Column:
+            return F.transform(
+                F.slice(elements(*selector), 1, R.SELECTOR_CAP),
+                lambda x: F.struct(F.lit(i).alias("rule_idx"), html.inner_text(x).alias("raw")),
+            )
 
-    site = urls.site_type("url")
-    (first, selectors), *rest = rules.items()
-    found = F.when(site == first, of(selectors))
-    for name, more in rest:
-        found = found.when(site == name, of(more))
-    kept = F.filter(found, lambda m: (F.length(m["raw"]) > 3) & numbers.first_number(m["raw"]).isNotNull())
-    hits = pages.filter(site.isin(list(rules))).select("page_id", "url", F.posexplode(kept).alias("place", "m"))
-    parsed = hits.select(
-        "page_id", "url", "m.selector_idx", "place",
-        F.concat(F.lit("Selector_"), F.col("m.selector_idx").cast("string")).alias("indicator_name"),
-        numbers.first_number("m.raw").alias("value"), F.lit("").alias("unit"), F.col("m.raw").alias("raw_text"),
-    )
-    return _values(parsed, "css_selector", "selector", ["selector_idx", "place"], 0.7)
+        listed = F.concat(*[texts(i, s) for i, s in enumerate(selectors)])
+        return F.filter(listed, lambda m: F.length(m["raw"]) > 3)
+
+    return _first_numbers(pages, rules, of, "Selector", "css_selector")
 
 
 # -- links, scripts, forms, inventory ----------------------------------------------------------
@@ -459,15 +433,18 @@ def page_link_array(html_col, url_col) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", F.explode(page_link_array("html", "url")).alias("link"))
+    return each(pages, ("page_id", "url"), page_link_array("html", "url"), "link")
 
 
 def crawl_links(pages: DataFrame, excluded=R.LINK_EXCLUDED) -> DataFrame:
     """Links worth following: page_id, url, dst_url."""
-    host = urls.authority("url")
-    each = pages.select("page_id", "url", host.alias("host"), F.explode(F.array_distinct(html.links("html"))).alias("href"))
-    resolved = each.withColumn("dst_url", urls.resolve("href", "url"))
-    return resolved.filter(urls.is_crawlable("href", "dst_url", "host", excluded)).select("page_id", "url", "dst_url")
+    resolved = F.transform(
+        F.array_distinct(html.links("html")),
+        lambda h: F.struct(h.alias("href"), urls.resolve(h, F.col("url")).alias("dst_url")),
+    )
+    hosted = pages.select("page_id", "url", urls.authority("url").alias("host"), resolved.alias("links"))
+    kept = F.filter("links", lambda x: urls.is_crawlable(x["href"], x["dst_url"], "host", excluded))
+    return each(hosted, ("page_id", "url"), F.array_distinct(F.transform(kept, lambda x: x["dst_url"])), "dst_url")
 
 
 def script_urls(pages: DataFrame) -> DataFrame:
@@ -480,13 +457,13 @@ def script_urls(pages: DataFrame) -> DataFrame:
         .when(F.startswith(m, F.lit("/")), F.concat(root, m))
         .otherwise(F.concat(F.regexp_replace("url", "/+$", ""), F.lit("/"), m)),
     )
-    return pages.select("page_id", F.explode(F.slice(F.array_distinct(resolved), 1, R.SCRIPT_URL_CAP)).alias("data_url"))
+    return each(pages, ("page_id",), F.slice(F.array_distinct(resolved), 1, R.SCRIPT_URL_CAP), "data_url")
 
 
 def forms(pages: DataFrame, limit: int = 3) -> DataFrame:
     """Forms with named inputs: action, method, input map and submit URL."""
     found = F.slice(html.all_inner("html", r"(?is)(<form\b[^>]*>.*?</form>)"), 1, limit)
-    each = pages.select("page_id", "url", F.posexplode(found).alias("form_idx", "form_html"))
+    listed = each(pages, ("page_id", "url"), found, "form_html", "form_idx")
     head = F.regexp_extract("form_html", r"(?is)^(<form\b[^>]*>)", 1)
     tags = html.all_inner("form_html", r"(?is)(<(?:input|select|textarea)\b[^>]*>)")
     pairs = F.transform(
@@ -502,8 +479,11 @@ def forms(pages: DataFrame, limit: int = 3) -> DataFrame:
         ),
     )
     kept = F.filter(pairs, lambda p: (p["key"] != "") & p["value"].isNotNull())
-    last = F.filter(
-        kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.greatest(F.size(kept), F.lit(1))), lambda q: q["key"] == p["key"])
+    last = let(
+        kept,
+        lambda k: F.filter(
+            k, lambda p, i: ~F.exists(F.slice(k, i + 2, F.greatest(F.size(k), F.lit(1))), lambda q: q["key"] == p["key"])
+        ),
     )
     action = F.coalesce(html.attribute(head, "action"), F.lit(""))
     root = F.regexp_extract("url", r"^([^/]*//[^/]*)", 1)
@@ -512,7 +492,7 @@ def forms(pages: DataFrame, limit: int = 3) -> DataFrame:
         .when(F.startswith(action, F.lit("/")), F.concat(root, action))
         .otherwise(F.concat(F.regexp_replace("url", "/+$", ""), F.lit("/"), action))
     )
-    return each.select(
+    return listed.select(
         "page_id", "form_idx", action.alias("action"),
         F.lower(F.coalesce(html.attribute(head, "method"), F.lit("get"))).alias("method"),
         F.map_from_entries(last).alias("inputs"), submit.alias("submit_url"),
@@ -549,8 +529,8 @@ def pattern_profile(texts: DataFrame, patterns=R.PROFILE_PATTERNS, keys: Sequenc
             for name, p in patterns
         ]
     )
-    each = texts.select(*keys, F.explode(found).alias("p")).filter(F.size("p.matches") > 0)
-    return each.select(
+    hits = each(texts, keys, F.filter(found, lambda p: F.size(p["matches"]) > 0), "p")
+    return hits.select(
         *keys, "p.pattern", F.size("p.matches").alias("n"), F.slice("p.matches", 1, 5).alias("samples")
     )
 
@@ -567,7 +547,10 @@ def text_pairs(texts: DataFrame, cap: int = 10) -> DataFrame:
         ),
     )
     valid = F.filter(pairs, lambda x: (F.length(x["name"]) > 3) & x["value"].isNotNull())
-    last = F.filter(valid, lambda x, i: ~F.exists(F.slice(valid, i + 2, F.lit(cap)), lambda y: y["name"] == x["name"]))
+    last = let(
+        valid,
+        lambda v: F.filter(v, lambda x, i: ~F.exists(F.slice(v, i + 2, F.lit(cap)), lambda y: y["name"] == x["name"])),
+    )
     summary = F.when(F.length("text") > 500, F.concat(cut("text", 500), F.lit("..."))).otherwise(F.col("text"))
     fallback = F.array(
         F.struct(F.lit("content_summary").alias("name"), F.lit(None).cast("double").alias("value"), summary.alias("raw"))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.functions import advice, html, labels, scores
+from statloom.functions import advice, html, labels, scores, urls
 from statloom.functions import rules as R
-from statloom.operators import extraction
 from statloom.plans.oracle import has, hits, n_has, national_context, page_text, text as lit, with_views, word_count, words
 from statloom.plans.q_labels import topic_sql
 from statloom.plans.registry import query
@@ -136,7 +135,7 @@ def _(t):
 
 
 _OVERALL = f"({' + '.join(_DENS)}) / 3.0"
-_CONF = f"least(1.0, CASE WHEN topic IN ({', '.join(lit(n) for n in R.TOPICS)}) THEN 0.3 ELSE 0.3 END + {_OVERALL} * 0.2 + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0 END + 0.1)"
+_CONF = f"least(1.0, 0.3 + {_OVERALL} * 0.2 + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0 END + 0.1)"
 _QUAL = (
     f"(CASE WHEN length(text) > 2000 THEN 1.0 WHEN length(text) > 500 THEN 0.7 ELSE 0.3 END + {_DENSITY} "
     f"+ CASE {_CREDIBLE} WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.2 END + CASE WHEN {_SPEC_TERMS} > 0 THEN 0.8 ELSE 0 END) "
@@ -188,15 +187,18 @@ def _(t):
     return scored_sites(t)
 
 
-@query("Q14_exploration", "page_id:L potential:S depth:I", f"""
-{with_views('link_pages')}, l AS (SELECT p_partkey AS k, (p_partkey % 40) AS s, p_size AS z FROM part)
-SELECT k AS page_id, 'low' AS potential, 1 AS depth FROM l""")
+@query("Q14_exploration", "page_id:L potential:S n_priority:I depth:I", f"""
+{SCORED_SITES_SQL}, n AS (SELECT *, len(list_filter(list_distinct(regexp_extract_all(html, '(?is)<a [^>]*?href="([^"]*)"', 1)),
+  lambda x: {has('lower(x)', ['e', *R.LINK_PRIORITY])})) AS n_priority FROM scored)
+SELECT page_id, CASE WHEN score > 0.7 THEN 'high' WHEN score > 0.4 THEN 'medium' ELSE 'low' END AS potential, n_priority,
+  CASE WHEN n_priority > 10 THEN 3 WHEN n_priority > 5 THEN 2 ELSE 1 END AS depth FROM n""")
 def _(t):
-    pages = t.view("link_pages").withColumn("body", html.page_text("html"))
-    scored = pages.withColumn("score", scores.page_richness("body", "html", "url"))
-    n_priority = F.size(F.filter(extraction.page_link_array("html", "url"), lambda u: F.contains(F.lower(u), F.lit("statistique"))))
-    return scored.select("page_id", scores.exploration_potential("score").alias("potential"),
-                         scores.recommended_depth(n_priority).alias("depth"))
+    # Generated pages rarely name a topic in a link, so the rule list is widened by one letter here.
+    priority = ["e", *R.LINK_PRIORITY]
+    links = F.filter(F.array_distinct(html.links("html")), lambda u: urls.is_priority_link(u, priority))
+    return scored_sites(t).withColumn("n_priority", F.size(links)).select(
+        "page_id", "n_priority", scores.exploration_potential("score").alias("potential"),
+        scores.recommended_depth("n_priority").alias("depth"))
 
 
 @query("Q15_result_confidence", "row_id:L confidence:D", f"""
