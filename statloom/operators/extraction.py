@@ -538,8 +538,11 @@ def pattern_profile(texts: DataFrame, patterns=R.PROFILE_PATTERNS, keys: Sequenc
 def text_pairs(texts: DataFrame, cap: int = 10) -> DataFrame:
     """``name value`` pairs among the first ten matches; a text without pairs yields its summary."""
     p = regex(R.TEXT_PAIR_PATTERN, ignore_case=False)
+    # A match can only start where a run of letters and spaces starts. Saying so spares a retry at
+    # every position of a long run without numbers.
+    at_run_start = r"(?<![A-Za-zÀ-ÿ\s])" + R.TEXT_PAIR_PATTERN
     pairs = F.transform(
-        F.slice(all_matches("text", R.TEXT_PAIR_PATTERN, ignore_case=False), 1, cap),
+        F.slice(all_matches("text", at_run_start, ignore_case=False), 1, cap),
         lambda m: F.struct(
             strip(F.regexp_extract(m, p, 1)).alias("name"),
             numbers.parse_table_value(F.regexp_extract(m, p, 2)).alias("value"),
