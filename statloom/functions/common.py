@@ -138,4 +138,5 @@ def messages(*parts: Column, limit: int | None = None) -> Column:
 
 
 def clamp(c: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Into the range; null stays null, which ``least`` and ``greatest`` alone would not keep."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))

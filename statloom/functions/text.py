@@ -48,7 +48,8 @@ def parse_progress(c, default: int) -> Column:
     number = F.when(
         head.rlike(r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"), F.trim(head).try_cast("double")
     )
-    return F.coalesce(F.floor(F.greatest(F.lit(0.0), number)), F.lit(default)).cast("bigint")
+    whole = F.when(number.isNotNull(), F.floor(F.greatest(F.lit(0.0), number)))
+    return F.coalesce(whole, F.lit(default)).cast("bigint")
 
 
 def progress_pair(current, total) -> tuple[Column, Column]:

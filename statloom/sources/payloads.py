@@ -72,7 +72,7 @@ def walk(documents: DataFrame, content: str = "content", depth: int = 12, stop_a
     )
     for _ in range(depth):
         kind = F.schema_of_variant("node")
-        opens = kind.rlike("^(?:OBJECT<.|ARRAY<(?!VOID>)|ARRAY)")
+        opens = kind.rlike("^(?:OBJECT|ARRAY)")
         if stop_at is not None:
             opens = opens & ~(F.coalesce(F.col("last_key") == stop_at, F.lit(False)) & F.startswith(kind, F.lit("OBJECT")))
         marked = level.withColumn("inner", F.when(opens, F.col("node")))
