@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from statloom.functions import labels, text, units, urls
 from statloom.functions import rules as R
 from statloom.functions.common import any_word, col, each
+from statloom.session import small_table
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -55,7 +56,7 @@ def upsert_tasks(tasks: DataFrame, changes: DataFrame) -> DataFrame:
 def targets_table(spark, targets=R.TARGETS) -> DataFrame:
     """Target catalogue as rows: category, target_name, ordinal. Its size is that of the rule list."""
     rows = [(c, n, i) for c, names in targets.items() for i, n in enumerate(names)]
-    return spark.createDataFrame(rows, "category string, target_name string, ordinal int")
+    return small_table(spark, ["category", "target_name", "ordinal"], rows)
 
 
 def matched_categories(name, targets=R.TARGETS) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", app: str = "statloom", partitions: int = 8) -> SparkSession:
@@ -60,3 +63,9 @@ def _split_small(df: DataFrame, cores: int) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores)
+
+
+def small_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
+    """Rule rows as a relation with known size, so the optimiser can choose a broadcast itself."""
+    structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import rules as R
 from statloom.functions import text
+from statloom.session import small_table
 
 
 def read_pages(spark: SparkSession, path: str, content: str = "html") -> DataFrame:
@@ -23,7 +24,7 @@ def gate_pages(pages: DataFrame, content: str = "html") -> DataFrame:
 def source_catalogue(spark: SparkSession, sources: dict[str, list[str]] = R.SOURCES) -> DataFrame:
     """Catalogue as rows: source_group, ordinal, url."""
     rows = [(group, i, url) for group, urls in sources.items() for i, url in enumerate(urls)]
-    return spark.createDataFrame(rows, "source_group string, ordinal int, url string")
+    return small_table(spark, ["source_group", "ordinal", "url"], rows)
 
 
 def assemble_pages(fragments: DataFrame, max_parts: int = 10, max_chars: int = 20000) -> DataFrame:
