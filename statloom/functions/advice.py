@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from statloom.functions import rules as R
-from statloom.functions.common import chain, col, messages
+from statloom.functions.common import chain, col, let, messages
 
 # Two messages per topic.
 TOPIC_ADVICE = {
@@ -35,6 +35,13 @@ TOPIC_DEFAULTS = [
     "Valider avec des sources officielles tunisiennes",
     "Analyser dans le contexte économique tunisien",
 ]
+QUALITY_ADVICE = {
+    "low": "Rechercher des sources officielles complémentaires",
+    "high": "Données fiables - utiliser pour analyse approfondie",
+    "old": "Rechercher des données plus récentes",
+    "basic": "Approfondir avec des sources spécialisées",
+}
+ALL_TOPIC_ADVICE = [m for pair in TOPIC_ADVICE.values() for m in pair] + list(QUALITY_ADVICE.values()) + TOPIC_DEFAULTS
 EXTRACTION_NONE = [
     "Vérifier si l'URL retourne du contenu",
     "Ajuster les patterns d'extraction",
@@ -64,15 +71,17 @@ def for_topic(topic, credible, recent, specialisation, limit: int = 4) -> Column
         [(col(topic) == name, _texts(texts)) for name, texts in TOPIC_ADVICE.items()],
         F.array().cast("array<string>"),
     )
+    q = QUALITY_ADVICE
     by_quality = messages(
-        F.when(col(credible) == "low", "Rechercher des sources officielles complémentaires").when(
-            col(credible) == "high", "Données fiables - utiliser pour analyse approfondie"
-        ),
-        F.when(~col(recent), "Rechercher des données plus récentes"),
-        F.when(col(specialisation) == "basic", "Approfondir avec des sources spécialisées"),
+        F.when(col(credible) == "low", q["low"]).when(col(credible) == "high", q["high"]),
+        F.when(~col(recent), q["old"]),
+        F.when(col(specialisation) == "basic", q["basic"]),
     )
-    listed = F.concat(by_topic, by_quality)
-    return F.slice(F.when(F.size(listed) < 2, F.concat(listed, _texts(TOPIC_DEFAULTS))).otherwise(listed), 1, limit)
+
+    def filled(listed: Column) -> Column:
+        return F.slice(F.when(F.size(listed) < 2, F.concat(listed, _texts(TOPIC_DEFAULTS))).otherwise(listed), 1, limit)
+
+    return let(F.concat(by_topic, by_quality), filled)
 
 
 def for_extraction(total, low) -> Column:

@@ -50,6 +50,15 @@ def each(df: DataFrame, keep: Sequence[str], array: Column, name: str, position:
     return df.select(*keep, F.posexplode_outer(array).alias(position, name)).filter(F.col(name).isNotNull())
 
 
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are evaluated once per row. Spark copies the expression of a plain column
+    into every filter that is pushed below it; a generated column stays where it is. Meant for
+    expressions that scan whole texts."""
+    record = F.struct(*[c.alias(n) for n, c in columns.items()])
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode_outer(F.array(record)).alias("_s")).select(*rest, "_s.*")
+
+
 def count_in(c, terms: Sequence[str]) -> Column:
     """Number of terms the text contains."""
     return _fold([F.contains(col(c), F.lit(t)).cast("int") for t in terms], lambda a, b: a + b)

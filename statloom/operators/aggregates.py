@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions import labels
+from statloom.functions import rules as R
+from statloom.functions.advice import ALL_TOPIC_ADVICE
 from statloom.functions.common import col
 
 
@@ -104,17 +106,36 @@ def top_items(rows: DataFrame, keys: Sequence[str], item: str, k: int = 3) -> Da
     return first_k(counts, keys, [F.col("n").desc(), F.col(item)], k)
 
 
-def combine_analyses(analysed: DataFrame, keys: Sequence[str], threshold: float = 0.3) -> DataFrame:
-    """Dominant topic, means and most frequent advice of the analyses above the threshold."""
-    kept = analysed.filter(F.col("confidence") > threshold)
-    means = kept.groupBy(*keys).agg(
-        F.count("*").alias("sources_analyzed"), F.avg("confidence").alias("average_confidence"), F.avg("quality").alias("average_quality")
+def combine_analyses(analysed: DataFrame, keys: Sequence[str], threshold: float = 0.3, topics=None, messages=None) -> DataFrame:
+    """Dominant topic, means, topic counts and most frequent advice of the analyses above the
+    threshold. Topics and messages are rule lists, so all counts are conditional sums of one
+    aggregation and the texts are read once. Ties go alphabetically."""
+    topics = topics or [*R.TOPICS, "general", "empty_content"]
+    messages = messages or ALL_TOPIC_ADVICE
+    kept = F.col("confidence") > threshold
+    counts = analysed.groupBy(*keys).agg(
+        F.count_if(kept).alias("sources_analyzed"),
+        F.avg(F.when(kept, F.col("confidence"))).alias("average_confidence"),
+        F.avg(F.when(kept, F.col("quality"))).alias("average_quality"),
+        _tally(topics, lambda x: kept & (F.col("topic") == x)).alias("topic_counts"),
+        _tally(messages, lambda x: kept & F.array_contains("advice", x)).alias("advice_counts"),
     )
-    dominant = top_items(kept, keys, "topic", 1).select(*keys, F.col("topic").alias("dominant_topic"))
-    advice = top_items(kept.select(*keys, F.explode("advice").alias("advice")), keys, "advice", 3)
-    listed = F.array_sort(F.collect_list(F.struct("rank", "advice")))
-    top = advice.groupBy(*keys).agg(F.transform(listed, lambda x: x["advice"]).alias("top_advice"))
-    return means.join(dominant, list(keys)).join(top, list(keys), "left")
+    items = {c: F.transform(F.slice(c, 1, 3), lambda x: x["item"]) for c in ("topic_counts", "advice_counts")}
+    by_name = F.array_sort(F.transform("topic_counts", lambda x: F.struct(x["item"].alias("key"), (-x["order"]).alias("value"))))
+    return counts.filter("sources_analyzed > 0").withColumns(
+        {
+            "dominant_topic": F.get(items["topic_counts"], F.lit(0)),
+            "top_advice": items["advice_counts"],
+            "distribution": F.map_from_entries(by_name),
+        }
+    )
+
+
+def _tally(items: Sequence[str], test) -> Column:
+    """Array of (order, item) for the items that occur, most frequent first; order is minus the
+    count."""
+    counted = F.array(*[F.struct((-F.count_if(test(i))).alias("order"), F.lit(i).alias("item")) for i in items])
+    return F.array_sort(F.filter(counted, lambda x: x["order"] < 0))
 
 
 def synthesis(results: DataFrame, analysed: DataFrame) -> DataFrame:

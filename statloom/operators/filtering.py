@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import predicates, scores, text, units, urls, years
 from statloom.functions import rules as R
-from statloom.functions.common import between, chain, col, is_true
+from statloom.functions.common import between, chain, col, is_true, staged
 
 
 def period_filter(obs: DataFrame, is_gov: Column, year="year") -> DataFrame:
@@ -34,12 +34,13 @@ def strict_validation(
 ) -> DataFrame:
     """Strict validation as one projection: non-indicators, missing years, years outside the period
     and record constraints, in that order. ``reject_reason`` is null for valid rows."""
-    dated = obs.withColumns(
+    dated = staged(
+        obs,
         {
             "pattern_reason": predicates.strict_reject("indicator_name", "value"),
             "final_year": years.strict_cascade("year", "indicator_name", raw_text, content, as_of_year),
             "clean_name": text.clean_name("indicator_name"),
-        }
+        },
     )
     scored = dated.withColumn("clean_unit", units.standardise("unit", "clean_name", "value")).withColumn(
         "strict_confidence",

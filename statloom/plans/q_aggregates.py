@@ -114,9 +114,8 @@ SELECT source, count(*) AS sources_analyzed, avg(confidence) AS average_confiden
   (SELECT string_agg(topic || '=' || n, ',' ORDER BY topic) FROM tc WHERE tc.source = k.source) AS distribution FROM k GROUP BY source""")
 def _(t):
     a = analysed(t.view("notes")).select("source", "topic", "confidence", "quality", "advice")
-    combined = A.combine_analyses(a, ["source"]).withColumn("top_advice", F.array_join("top_advice", " | "))
-    topics = A.distribution(a.filter("confidence > 0.3"), ["source"], "topic", "distribution")
-    return combined.join(topics, "source").withColumn("distribution", _joined_map("distribution"))
+    combined = A.combine_analyses(a, ["source"])
+    return combined.withColumns({"top_advice": F.array_join("top_advice", " | "), "distribution": _joined_map("distribution")})
 
 
 _SYNTHESIS = f"""{ANALYSED_SQL.replace('WITH ', 'WITH ' + with_views('results')[5:] + ', ', 1)}, s AS (SELECT (SELECT count(*) FROM results) AS n_results, (SELECT count(*) FROM results WHERE success) AS n_ok,

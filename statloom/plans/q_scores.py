@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import advice, html, labels, scores, urls
 from statloom.functions import rules as R
+from statloom.functions.common import hits_in, staged
 from statloom.plans.oracle import has, hits, n_has, national_context, page_text, text as lit, with_views, word_count, words
 from statloom.plans.q_labels import topic_sql
 from statloom.plans.registry import query
@@ -114,7 +115,6 @@ def _(t):
 {_NOTES} SELECT doc_id, array_to_string({hits('lower(text)', R.NATIONAL_KEYWORDS, 10)}, ',') AS national,
   array_to_string({hits('lower(text)', R.INSTITUTIONS, 5, fold=True)}, ',') AS institutions, {has('lower(text)', R.METHODOLOGY_TERMS)} AS has_methodology FROM notes""")
 def _(t):
-    from statloom.functions.common import hits_in
     low = F.lower("text")
     return t.view("notes").select(
         "doc_id", F.array_join(hits_in(low, R.NATIONAL_KEYWORDS, 10), ",").alias("national"),
@@ -145,18 +145,20 @@ _QUAL = (
 
 def analysed(notes):
     """Topic, confidence, quality and advice of each text."""
-    p = scores.temporal_references("text")
-    a = notes.withColumn("topic", labels.topic("text", "source")).withColumns({
+    topical = staged(notes, {"topic": labels.topic("text", "source")})
+    features = staged(topical, {
         "overall_score": scores.context_density("text")["overall_score"],
         "density": scores.data_density("text"),
         "credible": scores.credibility("text"),
-        "specialisation": scores.specialisation("text", "topic"),
         "n_hits": F.coalesce(scores.topic_terms_found("text", "topic"), F.lit(0)),
-        "recent": p["recent_data"],
-        # method, category, statistics and enrichment are always present, the topic parts on a hit
+        "recent": scores.temporal_references("text")["recent_data"],
+    })
+    # method, category, statistics and enrichment are always present, the topic parts on a hit
+    counted = features.withColumns({
         "n_insights": F.when(F.col("topic").isin(list(R.TOPICS)), 7).otherwise(4),
+        "specialisation": F.when(F.col("n_hits") >= 3, "expert").when(F.col("n_hits") >= 2, "intermediate").otherwise("basic"),
     })
-    return a.withColumns({
+    return counted.withColumns({
         "confidence": scores.analysis_confidence("overall_score", "text", "n_insights"),
         "quality": scores.analysis_quality("text", "density", "credible", "n_hits"),
         "advice": advice.for_topic("topic", "credible", "recent", "specialisation"),
@@ -178,8 +180,8 @@ SCORED_SITES_SQL = f"{_SITES}, bodies AS (SELECT *, lower({page_text('html')}) A
 
 
 def scored_sites(t):
-    pages = t.view("sites").withColumn("body", html.page_text("html"))
-    return pages.withColumn("score", scores.page_richness("body", "html", "url"))
+    pages = staged(t.view("sites"), {"body": html.page_text("html")})
+    return staged(pages, {"score": scores.page_richness("body", "html", "url")})
 
 
 @query("Q13_page_richness", "page_id:L score:D", f"{SCORED_SITES_SQL} SELECT page_id, score FROM scored")
