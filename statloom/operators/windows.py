@@ -113,5 +113,5 @@ def latest_success(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, rout
 
 def site_picks(pages: DataFrame, per_site: int = 3, overall: int = 5) -> DataFrame:
     """Best pages of each site, then the first ones overall."""
-    top = first_k(pages, ["site"], [F.col("score").desc(), F.col("url")], per_site)
+    top = first_k(pages, ["site"], [F.col("score").desc(), F.col("url"), F.col("page_id")], per_site)
     return top.orderBy("site", "rank").limit(overall)

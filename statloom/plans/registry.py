@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from statloom.sources.tables import Tables
 
-_SPARK_TYPES = {"L": "bigint", "I": "int", "S": "string", "D": "double", "B": "boolean"}
-_SQL_TYPES = {"L": "BIGINT", "I": "INTEGER", "S": "VARCHAR", "D": "DOUBLE", "B": "BOOLEAN"}
+_SPARK_TYPES = {"L": "bigint", "I": "int", "S": "string", "D": "double", "E": "double", "B": "boolean"}
+_SQL_TYPES = {"L": "BIGINT", "I": "INTEGER", "S": "VARCHAR", "D": "DOUBLE", "E": "DOUBLE", "B": "BOOLEAN"}
+_DIGITS = {"D": 6, "E": 9}
 
 
 @dataclass(frozen=True)
@@ -34,12 +35,12 @@ class Query:
 
 def _typed(name: str, kind: str):
     c = F.col(name).cast(_SPARK_TYPES[kind])
-    return (F.round(c, 6) if kind == "D" else c).alias(name)
+    return (F.round(c, _DIGITS[kind]) if kind in _DIGITS else c).alias(name)
 
 
 def _typed_sql(name: str, kind: str) -> str:
     c = f'CAST("{name}" AS {_SQL_TYPES[kind]})'
-    return f'{f"round({c}, 6)" if kind == "D" else c} AS "{name}"'
+    return f'{f"round({c}, {_DIGITS[kind]})" if kind in _DIGITS else c} AS "{name}"'
 
 
 QUERIES: dict[str, Query] = {}
@@ -47,7 +48,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str, columns: str, sql: str | None = None):
     """Register a builder. ``columns`` lists ``name:type`` with L long, I int, S string, D double
-    (compared at six decimals) and B boolean."""
+    (compared at six decimals), E double (nine decimals) and B boolean."""
     spec = tuple(tuple(item.split(":")) for item in columns.split())
 
     def register(build):
