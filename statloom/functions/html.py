@@ -67,7 +67,12 @@ def without_noise(html) -> Column:
 
 def clean_page_text(html) -> Column:
     """Text of a page without navigation, scripts and other noise."""
-    return decode(F.regexp_replace(without_noise(html), r"<[^>]*>", ""))
+    return text_of(without_noise(html))
+
+
+def text_of(fragment) -> Column:
+    """Text of a fragment, tags dropped."""
+    return decode(F.regexp_replace(col(fragment), r"<[^>]*>", ""))
 
 
 def all_inner(html, pattern: str, group: int = 1) -> Column:

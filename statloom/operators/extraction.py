@@ -16,130 +16,158 @@ from pyspark.sql import functions as F
 
 from statloom.functions import html, numbers, predicates, units, urls, years
 from statloom.functions import rules as R
-from statloom.functions.common import all_matches, cut, each, let, regex
+from statloom.functions.common import all_matches, cut, each, let, regex, staged
 from statloom.functions.text import strip
 from statloom.operators import records
 
-_KEEP = (
-    "page_id", "url", "method", "obs_key", "o1", "o2", "o3",
-    "indicator_name", "value", "unit", "year", "raw_text", "confidence_score",
-)
+_PAGE = ("page_id", "url")
 
 
-def _values(df: DataFrame, method: str, prefix: str, places: Sequence[str], confidence: float) -> DataFrame:
-    """Common tail: positional key and constant columns."""
-    parts = [F.col(p).cast("int") for p in places]
-    key = F.concat_ws("_", F.lit(prefix), *[p.cast("string") for p in parts])
+def _observation(method: str, prefix: str, confidence: float, places: Sequence[Column], name, value, unit, raw, year=None) -> Column:
+    """Uniform struct of one extracted value; the key is made of the prefix and the places."""
+    parts = [p.cast("int") for p in places]
     padded = parts + [F.lit(None).cast("int")] * (3 - len(parts))
-    year = F.col("year") if "year" in df.columns else F.lit(None)
-    out = df.withColumns(
-        {
-            "method": F.lit(method),
-            "obs_key": key,
-            "o1": padded[0],
-            "o2": padded[1],
-            "o3": padded[2],
-            "year": year.cast("int"),
-            "confidence_score": F.lit(confidence),
-        }
+    return F.struct(
+        F.lit(method).alias("method"),
+        F.concat_ws("_", F.lit(prefix), *[p.cast("string") for p in parts]).alias("obs_key"),
+        *[p.alias(f"o{i + 1}") for i, p in enumerate(padded)],
+        name.alias("indicator_name"),
+        value.alias("value"),
+        unit.alias("unit"),
+        (F.lit(None) if year is None else year).cast("int").alias("year"),
+        raw.alias("raw_text"),
+        F.lit(confidence).alias("confidence_score"),
     )
-    return out.select(*_KEEP)
+
+
+def explode_observations(pages: DataFrame, *arrays: Column) -> DataFrame:
+    """Observation rows of one or more extraction arrays: a single pass over the pages."""
+    found = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+    return each(pages, _PAGE, found, "m").select(*_PAGE, "m.*")
+
+
+def _plausible(found: Column) -> Column:
+    return F.filter(found, lambda m: numbers.plausible_for_name(m["value"], m["indicator_name"]))
+
+
+def _flat(array: Column, body: Callable) -> Column:
+    """Body per element, results put into one array."""
+    return F.flatten(F.transform(array, body))
 
 
 # -- tables ------------------------------------------------------------------------------------
 
 
-def table_rows(pages: DataFrame, tables: Column) -> DataFrame:
-    """One row per table row: page_id, url, table_idx, row_idx, cells."""
-    page = ("page_id", "url")
-    found = each(pages, page, tables, "table_html", "table_idx")
-    rows = each(found, (*page, "table_idx"), html.rows("table_html"), "row_html", "row_idx")
-    return rows.select(*page, "table_idx", "row_idx", html.cells("row_html").alias("cells"))
+def adjacent_pairs_array(limit: int = 10) -> Column:
+    """Every adjacent cell pair of the first tables whose label is an indicator."""
 
+    def in_row(row: Column, ti: Column, ri: Column) -> Column:
+        def pairs(texts: Column) -> Column:
+            n = F.greatest(F.size(texts) - 1, F.lit(0))
+            zipped = F.arrays_zip(F.slice(texts, 1, n).alias("label"), F.slice(texts, 2, n).alias("value_text"))
+            placed = F.transform(zipped, lambda p, i: p.withField("cell_idx", i))
+            named = F.filter(placed, lambda p: predicates.is_general_indicator(p["label"]))
+            parsed = F.transform(named, lambda p: p.withField("value", numbers.parse_european(p["value_text"])))
+            return F.transform(
+                F.filter(parsed, lambda p: p["value"].isNotNull()),
+                lambda p: _observation(
+                    "html_table", "table", 0.8, [ti, ri, p["cell_idx"]], cut(p["label"], 50), p["value"],
+                    units.from_text(p["value_text"], p["label"]), F.concat(p["label"], F.lit(": "), p["value_text"]),
+                ),
+            )
 
-_ROW = ("page_id", "url", "table_idx", "row_idx")
+        return let(F.transform(html.cells(row), html.inner_text), pairs)
+
+    found = _flat(html.tables("html", limit), lambda tb, ti: _flat(html.rows(tb), lambda row, ri: in_row(row, ti, ri)))
+    return _plausible(found)
 
 
 def adjacent_pairs(pages: DataFrame) -> DataFrame:
-    """Every adjacent cell pair of the first ten tables whose label is an indicator."""
-    rows = table_rows(pages, html.tables("html", 10))
-    n = F.greatest(F.size("cells") - 1, F.lit(0))
-    zipped = F.arrays_zip(F.slice("cells", 1, n).alias("label"), F.slice("cells", 2, n).alias("value"))
-    texts = F.transform(
-        zipped,
-        lambda p, i: F.struct(
-            i.alias("cell_idx"), html.inner_text(p["label"]).alias("label"), html.inner_text(p["value"]).alias("value_text")
-        ),
-    )
-    named = F.filter(texts, lambda p: predicates.is_general_indicator(p["label"]))
-    pairs = F.transform(named, lambda p: p.withField("value", numbers.parse_european(p["value_text"])))
-    hits = each(rows, _ROW, F.filter(pairs, lambda p: p["value"].isNotNull()), "p")
-    parsed = hits.select(
-        *_ROW, "p.cell_idx", "p.value",
-        cut("p.label", 50).alias("indicator_name"),
-        units.from_text("p.value_text", "p.label").alias("unit"),
-        F.concat("p.label", F.lit(": "), "p.value_text").alias("raw_text"),
+    return records.enrich(explode_observations(pages, adjacent_pairs_array()))
+
+
+def header_tables_array(limit: int = 5, as_of_year: int = R.DEFAULT_YEAR, cleaned: Column | None = None) -> Column:
+    """Label by value column with the year of the column header; noise removed. The header row is read
+    once per table and used for all its rows."""
+    url = F.col("url")
+
+    def in_row(row: Column, headers: Column, ti: Column, ri: Column) -> Column:
+        def values(texts: Column) -> Column:
+            label = F.get(texts, F.lit(0))
+            parsed = F.transform(
+                texts, lambda c, i: F.struct(i.alias("cell_idx"), c.alias("value_text"), numbers.parse_clean(c).alias("value"))
+            )
+            numeric = F.filter(parsed, lambda v: (v["cell_idx"] > 0) & v["value"].isNotNull())
+            listed = F.transform(
+                numeric,
+                lambda v: _observation(
+                    "clean_table", "table", 0.8, [ti, ri, v["cell_idx"]], strip(label), v["value"],
+                    units.from_text_or_name(v["value_text"], label),
+                    cut(F.concat(label, F.lit(": "), v["value_text"]), 200),
+                    years.from_headers(headers, v["cell_idx"], url, as_of_year),
+                ),
+            )
+            return F.filter(listed, lambda m: predicates.is_clean_indicator(label) & years.in_period(m["year"]))
+
+        return F.when(ri > 0, let(F.transform(html.cells(row), html.cell_text), values)).otherwise(_none())
+
+    def in_table(rows: Column, ti: Column) -> Column:
+        headers = F.transform(html.cells(F.get(rows, F.lit(0))), html.cell_text)
+        return let(headers, lambda h: _flat(rows, lambda row, ri: in_row(row, h, ti, ri)))
+
+    source = cleaned if cleaned is not None else html.without_noise("html")
+    return _flat(html.tables(source, limit), lambda tb, ti: let(html.rows(tb), lambda rows: in_table(rows, ti)))
+
+
+def _none() -> Column:
+    return F.array().cast(
+        "array<struct<method:string,obs_key:string,o1:int,o2:int,o3:int,indicator_name:string,value:double,"
+        "unit:string,year:int,raw_text:string,confidence_score:double>>"
     )
-    return records.enrich(_values(parsed, "html_table", "table", ["table_idx", "row_idx", "cell_idx"], 0.8))
 
 
 def header_tables(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
-    """Label by value column, with the year of the column header; first five tables, noise removed.
-    The header row travels with the table as an array, so no self-join is needed."""
-    page = ("page_id", "url")
-    tables = each(pages, page, html.tables(html.without_noise("html"), 5), "table_html", "table_idx")
-    split = tables.select(*page, "table_idx", html.rows("table_html").alias("rows"))
-    headers = F.transform(html.cells(F.get("rows", F.lit(0))), html.cell_text)
-    with_headers = split.select(*page, "table_idx", headers.alias("headers"), "rows")
-    rows = each(with_headers, (*page, "table_idx", "headers"), F.col("rows"), "row_html", "row_idx").filter("row_idx > 0")
-    texts = F.transform(html.cells("row_html"), html.cell_text)
-    celled = rows.select(*_ROW, "headers", texts.alias("cells"))
-    labelled = celled.select(*_ROW, "headers", "cells", F.get("cells", F.lit(0)).alias("label"))
-    values = F.filter(
-        F.transform(
-            "cells",
-            lambda c, i: F.struct(i.alias("cell_idx"), c.alias("value_text"), numbers.parse_clean(c).alias("value")),
-        ),
-        lambda v: (v["cell_idx"] > 0) & v["value"].isNotNull(),
-    )
-    valid = F.when(predicates.is_clean_indicator("label"), values)
-    hits = each(labelled, (*_ROW, "headers", "label"), valid, "v")
-    parsed = hits.select(
-        *_ROW, "v.cell_idx", "v.value", strip("label").alias("indicator_name"),
-        years.from_headers("headers", "v.cell_idx", "url", as_of_year).alias("year"),
-        units.from_text_or_name("v.value_text", "label").alias("unit"),
-        cut(F.concat("label", F.lit(": "), "v.value_text"), 200).alias("raw_text"),
-    ).filter(years.in_period("year"))
-    return _values(parsed, "clean_table", "table", ["table_idx", "row_idx", "cell_idx"], 0.8)
-
-
-def first_two_cells(pages: DataFrame) -> DataFrame:
-    """Label and first number of the second cell, first five tables."""
-    rows = table_rows(pages, html.tables("html", 5)).filter(F.size("cells") >= 2)
-    parsed = rows.select(
-        *_ROW,
-        html.inner_text(F.get("cells", F.lit(0))).alias("label"),
-        html.inner_text(F.get("cells", F.lit(1))).alias("value_text"),
-    ).select(
-        *_ROW,
-        "label",
-        cut("label", 60).alias("indicator_name"), numbers.first_number("value_text").alias("value"), F.lit("").alias("unit"),
-        F.concat("label", F.lit(": "), "value_text").alias("raw_text"),
-    )
-    kept = parsed.filter((F.length("label") > 3) & F.col("value").isNotNull())
-    return _values(kept, "table_extraction", "table", ["table_idx", "row_idx"], 0.7)
+    return explode_observations(pages, header_tables_array(as_of_year=as_of_year))
+
+
+def first_two_cells(pages: DataFrame, limit: int = 5) -> DataFrame:
+    """Label and first number of the second cell of each row."""
+
+    def in_row(row: Column, ti: Column, ri: Column) -> Column:
+        def value(texts: Column) -> Column:
+            label, raw = F.get(texts, F.lit(0)), F.get(texts, F.lit(1))
+            return _observation(
+                "table_extraction", "table", 0.7, [ti, ri], cut(label, 60), numbers.first_number(raw), F.lit(""),
+                F.concat(label, F.lit(": "), raw),
+            )
+
+        def long_label(texts: Column) -> Column:
+            return F.when(F.length(F.get(texts, F.lit(0))) > 3, value(texts))
+
+        return let(F.transform(html.cells(row), html.inner_text), long_label)
+
+    found = _flat(html.tables("html", limit), lambda tb, ti: F.transform(html.rows(tb), lambda row, ri: in_row(row, ti, ri)))
+    return explode_observations(pages, F.filter(found, lambda m: m["value"].isNotNull()))
 
 
 def labelled_table_values(pages: DataFrame, chosen: Column | None = None) -> DataFrame:
     """Guarded parser over the first two cells of each row. ``chosen`` holds the tables to read."""
-    rows = table_rows(pages, chosen if chosen is not None else html.tables("html")).filter(F.size("cells") >= 2)
-    parsed = rows.select(
-        *_ROW,
-        html.cell_text(F.get("cells", F.lit(0))).alias("indicator_name"),
-        html.inner_text(F.get("cells", F.lit(1))).alias("raw_text"),
-    ).withColumns({"value": numbers.parse_table_value("raw_text"), "unit": F.lit("")})
-    kept = parsed.filter((F.col("indicator_name") != "") & F.col("value").isNotNull())
-    return _values(kept, "specialized", "row", ["table_idx", "row_idx"], 0.7)
+
+    def in_row(row: Column, ti: Column, ri: Column) -> Column:
+        def value(cells: Column) -> Column:
+            raw = html.inner_text(F.get(cells, F.lit(1)))
+            return let(
+                raw,
+                lambda r: _observation(
+                    "specialized", "row", 0.7, [ti, ri], html.cell_text(F.get(cells, F.lit(0))), numbers.parse_table_value(r), F.lit(""), r
+                ),
+            )
+
+        return let(html.cells(row), value)
+
+    tables = chosen if chosen is not None else html.tables("html")
+    found = _flat(tables, lambda tb, ti: F.transform(html.rows(tb), lambda row, ri: in_row(row, ti, ri)))
+    return explode_observations(pages, F.filter(found, lambda m: (m["indicator_name"] != "") & m["value"].isNotNull()))
 
 
 def site_tables(pages: DataFrame) -> DataFrame:
@@ -178,9 +206,9 @@ def site_tables(pages: DataFrame) -> DataFrame:
         .when(F.col("site") == "statistical_institute", F.array(sections))
     )
     sites = pages.select("page_id", "url", "html", urls.site_type("url").alias("site"))
-    listed = sites.select(
-        "page_id", "url", "site", html.tables("html").alias("everything"),
-        F.get(F.filter(ranked, lambda o: F.size(o) > 0), F.lit(0)).alias("special"),
+    listed = staged(
+        sites,
+        {"everything": html.tables("html"), "special": F.get(F.filter(ranked, lambda o: F.size(o) > 0), F.lit(0))},
     )
     whole = F.coalesce("special", "everything")
     chosen = F.when(F.col("site").isin("central_bank", "industry_portal"), F.slice(whole, 1, 1)).otherwise(whole)
@@ -190,32 +218,41 @@ def site_tables(pages: DataFrame) -> DataFrame:
 # -- lists and blocks --------------------------------------------------------------------------
 
 
-def list_items(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
-    """``name: value``, ``name - value`` and ``name = value`` items of the first ten lists. The first
-    form with a valid name and a number wins."""
-    page = ("page_id", "url")
-    lists = each(pages, page, F.slice(html.all_inner(html.without_noise("html"), html.LIST), 1, 10), "list_html", "list_idx")
-    items = each(lists, (*page, "list_idx"), F.transform(html.all_inner("list_html", html.ITEM), html.cell_text), "raw_text", "item_idx")
-    forms_found = F.array(
-        *[
-            F.struct(
-                strip(F.regexp_extract("raw_text", regex(p), 1)).alias("name"),
-                strip(F.regexp_extract("raw_text", regex(p), 2)).alias("value_text"),
-            )
-            for p in R.LIST_PATTERNS
-        ]
+def list_items_array(limit: int = 10, as_of_year: int = R.DEFAULT_YEAR, cleaned: Column | None = None) -> Column:
+    """``name: value``, ``name - value`` and ``name = value`` items of the first lists. The first form
+    with a valid name and a number wins."""
+    url = F.col("url")
+
+    def in_item(raw: Column, li: Column, ii: Column) -> Column:
+        forms_found = F.array(
+            *[
+                F.struct(
+                    strip(F.regexp_extract(raw, regex(p), 1)).alias("name"),
+                    strip(F.regexp_extract(raw, regex(p), 2)).alias("value_text"),
+                )
+                for p in R.LIST_PATTERNS
+            ]
+        )
+        parsed = F.transform(forms_found, lambda f: f.withField("value", numbers.parse_clean(f["value_text"])))
+        accepted = F.filter(parsed, lambda f: f["value"].isNotNull() & predicates.is_clean_indicator(f["name"]))
+        return F.transform(
+            F.slice(accepted, 1, 1),
+            lambda f: _observation(
+                "clean_list", "list", 0.8, [li, ii], f["name"], f["value"], units.from_text_or_name(f["value_text"], f["name"]),
+                cut(raw, 200), years.from_snippet(raw, url, as_of_year),
+            ),
+        )
+
+    source = cleaned if cleaned is not None else html.without_noise("html")
+    lists = F.slice(html.all_inner(source, html.LIST), 1, limit)
+    return _flat(
+        lists,
+        lambda x, li: _flat(F.transform(html.all_inner(x, html.ITEM), html.cell_text), lambda raw, ii: in_item(raw, li, ii)),
     )
-    parsed_forms = F.transform(forms_found, lambda f: f.withField("value", numbers.parse_clean(f["value_text"])))
-    accepted = F.filter(parsed_forms, lambda f: f["value"].isNotNull() & predicates.is_clean_indicator(f["name"]))
-    spot = ("page_id", "url", "list_idx", "item_idx", "raw_text")
-    hits = each(items, spot, F.slice(accepted, 1, 1), "f").filter(F.length("raw_text") >= 3)
-    parsed = hits.select(
-        "page_id", "url", "list_idx", "item_idx", F.col("f.name").alias("indicator_name"), "f.value",
-        units.from_text_or_name("f.value_text", "f.name").alias("unit"),
-        years.from_snippet("raw_text", "url", as_of_year).alias("year"),
-        cut("raw_text", 200).alias("raw_text"),
-    ).filter(years.in_period("year"))
-    return _values(parsed, "clean_list", "list", ["list_idx", "item_idx"], 0.8)
+
+
+def list_items(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
+    return explode_observations(pages, list_items_array(as_of_year=as_of_year))
 
 
 def _matches(text, patterns: Sequence[tuple[str, int]], parse: Callable[[Column], Column], cap: int | None = None) -> Column:
@@ -247,123 +284,194 @@ def _numbered(patterns) -> list:
     return [(i, (p, 3 if has_unit else 2)) for i, (p, has_unit) in enumerate(patterns)]
 
 
-def data_blocks(pages: DataFrame) -> DataFrame:
+def data_blocks_array() -> Column:
     """Blocks whose class speaks of data: at most five values per block, five blocks per page."""
     pattern = r"""(?is)<(ul|ol|dl|div)\b[^>]*\bclass\s*=\s*["'][^"'>]*(?:data|stat|info|metric)[^"'>]*["'][^>]*>(.*?)</\1>"""
     blocks = F.slice(F.regexp_extract_all("html", F.lit(pattern), F.lit(2)), 1, R.BLOCKS_PER_PAGE)
-    texts = each(pages, ("page_id", "url"), F.transform(blocks, html.cell_text), "body", "block_idx")
-    accepted = F.filter(
-        _matches("body", _numbered(R.BLOCK_PATTERNS), numbers.parse_european),
-        lambda m: m["value"].isNotNull() & predicates.is_general_indicator(m["name"]),
-    )
-    hits = each(texts, ("page_id", "url", "block_idx"), F.slice(accepted, 1, R.BLOCK_CAP), "m")
-    parsed = hits.select(
-        "page_id", "url", "block_idx", "m.pattern_idx", "m.match_idx",
-        cut("m.name", 60).alias("indicator_name"), "m.value",
-        F.when(F.col("m.hint") != "", F.col("m.hint")).otherwise(units.default_context("m.name", "m.value")).alias("unit"),
-        F.col("m.raw").alias("raw_text"),
-    )
-    return records.enrich(_values(parsed, "html_structured", "struct", ["block_idx", "pattern_idx", "match_idx"], 0.75))
+
+    def in_block(body: Column, bi: Column) -> Column:
+        accepted = F.filter(
+            _matches(body, _numbered(R.BLOCK_PATTERNS), numbers.parse_european),
+            lambda m: m["value"].isNotNull() & predicates.is_general_indicator(m["name"]),
+        )
+        return F.transform(
+            F.slice(accepted, 1, R.BLOCK_CAP),
+            lambda m: _observation(
+                "html_structured", "struct", 0.75, [bi, m["pattern_idx"], m["match_idx"]], cut(m["name"], 60), m["value"],
+                F.when(m["hint"] != "", m["hint"]).otherwise(units.default_context(m["name"], m["value"])), m["raw"],
+            ),
+        )
+
+    return _plausible(_flat(F.transform(blocks, html.cell_text), in_block))
+
+
+def data_blocks(pages: DataFrame) -> DataFrame:
+    return records.enrich(explode_observations(pages, data_blocks_array()))
 
 
 # -- text patterns -----------------------------------------------------------------------------
 
 
-def text_patterns(pages: DataFrame, text: Column | None = None, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
+def text_patterns_array(as_of_year: int = R.DEFAULT_YEAR, text: Column | None = None) -> Column:
     """Economic patterns over the text of a page without noise."""
-    body = text if text is not None else html.clean_page_text("html")
-    texts = pages.select("page_id", "url", body.alias("body"))
-    numeric = F.filter(
-        _matches("body", _numbered(R.TEXT_PATTERNS), numbers.parse_clean), lambda m: m["value"].isNotNull()
-    )
-    hits = each(texts, ("page_id", "url"), F.when(F.length("body") >= 10, numeric), "m")
-    unit = F.when(F.col("m.hint") != "", F.col("m.hint")).otherwise(units.from_text_or_name("m.value_text", "m.name"))
-    parsed = hits.select(
-        "page_id", "url", "m.pattern_idx", "m.match_idx", F.col("m.name").alias("indicator_name"), "m.value",
-        unit.alias("unit"), years.from_snippet("m.raw", "url", as_of_year).alias("year"), cut("m.raw", 200).alias("raw_text"),
-    ).filter(years.in_period("year"))
-    return _values(parsed, "clean_text", "text", ["pattern_idx", "match_idx"], 0.8)
+    url = F.col("url")
 
+    def in_text(body: Column) -> Column:
+        numeric = F.filter(
+            _matches(body, _numbered(R.TEXT_PATTERNS), numbers.parse_clean), lambda m: m["value"].isNotNull()
+        )
+        return F.transform(
+            F.when(F.length(body) >= 10, numeric),
+            lambda m: _observation(
+                "clean_text", "text", 0.8, [m["pattern_idx"], m["match_idx"]], m["name"], m["value"],
+                F.when(m["hint"] != "", m["hint"]).otherwise(units.from_text_or_name(m["value_text"], m["name"])),
+                cut(m["raw"], 200), years.from_snippet(m["raw"], url, as_of_year),
+            ),
+        )
 
-def government_patterns(pages: DataFrame) -> DataFrame:
+    found = let(text if text is not None else html.clean_page_text("html"), in_text)
+    return F.coalesce(found, _none())
+
+
+def text_patterns(pages: DataFrame, text: Column | None = None, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
+    return explode_observations(pages, text_patterns_array(as_of_year, text))
+
+
+def government_patterns_array() -> Column:
     """Aggressive patterns over the raw content of government pages; positive values only."""
-    gov = pages.filter(urls.is_gov_site("url"))
     patterns = [(i, (p, 1)) for i, p in enumerate(R.GOV_PATTERNS)]
     positive = F.filter(_matches("html", patterns, numbers.parse_clean), lambda m: m["value"] > 0)
-    hits = each(gov, ("page_id", "url"), positive, "m")
-    percent = F.contains(F.lower("m.raw"), F.lit("percent")) | F.contains("m.raw", F.lit("%"))
-    parsed = hits.select(
-        "page_id", "url", "m.pattern_idx", "m.match_idx",
-        F.concat(F.lit("Indicateur gouvernemental tunisien "), F.col("m.pattern_idx").cast("string")).alias("indicator_name"),
-        "m.value", F.when(percent, "%").otherwise("").alias("unit"),
-        F.lit(R.DEFAULT_YEAR).alias("year"), F.col("m.value_text").alias("raw_text"),
-    )
-    return _values(parsed, "government_specialized", "gov", ["pattern_idx", "match_idx"], 0.7)
 
+    def percent(m: Column) -> Column:
+        return F.contains(F.lower(m["raw"]), F.lit("percent")) | F.contains(m["raw"], F.lit("%"))
 
-def _capped_patterns(pages: DataFrame, patterns, cap: int) -> DataFrame:
-    """First ``cap`` matches with a number, over the visible text."""
-    texts = pages.select("page_id", "url", html.page_text("html").alias("body"))
-    numeric = F.filter(
-        _matches("body", _numbered(patterns), numbers.parse_european), lambda m: m["value"].isNotNull()
-    )
-    hits = each(texts, ("page_id", "url"), F.slice(numeric, 1, cap), "m")
-    return hits.select(
-        "page_id", "url", "m.pattern_idx", "m.match_idx", "m.name", "m.hint", "m.value", F.col("m.raw").alias("raw_text")
+    found = F.transform(
+        positive,
+        lambda m: _observation(
+            "government_specialized", "gov", 0.7, [m["pattern_idx"], m["match_idx"]],
+            F.concat(F.lit("Indicateur gouvernemental tunisien "), m["pattern_idx"].cast("string")), m["value"],
+            F.when(percent(m), "%").otherwise(""), m["value_text"], F.lit(R.DEFAULT_YEAR),
+        ),
     )
+    return F.when(urls.is_gov_site("url"), found).otherwise(_none())
+
+
+def government_patterns(pages: DataFrame) -> DataFrame:
+    return explode_observations(pages.filter(urls.is_gov_site("url")), government_patterns_array())
+
+
+def _capped_array(site: str, patterns, cap: int, to_observation: Callable[[Column], Column], visible: Column | None) -> Column:
+    """First matches with a number over the visible text of the pages of one site."""
+
+    def in_text(body: Column) -> Column:
+        numeric = F.filter(_matches(body, _numbered(patterns), numbers.parse_european), lambda m: m["value"].isNotNull())
+        return _plausible(F.transform(F.slice(numeric, 1, cap), to_observation))
+
+    body = visible if visible is not None else html.page_text("html")
+    return F.when(F.contains(F.lower("url"), F.lit(site)), let(body, in_text)).otherwise(_none())
+
+
+def bank_patterns_array(visible: Column | None = None) -> Column:
+    def to_observation(m: Column) -> Column:
+        return _observation(
+            "bct_specialized", "bct", 0.9, [m["pattern_idx"], m["match_idx"]], F.concat(F.lit("BCT "), m["name"]), m["value"],
+            units.default_bank(m["name"], m["hint"], m["value"]), m["raw"],
+        )
+
+    return _capped_array("bct.gov.tn", R.BANK_PATTERNS, R.BANK_CAP, to_observation, visible)
 
 
 def bank_patterns(pages: DataFrame) -> DataFrame:
-    hits = _capped_patterns(pages.filter(F.contains(F.lower("url"), F.lit("bct.gov.tn"))), R.BANK_PATTERNS, R.BANK_CAP)
-    parsed = hits.withColumns(
-        {"indicator_name": F.concat(F.lit("BCT "), "name"), "unit": units.default_bank("name", "hint", "value")}
-    )
-    return records.enrich(_values(parsed, "bct_specialized", "bct", ["pattern_idx", "match_idx"], 0.9))
+    return records.enrich(explode_observations(pages, bank_patterns_array()))
+
+
+def finance_patterns_array(visible: Column | None = None) -> Column:
+    def to_observation(m: Column) -> Column:
+        unit = F.when(m["hint"] != "", m["hint"]).when(m["value"] > 1000, "MD").otherwise("MDT")
+        return _observation(
+            "finance_specialized", "finance", 0.88, [m["pattern_idx"], m["match_idx"]], F.concat(F.lit("Finance "), m["name"]),
+            m["value"], unit, m["raw"],
+        )
+
+    return _capped_array("finances.gov.tn", R.FINANCE_PATTERNS, R.FINANCE_CAP, to_observation, visible)
 
 
 def finance_patterns(pages: DataFrame) -> DataFrame:
-    hits = _capped_patterns(
-        pages.filter(F.contains(F.lower("url"), F.lit("finances.gov.tn"))), R.FINANCE_PATTERNS, R.FINANCE_CAP
-    )
-    unit = F.when(F.col("hint") != "", F.col("hint")).when(F.col("value") > 1000, "MD").otherwise("MDT")
-    parsed = hits.withColumns({"indicator_name": F.concat(F.lit("Finance "), "name"), "unit": unit})
-    return records.enrich(_values(parsed, "finance_specialized", "finance", ["pattern_idx", "match_idx"], 0.88))
+    return records.enrich(explode_observations(pages, finance_patterns_array()))
 
 
-def piped_lines(pages: DataFrame) -> DataFrame:
+def piped_lines_array(visible: Column | None = None) -> Column:
     """Statistics-office lines of the form ``name | value | value``."""
-    office = pages.filter(F.contains(F.lower("url"), F.lit("ins.tn")))
-    lines = each(office, ("page_id", "url"), F.split(html.page_text("html"), "\n"), "line", "line_idx")
-    piped = lines.filter(F.contains("line", F.lit("|")) & (F.length("line") > 15))
-    split = piped.select("page_id", "url", "line_idx", "line", F.transform(F.split("line", r"\|"), strip).alias("parts"))
-    named = split.select("*", F.get("parts", F.lit(0)).alias("name"))
-    values = F.filter(
-        F.transform("parts", lambda p, i: F.struct(i.alias("val_idx"), numbers.parse_european(p).alias("value"))),
-        lambda v: (v["val_idx"] > 0) & v["value"].isNotNull(),
-    )
-    spot = ("page_id", "url", "line_idx", "line", "name")
-    hits = each(named, spot, F.when(predicates.is_office_indicator("name"), values), "v")
-    parsed = hits.select(
-        "page_id", "url", "line_idx", "v.val_idx", "v.value",
-        F.concat(F.lit("INS "), "name").alias("indicator_name"),
-        units.default_office("name", "v.value").alias("unit"), F.col("line").alias("raw_text"),
-    )
-    return records.enrich(_values(parsed, "ins_specialized", "ins", ["line_idx", "val_idx"], 0.85))
 
+    def in_line(line: Column, li: Column) -> Column:
+        def values(parts: Column) -> Column:
+            name = F.get(parts, F.lit(0))
+            parsed = F.transform(parts, lambda p, i: F.struct(i.alias("val_idx"), numbers.parse_european(p).alias("value")))
+            numeric = F.filter(parsed, lambda v: (v["val_idx"] > 0) & v["value"].isNotNull() & predicates.is_office_indicator(name))
+            return F.transform(
+                numeric,
+                lambda v: _observation(
+                    "ins_specialized", "ins", 0.85, [li, v["val_idx"]], F.concat(F.lit("INS "), name), v["value"],
+                    units.default_office(name, v["value"]), line,
+                ),
+            )
 
-def generic_patterns(pages: DataFrame) -> DataFrame:
+        piped = F.contains(line, F.lit("|")) & (F.length(line) > 15)
+        return F.when(piped, let(F.transform(F.split(line, r"\|"), strip), values)).otherwise(_none())
+
+    body = visible if visible is not None else html.page_text("html")
+    found = _plausible(_flat(F.split(body, "\n"), in_line))
+    return F.when(F.contains(F.lower("url"), F.lit("ins.tn")), found).otherwise(_none())
+
+
+def piped_lines(pages: DataFrame) -> DataFrame:
+    return records.enrich(explode_observations(pages, piped_lines_array()))
+
+
+def generic_patterns_array() -> Column:
     """Generic patterns over the raw content, first 15 matches of each. Patterns with one group have
     no name and yield nothing."""
     patterns = [(i, (p, g)) for i, (p, g) in enumerate(R.GENERIC_PATTERNS) if g >= 2]
     quick = F.filter(
         _matches("html", patterns, numbers.parse_european, R.GENERIC_CAP), lambda m: numbers.is_quick_value(m["value"])
     )
-    hits = each(pages, ("page_id", "url"), quick, "m")
-    parsed = hits.select(
-        "page_id", "url", "m.pattern_idx", "m.match_idx", cut("m.name", 60).alias("indicator_name"),
-        "m.value", cut("m.hint", 10).alias("unit"), F.col("m.raw").alias("raw_text"),
+    return _plausible(
+        F.transform(
+            quick,
+            lambda m: _observation(
+                "pattern_modern", "pattern", 0.7, [m["pattern_idx"], m["match_idx"]], cut(m["name"], 60), m["value"],
+                cut(m["hint"], 10), m["raw"],
+            ),
+        )
+    )
+
+
+def generic_patterns(pages: DataFrame) -> DataFrame:
+    return records.enrich(explode_observations(pages, generic_patterns_array()))
+
+
+def all_methods(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
+    """Every method in one pass: the page is read once, its visible text and its noise-free form are
+    made once, and all values leave in one array. The clean methods come under prefixed keys, so keys
+    are unique per page without an anti-join."""
+    prepared = staged(
+        pages.select(*_PAGE, "html"), {"visible": html.page_text("html"), "cleaned": html.without_noise("html")}
+    )
+    visible, cleaned = F.col("visible"), F.col("cleaned")
+    base = [
+        adjacent_pairs_array(), data_blocks_array(), bank_patterns_array(visible), piped_lines_array(visible),
+        finance_patterns_array(visible), generic_patterns_array(),
+    ]
+    clean = [
+        header_tables_array(as_of_year=as_of_year, cleaned=cleaned), list_items_array(as_of_year=as_of_year, cleaned=cleaned),
+        text_patterns_array(as_of_year, html.text_of(cleaned)), government_patterns_array(),
+    ]
+    prefixed = F.transform(
+        F.concat(*clean), lambda m: m.withField("obs_key", F.concat(F.lit("clean_"), m["obs_key"]))
     )
-    return records.enrich(_values(parsed, "pattern_modern", "pattern", ["pattern_idx", "match_idx"], 0.7))
+    found = explode_observations(prepared, *base, prefixed)
+    year = F.coalesce("year", years.from_record("raw_text", "indicator_name"), F.lit(as_of_year))
+    return found.withColumn("year", year.cast("int"))
 
 
 def _by_site(rules: dict, of: Callable) -> Column:
@@ -379,12 +487,15 @@ def _first_numbers(pages: DataFrame, rules: dict, of: Callable, prefix: str, met
     """First number of each text of the site's rule set."""
     sites = pages.select("page_id", "url", "html", urls.site_type("url").alias("site")).filter(F.col("site").isin(list(rules)))
     valued = F.transform(_by_site(rules, of), lambda m: m.withField("value", numbers.first_number(m["raw"])))
-    hits = each(sites, ("page_id", "url"), F.filter(valued, lambda m: m["value"].isNotNull()), "m", "place")
-    parsed = hits.select(
-        "page_id", "url", "m.rule_idx", "place", "m.value", F.lit("").alias("unit"), F.col("m.raw").alias("raw_text"),
-        F.concat(F.lit(f"{prefix}_"), F.col("m.rule_idx").cast("string")).alias("indicator_name"),
+    numeric = F.filter(valued, lambda m: m["value"].isNotNull())
+    listed = F.transform(
+        numeric,
+        lambda m, place: _observation(
+            method, prefix.lower(), 0.7, [m["rule_idx"], place],
+            F.concat(F.lit(f"{prefix}_"), m["rule_idx"].cast("string")), m["value"], F.lit(""), m["raw"],
+        ),
     )
-    return _values(parsed, method, prefix.lower(), ["rule_idx", "place"], 0.7)
+    return explode_observations(sites, listed)
 
 
 def site_patterns(pages: DataFrame, rules=R.SITE_PATTERNS) -> DataFrame:
