@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import html, numbers, predicates, units, urls, years
 from statloom.functions import rules as R
-from statloom.functions.common import all_matches, cut, each, let, regex, staged
+from statloom.functions.common import all_matches, col, cut, each, let, regex, staged
 from statloom.functions.text import strip
 from statloom.operators import records
 
@@ -255,14 +255,28 @@ def list_items(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
     return explode_observations(pages, list_items_array(as_of_year=as_of_year))
 
 
+# A separator followed by a number: without it the pattern cannot match.
+_GUARDS = {
+    R.BLOCK_PATTERNS[0][0]: r"[:=]\s*[0-9,.]",
+    R.BLOCK_PATTERNS[1][0]: r":\s*[0-9,.]",
+    R.BLOCK_PATTERNS[2][0]: r"-\s*[0-9,.]",
+    R.GENERIC_PATTERNS[2][0]: r"[:=\-]\s*[0-9]",
+}
+
+
 def _matches(text, patterns: Sequence[tuple[str, int]], parse: Callable[[Column], Column], cap: int | None = None) -> Column:
     """All matches of all patterns in order, as structs of position, raw match, name, value text,
     unit hint and parsed value. The text is scanned once per pattern; groups are read from the short
-    matches. Patterns are given with their number of groups; with one group there is no name."""
+    matches. Patterns are given with their number of groups; with one group there is no name.
+
+    A name of bounded length is tried at every position of a text, so patterns that start with one are
+    only run on texts that pass a cheap necessary test (see ``_GUARDS``)."""
 
     def of(i: int, pattern: str, groups: int) -> Column:
         p = regex(pattern)
         found = all_matches(text, pattern)
+        if pattern in _GUARDS:
+            found = F.when(col(text).rlike(_GUARDS[pattern]), found).otherwise(F.array().cast("array<string>"))
         return F.transform(
             F.slice(found, 1, cap) if cap else found,
             lambda m, j: F.struct(
