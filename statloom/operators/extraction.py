@@ -264,7 +264,9 @@ _GUARDS = {
 }
 
 
-def _matches(text, patterns: Sequence[tuple[str, int]], parse: Callable[[Column], Column], cap: int | None = None) -> Column:
+def _matches(
+    text, patterns: Sequence[tuple[str, int]], parse: Callable[[Column], Column], cap: int | None = None, ignore_case: bool = True
+) -> Column:
     """All matches of all patterns in order, as structs of position, raw match, name, value text,
     unit hint and parsed value. The text is scanned once per pattern; groups are read from the short
     matches. Patterns are given with their number of groups; with one group there is no name.
@@ -273,8 +275,8 @@ def _matches(text, patterns: Sequence[tuple[str, int]], parse: Callable[[Column]
     only run on texts that pass a cheap necessary test (see ``_GUARDS``)."""
 
     def of(i: int, pattern: str, groups: int) -> Column:
-        p = regex(pattern)
-        found = all_matches(text, pattern)
+        p = regex(pattern, ignore_case)
+        found = all_matches(text, pattern, ignore_case=ignore_case)
         if pattern in _GUARDS:
             found = F.when(col(text).rlike(_GUARDS[pattern]), found).otherwise(F.array().cast("array<string>"))
         return F.transform(
@@ -352,12 +354,15 @@ def text_patterns(pages: DataFrame, text: Column | None = None, as_of_year: int
 
 
 def government_patterns_array() -> Column:
-    """Aggressive patterns over the raw content of government pages; positive values only."""
-    patterns = [(i, (p, 1)) for i, p in enumerate(R.GOV_PATTERNS)]
-    positive = F.filter(_matches("html", patterns, numbers.parse_clean), lambda m: m["value"] > 0)
+    """Aggressive patterns over the raw content of government pages; positive values only. Only numbers
+    leave this method, so the content is lower-cased once and matched with case, which is cheaper than
+    folding case in fourteen patterns."""
+    patterns = [(i, (p.lower(), 1)) for i, p in enumerate(R.GOV_PATTERNS)]
+    lowered = let(F.lower("html"), lambda low: _matches(low, patterns, numbers.parse_clean, ignore_case=False))
+    positive = F.filter(lowered, lambda m: m["value"] > 0)
 
     def percent(m: Column) -> Column:
-        return F.contains(F.lower(m["raw"]), F.lit("percent")) | F.contains(m["raw"], F.lit("%"))
+        return F.contains(m["raw"], F.lit("percent")) | F.contains(m["raw"], F.lit("%"))
 
     found = F.transform(
         positive,
@@ -485,7 +490,7 @@ def all_methods(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame
     )
     found = explode_observations(prepared, *base, prefixed)
     year = F.coalesce("year", years.from_record("raw_text", "indicator_name"), F.lit(as_of_year))
-    return found.withColumn("year", year.cast("int"))
+    return staged(found, {"year": year.cast("int")})
 
 
 def _by_site(rules: dict, of: Callable) -> Column:
