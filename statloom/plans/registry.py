@@ -13,6 +13,9 @@ from statloom.sources.tables import Tables
 _SPARK_TYPES = {"L": "bigint", "I": "int", "S": "string", "D": "double", "E": "double", "B": "boolean"}
 _SQL_TYPES = {"L": "BIGINT", "I": "INTEGER", "S": "VARCHAR", "D": "DOUBLE", "E": "DOUBLE", "B": "BOOLEAN"}
 _DIGITS = {"D": 6, "E": 9}
+# Means of prices often end exactly half-way at the ninth decimal; a small shift lets both engines round
+# such a value the same way whatever its last bit.
+_SHIFT = {"D": 0.0, "E": 3e-10}
 
 
 @dataclass(frozen=True)
@@ -35,12 +38,12 @@ class Query:
 
 def _typed(name: str, kind: str):
     c = F.col(name).cast(_SPARK_TYPES[kind])
-    return (F.round(c, _DIGITS[kind]) if kind in _DIGITS else c).alias(name)
+    return (F.round(c + _SHIFT[kind], _DIGITS[kind]) if kind in _DIGITS else c).alias(name)
 
 
 def _typed_sql(name: str, kind: str) -> str:
     c = f'CAST("{name}" AS {_SQL_TYPES[kind]})'
-    return f'{f"round({c}, {_DIGITS[kind]})" if kind in _DIGITS else c} AS "{name}"'
+    return f'{f"round({c} + {_SHIFT[kind]}, {_DIGITS[kind]})" if kind in _DIGITS else c} AS "{name}"'
 
 
 QUERIES: dict[str, Query] = {}
