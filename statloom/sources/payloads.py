@@ -65,7 +65,8 @@ def walk(documents: DataFrame, content: str = "content", depth: int = 12, stop_a
     members, a leaf stays one row, so the plan is one chain of ``depth`` lateral joins without unions.
 
     Adds ``path`` (array of steps), ``last_key`` (null directly inside a list) and ``node``. With
-    ``stop_at`` an object below that key is kept whole."""
+    ``stop_at`` an object below that key is kept whole. A document nested deeper than ``depth`` fails
+    the job rather than losing values."""
     keep = [c for c in documents.columns if c != content]
     level = documents.select(
         *keep, parse_json(content).alias("node"), F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("last_key")
@@ -85,7 +86,12 @@ def walk(documents: DataFrame, content: str = "content", depth: int = 12, stop_a
             F.when(is_member, F.array_append("path", step)).otherwise(F.col("path")).alias("path"),
             F.when(is_member, F.col("key")).otherwise(F.col("last_key")).alias("last_key"),
         )
-    return level
+    unopened = F.schema_of_variant("node").rlike("^(?:OBJECT<[^>]|ARRAY<(?!VOID))")
+    if stop_at is not None:
+        unopened = unopened & ~F.coalesce(F.col("last_key") == stop_at, F.lit(False))
+    too_deep = F.raise_error(F.lit(f"document is nested deeper than {depth} levels; raise depth")).cast("string")
+    # In the column every reader filters on, so the failure cannot be optimised away.
+    return level.withColumn("last_key", F.when(unopened, too_deep).otherwise(F.col("last_key")))
 
 
 def nested_numbers(documents: DataFrame, content: str = "content", depth: int = 12) -> DataFrame:

@@ -109,6 +109,14 @@ def test_nested_json_walk(spark):
     assert got == {"a": 1.0, "b_c": 1.0, "b_d_1_e": 4.5}
 
 
+def test_too_deep_documents_fail_instead_of_losing_values(spark):
+    doc = '{"x":' * 6 + "1" + "}" * 6
+    df = spark.createDataFrame([(1, doc)], "dump_id int, content string")
+    assert payloads.nested_numbers(df, depth=6).count() == 1
+    with pytest.raises(Exception, match="deeper than 4"):
+        payloads.nested_numbers(df, depth=4).select("obs_key").collect()
+
+
 def test_flat_numbers_reject_years(spark):
     df = spark.createDataFrame([(1, '{"a": 2020, "b": true, "c": "5", "d": -3}')], "dump_id int, content string")
     assert {r["obs_key"]: r["value"] for r in payloads.flat_numbers(df).collect()} == {"json_b": 1.0, "json_d": -3.0}
