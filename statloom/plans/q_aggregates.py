@@ -12,7 +12,7 @@ from statloom.operators import coverage as V
 from statloom.operators import filtering, maintenance, texts
 from statloom.operators import merging as M
 from statloom.operators.windows import first_k
-from statloom.plans.oracle import has, labels as case_labels, n_has, rx, text as lit, with_views
+from statloom.plans.oracle import has, labels as case_labels, rx, text as lit, with_views
 from statloom.plans.q_filters import PERIOD_OUTCOME, VALIDATED_SQL
 from statloom.plans.q_joins import CATALOGUE
 from statloom.plans.q_scores import ANALYSED_SQL, SCORED_SITES_SQL, analysed, scored_sites

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from statloom.functions import numbers, predicates, urls
 from statloom.functions import rules as R
-from statloom.functions.html import page_text as page_text_column
 from statloom.operators import filtering
-from statloom.plans.oracle import has, page_text, starts, with_views
+from statloom.plans.oracle import has, starts, with_views
 from statloom.plans.q_numbers import _name_year, _text_year
 from statloom.plans.q_scores import SCORED_SITES_SQL, scored_sites
 from statloom.plans.registry import query

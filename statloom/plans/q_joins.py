@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.functions import labels, units, urls
 from statloom.functions import rules as R
 from statloom.operators import crawl as C
 from statloom.operators import extraction as X

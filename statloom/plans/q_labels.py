@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from statloom.functions import html, labels, numbers, urls
 from statloom.functions import rules as R
 from statloom.operators import aggregates
-from statloom.plans.oracle import has, labels as case_labels, n_has, page_text, text as lit, with_views, words
+from statloom.plans.oracle import has, labels as case_labels, n_has, page_text, text as lit, with_views
 from statloom.plans.registry import query
 
 _OBS = with_views("obs")

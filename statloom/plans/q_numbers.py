@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.functions import html, labels, numbers, scores, text, units, years
+from statloom.functions import html, labels, numbers, text, units, years
 from statloom.functions import rules as R
-from statloom.functions.common import col
 from statloom.operators import records
 from statloom.plans.oracle import (
-    clean_number, has, labels as case_labels, let, number, page_text, rx, text as lit, with_views,
+    clean_number, has, labels as case_labels, number, page_text, rx, text as lit, with_views,
 )
 from statloom.plans.registry import query
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from statloom.functions import html
 from statloom.functions import rules as R
-from statloom.operators import extraction as X
 from statloom.operators import ordering as O
 from statloom.plans.oracle import has, rx, with_views
 from statloom.plans.q_scores import SCORED_SITES_SQL, scored_sites

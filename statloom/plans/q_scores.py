@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from statloom.functions import advice, html, labels, scores, urls
 from statloom.functions import rules as R
 from statloom.functions.common import hits_in, staged
-from statloom.plans.oracle import has, hits, n_has, national_context, page_text, text as lit, with_views, word_count, words
+from statloom.plans.oracle import has, hits, n_has, national_context, page_text, text as lit, with_views, word_count
 from statloom.plans.q_labels import topic_sql
 from statloom.plans.registry import query
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.functions import rules as R
 from statloom.functions import urls
-from statloom.operators import extraction as X
 from statloom.operators import filtering
 from statloom.operators import windows as W
 from statloom.plans.oracle import with_views
