@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="statloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    """One folder for the process, for sessions that have no other machines and name no folder."""
+    return tempfile.mkdtemp(prefix="statloom-")
 
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
