@@ -1,6 +1,6 @@
 """Loads every query of this folder."""
 
-from statloom.llm import packing, toxicity  # noqa: F401
+from statloom.llm import packing, secrets, toxicity  # noqa: F401
 from statloom.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
