@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame
 
 from statloom.session import fresh_dir
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written below ``spark.checkpoint.dir`` and read back: cuts lineage, survives lost executors.
     The shuffle files of the finished stage are released."""
     spark = df.sparkSession
     path = fresh_dir(spark, purpose)
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)

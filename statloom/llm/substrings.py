@@ -30,18 +30,17 @@ from pyspark.sql import functions as F
 
 from statloom.llm import bytesets as B
 from statloom.llm import suffix
+from statloom.llm.exchange import repeated, together
 from statloom.llm.registry import query, table
 from statloom.llm.storage import stored
 
 LENGTH = 50
 GRAIN = 16
 #: Expected size of one group of work. They set how many groups there are, never what a group may hold.
-RANGE_ANCHORS = 250_000
 CHUNK_BYTES = 6_000_000
 SHARD_BYTES = 3_000_000
-#: An anchor of so many documents in one batch of rows is hot; the batch then sends it once.
-BATCH_HOT = 200
-HOT = 2000
+#: Anchors of this class or above (a thousand documents, or hot in one batch of rows) are hot.
+HOT_CLASS = 11
 
 
 def _grain_hashes(buf: np.ndarray) -> np.ndarray:
@@ -96,97 +95,14 @@ def _segments(anchors: np.ndarray, counts: np.ndarray, also: np.ndarray | None =
     return begin, np.flatnonzero(stop) - begin + 1
 
 
-def spark_hash(x: np.ndarray) -> np.ndarray:
-    """Spark's ``hash`` of a long column (Murmur3, 32 bits, seed 42), so that blocks can name the chunk of a document."""
-    u, rot = np.uint32, lambda v, k: (v << np.uint32(k)) | (v >> np.uint32(32 - k))
-    x = x.astype(np.int64).view(np.uint64)
-    h = np.full(len(x), 42, dtype=u)
-    for part in ((x & B.U(0xFFFFFFFF)).astype(u), (x >> B.U(32)).astype(u)):
-        k = rot(part * u(0xCC9E2D51), 15) * u(0x1B873593)
-        h = rot(h ^ k, 13) * u(5) + u(0xE6546B64)
-    h ^= u(8)
-    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
-    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
-    return (h ^ (h >> u(16))).view(np.int32)
-
-
-_BLOCK = "bucket int, docs binary, hashes binary, hot binary, ready boolean"
-_ANSWER = "chunk int, docs binary, hashes binary, hot binary"
-
-
-def _blocks(ranges: int):
-    """Anchors of a batch of documents as blocks by hash range."""
-
-    def run(frames):
-        for number, pdf in enumerate(frames):
-            docs = pdf["doc_id"].to_numpy(dtype=np.int64)
-            hashes, owners = [], []
-            for first, _, buf, starts in B.groups([B.as_bytes(t) for t in pdf["text"]]):
-                found = _strings(buf, starts)
-                if found is None:
-                    continue
-                begin, _ = _segments(found[0], found[2])
-                hashes.append(found[0][begin])
-                owners.append(docs[first + np.searchsorted(starts, begin, side="right") - 1])
-            if not hashes:
-                continue
-            h, d = np.concatenate(hashes), np.concatenate(owners)
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            once = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
-            h, d = h[once], d[once]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            many = np.diff(np.append(first, len(h)))
-            hot = np.repeat(many >= BATCH_HOT, many)
-            if hot.any():
-                # Known to be repeated here: the answer for these documents is ready, and the range gets one entry.
-                spread = int(B.mix(d[:1].astype(np.uint64))[0] % B.U(ranges))
-                yield _block([(spread, d[hot], h[hot], np.ones(int(hot.sum()), np.uint8), True)])
-                keep = ~hot
-                keep[first[many >= BATCH_HOT]] = True
-                h, d, hot = h[keep], d[keep], hot[keep]
-            bucket = (h >> B.U(64 - ranges.bit_length() + 1)).astype(np.int64) if ranges > 1 else np.zeros(len(h), np.int64)
-            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(h))
-            yield _block([(int(bucket[a]), d[a:b], h[a:b], hot[a:b].view(np.uint8), False) for a, b in zip(cuts[:-1], cuts[1:])])
-
-    return run
-
-
-def _block(rows) -> pd.DataFrame:
-    return pd.DataFrame([(a, d.tobytes(), h.tobytes(), x.tobytes(), ready) for a, d, h, x, ready in rows], columns=["bucket", "docs", "hashes", "hot", "ready"])
-
-
-def _join(parts, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), dtype=kind)
-
-
-def _answers(chunks: int):
-    """The repeated anchors of a range, by chunk of documents."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ready = pdf["ready"].to_numpy(dtype=bool)
-        d, h, x = (_join(pdf.loc[~ready, c], k) for c, k in (("docs", np.int64), ("hashes", np.uint64), ("hot", np.uint8)))
-        if len(h):
-            order = np.argsort(h, kind="stable")
-            d, h, x = d[order], h[order], x[order]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            many = np.diff(np.append(first, len(h)))
-            marked = np.maximum.reduceat(x, first)
-            repeated = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | (marked > 0)
-            keep = np.repeat(repeated, many)
-            hot = np.repeat((marked > 0) | (many >= HOT), many)[keep].astype(np.uint8)
-            d, h = d[keep], h[keep]
-        else:
-            hot = x
-        d, h, hot = (np.concatenate([a, _join(pdf.loc[ready, c], k)]) for a, c, k in ((d, "docs", np.int64), (h, "hashes", np.uint64), (hot, "hot", np.uint8)))
-        chunk = np.mod(spark_hash(d), chunks)
-        order = np.argsort(chunk, kind="stable")
-        d, h, hot, chunk = d[order], h[order], hot[order], chunk[order]
-        cuts = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(d)) if len(d) else np.zeros(1, int)
-        rows = [(int(chunk[a]), d[a:b].tobytes(), h[a:b].tobytes(), hot[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-        return pd.DataFrame(rows, columns=["chunk", "docs", "hashes", "hot"])
-
-    return run
+def _anchors(pdf: pd.DataFrame):
+    """Distinct anchors of each document."""
+    docs = pdf["doc_id"].to_numpy(dtype=np.int64)
+    for first, _, buf, starts in B.groups([B.as_bytes(t) for t in pdf["text"]]):
+        found = _strings(buf, starts)
+        if found is not None:
+            begin, _ = _segments(found[0], found[2])
+            yield found[0][begin], docs[first + np.searchsorted(starts, begin, side="right") - 1]
 
 
 _SEGMENT = pa.schema([
@@ -198,9 +114,10 @@ _SEGMENT = pa.schema([
 def _cut(documents: pa.Table, answers: pa.Table) -> pa.Table:
     """Segments of the repeated anchors of one chunk of documents. ``content`` names the bytes together with the
     anchor; the first segment of each content carries the bytes, the chunk's least document and the count."""
-    d, h, x = (_join((v for v in answers[c].to_pylist() if v is not None), k) for c, k in (("docs", np.int64), ("hashes", np.uint64), ("hot", np.uint8)))
+    kinds = (("keys", np.int64), ("hashes", np.uint64), ("classes", np.uint8))
+    d, h, c = (together((v for v in answers[n].to_pylist() if v is not None), t) for n, t in kinds)
     copies = {(i, k) for i, k in zip(answers["doc_id"].to_pylist(), answers["text_key"].to_pylist()) if i is not None}
-    known, hot_names, with_any = np.unique(h), np.unique(h[x > 0]), set(np.unique(d).tolist())
+    known, hot_names, with_any = np.unique(h), np.unique(h[c >= HOT_CLASS]), set(np.unique(d).tolist())
     ids, texts, keys = documents["doc_id"].to_pylist(), documents["text"].to_pylist(), documents["text_key"].to_pylist()
     rows = [i for i, doc in enumerate(ids) if doc in with_any and (doc, keys[i]) not in copies]
     parts: list[tuple] = []
@@ -324,7 +241,6 @@ def _prepared(documents: DataFrame):
     total = sizes.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]  # one number
     least = 2 * spark.sparkContext.defaultParallelism
     chunks, shards = max(least, -(-total // CHUNK_BYTES)), max(least, -(-total // SHARD_BYTES))
-    ranges = 1 << max(4, int(total / 18 / RANGE_ANCHORS).bit_length())
     whole = sizes.filter(f"doc_id IS NOT NULL AND n_bytes >= {LENGTH}")
     firsts = whole.groupBy("md5").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = stored(whole.join(firsts, "md5").filter("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
@@ -333,13 +249,10 @@ def _prepared(documents: DataFrame):
         return F.pmod(F.when(doc.isNotNull(), F.hash(doc)).otherwise(F.hash(other)), F.lit(int(chunks))).cast("int")
 
     named = documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    blocks = named.mapInPandas(_blocks(ranges), _BLOCK)
-    answers = blocks.groupBy("bucket").applyInPandas(_answers(int(chunks)), _ANSWER)
-    answers = answers.select("chunk", "docs", "hashes", "hot", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_key"))
     doc = F.col("doc_id")
-    empty = F.lit(None).cast("binary")
-    out = copies.select(chunk(doc, doc).alias("chunk"), empty.alias("docs"), empty.alias("hashes"), empty.alias("hot"), "doc_id", "text_key")
-    answers = stored(answers.unionByName(out), "anchors")
+    answers = repeated(named, _anchors, total / 18, chunks)  # about one anchor in 18 bytes
+    answers = answers.unionByName(copies.withColumn("chunk", chunk(doc, doc)), allowMissingColumns=True)
+    answers = stored(answers, "anchors")
     texts = named.withColumn("text_key", key).withColumn("chunk", chunk(doc, doc))
     columns = "doc_id long, text_key long, start int, places int, anchor long, content long, bytes binary, least long, n long"
     segments = stored(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut, columns), "segments")
