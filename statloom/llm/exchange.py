@@ -51,7 +51,7 @@ def together(parts: Iterable[bytes], kind) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype=kind)
 
 
-def _cuts(sorted_values: np.ndarray) -> np.ndarray:
+def cuts_of(sorted_values: np.ndarray) -> np.ndarray:
     """Begins of the runs of equal values, and the end."""
     if not len(sorted_values):
         return np.zeros(1, dtype=np.int64)
@@ -76,7 +76,7 @@ def _blocks(produce: Callable, ranges: int):
             h, k = h[order], k[order]
             once = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))
             h, k = h[once], k[once]
-            cuts = _cuts(h)
+            cuts = cuts_of(h)
             many = np.diff(cuts)
             hot = np.repeat(many >= BATCH_HOT, many)
             if hot.any():
@@ -87,7 +87,7 @@ def _blocks(produce: Callable, ranges: int):
                 h, k, hot = h[keep], k[keep], hot[keep]
             bucket = (h >> shift).astype(np.int64)
             classes = np.where(hot, TOP, 0).astype(np.uint8)
-            cuts = _cuts(bucket)
+            cuts = cuts_of(bucket)
             yield _frame([(int(bucket[a]), k[a:b], h[a:b], classes[a:b], False) for a, b in zip(cuts[:-1], cuts[1:])])
 
     return run
@@ -101,7 +101,7 @@ def _answers(chunks: int):
         if len(h):
             order = np.argsort(h, kind="stable")
             k, h, c = k[order], h[order], c[order]
-            cuts = _cuts(h)
+            cuts = cuts_of(h)
             many, first = np.diff(cuts), cuts[:-1]
             marked = np.maximum.reduceat(c, first)
             repeated = (np.minimum.reduceat(k, first) != np.maximum.reduceat(k, first)) | (marked > 0)
@@ -113,7 +113,7 @@ def _answers(chunks: int):
         chunk = np.mod(spark_hash(k), chunks)
         order = np.argsort(chunk, kind="stable")
         k, h, c, chunk = k[order], h[order], c[order], chunk[order]
-        cuts = _cuts(chunk)
+        cuts = cuts_of(chunk)
         rows = [(int(chunk[a]), k[a:b].tobytes(), h[a:b].tobytes(), c[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
         return pd.DataFrame(rows, columns=["chunk", "keys", "hashes", "classes"])
 

@@ -4,14 +4,15 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a doc
 judged on the input. The work is split so that equal strings always meet and most text never moves:
 
 1. Every string of ``LENGTH`` bytes has an anchor, the grain of ``GRAIN`` bytes with the least hash inside it. Equal
-   strings have equal anchors. Each task sends the hashes of its anchors, in blocks by hash range; a range finds
-   the anchors that lie in two documents or more and answers by document.
-2. Documents cut out the segments (bytes of neighbouring strings with one anchor) of those anchors. Equal segments are
-   one row with the smallest document. Segments of one anchor go to one shard; those of a hot anchor are cut further
-   by a second anchor, so that frequent phrases in different surroundings are spread.
+   strings have equal anchors. A segment is the bytes of neighbouring strings with one anchor. Each task sends anchor,
+   hash of the segment and smallest document, in blocks by hash range; equal segments of a task are sent once. A range
+   finds the anchors that lie in two documents or more. Equal segments are pre-aggregated: all but the one of the
+   smallest document are answered as covered.
+2. That one document cuts the segment out and sends its bytes to a shard by anchor. Segments of an anchor with many
+   different surroundings are cut further by a second anchor, so that frequent phrases are spread.
 3. A shard sorts the suffixes of its distinct segments (induced sorting) and computes permuted common prefixes; runs
    of the order with ``LENGTH`` bytes in common are equal strings, and each gets its smallest document.
-4. Segments return to their documents, which drop the bytes of strings that a smaller document has.
+4. Answers return to their documents, which drop the bytes of strings that a smaller document has.
 
 Documents whose whole text a smaller document has skip 2 to 4. Null texts are empty; a document shorter than ``LENGTH``
 bytes loses nothing. A null id is neither smaller nor larger than another: such rows keep everything. Rows with one id
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from statloom.llm import bytesets as B
 from statloom.llm import suffix
-from statloom.llm.exchange import repeated, together
+from statloom.llm.exchange import cuts_of, number_of_ranges, spark_hash, together
 from statloom.llm.registry import query, table
 from statloom.llm.storage import stored
 
@@ -39,9 +40,8 @@ GRAIN = 16
 #: Expected size of one group of work. They set how many groups there are, never what a group may hold.
 CHUNK_BYTES = 6_000_000
 SHARD_BYTES = 3_000_000
-#: Anchors of this class or above (a thousand documents, or hot in one batch of rows) are hot.
-HOT_CLASS = 11
-
+#: An anchor with so many different segments is split by a second anchor.
+SPLIT = 500
 
 def _grain_hashes(buf: np.ndarray) -> np.ndarray:
     """Hash of the ``GRAIN`` (a power of two) bytes from every place."""
@@ -95,72 +95,151 @@ def _segments(anchors: np.ndarray, counts: np.ndarray, also: np.ndarray | None =
     return begin, np.flatnonzero(stop) - begin + 1
 
 
-def _anchors(pdf: pd.DataFrame):
-    """Distinct anchors of each document."""
-    docs = pdf["doc_id"].to_numpy(dtype=np.int64)
-    for first, _, buf, starts in B.groups([B.as_bytes(t) for t in pdf["text"]]):
-        found = _strings(buf, starts)
-        if found is not None:
-            begin, _ = _segments(found[0], found[2])
-            yield found[0][begin], docs[first + np.searchsorted(starts, begin, side="right") - 1]
+_BLOCK = "bucket int, docs binary, anchors binary, contents binary, status binary"
+_ANSWER = "chunk int, docs binary, contents binary, status binary"
+#: Of a sent segment: alone in its batch, or not. Of an answer: a smaller document has all of it, or its one document
+#: must cut it out, as it is or split.
+_ALONE, _SHARED, _COVERED, _CUT, _SPLIT = range(5)
+
+
+def _blocks(ranges: int):
+    """Segments of a batch of documents by range of the anchor. Of equal segments the smallest document is sent; for
+    the others the answer is known."""
+    shift = B.U(64 - ranges.bit_length() + 1)
+
+    def run(frames):
+        for pdf in frames:
+            docs = pdf["doc_id"].to_numpy(dtype=np.int64)
+            parts = []
+            for first, _, buf, starts in B.groups([B.as_bytes(t) for t in pdf["text"]]):
+                found = _strings(buf, starts)
+                if found is not None:
+                    begin, places = _segments(found[0], found[2])
+                    content = B.span_hashes(buf, begin, begin + places + LENGTH - 1)
+                    parts.append((found[0][begin], content, docs[first + np.searchsorted(starts, begin, side="right") - 1]))
+            if not parts:
+                continue
+            h, c, d, new = _distinct(*(np.concatenate(x) for x in zip(*parts)))
+            shared = np.append(new[1:], True)[new] == False  # noqa: E712
+            later = ~new
+            rows = []
+            if later.any():
+                spread = int(B.mix(d[:1].view(np.uint64))[0] % B.U(ranges))
+                rows.append((spread, d[later].tobytes(), b"", c[later].tobytes(), np.full(int(later.sum()), _COVERED, np.uint8).tobytes()))
+            h, c, d, status = h[new], c[new], d[new], np.where(shared, _SHARED, _ALONE).astype(np.uint8)
+            bucket = (h >> shift).astype(np.int64)
+            cuts = cuts_of(bucket)
+            rows += [(int(bucket[a]), d[a:b].tobytes(), h[a:b].tobytes(), c[a:b].tobytes(), status[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pd.DataFrame(rows, columns=["bucket", "docs", "anchors", "contents", "status"])
+
+    return run
+
 
+def _distinct(h, c, d, *more):
+    """Sorted distinct triples and which are the first of their anchor and content."""
+    order = np.lexsort((d, c, h))
+    h, c, d, *more = (x[order] for x in (h, c, d, *more))
+    same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    once = np.append(True, ~(same & (d[1:] == d[:-1])))
+    new = np.append(True, ~same)
+    return *(x[once] for x in (h, c, d)), new[once], *(x[once] for x in more)
+
+
+def _answers(chunks: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sent = pdf["anchors"].str.len().to_numpy() > 0
+        kinds = (("anchors", np.uint64), ("contents", np.uint64), ("docs", np.int64), ("status", np.uint8))
+        h, c, d, s = (together(pdf.loc[sent, n], t) for n, t in kinds)
+        if len(h):
+            h, c, d, new, s = _distinct(h, c, d, s)
+            cuts = cuts_of(h)
+            first, many = cuts[:-1], np.diff(cuts)
+            contents = np.add.reduceat(new.astype(np.int64), first)
+            repeated = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | (np.maximum.reduceat(s, first) > 0)
+            # An anchor's only segment has nothing to be compared with, besides its equals.
+            cut = np.repeat(np.where(contents >= SPLIT, _SPLIT, np.where(contents > 1, _CUT, _ALONE)), many)
+            answer = np.where(new, cut, _COVERED).astype(np.uint8)
+            keep = np.repeat(repeated, many) & (answer != _ALONE)
+            c, d, s = c[keep], d[keep], answer[keep]
+        c, d, s = (np.concatenate([x, together(pdf.loc[~sent, n], t)]) for x, (n, t) in zip((c, d, s), kinds[1:]))
+        chunk = np.mod(spark_hash(d), chunks)
+        order = np.argsort(chunk, kind="stable")
+        c, d, s, chunk = c[order], d[order], s[order], chunk[order]
+        cuts = cuts_of(chunk)
+        rows = [(int(chunk[a]), d[a:b].tobytes(), c[a:b].tobytes(), s[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pd.DataFrame(rows, columns=["chunk", "docs", "contents", "status"])
 
-_SEGMENT = pa.schema([
-    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("places", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()),
-    ("bytes", pa.binary()), ("least", pa.int64()), ("n", pa.int64()),
-])
+    return run
+
+
+_SEGMENT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("places", pa.int32()), ("anchor", pa.int64()), ("bytes", pa.binary())])
+_SEGMENT_COLUMNS = "doc_id long, text_key long, start int, places int, anchor long, bytes binary"
+
+
+def _named(doc: np.ndarray, content: np.ndarray) -> np.ndarray:
+    return B.mix(content ^ B.mix(doc.view(np.uint64) + B.U(1)))
 
 
 def _cut(documents: pa.Table, answers: pa.Table) -> pa.Table:
-    """Segments of the repeated anchors of one chunk of documents. ``content`` names the bytes together with the
-    anchor; the first segment of each content carries the bytes, the chunk's least document and the count."""
-    kinds = (("keys", np.int64), ("hashes", np.uint64), ("classes", np.uint8))
-    d, h, c = (together((v for v in answers[n].to_pylist() if v is not None), t) for n, t in kinds)
+    """Of one chunk of documents: covered runs (without bytes) and the segments to be sorted, with their bytes."""
+    kinds = (("docs", np.int64), ("contents", np.uint64), ("status", np.uint8))
+    d, c, s = (together((v for v in answers[n].to_pylist() if v is not None), t) for n, t in kinds)
     copies = {(i, k) for i, k in zip(answers["doc_id"].to_pylist(), answers["text_key"].to_pylist()) if i is not None}
-    known, hot_names, with_any = np.unique(h), np.unique(h[c >= HOT_CLASS]), set(np.unique(d).tolist())
+    known = _named(d, c)
+    order = np.lexsort((-s.astype(np.int64), known))  # of two answers to one document the one that asks for more
+    known, s = known[order], s[order]
+    with_any = set(np.unique(d).tolist())
     ids, texts, keys = documents["doc_id"].to_pylist(), documents["text"].to_pylist(), documents["text_key"].to_pylist()
     rows = [i for i, doc in enumerate(ids) if doc in with_any and (doc, keys[i]) not in copies]
-    parts: list[tuple] = []
-    raws: list[bytes] = []
+    parts, held = [], []
     for first, _, buf, starts in B.groups([B.as_bytes(texts[i]) for i in rows]):
-        found = _strings(buf, starts, second=len(hot_names) > 0)
+        found = _strings(buf, starts, second=True)
         if found is None:
             continue
-        name, seconds, counts = found
-        flagged = counts & (known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name)
-        if len(hot_names):
-            # A hot anchor is taken together with the string's second anchor.
-            hot = hot_names[np.minimum(np.searchsorted(hot_names, name), len(hot_names) - 1)] == name
-            name = np.where(hot, B.mix(name ^ (seconds << B.U(1))), name)
-        begin, places = _segments(name, flagged)
-        doc = np.searchsorted(starts, begin, side="right") - 1
-        row = np.array(rows[first : first + len(starts) - 1])[doc]
-        content = B.span_hashes(buf, begin, begin + places + LENGTH - 1)
-        parts.append((row, begin - starts[doc], places, name[begin], content, np.full(len(begin), len(raws)), begin))
-        raws.append(buf.tobytes())
+        anchors, seconds, counts = found
+        begin, places = _segments(anchors, counts)
+        local = np.searchsorted(starts, begin, side="right") - 1
+        row = np.array(rows[first : first + len(starts) - 1])[local]
+        doc = np.array([ids[i] for i in rows[first : first + len(starts) - 1]], dtype=np.int64)[local]
+        name = _named(doc, B.span_hashes(buf, begin, begin + places + LENGTH - 1))
+        at = np.minimum(np.searchsorted(known, name), len(known) - 1)
+        status = np.where(known[at] == name, s[at], _ALONE)
+        covered = np.flatnonzero(status == _COVERED)
+        if len(covered):
+            b, n = begin[covered], places[covered]
+            apart = np.append(True, (b[1:] != b[:-1] + n[:-1]) | (row[covered][1:] != row[covered][:-1]))
+            head = np.flatnonzero(apart)
+            parts.append((row[covered][head], b[head] - starts[local[covered][head]], np.add.reduceat(n, head), np.zeros(len(head), np.uint64)))
+            held.extend([None] * len(head))
+        raw = buf.tobytes()
+        whole = status == _CUT
+        name = anchors[begin]
+        if (status == _SPLIT).any():
+            inside = np.zeros(len(anchors), dtype=bool)
+            for b, n in zip(begin[status == _SPLIT].tolist(), places[status == _SPLIT].tolist()):
+                inside[b : b + n] = True
+            b, n = _segments(anchors, inside, seconds)
+            k = np.searchsorted(begin, b, side="right") - 1
+            again = B.mix(anchors[b] ^ (seconds[b] << B.U(1)))
+            begin, places, name = np.concatenate([begin[whole], b]), np.concatenate([places[whole], n]), np.concatenate([name[whole], again])
+            row, local = np.concatenate([row[whole], row[k]]), np.concatenate([local[whole], local[k]])
+        else:
+            begin, places, name, row, local = begin[whole], places[whole], name[whole], row[whole], local[whole]
+        parts.append((row, begin - starts[local], places, name))
+        held.extend(raw[b : b + n + LENGTH - 1] for b, n in zip(begin.tolist(), places.tolist()))
     if not parts:
         return _SEGMENT.empty_table()
-    row, start, places, name, content, raw, begin = (np.concatenate(c) for c in zip(*parts))
-    doc = np.array([i if i is not None else -1 for i in ids], dtype=np.int64)[row]
-    order = np.lexsort((doc, name, content))
-    new = np.flatnonzero(np.append(True, (content[order][1:] != content[order][:-1]) | (name[order][1:] != name[order][:-1])))
-    least, n = np.full(len(row), -1, dtype=np.int64), np.zeros(len(row), dtype=np.int64)
-    least[order[new]] = doc[order[new]]
-    n[order[new]] = np.diff(np.append(new, len(order)))
-    held: list[bytes | None] = [None] * len(row)
-    for i in order[new].tolist():
-        at = int(begin[i])
-        held[i] = raws[raw[i]][at : at + int(places[i]) + LENGTH - 1]
-    columns = [doc, np.array(keys, dtype=np.int64)[row], start.astype(np.int32), places.astype(np.int32), name.view(np.int64), content.view(np.int64)]
-    return pa.Table.from_arrays([*map(pa.array, columns), pa.array(held, pa.binary()), pa.array(least), pa.array(n)], schema=_SEGMENT)
+    row, start, places, name = (np.concatenate(x) for x in zip(*parts))
+    doc, key = np.array([-1 if i is None else i for i in ids], dtype=np.int64)[row], np.array(keys, dtype=np.int64)[row]
+    columns = [doc, key, start.astype(np.int32), places.astype(np.int32), name.astype(np.uint64).view(np.int64)]
+    return pa.Table.from_arrays([*map(pa.array, columns), pa.array(held, pa.binary())], schema=_SEGMENT)
 
 
-_FIRST = "anchor long, content long, low long, firsts binary"
+_FIRST = "doc_id long, text_key long, start int, places int, firsts binary"
 
 
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each distinct segment of a shard the smallest document of each of its strings."""
-    pdf = pdf.groupby(["anchor", "content"], sort=False).agg(bytes=("bytes", "first"), least=("least", "min"), n=("n", "sum")).reset_index()
+    """The smallest document of each string of a shard's segments, for segments that have a string of a smaller one."""
     segments = pdf["bytes"].tolist()
     sizes = np.array([len(s) for s in segments], dtype=np.int64)
     # Bytes move up by one, so that 0 is the end of a segment; UTF-8 has no byte 0xFE or 0xFF.
@@ -168,19 +247,19 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     order = suffix.suffix_array(t)
     common = suffix.common_prefixes(t, order)
-    owner = np.repeat(np.arange(len(segments)), sizes + 1)
-    docs = pdf["least"].to_numpy(dtype=np.int64)
+    docs = pdf["doc_id"].to_numpy(dtype=np.int64)
+    owner = np.repeat(docs, sizes + 1)
     group = np.flatnonzero(np.append(True, common[order[1:]] < LENGTH))
-    least = np.minimum.reduceat(docs[owner[order]], group)
+    least = np.minimum.reduceat(owner[order], group)
     first = np.empty(len(t), dtype=np.int64)
     first[order] = np.repeat(least, np.diff(np.append(group, len(t))))
-    rows = []
-    for anchor, content, b, n, doc, count in zip(*(c.tolist() for c in (pdf["anchor"], pdf["content"], begins, sizes, docs, pdf["n"]))):
+    firsts, kept = [], []
+    for i, (b, n, doc) in enumerate(zip(begins.tolist(), sizes.tolist(), docs.tolist())):
         own = first[b : b + n - LENGTH + 1]
-        low, high = int(own.min()), int(own.max())
-        if low < doc or count > 1:
-            rows.append((anchor, content, low, (own[:1] if low == high else own).tobytes()))
-    return pd.DataFrame(rows, columns=["anchor", "content", "low", "firsts"])
+        if (own < doc).any():
+            kept.append(i)
+            firsts.append(own.tobytes())
+    return pdf.iloc[kept][["doc_id", "text_key", "start", "places"]].assign(firsts=firsts)
 
 
 _DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -217,17 +296,18 @@ def _drop(kept_text: bool, schema: pa.Schema):
 
 def removed_spans(doc: int, size: int, marks: list[tuple]) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by strings whose smallest document is below ``doc``. A mark without a start says
-    that a smaller document has the whole text."""
+    that a smaller document has the whole text; one without firsts, that it has all the places."""
     if any(start is None for start, _, _ in marks):
         return [(0, size)] if size >= LENGTH else []
     edge = np.zeros(size + 1, dtype=np.int32)
     for start, places, firsts in marks:
-        hit = np.frombuffer(firsts, dtype=np.int64) < doc
-        if len(hit) == 1:
-            hit = np.repeat(hit, places)
-        at = start + np.flatnonzero(hit)
-        edge[at] += 1
-        edge[at + LENGTH] -= 1
+        if firsts is None:
+            edge[start] += 1
+            edge[start + places + LENGTH - 1] -= 1
+        else:
+            at = start + np.flatnonzero(np.frombuffer(firsts, dtype=np.int64) < doc)
+            edge[at] += 1
+            edge[at + LENGTH] -= 1
     s, e = B.runs(np.cumsum(edge[:size]) > 0)
     return list(zip(s.tolist(), e.tolist()))
 
@@ -250,18 +330,15 @@ def _prepared(documents: DataFrame):
 
     named = documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     doc = F.col("doc_id")
-    answers = repeated(named, _anchors, total / 18, chunks)  # about one anchor in 18 bytes
-    answers = answers.unionByName(copies.withColumn("chunk", chunk(doc, doc)), allowMissingColumns=True)
-    answers = stored(answers, "anchors")
+    ranges = number_of_ranges(total / 18)  # about one anchor in 18 bytes
+    answers = named.mapInPandas(_blocks(ranges), _BLOCK).groupBy("bucket").applyInPandas(_answers(int(chunks)), _ANSWER)
+    answers = stored(answers.unionByName(copies.withColumn("chunk", chunk(doc, doc)), allowMissingColumns=True), "anchors")
     texts = named.withColumn("text_key", key).withColumn("chunk", chunk(doc, doc))
-    columns = "doc_id long, text_key long, start int, places int, anchor long, content long, bytes binary, least long, n long"
-    segments = stored(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut, columns), "segments")
-    distinct = segments.filter("bytes IS NOT NULL").select(F.pmod(F.hash("anchor"), F.lit(int(shards))).alias("shard"), "anchor", "content", "bytes", "least", "n")
-    strings = distinct.groupBy("shard").applyInPandas(_shard, _FIRST)
-    places = segments.select("doc_id", "text_key", "start", "places", "anchor", "content")
-    found = places.join(strings, ["anchor", "content"]).filter("low < doc_id").select("doc_id", "text_key", "start", "places", "firsts")
-    none = F.lit(None)
-    found = found.unionByName(copies.select("doc_id", "text_key", none.cast("int").alias("start"), none.cast("int").alias("places"), none.cast("binary").alias("firsts")))
+    segments = stored(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut, _SEGMENT_COLUMNS), "segments")
+    shard = F.pmod(F.hash("anchor"), F.lit(int(shards)))
+    found = segments.filter("bytes IS NOT NULL").withColumn("shard", shard).groupBy("shard").applyInPandas(_shard, _FIRST)
+    found = found.unionByName(segments.filter("bytes IS NULL").select("doc_id", "text_key", "start", "places"), allowMissingColumns=True)
+    found = found.unionByName(copies, allowMissingColumns=True)
     return found.withColumn("chunk", chunk(doc, doc)), chunk, key
 
 
