@@ -10,11 +10,11 @@ prefixes are extended:
 2. Rare first. Of the extended prefix only the rarest ``2p - p'`` tokens are indexed (p' is p of the smallest partner),
    so up to half may be frequent and cost nothing. Tokens of one set only fill their places without a row.
 3. Single tokens and combinations. A rare token is indexed alone: its group is small, and all its pairs are candidates.
-   A frequent token makes a large group. Its sets are compared with one leader, the smallest; then two of them
-   that aren't both linked with the leader either share a token that the leader lacks, which makes the combined
-   key (leader's tokens, that token), or share none and must pass a bound on what the leader leaves them. Combined keys
-   that are still large get another leader and another token. Rows grow with the tokens beside the leader's,
-   not with pairs of the group.
+   A frequent token makes a large group. The tokens that more than half of a group have are its core, and the set nearest
+   to the core is its leader, with which all are compared. Two sets of the group that aren't both linked with
+   the leader either share a token beside the core, which makes the combined key (group, token), or share none and
+   must pass a bound on what they have of the core. A combined key has half of its group at most; large ones get a core,
+   a leader and another token. Rows grow with the tokens beside the core, not with pairs of the group.
 4. Candidates are verified on whole texts. Links give components by alternating stars.
 
 Null and empty texts have an empty set and are linked with nothing. A text with fewer than four words has one token.
@@ -134,103 +134,149 @@ def _postings(percent: int):
     return run
 
 
+def _sides(pdf: pd.DataFrame, *sides: tuple[str, str]) -> dict:
+    """Tokens of the sets named in the columns, each computed once."""
+    found = {}
+    for name, text in sides:
+        unique = pdf.drop_duplicates(name)
+        for first, cuts, value in tokens([B.as_bytes(t) for t in unique[text]]):
+            names = unique[name].to_numpy()[first : first + len(cuts) - 1]
+            found.update((k, value[a:b]) for k, a, b in zip(names.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
+    return found
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the sorted a are in the sorted b."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), dtype=bool)
+
+
 def _compare(percent: int):
-    """Verified pairs: overlap and, where asked, the index tokens of ``x`` beside the leader ``y``."""
+    """Which pairs are linked."""
 
     def run(frames):
         for pdf in frames:
-            sides = {}
-            for side in ("x", "y"):
-                unique = pdf.drop_duplicates(side)
-                for first, cuts, value in tokens([B.as_bytes(t) for t in unique[f"text_{side}"]]):
-                    names = unique[side].to_numpy()[first : first + len(cuts) - 1]
-                    sides.update((k, value[a:b]) for k, a, b in zip(names.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
+            value = _sides(pdf, ("x", "text_x"), ("y", "text_y"))
             rows = []
-            for x, y, wide in zip(pdf["x"].tolist(), pdf["y"].tolist(), pdf["wide"].tolist()):
-                a, b = sides[x], sides[y]
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                common = b[at] == a
-                both = int(common.sum())
-                beside = b""
-                if wide:
-                    extra = a[~common]
-                    need = max(int(shares(np.int64(len(a)), percent)) - both, 1)
-                    beside = extra[: max(len(extra) - need + 1, 0)].tobytes()
-                rows.append((x, y, bool(wide), both, len(a), len(b), 100 * both >= percent * (len(a) + len(b) - both), beside))
-            yield pd.DataFrame(rows, columns=["x", "y", "wide", "both", "n_x", "n_y", "linked", "beside"])
+            for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist()):
+                a, b = value[x], value[y]
+                both = int(_shared(a, b).sum())
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    rows.append((x, y))
+            yield pd.DataFrame(rows, columns=["x", "y"])
 
     return run
 
 
-_PAIR = "x long, y long, wide boolean, both long, n_x long, n_y long, linked boolean, beside binary"
+def _counts(frames):
+    """How many sets of each group in a batch have each token."""
+    for pdf in frames:
+        value = _sides(pdf, ("key", "text"))
+        for group, keys in pdf.groupby("token")["key"]:
+            names, n = np.unique(np.concatenate([value[k] for k in keys.tolist()]), return_counts=True)
+            yield pd.DataFrame({"token": np.full(len(names), group), "part": names.view(np.int64), "n": n})
+
+
+_PROFILE = "token long, key long, both long, n long, near double, beside binary"
+
+
+def _profiles(percent: int):
+    """What a set has of its group's core, and the tokens beside the core of which a partner must have one."""
+
+    def run(frames):
+        for pdf in frames:
+            value = _sides(pdf, ("key", "text"))
+            rows = []
+            for group, key, core in zip(pdf["token"].tolist(), pdf["key"].tolist(), pdf["core"].tolist()):
+                a, b = value[key], np.sort(np.asarray(core, dtype=np.int64).view(np.uint64))
+                common = _shared(a, b)
+                both = int(common.sum())
+                extra = a[~common]
+                need = max(int(shares(np.int64(len(a)), percent)) - both, 1)
+                rows.append((group, key, both, len(a), both / (len(a) + len(b) - both), extra[: max(len(extra) - need + 1, 0)].tobytes()))
+            yield pd.DataFrame(rows, columns=["token", "key", "both", "n", "near", "beside"])
+
+    return run
 
 
 def _unpack(frames):
     for pdf in frames:
-        n = pdf["beside"].str.len() // 8
-        flat = together(pdf["beside"], np.int64)
-        key = np.repeat(pdf["x"].to_numpy(), n)
-        lead = np.repeat(pdf["y"].to_numpy(), n).view(np.uint64)
-        token = B.mix(lead ^ B.mix(flat.view(np.uint64))).view(np.int64)
-        yield pd.DataFrame({"token": token, "key": key, "n": np.repeat(pdf["n_x"].to_numpy(), n)})
+        n = (pdf["beside"].str.len() // 8).to_numpy()
+        flat = together(pdf["beside"], np.uint64)
+        token = B.mix(np.repeat(pdf["token"].to_numpy().view(np.uint64), n) ^ B.mix(flat)).view(np.int64)
+        yield pd.DataFrame({"token": token, "key": np.repeat(pdf["key"].to_numpy(), n), "n": np.repeat(pdf["n"].to_numpy(), n)})
+
+
+def _grouped(index: DataFrame) -> DataFrame:
+    """Index entries of tokens that have two sets or more, with the size of the group and its smallest set."""
+    groups = index.groupBy("token").agg(F.count("*").alias("size"), F.min("key").alias("least")).filter("size > 1")
+    return stored(index.join(groups, "token"), "groups")
 
 
 def links(rows: DataFrame, sets: DataFrame, index: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All pairs of sets ``x > y`` that reach ``percent``, but for pairs that links of a common leader join anyway.
+    """All pairs of sets ``x, y`` that reach ``percent``, but for pairs that links of a common leader join anyway.
     ``rows``: (doc_id, text); ``sets``: (key, doc_id, content) with the row that stands for a set and the hash of its
     text; ``index``: (token, key, n)."""
     groups = _grouped(stored(index, "index"))
     content = F.xxhash64(F.coalesce("text", F.lit("")))
     wanted = sets.join(groups.select("key").distinct(), "key").select("key", "doc_id", "content")
-    active = stored(rows.withColumn("content", content).join(wanted, ["doc_id", "content"]).select("key", "text").dropDuplicates(["key"]), "active")
+    texts = rows.withColumn("content", content).join(wanted, ["doc_id", "content"]).select("key", "text").dropDuplicates(["key"])
+    texts = stored(texts, "active")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = active.select(F.col("key").alias("x"), F.col("text").alias("text_x"))
-        y = active.select(F.col("key").alias("y"), F.col("text").alias("text_y"))
-        return stored(pairs.join(x, "x").join(y, "y").mapInPandas(_compare(percent), _PAIR), "pairs")
+        x = texts.select(F.col("key").alias("x"), F.col("text").alias("text_x"))
+        y = texts.select(F.col("key").alias("y"), F.col("text").alias("text_y"))
+        return stored(pairs.join(x, "x").join(y, "y").mapInPandas(_compare(percent), "x long, y long"), "links")
 
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"  # a bound by sizes alone
-    out = None
+    out = groups.select(F.col("key").alias("x"), F.col("key").alias("y")).filter("x <> y")
+    first = True
     while not groups.isEmpty():
         few = groups.filter(f"size <= {SMALL_GROUP}").select("token", "key", "n")
         other = few.select("token", F.col("key").alias("other"), F.col("n").alias("m"))
-        near = few.join(other, "token").filter("key > other").filter(fits).select(F.col("key").alias("x"), F.col("other").alias("y"))
-        large = groups.filter(f"size > {SMALL_GROUP} AND key <> leader").select(F.col("key").alias("x"), F.col("leader").alias("y"))
-        # A pair asked for both ways is compared once, with the tokens beside the leader.
-        pairs = near.withColumn("wide", F.lit(0)).union(large.withColumn("wide", F.lit(1))).groupBy("x", "y").agg((F.max("wide") > 0).alias("wide"))
-        done = verified(pairs)
-        wide = done.filter("wide")
-        bound = verified(_left_by_leader(wide, percent))
-        found = done.filter("linked").select("x", "y").union(bound.filter("linked").select("x", "y"))
-        out = found if out is None else out.union(found)
-        # Combined keys: the leader's tokens and one beside them.
-        groups = _grouped(stored(wide.filter("length(beside) > 0").mapInPandas(_unpack, "token long, key long, n long").distinct(), "index"))
-    return out if out is not None else groups.select(F.col("key").alias("x"), F.col("key").alias("y"))
-
-
-def _grouped(index: DataFrame) -> DataFrame:
-    """Index entries of tokens that have two sets or more, with the group's size and its leader, the smallest."""
-    groups = index.groupBy("token").agg(F.count("*").alias("size"), F.min("key").alias("leader")).filter("size > 1")
-    return stored(index.join(groups, "token"), "groups")
-
-
-def _left_by_leader(wide: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one leader's group, not both linked with it, that may reach ``percent`` without sharing a token beside
-    the leader's: they share at most the smaller of their overlaps with it. Sets are counted by profile first, so the
-    comparison is between profiles; sets that must share a token beside are out."""
-    one = wide.filter(f"100 * both >= {percent} * n_x").select("y", "x", "both", "n_x", "linked")
-    kinds = one.select("y", "both", "n_x", "linked").distinct()
+        pairs = few.join(other, "token").filter("key > other").filter(fits).select(F.col("key").alias("x"), F.col("other").alias("y"))
+        large = groups.filter(f"size > {SMALL_GROUP}")
+        if large.isEmpty():
+            return out.union(verified(pairs.distinct()))
+        # Tokens of one family often have the same sets: at first, groups with one smallest set are taken as one.
+        large = large.select((F.col("least") if first else F.col("token")).alias("token"), "key").distinct()
+        large = stored(large, "large")
+        member = large.join(texts, "key")
+        sizes = large.groupBy("token").agg(F.count("*").alias("size"))
+        parts = member.mapInPandas(_counts, "token long, part long, n long").groupBy("token", "part").agg(F.sum("n").alias("n"))
+        core = parts.join(sizes, "token").filter("2 * n > size").groupBy("token").agg(F.collect_list("part").alias("core"))
+        core = stored(core, "core")
+        member = member.join(core, "token", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+        profile = stored(member.mapInPandas(_profiles(percent), _PROFILE), "profiles")
+        leader = profile.groupBy("token").agg(F.max_by("key", F.struct("near", "key")).alias("leader"))
+        led = profile.join(leader, "token")
+        direct = led.filter("key <> leader").select(F.col("key").alias("x"), F.col("leader").alias("y"))
+        done = verified(pairs.union(direct).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+        hit = done.select(F.col("x").alias("p"), F.col("y").alias("q"), F.lit(True).alias("hit"))
+        led = led.join(hit, (F.greatest("key", "leader") == F.col("p")) & (F.least("key", "leader") == F.col("q")), "left")
+        led = led.select("token", "key", "both", "n", (F.coalesce("hit", F.lit(False)) | (F.col("key") == F.col("leader"))).alias("linked"))
+        bound = verified(_within_core(stored(led, "led"), percent))
+        out = out.union(done).union(bound)
+        entries = profile.filter("length(beside) > 0").select("token", "key", "n", "beside").mapInPandas(_unpack, "token long, key long, n long")
+        groups, first = _grouped(stored(entries.distinct(), "index")), False
+    return out
+
+
+def _within_core(led: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a group, not both linked with its leader, that may reach ``percent`` without a common token beside the
+    core: they have at most the smaller of their shares of it in common. Sets are first taken by profile, so
+    profiles are compared and not sets; sets that need a token beside the core are out."""
+    one = led.filter(f"100 * both >= {percent} * n")
+    kinds = one.select("token", "both", "n", "linked").distinct()
     a, b = kinds.alias("a"), kinds.alias("b")
-    least, size = F.least("a.both", "b.both"), F.col("a.n_x") + F.col("b.n_x")
-    fit = (F.col("a.y") == F.col("b.y")) & ~F.col("a.linked") & (100 * least >= percent * (size - least))
-    match = a.join(b, fit).select(
-        "a.y", F.col("a.both").alias("both"), F.col("a.n_x").alias("n_x"), F.col("b.both").alias("both_b"), F.col("b.n_x").alias("n_b"), F.col("b.linked").alias("linked_b")
-    )
-    first = one.filter("NOT linked").select("y", "both", "n_x", "x")
-    second = one.select("y", F.col("both").alias("both_b"), F.col("n_x").alias("n_b"), F.col("linked").alias("linked_b"), F.col("x").alias("z"))
-    pairs = match.join(first, ["y", "both", "n_x"]).join(second, ["y", "both_b", "n_b", "linked_b"]).filter("x <> z")
-    pairs = pairs.select(F.greatest("x", "z").alias("x"), F.least("x", "z").alias("y")).distinct()
-    return pairs.withColumn("wide", F.lit(False))
+    least, size = F.least("a.both", "b.both"), F.col("a.n") + F.col("b.n")
+    fit = (F.col("a.token") == F.col("b.token")) & ~F.col("a.linked") & (100 * least >= percent * (size - least))
+    names = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in ("a", "b") for c in ("both", "n", "linked")]
+    match = a.join(b, fit).select(F.col("a.token").alias("token"), *names)
+    sides = [one.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("both", "n", "linked")], F.col("key").alias(f"key_{s}")) for s in ("a", "b")]
+    for s, side in zip(("a", "b"), sides):
+        match = match.join(side, ["token", f"both_{s}", f"n_{s}", f"linked_{s}"])
+    pairs = match.filter("key_a <> key_b")
+    return pairs.select(F.greatest("key_a", "key_b").alias("x"), F.least("key_a", "key_b").alias("y")).distinct()
 
 
 def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
