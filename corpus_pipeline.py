@@ -1,12 +1,15 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated substrings, secrets, packing."""
+"""The corpus pipeline: toxicity, near duplicates, repeated substrings, secrets, packing.
+
+Each stage takes all that the one before kept. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import toxicity
+from statloom.llm import jaccard, packing, secrets, substrings, toxicity
 from statloom.llm.registry import table
 from statloom.llm.storage import stored
+from statloom.session import fresh_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,15 +17,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five words, four fifths in common."""
+    return jaccard.one_of_each(docs, words=5, percent=80)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings that an earlier document has go from the texts."""
+    return substrings.deduplicate(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked."""
+    return secrets.redact(docs, fresh_dir(spark, "ledger"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all texts in sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_copies),
+    ("repeated substrings", drop_repeats),
+    ("secrets", mask_secrets),
+    ("packing", pack),
 ]
 
+#: Classifier, suffix arrays and tokenizer have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

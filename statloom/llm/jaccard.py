@@ -85,19 +85,23 @@ def prefix(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - shares(n, percent) + 1
 
 
-def _signatures(frames):
+def _signatures(words: int):
     """Size and name of each row's set."""
-    for pdf in frames:
-        n, key = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
-        for first, cuts, value in tokens([B.as_bytes(t) for t in pdf["text"]]):
-            n[first : first + len(cuts) - 1] = np.diff(cuts)
-            key[first : first + len(cuts) - 1] = set_keys(cuts, value)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "content": pdf["content"], "n": n, "key": key})
 
+    def run(frames):
+        for pdf in frames:
+            n, key = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
+            for first, cuts, value in tokens([B.as_bytes(t) for t in pdf["text"]], words):
+                n[first : first + len(cuts) - 1] = np.diff(cuts)
+                key[first : first + len(cuts) - 1] = set_keys(cuts, value)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "content": pdf["content"], "n": n, "key": key})
 
-def _extended(percent: int):
+    return run
+
+
+def _extended(words: int, percent: int):
     def produce(pdf: pd.DataFrame):
-        for _, cuts, value in tokens([B.as_bytes(t) for t in pdf["text"]]):
+        for _, cuts, value in tokens([B.as_bytes(t) for t in pdf["text"]], words):
             n, key = np.diff(cuts), set_keys(cuts, value)
             some = n > 0
             length = np.where(some, 2 * prefix(np.maximum(n, 1), percent) - 1, 0)
@@ -134,12 +138,12 @@ def _postings(percent: int):
     return run
 
 
-def _sides(pdf: pd.DataFrame, *sides: tuple[str, str]) -> dict:
+def _sides(words: int, pdf: pd.DataFrame, *sides: tuple[str, str]) -> dict:
     """Tokens of the sets named in the columns, each computed once."""
     found = {}
     for name, text in sides:
         unique = pdf.drop_duplicates(name)
-        for first, cuts, value in tokens([B.as_bytes(t) for t in unique[text]]):
+        for first, cuts, value in tokens([B.as_bytes(t) for t in unique[text]], words):
             names = unique[name].to_numpy()[first : first + len(cuts) - 1]
             found.update((k, value[a:b]) for k, a, b in zip(names.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
     return found
@@ -150,12 +154,12 @@ def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), dtype=bool)
 
 
-def _compare(percent: int):
+def _compare(words: int, percent: int):
     """Which pairs are linked."""
 
     def run(frames):
         for pdf in frames:
-            value = _sides(pdf, ("x", "text_x"), ("y", "text_y"))
+            value = _sides(words, pdf, ("x", "text_x"), ("y", "text_y"))
             rows = []
             for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist()):
                 a, b = value[x], value[y]
@@ -167,24 +171,28 @@ def _compare(percent: int):
     return run
 
 
-def _counts(frames):
+def _counts(words: int):
     """How many sets of each group in a batch have each token."""
-    for pdf in frames:
-        value = _sides(pdf, ("key", "text"))
-        for group, keys in pdf.groupby("token")["key"]:
-            names, n = np.unique(np.concatenate([value[k] for k in keys.tolist()]), return_counts=True)
-            yield pd.DataFrame({"token": np.full(len(names), group), "part": names.view(np.int64), "n": n})
+
+    def run(frames):
+        for pdf in frames:
+            value = _sides(words, pdf, ("key", "text"))
+            for group, keys in pdf.groupby("token")["key"]:
+                names, n = np.unique(np.concatenate([value[k] for k in keys.tolist()]), return_counts=True)
+                yield pd.DataFrame({"token": np.full(len(names), group), "part": names.view(np.int64), "n": n})
+
+    return run
 
 
 _PROFILE = "token long, key long, both long, n long, near double, beside binary"
 
 
-def _profiles(percent: int):
+def _profiles(words: int, percent: int):
     """What a set has of its group's core, and the tokens beside the core of which a partner must have one."""
 
     def run(frames):
         for pdf in frames:
-            value = _sides(pdf, ("key", "text"))
+            value = _sides(words, pdf, ("key", "text"))
             rows = []
             for group, key, core in zip(pdf["token"].tolist(), pdf["key"].tolist(), pdf["core"].tolist()):
                 a, b = value[key], np.sort(np.asarray(core, dtype=np.int64).view(np.uint64))
@@ -212,7 +220,7 @@ def _grouped(index: DataFrame) -> DataFrame:
     return stored(index.join(groups, "token"), "groups")
 
 
-def links(rows: DataFrame, sets: DataFrame, index: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(rows: DataFrame, sets: DataFrame, index: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All pairs of sets ``x, y`` that reach ``percent``, but for pairs that links of a common leader join anyway.
     ``rows``: (doc_id, text); ``sets``: (key, doc_id, content) with the row that stands for a set and the hash of its
     text; ``index``: (token, key, n)."""
@@ -225,7 +233,7 @@ def links(rows: DataFrame, sets: DataFrame, index: DataFrame, percent: int = PER
     def verified(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("key").alias("x"), F.col("text").alias("text_x"))
         y = texts.select(F.col("key").alias("y"), F.col("text").alias("text_y"))
-        return stored(pairs.join(x, "x").join(y, "y").mapInPandas(_compare(percent), "x long, y long"), "links")
+        return stored(pairs.join(x, "x").join(y, "y").mapInPandas(_compare(words, percent), "x long, y long"), "links")
 
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"  # a bound by sizes alone
     out = groups.select(F.col("key").alias("x"), F.col("key").alias("y")).filter("x <> y")
@@ -242,11 +250,11 @@ def links(rows: DataFrame, sets: DataFrame, index: DataFrame, percent: int = PER
         large = stored(large, "large")
         member = large.join(texts, "key")
         sizes = large.groupBy("token").agg(F.count("*").alias("size"))
-        parts = member.mapInPandas(_counts, "token long, part long, n long").groupBy("token", "part").agg(F.sum("n").alias("n"))
+        parts = member.mapInPandas(_counts(words), "token long, part long, n long").groupBy("token", "part").agg(F.sum("n").alias("n"))
         core = parts.join(sizes, "token").filter("2 * n > size").groupBy("token").agg(F.collect_list("part").alias("core"))
         core = stored(core, "core")
         member = member.join(core, "token", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
-        profile = stored(member.mapInPandas(_profiles(percent), _PROFILE), "profiles")
+        profile = stored(member.mapInPandas(_profiles(words, percent), _PROFILE), "profiles")
         leader = profile.groupBy("token").agg(F.max_by("key", F.struct("near", "key")).alias("leader"))
         led = profile.join(leader, "token")
         direct = led.filter("key <> leader").select(F.col("key").alias("x"), F.col("leader").alias("y"))
@@ -279,21 +287,21 @@ def _within_core(led: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.greatest("key_a", "key_b").alias("x"), F.least("key_a", "key_b").alias("y")).distinct()
 
 
-def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` for every row of the documents."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     content = F.xxhash64(F.coalesce("text", F.lit(""))).alias("content")
-    signs = stored(rows.select("*", content).mapInPandas(_signatures, "doc_id long, content long, n long, key long"), "signatures")
+    signs = stored(rows.select("*", content).mapInPandas(_signatures(words), "doc_id long, content long, n long, key long"), "signatures")
     first = F.min(F.struct("doc_id", "content")).alias("first")
     sets = signs.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(first, F.max("n").alias("n"))
     sets = stored(sets.select("key", "n", "first.doc_id", "first.content"), "sets")
     total, number = signs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     chunks = max(2 * spark.sparkContext.defaultParallelism, -(-number // CHUNK_SETS))
-    answers = stored(repeated(rows.filter("doc_id IS NOT NULL"), _extended(percent), 0.3 * total, chunks), "answers")
+    answers = stored(repeated(rows.filter("doc_id IS NOT NULL"), _extended(words, percent), 0.3 * total, chunks), "answers")
     chunk = F.pmod(F.hash("key"), F.lit(int(chunks))).alias("chunk")
     index = sets.select(chunk, "key", "n").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_postings(percent), "token long, key long, n long")
-    found = links(rows, sets, index, percent)
+    found = links(rows, sets, index, words, percent)
     # Rows with one id and several sets tie these sets together.
     twice = signs.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y")
     tied = signs.join(twice.select("doc_id", F.col("x").alias("b")), "doc_id").filter("n > 0").select(F.col("key").alias("a"), "b")
@@ -305,6 +313,14 @@ def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     return signs.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The document of the smallest id of each component, with all columns. Rows with a null id stay."""
+    kept = join(documents, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = documents.filter("doc_id IS NOT NULL")
+    named = named.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.union(documents.filter("doc_id IS NULL"))
+
+
 @query("op10_ngram_jaccard")
 def ngram_jaccard(spark, folder):
     """Components of all documents by 4-word shingles at 85 percent."""

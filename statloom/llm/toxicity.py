@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,7 +207,7 @@ def predict(documents: DataFrame, chain: Chain) -> DataFrame:
     def score(frames):
         for pdf in frames:
             p = probabilities([B.as_bytes(t) for t in pdf["text"]])
-            out = {"doc_id": pdf["doc_id"]} | {f"p_{n}": p[:, j] for j, n in enumerate(names)}
+            out = {"doc_id": pdf["doc_id"].astype("Int64")} | {f"p_{n}": p[:, j] for j, n in enumerate(names)}
             yield pd.DataFrame(out | {"toxic": p[:, -1] >= 0.5})
 
     columns = ", ".join(f"p_{n} double" for n in names)
@@ -217,12 +218,12 @@ def keep_clean(documents: DataFrame, chain: Chain) -> DataFrame:
     """The documents that the chain doesn't reject, with all their columns; one narrow pass."""
     probabilities = _predictor(chain)
 
-    def keep(frames):
-        for pdf in frames:
-            p = probabilities([B.as_bytes(t) for t in pdf["text"]])
-            yield pdf[p[:, -1] < 0.5]
+    def keep(batches):
+        for batch in batches:
+            p = probabilities([B.as_bytes(t) for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(p[:, -1] < 0.5))
 
-    return documents.mapInPandas(keep, documents.schema)
+    return documents.mapInArrow(keep, documents.schema)
 
 
 @query("op1_toxicity_chain")
