@@ -1,6 +1,6 @@
 """Loads every query of this folder."""
 
-from statloom.llm import jaccard, packing, secrets, substrings, toxicity  # noqa: F401
+from statloom.llm import exact_search, jaccard, packing, secrets, substrings, toxicity  # noqa: F401
 from statloom.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
