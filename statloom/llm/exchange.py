@@ -126,3 +126,57 @@ def repeated(rows: DataFrame, produce: Callable, entries: float, chunks: int) ->
     ``entries`` is the expected number of pairs."""
     blocks = rows.mapInPandas(_blocks(produce, number_of_ranges(entries)), BLOCK)
     return blocks.groupBy("bucket").applyInPandas(_answers(int(chunks)), ANSWER)
+
+
+def _later_blocks(produce: Callable, ranges: int):
+    shift = B.U(64 - ranges.bit_length() + 1)
+
+    def run(frames) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [(h, k) for h, k in produce(pdf) if len(h)]
+            if not found:
+                continue
+            h, k = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((k, h))
+            h, k = h[order], k[order]
+            once = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))
+            h, k = h[once], k[once]
+            new = np.append(True, h[1:] != h[:-1])
+            rows = []
+            if not new.all():
+                spread = int(B.mix(k[:1].view(np.uint64))[0] % B.U(ranges))
+                rows.append((spread, k[~new], h[~new], np.zeros(0, np.uint8), True))
+            h, k = h[new], k[new]
+            bucket = (h >> shift).astype(np.int64)
+            cuts = cuts_of(bucket)
+            rows += [(int(bucket[a]), k[a:b], h[a:b], np.zeros(0, np.uint8), False) for a, b in zip(cuts[:-1], cuts[1:])]
+            yield _frame(rows)
+
+    return run
+
+
+def _later_answers(chunks: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ready = pdf["ready"].to_numpy(dtype=bool)
+        k, h = (together(pdf.loc[~ready, n], t) for n, t in (("keys", np.int64), ("hashes", np.uint64)))
+        order = np.lexsort((k, h))
+        k, h = k[order], h[order]
+        first = k[cuts_of(h)[:-1]] if len(h) else k
+        later = k != np.repeat(first, np.diff(cuts_of(h))) if len(h) else np.zeros(0, dtype=bool)
+        k = np.concatenate([k[later], together(pdf.loc[ready, "keys"], np.int64)])
+        h = np.concatenate([h[later], together(pdf.loc[ready, "hashes"], np.uint64)])
+        chunk = np.mod(spark_hash(k), chunks)
+        order = np.argsort(chunk, kind="stable")
+        k, h, chunk = k[order], h[order], chunk[order]
+        cuts = cuts_of(chunk)
+        rows = [(int(chunk[a]), k[a:b].tobytes(), h[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pd.DataFrame(rows, columns=["chunk", "keys", "hashes"])
+
+    return run
+
+
+def later(rows: DataFrame, produce: Callable, entries: float, chunks: int) -> DataFrame:
+    """Blocks ``chunk, keys, hashes`` of the pairs whose hash a smaller key has too. Of each hash a task sends its
+    smallest key; for the others the answer is known there."""
+    blocks = rows.mapInPandas(_later_blocks(produce, number_of_ranges(entries)), BLOCK)
+    return blocks.groupBy("bucket").applyInPandas(_later_answers(int(chunks)), "chunk int, keys binary, hashes binary")
