@@ -1,6 +1,6 @@
 """Loads every query of this folder."""
 
-from statloom.llm import exact_search, jaccard, neighbours, packing, secrets, sentence_spans, substrings, toxicity, transducer  # noqa: F401
+from statloom.llm import exact_search, jaccard, neighbours, packing, secrets, sentence_spans, substrings, toxicity, transducer, wrappers  # noqa: F401
 from statloom.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
