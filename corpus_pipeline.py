@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from statloom.llm import jaccard, packing, secrets, substrings, toxicity
-from statloom.llm.registry import table
+from statloom.llm.registry import reach_workers, table
 from statloom.llm.storage import stored
 from statloom.session import fresh_dir
 
@@ -50,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -38,7 +38,7 @@ from statloom.llm.storage import stored
 WORDS = 4
 PERCENT = 85
 #: A group of so many sets is verified pair by pair; a larger one gets a leader.
-SMALL_GROUP = 12
+SMALL_GROUP = 48
 CHUNK_SETS = 20_000
 
 
@@ -211,20 +211,24 @@ def _unpack(frames):
         n = (pdf["beside"].str.len() // 8).to_numpy()
         flat = together(pdf["beside"], np.uint64)
         token = B.mix(np.repeat(pdf["token"].to_numpy().view(np.uint64), n) ^ B.mix(flat)).view(np.int64)
-        yield pd.DataFrame({"token": token, "key": np.repeat(pdf["key"].to_numpy(), n), "n": np.repeat(pdf["n"].to_numpy(), n)})
+        yield pd.DataFrame({"token": token} | {c: np.repeat(pdf[c].to_numpy(), n) for c in ("key", "n", "linked")})
+
+
+_INDEX = "token long, key long, n long, linked boolean"
 
 
 def _grouped(index: DataFrame) -> DataFrame:
-    """Index entries of tokens that have two sets or more, with the size of the group and its smallest set."""
-    groups = index.groupBy("token").agg(F.count("*").alias("size"), F.min("key").alias("least")).filter("size > 1")
-    return stored(index.join(groups, "token"), "groups")
+    """Index entries of tokens that have two sets or more, with the size of the group and its smallest set. Sets that
+    are all linked with one leader are joined already."""
+    groups = index.groupBy("token").agg(F.count("*").alias("size"), F.min("key").alias("least"), F.min("linked").alias("joined"))
+    return stored(index.join(groups.filter("size > 1 AND NOT joined").drop("joined"), "token"), "groups")
 
 
 def links(rows: DataFrame, sets: DataFrame, index: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All pairs of sets ``x, y`` that reach ``percent``, but for pairs that links of a common leader join anyway.
     ``rows``: (doc_id, text); ``sets``: (key, doc_id, content) with the row that stands for a set and the hash of its
     text; ``index``: (token, key, n)."""
-    groups = _grouped(stored(index, "index"))
+    groups = _grouped(stored(index.withColumn("linked", F.lit(False)), "index"))
     content = F.xxhash64(F.coalesce("text", F.lit("")))
     wanted = sets.join(groups.select("key").distinct(), "key").select("key", "doc_id", "content")
     texts = rows.withColumn("content", content).join(wanted, ["doc_id", "content"]).select("key", "text").dropDuplicates(["key"])
@@ -233,40 +237,41 @@ def links(rows: DataFrame, sets: DataFrame, index: DataFrame, words: int = WORDS
     def verified(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("key").alias("x"), F.col("text").alias("text_x"))
         y = texts.select(F.col("key").alias("y"), F.col("text").alias("text_y"))
+        pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
         return stored(pairs.join(x, "x").join(y, "y").mapInPandas(_compare(words, percent), "x long, y long"), "links")
 
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"  # a bound by sizes alone
-    out = groups.select(F.col("key").alias("x"), F.col("key").alias("y")).filter("x <> y")
-    first = True
+    pending = groups.select(F.col("key").alias("x"), F.col("key").alias("y")).filter("x <> y")
+    out, first = pending, True
     while not groups.isEmpty():
-        few = groups.filter(f"size <= {SMALL_GROUP}").select("token", "key", "n")
-        other = few.select("token", F.col("key").alias("other"), F.col("n").alias("m"))
-        pairs = few.join(other, "token").filter("key > other").filter(fits).select(F.col("key").alias("x"), F.col("other").alias("y"))
+        few = groups.filter(f"size <= {SMALL_GROUP}").select("token", "key", "n", "linked")
+        other = few.select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("linked").alias("also"))
+        near = few.join(other, "token").filter("key > other AND NOT (linked AND also)").filter(fits)
+        pending = pending.union(near.select(F.col("key").alias("x"), F.col("other").alias("y")))
         large = groups.filter(f"size > {SMALL_GROUP}")
         if large.isEmpty():
-            return out.union(verified(pairs.distinct()))
+            break
         # Tokens of one family often have the same sets: at first, groups with one smallest set are taken as one.
         large = large.select((F.col("least") if first else F.col("token")).alias("token"), "key").distinct()
-        large = stored(large, "large")
-        member = large.join(texts, "key")
-        sizes = large.groupBy("token").agg(F.count("*").alias("size"))
+        member = stored(large.join(texts, "key"), "members")
+        sizes = member.groupBy("token").agg(F.count("*").alias("size"))
         parts = member.mapInPandas(_counts(words), "token long, part long, n long").groupBy("token", "part").agg(F.sum("n").alias("n"))
         core = parts.join(sizes, "token").filter("2 * n > size").groupBy("token").agg(F.collect_list("part").alias("core"))
-        core = stored(core, "core")
         member = member.join(core, "token", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
         profile = stored(member.mapInPandas(_profiles(words, percent), _PROFILE), "profiles")
         leader = profile.groupBy("token").agg(F.max_by("key", F.struct("near", "key")).alias("leader"))
-        led = profile.join(leader, "token")
+        led = stored(profile.join(leader, "token"), "leaders")
         direct = led.filter("key <> leader").select(F.col("key").alias("x"), F.col("leader").alias("y"))
-        done = verified(pairs.union(direct).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+        done = verified(pending.union(direct))
+        out = out.union(done)
         hit = done.select(F.col("x").alias("p"), F.col("y").alias("q"), F.lit(True).alias("hit"))
         led = led.join(hit, (F.greatest("key", "leader") == F.col("p")) & (F.least("key", "leader") == F.col("q")), "left")
-        led = led.select("token", "key", "both", "n", (F.coalesce("hit", F.lit(False)) | (F.col("key") == F.col("leader"))).alias("linked"))
-        bound = verified(_within_core(stored(led, "led"), percent))
-        out = out.union(done).union(bound)
-        entries = profile.filter("length(beside) > 0").select("token", "key", "n", "beside").mapInPandas(_unpack, "token long, key long, n long")
-        groups, first = _grouped(stored(entries.distinct(), "index")), False
-    return out
+        led = led.withColumn("linked", F.coalesce("hit", F.col("key") == F.col("leader")))
+        led = stored(led.select("token", "key", "both", "n", "linked", "beside"), "led")
+        pending = _within_core(led.drop("beside"), percent)
+        entries = led.filter("length(beside) > 0").select("token", "key", "n", "linked", "beside").mapInPandas(_unpack, _INDEX)
+        groups, first = _grouped(stored(entries, "index")), False
+    return out.union(verified(pending))
 
 
 def _within_core(led: DataFrame, percent: int) -> DataFrame:

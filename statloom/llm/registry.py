@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,9 +13,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Python workers find this package where the driver has it. A cluster gets it with ``--py-files`` or installed."""
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if _ROOT not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, known]))
+
+
 def query(name: str, sql: str | None = None):
     def register(build):
-        QUERIES[name] = build
+        @functools.wraps(build)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            reach_workers(spark)
+            return build(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return build
