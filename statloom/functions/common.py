@@ -14,6 +14,13 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null, so that rows without a key keep their totals and flags."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, match, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def _fold(parts: list[Column], op) -> Column:
     """Combine pairwise, so the expression tree stays shallow."""
     while len(parts) > 1:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from statloom.functions import labels
 from statloom.functions import rules as R
 from statloom.functions.advice import ALL_TOPIC_ADVICE
-from statloom.functions.common import col
+from statloom.functions.common import col, join_null_safe
 
 
 def share(part: Column, whole: Column, scale: float = 1.0) -> Column:
@@ -85,7 +85,8 @@ def distribution(rows: DataFrame, keys: Sequence[str], item: str, name: str) ->
 
 
 def task_metrics(results: DataFrame) -> DataFrame:
-    """Per task: totals, success rate, time, mean quality of successes, route counts."""
+    """Per task: totals, success rate, time, mean quality of successes, route counts. Rows without a task are a task
+    of their own; rows without a route are not in the route counts."""
     ok = F.col("success")
     base = results.groupBy("task_id").agg(
         F.count("*").alias("processed_urls"),
@@ -95,7 +96,8 @@ def task_metrics(results: DataFrame) -> DataFrame:
         F.round(F.sum("processing_time"), 2).alias("execution_time"),
     )
     rated = base.withColumn("success_rate", F.round(share(F.col("successful_urls"), F.col("processed_urls"), 100.0), 2))
-    return rated.join(distribution(results, ["task_id"], "strategy_used", "strategy_distribution"), "task_id")
+    routes = distribution(results.filter("strategy_used IS NOT NULL"), ["task_id"], "strategy_used", "strategy_distribution")
+    return join_null_safe(rated, routes, ["task_id"], "left")
 
 
 def top_items(rows: DataFrame, keys: Sequence[str], item: str, k: int = 3) -> DataFrame:

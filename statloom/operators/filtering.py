@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import predicates, scores, text, units, urls, years
 from statloom.functions import rules as R
-from statloom.functions.common import between, chain, col, is_true, staged
+from statloom.functions.common import between, chain, col, is_true, join_null_safe, staged
 
 
 def period_filter(obs: DataFrame, is_gov: Column, year="year") -> DataFrame:
@@ -95,7 +95,7 @@ def group_flag(rows: DataFrame, keys: Sequence[str], keep: str) -> DataFrame:
     back, so a group that holds a large share of all rows is pre-aggregated and its join partition
     can be split, which a window over the group would not allow."""
     flags = rows.groupBy(*keys).agg(F.max(keep).alias("any_kept"))
-    return rows.join(flags, list(keys))
+    return join_null_safe(rows, flags, keys)
 
 
 def keep_or_recover(rows: DataFrame, keys: Sequence[str], keep: str) -> DataFrame:

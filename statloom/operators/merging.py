@@ -96,14 +96,15 @@ def recognised_units(obs: DataFrame, unit: str = "unit") -> DataFrame:
 
 def first_available(primary: DataFrame, alternative: DataFrame, emergency: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Primary result, else the alternative route's, else the emergency one; ``provenance`` tells
-    which. Keys without any result are absent."""
+    which. Keys without any result are absent; a null key is a key. One combining aggregate; of several rows of one
+    route any may be taken."""
     routes = {"primary": primary, "alternative": alternative, "emergency": emergency}
-    frames = []
-    for route, df in routes.items():
-        frames.append(df.select(key, F.struct(*values, F.lit(route).alias("provenance")).alias(route)))
-    keys = reduce(lambda a, b: a.union(b), [f.select(key) for f in frames]).distinct()
-    joined = reduce(lambda a, b: a.join(b, key, "left"), frames, keys)
-    return joined.select(key, F.coalesce(*routes).alias("best")).select(key, "best.*")
+    frames = [
+        df.select(key, F.lit(rank).alias("rank"), F.struct(*values, F.lit(route).alias("provenance")).alias("row"))
+        for rank, (route, df) in enumerate(routes.items())
+    ]
+    ranked = reduce(lambda a, b: a.union(b), frames)
+    return ranked.groupBy(key).agg(F.min_by("row", "rank").alias("best")).select(key, "best.*")
 
 
 def compare_runs(base: DataFrame, other: DataFrame, key: str, count: str) -> DataFrame:

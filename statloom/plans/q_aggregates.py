@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import advice, labels
 from statloom.functions import rules as R
+from statloom.functions.common import join_null_safe
 from statloom.functions.numbers import size_class
 from statloom.operators import aggregates as A
 from statloom.operators import coverage as V
@@ -81,7 +82,7 @@ def _(t):
     listed = F.array_sort(F.collect_list(F.struct("rank", "indicator_name")))
     samples = first_k(obs, ["page_id"], ["o1"], 3).groupBy("page_id").agg(
         F.array_join(F.transform(listed, lambda x: x["indicator_name"]), "|").alias("samples"))
-    return histogram.join(samples, "page_id")
+    return join_null_safe(histogram, samples, ["page_id"])
 
 
 def _joined_map(name):

@@ -12,10 +12,10 @@ from statloom.sources.tables import Tables
 
 _SPARK_TYPES = {"L": "bigint", "I": "int", "S": "string", "D": "double", "E": "double", "B": "boolean"}
 _SQL_TYPES = {"L": "BIGINT", "I": "INTEGER", "S": "VARCHAR", "D": "DOUBLE", "E": "DOUBLE", "B": "BOOLEAN"}
-_DIGITS = {"D": 6, "E": 9}
-# Means of prices often end exactly half-way at the ninth decimal; a small shift lets both engines round
-# such a value the same way whatever its last bit.
-_SHIFT = {"D": 0.0, "E": 3e-10}
+_DIGITS = {"D": 6, "E": 6}
+# Running means often end exactly half-way at the seventh decimal. They are rounded as decimals of nine digits, so that
+# the last bit of a double doesn't decide in either engine.
+_DECIMAL = "decimal(28,9)"
 
 
 @dataclass(frozen=True)
@@ -38,12 +38,16 @@ class Query:
 
 def _typed(name: str, kind: str):
     c = F.col(name).cast(_SPARK_TYPES[kind])
-    return (F.round(c + _SHIFT[kind], _DIGITS[kind]) if kind in _DIGITS else c).alias(name)
+    if kind == "E":
+        return F.round(c.cast(_DECIMAL), _DIGITS[kind]).cast("double").alias(name)
+    return (F.round(c, _DIGITS[kind]) if kind in _DIGITS else c).alias(name)
 
 
 def _typed_sql(name: str, kind: str) -> str:
     c = f'CAST("{name}" AS {_SQL_TYPES[kind]})'
-    return f'{f"round({c} + {_SHIFT[kind]}, {_DIGITS[kind]})" if kind in _DIGITS else c} AS "{name}"'
+    if kind == "E":
+        return f'CAST(round(CAST({c} AS {_DECIMAL}), {_DIGITS[kind]}) AS DOUBLE) AS "{name}"'
+    return f'{f"round({c}, {_DIGITS[kind]})" if kind in _DIGITS else c} AS "{name}"'
 
 
 QUERIES: dict[str, Query] = {}
@@ -51,7 +55,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str, columns: str, sql: str | None = None):
     """Register a builder. ``columns`` lists ``name:type`` with L long, I int, S string, D double
-    (compared at six decimals), E double (nine decimals) and B boolean."""
+    (compared at six decimals), E double that often ends half-way (as a decimal) and B boolean."""
     spec = tuple(tuple(item.split(":")) for item in columns.split())
 
     def register(build):

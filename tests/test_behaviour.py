@@ -209,3 +209,55 @@ def test_caps_prune_before_the_shuffle(name, spark):
         df = QUERIES[name].frame(spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def _events(spark, rows):
+    return spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double, ok boolean")
+
+
+def test_running_values_keep_null_keys_and_times(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from statloom.operators import windows
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, None, day, 1.0, True), (2, None, None, 3.0, True), (3, 7, None, 5.0, False), (4, 7, day, 7.0, True)]
+    frame = _events(spark, rows)
+    means = {r.event_id: r.running_mean for r in windows.running_means(frame, ["user_id"], "ts", "event_id", "value", F.col("ok")).collect()}
+    assert means == {2: 3.0, 1: 2.0, 3: 5.0, 4: 6.0}
+    assert windows.recurrent_mean(frame, ["user_id"], "ts", "event_id", "value", F.col("ok")).count() == 4
+    assert windows.progress_tracking(frame, ["user_id"], "ts", "event_id", 5).count() == 4
+    assert windows.latest_success(frame, ["user_id"], "ts", "event_id", "user_id", F.col("ok")).count() == 4
+
+
+def test_one_key_and_day_spreads_over_tasks(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from statloom.operators import windows
+
+    day = dt.datetime(2024, 1, 1)
+    frame = _events(spark, [(i, 1, day + dt.timedelta(seconds=i), float(i), True) for i in range(4000)])
+    bucketed = windows.bucketed(frame, ["user_id"], "ts", "event_id")
+    sizes = [r["count"] for r in bucketed.groupBy("_bucket").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 4000 * 0.6
+    out = windows.running_means(frame, ["user_id"], "ts", "event_id", "value", F.col("ok")).filter("event_id = 3999").first()
+    assert out.running_mean == sum(range(4000)) / 4000
+
+
+def test_null_groups_keep_their_rows(spark):
+    from statloom.operators import aggregates, filtering, merging
+
+    flagged = spark.createDataFrame([(None, True), (None, False), (1, False), (2, True)], "page_id long, good boolean")
+    kept = sorted(map(str, filtering.keep_or_recover(flagged, ["page_id"], "good").collect()))
+    assert len(kept) == 3 and any("page_id=None, good=True" in k for k in kept)
+    assert filtering.group_flag(flagged, ["page_id"], "good").count() == 4
+    results = spark.createDataFrame([(None, "a", True, 0.5, 1.0), ("t", None, False, 0.1, 2.0)], "task_id string, strategy_used string, success boolean, confidence_score double, processing_time double")
+    assert sorted((str(r.task_id), r.processed_urls) for r in aggregates.task_metrics(results).collect()) == [("None", 1), ("t", 1)]
+    one = spark.createDataFrame([(None, 1)], "k long, v int")
+    two = spark.createDataFrame([(None, 2), (3, 4)], "k long, v int")
+    got = {(r.k, r.v, r.provenance) for r in merging.first_available(one, two, two.limit(0), "k", ["v"]).collect()}
+    assert got == {(None, 1, "primary"), (3, 4, "alternative")}
