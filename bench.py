@@ -31,6 +31,7 @@ def main() -> None:
     load_all()
     spark = local_session(cpus, "bench", partitions=int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("statloom.text.tasks", str(spark.sparkContext.defaultParallelism))
     names = list(QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
     # Start the JVM, the code generator and the parquet reader once, outside the measurement.
     QUERIES["A14_task_counts"].frame(spark, folder).write.format("noop").mode("overwrite").save()

@@ -21,6 +21,11 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, match, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def first_of(items, limit: int | None) -> Column:
+    """The first ``limit`` items of an array, all of them without a limit."""
+    return col(items) if limit is None else F.slice(col(items), 1, limit)
+
+
 def _fold(parts: list[Column], op) -> Column:
     """Combine pairwise, so the expression tree stays shallow."""
     while len(parts) > 1:

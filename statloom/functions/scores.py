@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import rules as R
 from statloom.functions.common import (
-    all_matches, any_in, between, chain, clamp, col, count_in, hits_in, n_matches, n_words,
+    all_matches, any_in, between, chain, clamp, col, count_in, first_of, hits_in, n_matches, n_words,
 )
 from statloom.functions.html import inner_text, tables
 
@@ -97,14 +97,14 @@ def data_density(text) -> Column:
     return F.when(F.length(col(text)) == 0, 0.0).otherwise(F.least(raw, F.lit(1.0)))
 
 
-def temporal_references(text) -> dict[str, Column]:
+def temporal_references(text, n_years: int | None = None, n_months: int | None = None) -> dict[str, Column]:
     years = F.array_distinct(all_matches(text, r"\b(20[0-2][0-9])\b", 1))
     months = F.array_distinct(
         all_matches(F.lower(col(text)), r"\b(" + "|".join(R.MONTHS) + r")\b", 1)
     )
     return {
-        "years": F.slice(F.array_sort(years), 1, 5),
-        "months": F.slice(F.array_sort(months), 1, 3),
+        "years": first_of(F.array_sort(years), n_years),
+        "months": first_of(F.array_sort(months), n_months),
         "temporal_coverage": F.size(years),
         "recent_data": F.exists(years, lambda y: y >= "2020"),
     }
@@ -146,7 +146,7 @@ def has_methodology(text) -> Column:
     return any_in(F.lower(col(text)), R.METHODOLOGY_TERMS)
 
 
-def text_statistics(text) -> dict[str, Column]:
+def text_statistics(text, n_numbers: int | None = None) -> dict[str, Column]:
     c = col(text)
     numbers = F.regexp_extract_all(c, F.lit(r"[0-9]+[.,]?[0-9]*"), F.lit(0))
     return {
@@ -154,7 +154,7 @@ def text_statistics(text) -> dict[str, Column]:
         "words": n_words(c),
         "numbers": F.size(numbers),
         "percentages": F.regexp_count(c, F.lit(r"[0-9]+[.,]?[0-9]*\s*%")),
-        "first_numbers": F.slice(numbers, 1, 5),
+        "first_numbers": first_of(numbers, n_numbers),
         "detail": F.when(F.length(c) > 2000, "riche").when(F.length(c) > 500, "moyen").otherwise("basique"),
     }
 

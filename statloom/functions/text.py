@@ -120,6 +120,6 @@ def record_size(*columns: str) -> Column:
     return F.length(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
-def kept_content(c, minimum: int = R.MIN_CONTENT_CHARS, maximum: int = R.MAX_CONTENT_CHARS) -> tuple[Column, Column]:
-    """Gate and stored form of fetched content."""
-    return F.length(strip(c)) > minimum, cut(c, maximum)
+def kept_content(c, minimum: int = R.MIN_CONTENT_CHARS, maximum: int | None = None) -> tuple[Column, Column]:
+    """Gate and stored form of fetched content; whole without a maximum."""
+    return F.length(strip(c)) > minimum, col(c) if maximum is None else cut(c, maximum)

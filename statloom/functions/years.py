@@ -55,12 +55,13 @@ def from_name(name, patterns: Sequence[str] = R.YEAR_NAME_PATTERNS) -> Column:
     return _with_digits(name, F.coalesce(*[let(_years(low, p), best) for p in patterns]))
 
 
-def from_text(text, patterns: Sequence[str] = R.YEAR_TEXT_PATTERNS, limit: int = 1000) -> Column:
-    """Texts up to the limit: contextual patterns first, else the most frequent year of the period."""
+def from_text(text, patterns: Sequence[str] = R.YEAR_TEXT_PATTERNS, limit: int | None = None) -> Column:
+    """Contextual patterns first, else the most frequent year of the period. With a limit, longer texts give none."""
     low = F.lower(col(text))
     contextual = [_first(_years(low, p), R.PERIOD_START, R.PERIOD_END) for p in patterns]
     general = most_frequent(_years(text, rf"\b({R.PERIOD_YEAR})\b"))
-    return F.when(F.length(col(text)) <= limit, _with_digits(text, F.coalesce(*contextual, general)))
+    found = _with_digits(text, F.coalesce(*contextual, general))
+    return found if limit is None else F.when(F.length(col(text)) <= limit, found)
 
 
 def from_header(content, patterns: Sequence[str] = R.YEAR_HEADER_PATTERNS) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import html, numbers, predicates, units, urls, years
 from statloom.functions import rules as R
-from statloom.functions.common import all_matches, col, cut, each, let, regex, staged
+from statloom.functions.common import all_matches, col, cut, each, first_of, let, regex, staged
 from statloom.functions.text import strip
 from statloom.operators import records
 
@@ -58,7 +58,7 @@ def _flat(array: Column, body: Callable) -> Column:
 # -- tables ------------------------------------------------------------------------------------
 
 
-def adjacent_pairs_array(limit: int = 10) -> Column:
+def adjacent_pairs_array(limit: int | None = None) -> Column:
     """Every adjacent cell pair of the first tables whose label is an indicator."""
 
     def in_row(row: Column, ti: Column, ri: Column) -> Column:
@@ -86,7 +86,7 @@ def adjacent_pairs(pages: DataFrame) -> DataFrame:
     return records.enrich(explode_observations(pages, adjacent_pairs_array()))
 
 
-def header_tables_array(limit: int = 5, as_of_year: int = R.DEFAULT_YEAR, cleaned: Column | None = None) -> Column:
+def header_tables_array(limit: int | None = None, as_of_year: int = R.DEFAULT_YEAR, cleaned: Column | None = None) -> Column:
     """Label by value column with the year of the column header; noise removed. The header row is read
     once per table and used for all its rows."""
     url = F.col("url")
@@ -130,7 +130,7 @@ def header_tables(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFra
     return explode_observations(pages, header_tables_array(as_of_year=as_of_year))
 
 
-def first_two_cells(pages: DataFrame, limit: int = 5) -> DataFrame:
+def first_two_cells(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Label and first number of the second cell of each row."""
 
     def in_row(row: Column, ti: Column, ri: Column) -> Column:
@@ -218,7 +218,7 @@ def site_tables(pages: DataFrame) -> DataFrame:
 # -- lists and blocks --------------------------------------------------------------------------
 
 
-def list_items_array(limit: int = 10, as_of_year: int = R.DEFAULT_YEAR, cleaned: Column | None = None) -> Column:
+def list_items_array(limit: int | None = None, as_of_year: int = R.DEFAULT_YEAR, cleaned: Column | None = None) -> Column:
     """``name: value``, ``name - value`` and ``name = value`` items of the first lists. The first form
     with a valid name and a number wins."""
     url = F.col("url")
@@ -244,7 +244,7 @@ def list_items_array(limit: int = 10, as_of_year: int = R.DEFAULT_YEAR, cleaned:
         )
 
     source = cleaned if cleaned is not None else html.without_noise("html")
-    lists = F.slice(html.all_inner(source, html.LIST), 1, limit)
+    lists = first_of(html.all_inner(source, html.LIST), limit)
     return _flat(
         lists,
         lambda x, li: _flat(F.transform(html.all_inner(x, html.ITEM), html.cell_text), lambda raw, ii: in_item(raw, li, ii)),
@@ -280,7 +280,7 @@ def _matches(
         if pattern in _GUARDS:
             found = F.when(col(text).rlike(_GUARDS[pattern]), found).otherwise(F.array().cast("array<string>"))
         return F.transform(
-            F.slice(found, 1, cap) if cap else found,
+            first_of(found, cap),
             lambda m, j: F.struct(
                 F.lit(i).alias("pattern_idx"),
                 j.alias("match_idx"),
@@ -300,10 +300,10 @@ def _numbered(patterns) -> list:
     return [(i, (p, 3 if has_unit else 2)) for i, (p, has_unit) in enumerate(patterns)]
 
 
-def data_blocks_array() -> Column:
-    """Blocks whose class speaks of data: at most five values per block, five blocks per page."""
+def data_blocks_array(blocks_per_page: int | None = None, values_per_block: int | None = None) -> Column:
+    """Blocks whose class speaks of data."""
     pattern = r"""(?is)<(ul|ol|dl|div)\b[^>]*\bclass\s*=\s*["'][^"'>]*(?:data|stat|info|metric)[^"'>]*["'][^>]*>(.*?)</\1>"""
-    blocks = F.slice(F.regexp_extract_all("html", F.lit(pattern), F.lit(2)), 1, R.BLOCKS_PER_PAGE)
+    blocks = first_of(F.regexp_extract_all("html", F.lit(pattern), F.lit(2)), blocks_per_page)
 
     def in_block(body: Column, bi: Column) -> Column:
         accepted = F.filter(
@@ -311,7 +311,7 @@ def data_blocks_array() -> Column:
             lambda m: m["value"].isNotNull() & predicates.is_general_indicator(m["name"]),
         )
         return F.transform(
-            F.slice(accepted, 1, R.BLOCK_CAP),
+            first_of(accepted, values_per_block),
             lambda m: _observation(
                 "html_structured", "struct", 0.75, [bi, m["pattern_idx"], m["match_idx"]], cut(m["name"], 60), m["value"],
                 F.when(m["hint"] != "", m["hint"]).otherwise(units.default_context(m["name"], m["value"])), m["raw"],
@@ -379,32 +379,32 @@ def government_patterns(pages: DataFrame) -> DataFrame:
     return explode_observations(pages.filter(urls.is_gov_site("url")), government_patterns_array())
 
 
-def _capped_array(site: str, patterns, cap: int, to_observation: Callable[[Column], Column], visible: Column | None) -> Column:
-    """First matches with a number over the visible text of the pages of one site."""
+def _site_array(site: str, patterns, cap: int | None, to_observation: Callable[[Column], Column], visible: Column | None) -> Column:
+    """Matches with a number over the visible text of the pages of one site."""
 
     def in_text(body: Column) -> Column:
         numeric = F.filter(_matches(body, _numbered(patterns), numbers.parse_european), lambda m: m["value"].isNotNull())
-        return _plausible(F.transform(F.slice(numeric, 1, cap), to_observation))
+        return _plausible(F.transform(first_of(numeric, cap), to_observation))
 
     body = visible if visible is not None else html.page_text("html")
     return F.when(F.contains(F.lower("url"), F.lit(site)), let(body, in_text)).otherwise(_none())
 
 
-def bank_patterns_array(visible: Column | None = None) -> Column:
+def bank_patterns_array(visible: Column | None = None, cap: int | None = None) -> Column:
     def to_observation(m: Column) -> Column:
         return _observation(
             "bct_specialized", "bct", 0.9, [m["pattern_idx"], m["match_idx"]], F.concat(F.lit("BCT "), m["name"]), m["value"],
             units.default_bank(m["name"], m["hint"], m["value"]), m["raw"],
         )
 
-    return _capped_array("bct.gov.tn", R.BANK_PATTERNS, R.BANK_CAP, to_observation, visible)
+    return _site_array("bct.gov.tn", R.BANK_PATTERNS, cap, to_observation, visible)
 
 
 def bank_patterns(pages: DataFrame) -> DataFrame:
     return records.enrich(explode_observations(pages, bank_patterns_array()))
 
 
-def finance_patterns_array(visible: Column | None = None) -> Column:
+def finance_patterns_array(visible: Column | None = None, cap: int | None = None) -> Column:
     def to_observation(m: Column) -> Column:
         unit = F.when(m["hint"] != "", m["hint"]).when(m["value"] > 1000, "MD").otherwise("MDT")
         return _observation(
@@ -412,7 +412,7 @@ def finance_patterns_array(visible: Column | None = None) -> Column:
             m["value"], unit, m["raw"],
         )
 
-    return _capped_array("finances.gov.tn", R.FINANCE_PATTERNS, R.FINANCE_CAP, to_observation, visible)
+    return _site_array("finances.gov.tn", R.FINANCE_PATTERNS, cap, to_observation, visible)
 
 
 def finance_patterns(pages: DataFrame) -> DataFrame:
@@ -447,12 +447,12 @@ def piped_lines(pages: DataFrame) -> DataFrame:
     return records.enrich(explode_observations(pages, piped_lines_array()))
 
 
-def generic_patterns_array() -> Column:
+def generic_patterns_array(cap: int | None = None) -> Column:
     """Generic patterns over the raw content, first 15 matches of each. Patterns with one group have
     no name and yield nothing."""
     patterns = [(i, (p, g)) for i, (p, g) in enumerate(R.GENERIC_PATTERNS) if g >= 2]
     quick = F.filter(
-        _matches("html", patterns, numbers.parse_european, R.GENERIC_CAP), lambda m: numbers.is_quick_value(m["value"])
+        _matches("html", patterns, numbers.parse_european, cap), lambda m: numbers.is_quick_value(m["value"])
     )
     return _plausible(
         F.transform(
@@ -530,8 +530,8 @@ def site_patterns(pages: DataFrame, rules=R.SITE_PATTERNS) -> DataFrame:
     return _first_numbers(pages, rules, of, "Pattern", "pattern_regex")
 
 
-def class_values(pages: DataFrame, rules=R.SITE_SELECTORS) -> DataFrame:
-    """First number of elements picked by tag and class tokens, at most 20 elements per selector."""
+def class_values(pages: DataFrame, rules=R.SITE_SELECTORS, cap: int | None = None) -> DataFrame:
+    """First number of elements picked by tag and class tokens."""
 
     def elements(tag: str, token: str, inner: str) -> Column:
         marker = rf"""[^>]*\bclass\s*=\s*["'](?:[^"'>]*\s)?{token}(?:\s[^"'>]*)?["']""" if token else ""
@@ -543,7 +543,7 @@ def class_values(pages: DataFrame, rules=R.SITE_SELECTORS) -> DataFrame:
     def of(selectors) -> Column:
         def texts(i: int, selector) -> Column:
             return F.transform(
-                F.slice(elements(*selector), 1, R.SELECTOR_CAP),
+                first_of(elements(*selector), cap),
                 lambda x: F.struct(F.lit(i).alias("rule_idx"), html.inner_text(x).alias("raw")),
             )
 
@@ -577,8 +577,8 @@ def crawl_links(pages: DataFrame, excluded=R.LINK_EXCLUDED) -> DataFrame:
     return each(hosted, ("page_id", "url"), F.array_distinct(F.transform(kept, lambda x: x["dst_url"])), "dst_url")
 
 
-def script_urls(pages: DataFrame) -> DataFrame:
-    """Data URLs named in scripts and attributes, resolved, distinct, at most five per page."""
+def script_urls(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Data URLs named in scripts and attributes, resolved, distinct."""
     found = F.concat(*[all_matches("html", p, 1) for p in R.SCRIPT_URL_PATTERNS])
     root = F.regexp_extract("url", r"^([^/]*//[^/]*)", 1)
     resolved = F.transform(
@@ -587,12 +587,12 @@ def script_urls(pages: DataFrame) -> DataFrame:
         .when(F.startswith(m, F.lit("/")), F.concat(root, m))
         .otherwise(F.concat(F.regexp_replace("url", "/+$", ""), F.lit("/"), m)),
     )
-    return each(pages, ("page_id",), F.slice(F.array_distinct(resolved), 1, R.SCRIPT_URL_CAP), "data_url")
+    return each(pages, ("page_id",), first_of(F.array_distinct(resolved), cap), "data_url")
 
 
-def forms(pages: DataFrame, limit: int = 3) -> DataFrame:
+def forms(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Forms with named inputs: action, method, input map and submit URL."""
-    found = F.slice(html.all_inner("html", r"(?is)(<form\b[^>]*>.*?</form>)"), 1, limit)
+    found = first_of(html.all_inner("html", r"(?is)(<form\b[^>]*>.*?</form>)"), limit)
     listed = each(pages, ("page_id", "url"), found, "form_html", "form_idx")
     head = F.regexp_extract("form_html", r"(?is)^(<form\b[^>]*>)", 1)
     tags = html.all_inner("form_html", r"(?is)(<(?:input|select|textarea)\b[^>]*>)")
@@ -629,18 +629,18 @@ def forms(pages: DataFrame, limit: int = 3) -> DataFrame:
     ).filter(F.size("inputs") > 0)
 
 
-def inventory(pages: DataFrame) -> DataFrame:
+def inventory(pages: DataFrame, anchors: int | None = None, listed: int | None = None, counted: int | None = None) -> DataFrame:
     """Title, tables, distinct numbers with unit, indicator words, years, row counts, data links."""
     h = F.col("html")
     found_tables = html.tables("html")
-    anchor_hrefs = F.slice(html.links("html"), 1, 20)
+    anchor_hrefs = first_of(html.links("html"), anchors)
     words = r"\b(?:" + "|".join(R.INVENTORY_WORDS) + r")\b"
     return pages.select(
         "page_id", "url", html.title("html").alias("title"), F.size(found_tables).alias("n_tables"),
-        F.slice(F.array_sort(F.array_distinct(all_matches(h, R.INVENTORY_NUMBER))), 1, 20).alias("numbers"),
+        first_of(F.array_sort(F.array_distinct(all_matches(h, R.INVENTORY_NUMBER))), listed).alias("numbers"),
         F.array_sort(F.array_distinct(all_matches(h, words))).alias("indicator_words"),
         F.array_sort(F.array_distinct(all_matches(h, r"\b(20[0-2]\d)\b", 1))).alias("years"),
-        F.transform(F.slice(found_tables, 1, 5), lambda x: F.size(html.rows(x))).alias("table_rows"),
+        F.transform(first_of(found_tables, counted), lambda x: F.size(html.rows(x))).alias("table_rows"),
         F.filter(
             anchor_hrefs,
             lambda x: F.exists(F.array(*[F.lit(w) for w in R.DATA_LINK_WORDS]), lambda w: F.contains(F.lower(x), w)),

@@ -44,15 +44,17 @@ def _filled(template: str, content: Column) -> Column:
     return F.concat(F.lit(head), content, F.lit(tail))
 
 
-def topic_request(text, topic, limit: int = 1500) -> Column:
-    """Request by topic with the content cut to the limit."""
-    content = cut(text, limit)
+def topic_request(text, topic, limit: int | None = None) -> Column:
+    """Request by topic; the content may be cut to a limit."""
+    content = col(text) if limit is None else cut(text, limit)
     special = [(col(topic) == k, _filled(v, content)) for k, v in TOPIC_REQUESTS.items() if k != "general"]
     return chain(special, _filled(TOPIC_REQUESTS["general"], content))
 
 
-def plain_request(text, limit: int = 2000) -> Column:
+def plain_request(text, limit: int | None = None) -> Column:
     c = col(text)
+    if limit is None:
+        return _filled(PLAIN_REQUEST, c)
     content = F.when(F.length(c) > limit, F.concat(cut(c, limit), F.lit("\n[...contenu limité...]"))).otherwise(c)
     return _filled(PLAIN_REQUEST, content)
 

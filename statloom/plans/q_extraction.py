@@ -103,16 +103,16 @@ def _plausible(v: str, n: str) -> str:
             f"WHEN contains(lower({n}), 'population') THEN {v} BETWEEN 1000 AND 50000000 WHEN {has(f'lower({n})', R.GDP_WORDS)} THEN {v} >= 0 AND {v} < 1e15 ELSE abs({v}) < 1e12 END")
 
 
-def _capped(site: str, patterns, cap: int) -> str:
+def _on_site(site: str, patterns) -> str:
     return f"""{_FIELDS}, site AS (SELECT page_id, url, {page_text('html')} AS b FROM field_pages WHERE contains(lower(url), {lit(site)})),
 m AS ({_pattern_rows('site', 'b', [(p, 3 if u else 2) for p, u in patterns])}),
 v AS (SELECT page_id, p, m, g0, g3, {_STRIP.format('g1')} AS n, {number(_STRIP.format('g2'))} AS value FROM m),
 c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY p, m) AS rn FROM v WHERE value IS NOT NULL),
-k AS (SELECT * FROM c WHERE rn <= {cap} AND {_plausible('value', "(n || '')")})"""
+k AS (SELECT * FROM c WHERE {_plausible('value', "(n || '')")})"""
 
 
 @query("X08_bank_patterns", "page_id:L obs_key:S indicator_name:S value:D unit:S confidence_score:D", f"""
-{_capped('bct.gov.tn', R.BANK_PATTERNS, R.BANK_CAP)}
+{_on_site('bct.gov.tn', R.BANK_PATTERNS)}
 SELECT page_id, 'bct_' || p || '_' || m AS obs_key, 'BCT ' || n AS indicator_name, value,
   CASE WHEN g3 <> '' THEN upper(g3) WHEN {has('lower(n)', ['taux', 'rate'])} THEN '%' WHEN value > 1000 THEN 'MD' ELSE 'TND' END AS unit, 0.9 AS confidence_score FROM k""")
 def _(t):
@@ -127,7 +127,7 @@ def _(t):
 
 
 @query("X10_finance_patterns", "page_id:L obs_key:S indicator_name:S value:D unit:S", f"""
-{_capped('finances.gov.tn', R.FINANCE_PATTERNS, R.FINANCE_CAP)}
+{_on_site('finances.gov.tn', R.FINANCE_PATTERNS)}
 SELECT page_id, 'finance_' || p || '_' || m AS obs_key, 'Finance ' || n AS indicator_name, value,
   CASE WHEN g3 <> '' THEN g3 WHEN value > 1000 THEN 'MD' ELSE 'MDT' END AS unit FROM k""")
 def _(t):
@@ -139,7 +139,7 @@ _GENERIC = [(p, g) if g >= 2 else ("zz(z)zz(z)zz", 2) for p, g in R.GENERIC_PATT
 
 @query("X11_generic_patterns", "page_id:L obs_key:S indicator_name:S value:D unit:S raw_text:S", f"""
 {with_views('sites')}, m AS ({_pattern_rows('sites', 'html', _GENERIC)}),
-v AS (SELECT *, {_STRIP.format('g1')}[1:60] AS n, {number(_STRIP.format('g2'))} AS value FROM m WHERE m < {R.GENERIC_CAP})
+v AS (SELECT *, {_STRIP.format('g1')}[1:60] AS n, {number(_STRIP.format('g2'))} AS value FROM m)
 SELECT page_id, 'pattern_' || p || '_' || m AS obs_key, {_STRIP.format('n').replace("'^\\s+|\\s+$'", "'^ +| +$'")} AS indicator_name, value, {_STRIP.format('g3')}[1:10] AS unit, g0[1:200] AS raw_text FROM v
 WHERE value IS NOT NULL AND NOT value BETWEEN 1990 AND 2030 AND abs(value) <= 1e10 AND {_plausible('value', 'n')}""")
 def _(t):
@@ -215,8 +215,8 @@ _INV_NUM = rx(R.INVENTORY_NUMBER)
 _INV_WORDS = rx(r"\b(?:" + "|".join(R.INVENTORY_WORDS) + r")\b")
 _INVENTORY_SQL = f"""{with_views('field_pages')}, f AS (SELECT page_id, url, html, regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>', 1) AS tabs FROM field_pages),
 inv AS (SELECT page_id, url, coalesce(nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), ''), 'No title') AS title, len(tabs) AS n_tables,
-  list_sort(list_distinct(regexp_extract_all(html, {_INV_NUM})))[1:20] AS numbers, list_sort(list_distinct(regexp_extract_all(html, {_INV_WORDS}))) AS words,
-  list_sort(list_distinct(regexp_extract_all(html, '\\b(20[0-2][0-9])\\b', 1))) AS years, list_transform(tabs[1:5], lambda x: len(regexp_extract_all(x, '(?is)<tr[^>]*>'))) AS table_rows FROM f)"""
+  list_sort(list_distinct(regexp_extract_all(html, {_INV_NUM}))) AS numbers, list_sort(list_distinct(regexp_extract_all(html, {_INV_WORDS}))) AS words,
+  list_sort(list_distinct(regexp_extract_all(html, '\\b(20[0-2][0-9])\\b', 1))) AS years, list_transform(tabs, lambda x: len(regexp_extract_all(x, '(?is)<tr[^>]*>'))) AS table_rows FROM f)"""
 
 
 @query("X17_inventory", "page_id:L title:S n_tables:I numbers:S words:S years:S table_rows:S n_data_links:I", f"""
@@ -230,7 +230,7 @@ def _(t):
 
 
 @query("X17_data_links", "page_id:L n_data_links:L", """
-SELECT page_id, len(list_filter(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?is)<a [^>]*?href="([^"]*)"', 1)[1:20],
+SELECT page_id, len(list_filter(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?is)<a [^>]*?href="([^"]*)"', 1),
   lambda x: regexp_matches(lower(x), 'statistique|donnee|data|excel|csv|pdf'))) AS n_data_links FROM pages""")
 def _(t):
     return X.inventory(t.wide("pages")).select("page_id", F.size("data_links").alias("n_data_links"))

@@ -140,11 +140,11 @@ def _(t):
 
 
 @query("F14_valid_content", "page_id:L", f"""
-{with_views('obs')}, s AS (SELECT page_id, substr(html, 1, CAST(page_id % 90 AS INT)) AS c FROM pages)
-SELECT page_id FROM s WHERE length(trim(c)) > 50 OR page_id IN (SELECT page_id FROM obs)""")
+{with_views('obs')}
+SELECT doc_id AS page_id FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 50 OR doc_id IN (SELECT page_id FROM obs)""")
 def _(t):
-    cut = t.pages.select("page_id", F.expr("substr(html, 1, CAST(page_id % 90 AS INT))").alias("html"))
-    return filtering.with_valid_content(cut, t.view("obs"))
+    contents = t.documents.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))
+    return filtering.with_valid_content(contents, t.view("obs"))
 
 
 @query("F15_score_threshold", "page_id:L score:D", f"{SCORED_SITES_SQL} SELECT page_id, score FROM scored WHERE score > 0.6")

@@ -44,7 +44,7 @@ def _(t):
 
 
 @query("J03_upsert_tasks", "task_id:S status:S operation:S metadata:S", f"""
-{with_views('tasks', 'results')}, old AS (SELECT task_id, status FROM tasks WHERE task_id <> ''), new AS (SELECT task_id, bool_and(success) AS ok FROM results WHERE ordinal <= 2 GROUP BY task_id)
+{with_views('tasks', 'results')}, old AS (SELECT task_id, status FROM tasks WHERE task_id <> ''), new AS (SELECT task_id, bool_and(success) AS ok FROM results GROUP BY task_id)
 SELECT coalesce(o.task_id, n.task_id) AS task_id, CASE WHEN n.task_id IS NULL THEN o.status WHEN n.ok THEN 'completed' ELSE coalesce(o.status, 'completed') END AS status,
   CASE WHEN o.task_id IS NULL THEN 'create' WHEN n.task_id IS NULL THEN 'keep' ELSE 'update' END AS operation,
   CASE WHEN o.task_id IS NULL THEN 'run=2' WHEN n.task_id IS NULL THEN 'origin=table,run=1' ELSE 'origin=table,run=2' END AS metadata FROM old o FULL JOIN new n ON o.task_id = n.task_id""")
@@ -52,7 +52,7 @@ def _(t):
     def meta(**kv):
         return F.create_map(*[F.lit(x) for pair in kv.items() for x in pair])
     tasks = t.view("tasks").filter("task_id <> ''").select("task_id", "status", meta(origin="table", run="1").alias("metadata"))
-    changes = t.view("results").filter("ordinal <= 2").groupBy("task_id").agg(F.bool_and("success").alias("ok"))
+    changes = t.view("results").groupBy("task_id").agg(F.bool_and("success").alias("ok"))
     changes = changes.select("task_id", F.when(F.col("ok"), "completed").alias("status"), meta(run="2").alias("metadata"))
     merged = M.upsert_tasks(tasks, changes)
     pairs = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))

@@ -181,7 +181,7 @@ def _vote(values: str) -> str:
 def _text_year(expr: str) -> str:
     contextual = ", ".join(_first(_ints(f"lower({expr})", p), 2018, 2025) for p in R.YEAR_TEXT_PATTERNS)
     vote = _vote(_ints(expr, r"\b(20(?:1[8-9]|2[0-5]))\b"))
-    return f"CASE WHEN length({expr}) <= 1000 THEN coalesce({contextual}, {vote}) END"
+    return f"coalesce({contextual}, {vote})"
 
 
 @query("N14_year_from_name", "o1:L name_year:I", f"{_OBS} SELECT o1, {_name_year('indicator_name')} AS name_year FROM obs")

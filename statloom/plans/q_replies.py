@@ -20,8 +20,8 @@ def _fill(template: str, content: str) -> str:
 
 
 @query("L01_requests", "doc_id:L topic_request:S plain_request:S", f"""
-{_TOPICAL} SELECT doc_id, CASE topic {' '.join(f"WHEN {lit(k)} THEN {_fill(v, 'text[1:1500]')}" for k, v in M.TOPIC_REQUESTS.items() if k != 'general')} ELSE {_fill(M.TOPIC_REQUESTS['general'], 'text[1:1500]')} END AS topic_request,
-  {_fill(M.PLAIN_REQUEST, "CASE WHEN length(text) > 2000 THEN text[1:2000] || chr(10) || '[...contenu limité...]' ELSE text END")} AS plain_request FROM tn""")
+{_TOPICAL} SELECT doc_id, CASE topic {' '.join(f"WHEN {lit(k)} THEN {_fill(v, 'text')}" for k, v in M.TOPIC_REQUESTS.items() if k != 'general')} ELSE {_fill(M.TOPIC_REQUESTS['general'], 'text')} END AS topic_request,
+  {_fill(M.PLAIN_REQUEST, 'text')} AS plain_request FROM tn""")
 def _(t):
     notes = t.view("notes").withColumn("topic", labels.topic("text", "source"))
     return notes.select("doc_id", M.topic_request("text", "topic").alias("topic_request"), M.plain_request("text").alias("plain_request"))

@@ -80,7 +80,7 @@ _MONTHS = f"list_distinct(regexp_extract_all(lower(text), '\\b({'|'.join(R.MONTH
 
 
 @query("Q07_temporal_references", "doc_id:L years:S months:S temporal_coverage:L recent_data:B", f"""
-{_NOTES} SELECT doc_id, array_to_string(list_sort({_YEARS})[1:5], ',') AS years, array_to_string(list_sort({_MONTHS})[1:3], ',') AS months,
+{_NOTES} SELECT doc_id, array_to_string(list_sort({_YEARS}), ',') AS years, array_to_string(list_sort({_MONTHS}), ',') AS months,
   len({_YEARS}) AS temporal_coverage, len(list_filter({_YEARS}, lambda y: CAST(y AS INTEGER) >= 2020)) > 0 AS recent_data FROM notes""")
 def _(t):
     p = scores.temporal_references("text")
@@ -127,7 +127,7 @@ _NUMS = "regexp_extract_all(text, '[0-9]+[.,]?[0-9]*')"
 
 @query("Q11_text_statistics", "doc_id:L length:L words:L numbers:L percentages:L first_numbers:S detail:S", f"""
 {_NOTES} SELECT doc_id, length(text) AS length, {word_count('text')} AS words, len({_NUMS}) AS numbers, len(regexp_extract_all(text, '[0-9]+[.,]?[0-9]*\\s*%')) AS percentages,
-  array_to_string({_NUMS}[1:5], ' ') AS first_numbers, CASE WHEN length(text) > 2000 THEN 'riche' WHEN length(text) > 500 THEN 'moyen' ELSE 'basique' END AS detail FROM notes""")
+  array_to_string({_NUMS}, ' ') AS first_numbers, CASE WHEN length(text) > 2000 THEN 'riche' WHEN length(text) > 500 THEN 'moyen' ELSE 'basique' END AS detail FROM notes""")
 def _(t):
     parts = scores.text_statistics("text")
     parts["first_numbers"] = F.array_join(parts["first_numbers"], " ")

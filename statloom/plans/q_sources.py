@@ -17,7 +17,7 @@ _HOST = r"lower(regexp_extract(trim({0}), '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/
 
 
 @query("S01_page_scan", "page_id:L n_chars:L html:S", f"""
-SELECT page_id, least(length(html), {R.MAX_CONTENT_CHARS}) AS n_chars, html[1:{R.MAX_CONTENT_CHARS}] AS html FROM pages
+SELECT page_id, length(html) AS n_chars, html FROM pages
 WHERE length(regexp_replace(html, '^\\s+|\\s+$', '', 'g')) > {R.MIN_CONTENT_CHARS}""")
 def _(t):
     pages = P.read_pages(t.spark, t.path("pages"))

@@ -55,20 +55,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give regex-heavy stages enough tasks when the input is a few small files. Inputs that
-    already have a task per core (any large table) pass through without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df if files >= cores else _split_small(df, cores)
-
-
-def _split_small(df: DataFrame, cores: int) -> DataFrame:
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores)
-
-
 def small_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
     """Rule rows as a relation with known size, so the optimiser can choose a broadcast itself."""
     structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]

@@ -12,7 +12,7 @@ from statloom.session import small_table
 
 
 def read_pages(spark: SparkSession, path: str, content: str = "html") -> DataFrame:
-    """Page snapshots with usable content, stored content cut to the size limit."""
+    """Page snapshots with usable content, whole."""
     return gate_pages(spark.read.parquet(path), content)
 
 

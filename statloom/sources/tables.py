@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.session import spread
 from statloom.sources.views import BASES, SPARK_VIEWS, VIEWS
 
 TABLE_NAMES = (
@@ -32,8 +31,11 @@ class Tables:
         return self._cache[name]
 
     def wide(self, name: str) -> DataFrame:
-        """The table with enough tasks for text-heavy work."""
-        return spread(getattr(self, name))
+        """A table with texts. A caller whose inputs are a few small files may ask for more tasks with
+        ``statloom.text.tasks`` in the session; otherwise the scan's own tasks are kept."""
+        tasks = self.spark.conf.get("statloom.text.tasks", None)
+        rows = getattr(self, name)
+        return rows.repartition(int(tasks)) if tasks else rows
 
     def view(self, name: str) -> DataFrame:
         key = f"view:{name}"
