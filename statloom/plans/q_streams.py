@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statloom.operators import extraction as X
-from statloom.plans.registry import query
+from statloom.plans.registry import QUERIES, query
+from statloom.sources.tables import Tables
 from statloom.streaming import incremental as S
 
 
@@ -17,6 +18,13 @@ def _(t):
     return S.extract_incrementally(stream, lambda pages: X.page_links(pages).select("page_id", "link"))
 
 
+@query("T01_observations", "page_id:L obs_key:S indicator_name:S value:D unit:S year:I", QUERIES["X04_list_items"].sql)
+def _(t):
+    live = Tables(t.spark, t.folder)
+    live.set("part", S.landed(t.spark, t.path("par[t]"), t.part.schema))
+    return S.extract_incrementally(live.view("html"), X.list_items)
+
+
 @query("T02_task_progress", "user_id:L processed:L succeeded:L updated_at:S", """
 SELECT user_id, count(*) AS processed, count(*) FILTER (event_type <> 'error') AS succeeded, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM events GROUP BY user_id""")
 def _(t):

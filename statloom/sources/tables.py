@@ -30,6 +30,10 @@ class Tables:
             self._cache[name] = self.spark.read.parquet(self.path(name))
         return self._cache[name]
 
+    def set(self, name: str, rows: DataFrame) -> None:
+        """Use these rows, also of a stream, as the table."""
+        self._cache[name] = rows
+
     def wide(self, name: str) -> DataFrame:
         """A table with texts. A caller whose inputs are a few small files may ask for more tasks with
         ``statloom.text.tasks`` in the session; otherwise the scan's own tasks are kept."""

@@ -45,8 +45,8 @@ def distinct_pages(pages: DataFrame, key: str = "url", out: str | None = None, c
 def maintain_progress(results: DataFrame, key: str, ok, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Task progress kept up to date as results arrive.
 
-    Every batch writes the changed tasks into its own folder, replacing it when the batch is retried,
-    so a restart never counts twice. Reading takes the newest row per task."""
+    A batch merges the changed tasks into the newest snapshot and writes the next one; a retried batch replaces its own
+    snapshot, so a restart never counts twice. Only the last two snapshots stay, whatever the number of batches."""
     spark = results.sparkSession
     out, checkpoint = out or fresh_dir(spark, "progress"), checkpoint or fresh_dir(spark, "checkpoint")
     counted = results.groupBy(key).agg(
@@ -54,18 +54,41 @@ def maintain_progress(results: DataFrame, key: str, ok, out: str | None = None,
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        session = batch.sparkSession
+        older = [n for n in snapshots(session, out) if n < batch_id]
+        rows = batch
+        if older:
+            known = session.read.schema(batch.schema).parquet(f"{out}/snapshot={older[-1]}")
+            changed = batch.select(F.col(key).alias("_changed"))
+            rows = known.join(changed, F.col(key).eqNullSafe(F.col("_changed")), "left_anti").unionByName(batch)
+        rows.write.mode("overwrite").parquet(f"{out}/snapshot={batch_id}")
+        for n in older[:-1]:
+            _files(session, out).delete(_path(session, f"{out}/snapshot={n}"), True)
 
     query = (
         counted.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return current_progress(spark, out, key)
+    newest = snapshots(spark, out)
+    if not newest:
+        return spark.createDataFrame([], counted.schema)
+    return spark.read.schema(counted.schema).parquet(f"{out}/snapshot={newest[-1]}")
 
 
-def current_progress(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """Newest row per task over all batches."""
-    rows = spark.read.parquet(out)
-    newest = F.max_by(F.struct("processed", "succeeded", "updated_at"), "batch_id").alias("row")
-    return rows.groupBy(key).agg(newest).select(key, "row.*")
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def snapshots(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the finished snapshots of a folder, oldest first."""
+    files = _files(spark, out)
+    if not files.exists(_path(spark, out)):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(_path(spark, out))]
+    numbers = [int(n.partition("=")[2]) for n in names if n.startswith("snapshot=")]
+    return sorted(n for n in numbers if files.exists(_path(spark, f"{out}/snapshot={n}/_SUCCESS")))

@@ -192,10 +192,10 @@ def test_progress_stream_over_two_batches(spark, tables):
     def run():
         return incremental.maintain_progress(incremental.landed(spark, landing, events.schema), "user_id", ok, out, check)
 
-    events.filter("event_id % 2 = 0").coalesce(1).write.parquet(landing)
-    run()
-    events.filter("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(landing)
-    got = {r["user_id"]: (r["processed"], r["succeeded"]) for r in run().collect()}
+    for part in range(4):
+        events.filter(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(landing)
+        got = {r["user_id"]: (r["processed"], r["succeeded"]) for r in run().collect()}
+    assert len(incremental.snapshots(spark, out)) == 2
     want = events.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(ok).alias("s")).collect()
     assert got == {r["user_id"]: (r["n"], r["s"]) for r in want}
 
@@ -261,3 +261,22 @@ def test_null_groups_keep_their_rows(spark):
     two = spark.createDataFrame([(None, 2), (3, 4)], "k long, v int")
     got = {(r.k, r.v, r.provenance) for r in merging.first_available(one, two, two.limit(0), "k", ["v"]).collect()}
     assert got == {(None, 1, "primary"), (3, 4, "alternative")}
+
+
+def test_observation_stream_continues_after_a_restart(spark, tables):
+    from statloom.sources.tables import Tables
+
+    landing, out, check = (fresh_dir(spark, x) for x in ("landing", "out", "check"))
+    part = tables.part
+
+    def run():
+        live = Tables(spark, FOLDER)
+        live.set("part", incremental.landed(spark, landing, part.schema))
+        return incremental.extract_incrementally(live.view("html"), extraction.list_items, out, check)
+
+    part.filter("p_partkey % 2 = 0").coalesce(1).write.parquet(landing)
+    first = run().count()
+    part.filter("p_partkey % 2 = 1").coalesce(1).write.mode("append").parquet(landing)
+    got = sorted(map(repr, run().select("page_id", "obs_key", "value").collect()))
+    assert 0 < first < len(got)
+    assert got == sorted(map(repr, extraction.list_items(tables.view("html")).select("page_id", "obs_key", "value").collect()))
