@@ -39,6 +39,8 @@ WORDS = 4
 PERCENT = 85
 #: A group of so many sets is verified pair by pair; a larger one gets a leader.
 SMALL_GROUP = 48
+#: Members of a large group whose tokens are counted in one task.
+PART_SETS = 256
 CHUNK_SETS = 20_000
 
 
@@ -171,15 +173,13 @@ def _compare(words: int, percent: int):
     return run
 
 
-def _counts(words: int):
-    """How many sets of each group in a batch have each token."""
+def _cores(words: int):
+    """Tokens that more than half of a part of a group have. A token that is no part's is in half of the group at most."""
 
-    def run(frames):
-        for pdf in frames:
-            value = _sides(words, pdf, ("key", "text"))
-            for group, keys in pdf.groupby("token")["key"]:
-                names, n = np.unique(np.concatenate([value[k] for k in keys.tolist()]), return_counts=True)
-                yield pd.DataFrame({"token": np.full(len(names), group), "part": names.view(np.int64), "n": n})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        value = _sides(words, pdf, ("key", "text"))
+        names, n = np.unique(np.concatenate([value[k] for k in pdf["key"].tolist()]), return_counts=True)
+        return pd.DataFrame({"token": pdf["token"].iloc[:1], "core": [names[2 * n > len(pdf)].view(np.int64)]})
 
     return run
 
@@ -206,15 +206,16 @@ def _profiles(words: int, percent: int):
     return run
 
 
-def _unpack(frames):
-    for pdf in frames:
-        n = (pdf["beside"].str.len() // 8).to_numpy()
-        flat = together(pdf["beside"], np.uint64)
-        token = B.mix(np.repeat(pdf["token"].to_numpy().view(np.uint64), n) ^ B.mix(flat)).view(np.int64)
-        yield pd.DataFrame({"token": token} | {c: np.repeat(pdf[c].to_numpy(), n) for c in ("key", "n", "linked")})
+def _combined(pdf: pd.DataFrame):
+    """Combined keys of a group and a token beside its core, with the member they belong to."""
+    n = (pdf["beside"].str.len() // 8).to_numpy()
+    flat = together(pdf["beside"], np.uint64)
+    yield B.mix(np.repeat(pdf["token"].to_numpy().view(np.uint64), n) ^ B.mix(flat)), np.repeat(pdf["member"].to_numpy(), n)
 
 
-_INDEX = "token long, key long, n long, linked boolean"
+def _unpack(frames):
+    for pdf in frames:
+        yield pd.DataFrame({"token": together(pdf["hashes"], np.int64), "member": together(pdf["keys"], np.int64)})
 
 
 def _grouped(index: DataFrame) -> DataFrame:
@@ -253,11 +254,12 @@ def links(rows: DataFrame, sets: DataFrame, index: DataFrame, words: int = WORDS
             break
         # Tokens of one family often have the same sets: at first, groups with one smallest set are taken as one.
         large = large.select((F.col("least") if first else F.col("token")).alias("token"), "key").distinct()
-        member = stored(large.join(texts, "key"), "members")
-        sizes = member.groupBy("token").agg(F.count("*").alias("size"))
-        parts = member.mapInPandas(_counts(words), "token long, part long, n long").groupBy("token", "part").agg(F.sum("n").alias("n"))
-        core = parts.join(sizes, "token").filter("2 * n > size").groupBy("token").agg(F.collect_list("part").alias("core"))
-        member = member.join(core, "token", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+        sizes = large.groupBy("token").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("parts"))
+        part = F.pmod(F.hash("key"), F.col("parts")).alias("part")
+        member = stored(large.join(sizes, "token").select("token", "key", part).join(texts, "key"), "members")
+        core = member.groupBy("token", "part").applyInPandas(_cores(words), "token long, core array<bigint>")
+        core = core.groupBy("token").agg(F.array_distinct(F.flatten(F.collect_list("core"))).alias("core"))
+        member = member.join(core, "token")
         profile = stored(member.mapInPandas(_profiles(words, percent), _PROFILE), "profiles")
         leader = profile.groupBy("token").agg(F.max_by("key", F.struct("near", "key")).alias("leader"))
         led = stored(profile.join(leader, "token"), "leaders")
@@ -269,8 +271,14 @@ def links(rows: DataFrame, sets: DataFrame, index: DataFrame, words: int = WORDS
         led = led.withColumn("linked", F.coalesce("hit", F.col("key") == F.col("leader")))
         led = stored(led.select("token", "key", "both", "n", "linked", "beside"), "led")
         pending = _within_core(led.drop("beside"), percent)
-        entries = led.filter("length(beside) > 0").select("token", "key", "n", "linked", "beside").mapInPandas(_unpack, _INDEX)
-        groups, first = _grouped(stored(entries, "index")), False
+        # Only combined keys that several members have come back from the exchange.
+        led = led.withColumn("member", F.xxhash64("token", "key"))
+        some = led.filter("length(beside) > 0")
+        total = some.agg(F.coalesce(F.sum(F.length("beside")), F.lit(0)), F.count("*")).first()
+        shared = repeated(some.select("token", "member", "beside"), _combined, total[0] / 8, -(-total[1] // CHUNK_SETS) or 1)
+        entries = stored(shared.mapInPandas(_unpack, "token long, member long"), "combined")
+        groups = _grouped(entries.join(some.select("member", "key", "n", "linked"), "member").drop("member"))
+        first = False
     return out.union(verified(pending))
 
 
