@@ -20,9 +20,7 @@ nothing. Other columns don't matter.
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
 from functools import cache
 
 import numpy as np
@@ -30,12 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.bytesets import as_bytes
 from statloom.llm.registry import query, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+REMEMBERED_PAIRS = 200_000
+#: Rows that leave a task at a time.
+ROWS = 1000
 _ID = np.dtype("<i4")
 _UNIGRAM, _MERGES = 1, 2
 
@@ -69,6 +69,11 @@ class Transducer:
             self.bytes_of.append(raw)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.ready = False
+
+    def _compile(self) -> None:
+        """The arcs, which only encoding needs."""
+        self.ready = True
         if self.merges:  # a piece that merging never makes has no arc
             self.ids = {p: i for p, i in self.ids.items() if self._merged(p) == [p]}
         #: Every beginning of a piece; the id where it is a piece, else -1.
@@ -99,7 +104,7 @@ class Transducer:
 
     def _weighed(self, pair: tuple[str, str]) -> bool:
         """Whether a pair met for the first time weighs 0."""
-        if len(self.pairs) > 4 * REMEMBERED:
+        if len(self.pairs) > REMEMBERED_PAIRS:
             self.pairs.clear()
         free = self.pairs[pair] = self._merged(pair[0] + pair[1]) == [*pair]
         return free
@@ -187,6 +192,8 @@ class Transducer:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if not self.ready:
+            self._compile()
         known = self.known
         parts = self.parts(self.prefix + text.replace(" ", MARK))
         try:
@@ -223,12 +230,19 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def _few(frames):
+    """Frames of at most ``ROWS`` rows, so that ids of few texts are held at a time."""
+    for pdf in frames:
+        for at in range(0, len(pdf), ROWS):
+            yield pdf.iloc[at : at + ROWS]
+
+
 def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id``, ``ids`` (little-endian 32-bit integers; null for a null text) and ``n_ids``."""
     path = path or model_path()
 
     def run(frames):
-        for pdf in frames:
+        for pdf in _few(frames):
             ids = [compiled(path).encode(t) if isinstance(t, str) else None for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "n_ids": [len(i) // 4 if i is not None else 0 for i in ids]})
 
@@ -240,7 +254,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(frames):
-        for pdf in frames:
+        for pdf in _few(frames):
             texts = [compiled(path).decode(i) if i is not None else None for i in pdf["ids"]]
             yield pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), text=texts)[["doc_id", "text", "ids", "n_ids"]]
 
@@ -249,16 +263,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def digest(decoded: DataFrame) -> DataFrame:
     """Number and checksum of the ids, and SHA-256 of the text decoded from them."""
-
-    def run(frames):
-        for pdf in frames:
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "n_ids": pdf["n_ids"],
-                "ids_crc32": [zlib.crc32(i) if i is not None else 0 for i in pdf["ids"]],
-                "decoded_sha256": [hashlib.sha256(as_bytes(t)).hexdigest() for t in pdf["text"]],
-            })
-
-    return decoded.mapInPandas(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+    return decoded.select(
+        "doc_id", "n_ids", F.crc32(F.coalesce("ids", F.lit(b""))).alias("ids_crc32"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("decoded_sha256"),
+    )
 
 
 @query("op9_piece_transducer")
