@@ -156,10 +156,10 @@ def test_dry_run_changes_nothing(tables):
     assert log.count() == fixes.count()
 
 
-def test_page_gate_cuts_and_drops(spark):
+def test_page_gate_drops_and_keeps_whole_pages(spark):
     df = spark.createDataFrame([(1, "x" * 600000), (2, "  short  "), (3, "y" * 20)], "page_id int, html string")
     got = {r["page_id"]: len(r["html"]) for r in P.gate_pages(df).collect()}
-    assert got == {1: 500000, 3: 20}
+    assert got == {1: 600000, 3: 20}
 
 
 def test_store_statistics_count_every_file(spark):
