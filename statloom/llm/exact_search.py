@@ -8,8 +8,8 @@ distance to it) can hold a better one: the query expands to these, and inside a
 distance lies in that range.
 
 Pivots come from a bounded sample; every row is indexed. Vectors that don't take part are named in ``vectors``. Ties
-go to the smaller id. A query with fewer candidates than k gets all. Repeated ids count once as a query and are no
-candidates of each other. Components are expected below 2**20. An empty table gives no rows.
+go to the smaller id. A query with fewer candidates than k gets all. Rows of one id are candidates each, but not of
+each other; as queries each of them asks and their answers are ranked together, so equal rows repeat each answer. Components are expected below 2**20. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -78,8 +78,10 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
             cell = near * (RINGS + 1) + np.minimum((at / ring).astype(int), RINGS)
             yield pd.DataFrame({"cell": cell, "vec_id": pdf["vec_id"], "at": at, "vec": [r.tobytes() for r in x]})
 
-    index = stored(rows.mapInPandas(place, "cell int, vec_id long, at double, vec binary"), "pivots")
-    asked = index.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "vec")
+    index = stored(rows.mapInPandas(place, "cell int, vec_id long, at double, vec binary").withColumn("row", F.monotonically_increasing_id()), "pivots")
+    # No more than k of equal rows can matter.
+    asked = index.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), "vec").agg(F.least(F.count("*"), F.lit(k)).alias("times"))
+    asked = asked.select("query_id", "vec", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("query_id", "vec")
 
     def route(first: bool):
         """Cells to visit: those around the query's place, or all that the radius leaves."""

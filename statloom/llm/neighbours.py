@@ -7,7 +7,7 @@ query visits is the smallest that finds ``AIM`` of the true neighbours of held-o
 
 Sample sizes are parameters; all rows are indexed and whole tables are searched. Vectors that don't take part are
 those named in ``vectors`` and zero vectors. Ties go to the smaller id; with fewer candidates than k all found are
-given. Repeated ids count once as a query. An empty table gives no rows.
+given. Rows of one id are candidates each, but not of each other; as a query an id asks once, with its least vector. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -140,8 +140,8 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
         return run
 
-    index = stored(rows.mapInPandas(route(1, "vec_id"), "cell int, vec_id long, vec binary"), "parts")
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    index = stored(rows.mapInPandas(route(1, "vec_id"), "cell int, vec_id long, vec binary").withColumn("row", F.monotonically_increasing_id()), "parts")
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     queries = stored(asked.mapInPandas(route(several, "query_id"), "cell int, query_id long, vec binary"), "routes")
 
     def kernel(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:

@@ -47,15 +47,15 @@ def sample(rows: DataFrame, n: int) -> np.ndarray:
 
 def in_blocks(index: DataFrame, queries: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     """``kernel(queries, vectors)`` for each cell. Large cells and large sets of queries are split, so that a task never
-    holds more than about ``CELL_ROWS`` vectors and ``QUERY_ROWS`` queries. ``index``: (cell, vec_id, ...);
-    ``queries``: (cell, query_id, ...)."""
+    holds more than about ``CELL_ROWS`` vectors and ``QUERY_ROWS`` queries. ``index``: (cell, vec_id, row, ...), a stored
+    table where ``row`` tells rows of one id apart; ``queries``: (cell, query_id, vec, ...)."""
     sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
-    number = queries.select("query_id").distinct().count()
+    number = queries.select("query_id", F.xxhash64("vec")).distinct().count()
     blocks = max(1, -(-number // QUERY_ROWS))
-    vectors = index.join(sizes, "cell").withColumn("part", F.pmod(F.hash("vec_id"), "parts")).drop("parts")
+    vectors = index.join(sizes, "cell").withColumn("part", F.pmod(F.hash("row"), "parts")).drop("parts", "row")
     vectors = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    asked = asked.withColumn("block", F.pmod(F.hash("query_id"), F.lit(blocks)))
+    asked = asked.withColumn("block", F.pmod(F.hash("query_id", "vec"), F.lit(blocks)))
     keys = ["cell", "part", "block"]
 
     def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +80,7 @@ def best(scores: np.ndarray, query_ids: np.ndarray, vec_ids: np.ndarray, k: int,
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k best of each query."""
+    """``query_id, rank, vec_id, score``: the k best of each query. Rows of one id are candidates each."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    rows = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    rows = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return rows.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

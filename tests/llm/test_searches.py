@@ -65,3 +65,22 @@ def test_neighbours_recall_and_scores(spark, given):
     assert set(got) == set(true) and all(g == sorted(g, reverse=True) for g in got.values())
     hits = sum(sum(s >= min(true[q].values()) - 1e-12 for s in g) for q, g in got.items())
     assert hits / sum(map(len, true.values())) >= 0.9
+
+
+def test_repeated_ids_are_candidates_each(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    # Thirty rows of one id near a query, half of them equal; a query id with two equal rows and one that differs.
+    table += [(777, [float(c) for c in x[100] * 2 + (0 if i < 15 else 0.01 * i)], 1) for i in range(30)]
+    table += [(200, table[200][1], 1), (200, table[7][1], 1)]
+    frame = spark.createDataFrame(table, SCHEMA)
+    whole = [(i, np.floor(1024 * np.array(v))) for i, v, _ in table]
+    want = []
+    for q in (0, 100, 200):
+        scored = sorted((-int(a @ b), j) for i, a in whole if i == q for j, b in whole if j != q)[:10]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+    assert listed(exact_search.search(frame), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    found = [r for r in neighbours.search(frame, every=100).collect() if r.query_id == 100]
+    assert len(found) == 20 and all(r.vec_id == 777 for r in found)
