@@ -1,13 +1,15 @@
-"""Approximate nearest neighbours by learned partitions.
+"""Approximate nearest neighbours (largest inner products) by learned partitions.
 
-On a bounded sample a graph of near neighbours is built and cut into parts of equal size: vectors move to the part that
-most of their neighbours have, as long as it has room. A softmax classifier learns the parts; it then gives every
-vector its part and each query several most probable ones, whose vectors are scored exactly. The number of parts a
-query visits is the smallest that finds ``AIM`` of the true neighbours of held-out sample queries.
+On a bounded sample a graph of the vectors with the largest inner products is built and cut into parts of equal size:
+vectors move to the part that most of their neighbours have, as long as it has room. A softmax classifier of direction
+and length learns the parts and gives every vector its part. A second one, of the direction alone, learns how the true
+neighbours of a query spread over the parts; a query visits its most probable ones, whose vectors are scored exactly. The
+number of parts is the smallest that finds ``AIM`` of the true neighbours of sample queries that neither was fitted on.
 
 Sample sizes are parameters; all rows are indexed and whole tables are searched. Vectors that don't take part are
 those named in ``vectors`` and zero vectors. Ties go to the smaller id; with fewer candidates than k all found are
-given. Rows of one id are candidates each, but not of each other; as a query an id asks once, with its least vector. An empty table gives no rows.
+given. Rows of one id are candidates each, but not of each other; as a query an id asks once, with its least vector. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,11 +73,10 @@ def balanced_parts(x: np.ndarray, parts: int = PARTS, neighbours: int = NEIGHBOU
     return label
 
 
-def fit_router(x: np.ndarray, label: np.ndarray, parts: int, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax regression by gradient steps with momentum."""
-    w, b = np.zeros((x.shape[1], parts)), np.zeros(parts)
+def fit_router(x: np.ndarray, truth: np.ndarray, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression on the shares of the parts, by gradient steps with momentum."""
+    w, b = np.zeros((x.shape[1], truth.shape[1])), np.zeros(truth.shape[1])
     speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
-    truth = np.eye(parts)[label]
     scale = 4.0 * np.sqrt(x.shape[1])
     for _ in range(steps):
         p = probabilities(x, w, b)
@@ -93,17 +94,21 @@ def probabilities(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def visits(x: np.ndarray, p: np.ndarray, k: int, aim: float = AIM, queries: int = 400) -> int:
-    """How many of the most probable parts hold the share ``aim`` of the true neighbours in the sample."""
-    q = np.arange(0, len(x), max(1, len(x) // queries))
-    scores = x[q] @ x.T
-    scores[np.arange(len(q)), q] = -np.inf
-    k = min(k, len(x) - 1)
-    if k < 1:
-        return p.shape[1]
-    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    home = p.argmax(axis=1)
-    place = np.argsort(np.argsort(-p[q], axis=1, kind="stable"), axis=1, kind="stable")
+def directions(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def nearest(x: np.ndarray, asked: np.ndarray, candidates: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k candidates with the largest inner products, none of the query itself."""
+    scores = x[asked] @ x[candidates].T
+    scores[asked[:, None] == candidates[None, :]] = -np.inf
+    k = min(k, len(candidates) - 1)
+    return candidates[np.argpartition(-scores, k - 1, axis=1)[:, :k]]
+
+
+def visits(near: np.ndarray, home: np.ndarray, p: np.ndarray, aim: float = AIM) -> int:
+    """How many of the most probable parts hold the share ``aim`` of the true neighbours."""
+    place = np.argsort(np.argsort(-p, axis=1, kind="stable"), axis=1, kind="stable")
     needed = np.take_along_axis(place, home[near], axis=1)
     for m in range(1, p.shape[1]):
         if (needed < m).mean() >= aim:
@@ -111,6 +116,46 @@ def visits(x: np.ndarray, p: np.ndarray, k: int, aim: float = AIM, queries: int
     return p.shape[1]
 
 
+class Router:
+    """Parts of vectors and of queries, learned from a sample."""
+
+    def __init__(self, x: np.ndarray, k: int):
+        self.parts = max(1, min(PARTS, len(x) // 8))
+        self.several = 1
+        if self.parts == 1:
+            return
+        left_out = np.arange(len(x)) % max(2, min(10, len(x) // 100)) == 0
+        fitted, asked = np.flatnonzero(~left_out), np.flatnonzero(left_out)
+        length = self._length(x)
+        self.middle, self.spread = float(length.mean()), max(float(length.std()), 1e-3)
+        label = balanced_parts(x[fitted], self.parts)
+        self.of_vectors = fit_router(self._features(x[fitted]), np.eye(self.parts)[label])
+        home = self.homes(x)
+        near = nearest(x, fitted, fitted, k)
+        spread = np.stack([(home[near] == p).mean(axis=1) for p in range(self.parts)], axis=1)
+        self.of_queries = fit_router(directions(x[fitted]), spread)
+        self.several = visits(nearest(x, asked, np.arange(len(x)), k), home, probabilities(directions(x[asked]), *self.of_queries))
+
+    @staticmethod
+    def _length(x: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(np.linalg.norm(x, axis=1), 1e-300))
+
+    def _features(self, x: np.ndarray) -> np.ndarray:
+        length = np.clip((self._length(x) - self.middle) / self.spread, -4, 4)
+        return np.column_stack([directions(x), length / np.sqrt(x.shape[1])])
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        if self.parts == 1:
+            return np.zeros(len(x), dtype=int)
+        return probabilities(self._features(x), *self.of_vectors).argmax(axis=1)
+
+    def visited(self, x: np.ndarray) -> np.ndarray:
+        """The parts of each query, most probable first."""
+        if self.parts == 1:
+            return np.zeros((len(x), 1), dtype=int)
+        return np.argsort(-probabilities(directions(x), *self.of_queries), axis=1, kind="stable")[:, : self.several]
+
+
 def search(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``."""
     rows = V.valid(embeddings).filter(F.exists("vec", lambda v: v != 0))
@@ -120,29 +165,24 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         return V.ranked(embeddings.sparkSession.createDataFrame([], schema), k)
     x = V.sample(rows, SAMPLE)
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    parts = max(1, min(PARTS, len(x) // 8))
-    w, b = fit_router(x, balanced_parts(x, parts), parts)
-    several = visits(x, probabilities(x, w, b), k)
+    router = Router(x, k)
 
-    def route(each: int, name: str):
+    def route(cells, each: int, name: str):
         def run(frames):
             for pdf in frames:
                 v = np.zeros((len(pdf), width))
                 for i, row in enumerate(pdf["vec"]):
                     v[i, : len(row)] = row
-                unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                order = np.argsort(-probabilities(unit, w, b), axis=1, kind="stable")[:, :each]
                 raw = [r.tobytes() for r in v]
                 yield pd.DataFrame({
-                    "cell": order.ravel(), name: np.repeat(pdf["vec_id"].to_numpy(), each), "vec": [r for r in raw for _ in range(each)],
+                    "cell": cells(v).ravel(), name: np.repeat(pdf["vec_id"].to_numpy(), each), "vec": [r for r in raw for _ in range(each)],
                 })
 
         return run
 
-    index = stored(rows.mapInPandas(route(1, "vec_id"), "cell int, vec_id long, vec binary").withColumn("row", F.monotonically_increasing_id()), "parts")
+    index = stored(rows.mapInPandas(route(router.homes, 1, "vec_id"), "cell int, vec_id long, vec binary").withColumn("row", F.monotonically_increasing_id()), "parts")
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    queries = stored(asked.mapInPandas(route(several, "query_id"), "cell int, query_id long, vec binary"), "routes")
+    queries = stored(asked.mapInPandas(route(router.visited, router.several, "query_id"), "cell int, query_id long, vec binary"), "routes")
 
     def kernel(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         scores = V.matrix(q["vec"], width) @ V.matrix(v["vec"], width).T

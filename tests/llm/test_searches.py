@@ -84,3 +84,29 @@ def test_repeated_ids_are_candidates_each(spark):
     assert listed(exact_search.search(frame), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
     found = [r for r in neighbours.search(frame, every=100).collect() if r.query_id == 100]
     assert len(found) == 20 and all(r.vec_id == 777 for r in found)
+
+
+def test_neighbours_recall_with_unequal_norms(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(3000, 16))
+    x *= r.lognormal(0, 1, size=(3000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = {}
+    for row in neighbours.search(frame).collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    hits = 0
+    for q in range(0, 3000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits / (150 * 20) >= 0.9, hits / (150 * 20)
+
+
+def test_router_is_tuned_on_queries_left_out():
+    r = np.random.default_rng(12)
+    x = r.normal(size=(3000, 16))
+    x *= r.lognormal(0, 1, size=(3000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    router, fresh = neighbours.Router(x[:2000], 20), x[2000:]
+    near = np.argsort(-(fresh @ x[:2000].T), axis=1)[:, :20]
+    visited, home = router.visited(fresh), router.homes(x[:2000])
+    assert (home[near][:, :, None] == visited[:, None, :]).any(axis=2).mean() >= 0.93
