@@ -25,9 +25,9 @@ def ranked_links(links: DataFrame, per_page: int = 5) -> DataFrame:
     return ranked.filter(F.col("rank") <= per_page)
 
 
-def crawl(links: DataFrame, starts: DataFrame, max_depth: int = 3, max_pages: int = 50, per_page: int = 5) -> DataFrame:
+def crawl(links: DataFrame, starts: DataFrame, max_depth: int = 3, max_pages: int | None = None, per_page: int = 5) -> DataFrame:
     """Visited pages per site: site, url, depth. ``links`` has src_url and dst_url, ``starts`` has site
-    and url. Each site visits at most ``max_pages`` pages; within a level pages are taken by address."""
+    and url. With ``max_pages`` each site visits at most so many, within a level by address."""
     follow = cut_lineage(ranked_links(links, per_page).select("src_url", "dst_url"))
     visited = cut_lineage(starts.select("site", "url").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
@@ -38,10 +38,12 @@ def crawl(links: DataFrame, starts: DataFrame, max_depth: int = 3, max_pages: in
             .distinct()
             .join(visited.select("site", "url"), ["site", "url"], "left_anti")
         )
-        counts = visited.groupBy("site").agg(F.count("*").alias("n_visited"))
-        by_site = W.partitionBy("site").orderBy("url")
-        capped = reached.withColumn("place", F.row_number().over(by_site)).filter(F.col("place") <= max_pages)
-        room = capped.join(counts, "site").filter(F.col("place") + F.col("n_visited") <= max_pages)
+        room = reached
+        if max_pages is not None:
+            counts = visited.groupBy("site").agg(F.count("*").alias("n_visited"))
+            by_site = W.partitionBy("site").orderBy("url")
+            capped = reached.withColumn("place", F.row_number().over(by_site)).filter(F.col("place") <= max_pages)
+            room = capped.join(counts, "site").filter(F.col("place") + F.col("n_visited") <= max_pages)
         frontier = cut_lineage(room.select("site", "url", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break

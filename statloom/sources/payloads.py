@@ -163,12 +163,13 @@ def marker_presence(records: DataFrame, markers: list[str], content: str = "cont
 
 
 def all_values(dumps: DataFrame, content: str = "content") -> DataFrame:
-    """Value collections of the first result of each dump as one relation: dump_id, collection,
+    """Value collections of all results of each dump as one relation: dump_id, collection,
     name, value, unit, category, confidence, is_priority."""
-    first = dumps.select("dump_id", F.get(F.from_json(content, DUMP_SCHEMA)["results"], F.lit(0))["content"]["structured_data"].alias("s"))
+    results = each(dumps, ("dump_id",), F.from_json(content, DUMP_SCHEMA)["results"], "r")
+    data = results.select("dump_id", F.col("r.content.structured_data").alias("s"))
 
     def figures(source: str, collection: str) -> DataFrame:
-        rows = each(first, ("dump_id",), F.map_entries(F.col(f"s.{source}")), "e").filter("e.value.value IS NOT NULL")
+        rows = each(data, ("dump_id",), F.map_entries(F.col(f"s.{source}")), "e").filter("e.value.value IS NOT NULL")
         v = "e.value"
         name = F.coalesce(f"{v}.indicator_name", "e.key") if source == "target_indicators" else F.col("e.key")
         return rows.select(
@@ -178,7 +179,7 @@ def all_values(dumps: DataFrame, content: str = "content") -> DataFrame:
             F.coalesce(f"{v}.is_priority_indicator", F.lit(False)).alias("is_priority"),
         )
 
-    tables = each(first, ("dump_id",), F.col("s.tables_data"), "tab")
+    tables = each(data, ("dump_id",), F.col("s.tables_data"), "tab")
     rows = each(tables, ("dump_id",), F.col("tab.rows"), "row")
     cells = each(rows, ("dump_id", F.col("row")["indicator_name"].alias("row_name")), F.map_entries("row"), "e")
     cell_value = F.get_json_object("e.value", "$.value").try_cast("double")
@@ -191,21 +192,23 @@ def all_values(dumps: DataFrame, content: str = "content") -> DataFrame:
 
 
 def collection_counts(dumps: DataFrame, content: str = "content") -> DataFrame:
-    """Number of values per collection of the first result, in place, without exploding."""
-    s = F.get(F.from_json(content, DUMP_SCHEMA)["results"], F.lit(0))["content"]["structured_data"]
-    staged = dumps.select("dump_id", s.alias("s"))
+    """Number of values per collection over all results, in place, without exploding."""
+    staged = dumps.select("dump_id", F.from_json(content, DUMP_SCHEMA)["results"]["content"]["structured_data"].alias("s"))
+
+    def total(numbers) -> Column:
+        return F.coalesce(F.aggregate(numbers, F.lit(0), lambda a, n: a + F.coalesce(n, F.lit(0))), F.lit(0))
 
     def valued(source: str) -> Column:
-        return F.coalesce(F.size(F.filter(F.map_values(F.col(f"s.{source}")), lambda v: v["value"].isNotNull())), F.lit(0))
+        return total(F.transform("s", lambda d: F.size(F.filter(F.map_values(d[source]), lambda v: v["value"].isNotNull()))))
+
+    def in_rows(tables) -> Column:
+        rows = F.flatten(F.filter(F.transform(tables, lambda t: t["rows"]), lambda r: r.isNotNull()))
+        return total(F.transform(rows, lambda r: F.size(F.filter(F.map_values(r), lambda c: F.get_json_object(c, "$.value").isNotNull()))))
 
-    in_rows = F.transform(
-        F.flatten(F.transform("s.tables_data", lambda t: t["rows"])),
-        lambda r: F.size(F.filter(F.map_values(r), lambda c: F.get_json_object(c, "$.value").isNotNull())),
-    )
     return staged.select(
         "dump_id",
         valued("target_indicators").alias("target_indicators"),
         valued("key_figures").alias("key_figures"),
-        F.aggregate(in_rows, F.lit(0), lambda a, n: a + n).alias("table_values"),
+        total(F.transform("s", lambda d: in_rows(d["tables_data"]))).alias("table_values"),
         valued("extracted_values").alias("extracted_values"),
     )

@@ -280,3 +280,20 @@ def test_observation_stream_continues_after_a_restart(spark, tables):
     got = sorted(map(repr, run().select("page_id", "obs_key", "value").collect()))
     assert 0 < first < len(got)
     assert got == sorted(map(repr, extraction.list_items(tables.view("html")).select("page_id", "obs_key", "value").collect()))
+
+
+def test_all_results_of_a_dump_count(spark):
+    one = '{"content":{"structured_data":{"target_indicators":{"a":{"value":1}},"key_figures":{"k":{"value":2}},"tables_data":[{"rows":[{"x":"{\\"value\\":3}"}]}]}}}'
+    two = '{"content":{"structured_data":{"target_indicators":{"b":{"value":4},"c":{"value":5}},"tables_data":[{},{"rows":[{"y":"{\\"value\\":6}"}]}]}}}'
+    dumps = spark.createDataFrame([(1, f'{{"results":[{one},{{"url":"u"}},{two}]}}'), (2, '{"results":[]}'), (3, "{}")], "dump_id long, content string")
+    assert sorted(r.value for r in payloads.all_values(dumps).collect()) == [1, 2, 3, 4, 5, 6]
+    counts = {r.dump_id: tuple(r)[1:] for r in payloads.collection_counts(dumps).collect()}
+    assert counts == {1: (3, 1, 2, 0), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0)}
+
+
+def test_crawl_has_no_page_limit_by_default(spark):
+    pages = [f"https://s.org/{a}" for a in range(5)]
+    links = [("https://s.org", p) for p in pages] + [(p, f"{p}/{b}") for p in pages for b in range(5)]
+    links += [(f"{p}/{b}", f"{p}/{b}/{c}") for p in pages for b in range(5) for c in range(5)]
+    starts = spark.createDataFrame([("s", "https://s.org")], "site string, url string")
+    assert crawl.crawl(spark.createDataFrame(links, "src_url string, dst_url string"), starts, max_depth=4).count() == 1 + 5 + 25 + 125
