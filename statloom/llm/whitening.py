@@ -21,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -100,7 +101,12 @@ def blocks(rows: DataFrame, width: int) -> BlockMatrix:
     """``rows(row, v)``, v an array of doubles, as a distributed matrix of blocks."""
     vectors = rows.select(F.col("row").alias("index"), array_to_vector("v").alias("vector"))
     matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"))
-    return matrix.toBlockMatrix(BLOCK_ROWS, width)
+    # Each product reads them several times; a lost executor's blocks are made again.
+    return matrix.toBlockMatrix(BLOCK_ROWS, width).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _release(matrix: BlockMatrix) -> None:
+    matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def _times(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
@@ -147,7 +153,9 @@ def identity_error(projected: DataFrame, n: int, use: np.ndarray) -> float:
     """Largest entry of the projected rows' covariance less the identity, over the usable components."""
     means = [r[1] for r in sorted(tuple(r) for r in projected.select(F.posexplode("w")).groupBy("pos").agg(F.avg("col")).collect())]
     less = F.zip_with("w", F.array(*[F.lit(float(m)) for m in means]), lambda a, b: a - b)
-    cov = scatter(blocks(projected.select("row", less.alias("v")), len(means))) / n
+    matrix = blocks(projected.select("row", less.alias("v")), len(means))
+    cov = scatter(matrix) / n
+    _release(matrix)
     off = np.abs(cov - np.eye(len(means)))[np.ix_(use, use)]
     return float(off.max()) if off.size else 0.0
 
@@ -171,6 +179,7 @@ def whiten(embeddings: DataFrame, count: int = COMPONENTS) -> DataFrame:
     count = min(count, len(model.sums))
     use = model.usable(count)
     projected = stored(project(matrix, model, count), "projected")
+    _release(matrix)
     error = identity_error(projected, model.n, use)
     flags = F.array(*[F.lit(bool(u)) for u in use])
     whitened = F.zip_with("w", flags, lambda w, u: F.when(u, w))
