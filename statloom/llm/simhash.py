@@ -102,16 +102,24 @@ def _blocks(mask: int, count: int) -> list[int]:
 
 def _split(buckets: DataFrame, count: int) -> DataFrame:
     """Every entry in one bucket for each block of its bucket's unused bits. ``free`` has one value at first and
-    ``count`` times as many with each split."""
-    spark = buckets.sparkSession
+    ``count`` times as many with each split; its few masks are part of the plan."""
     masks = [r[0] for r in buckets.select("free").distinct().collect()]
-    rows = [(m, [(b, m & ~b) for b in _blocks(m, count)]) for m in masks]
-    cuts = spark.createDataFrame(rows, "free long, cuts array<struct<block:long,left:long>>")
-    rows = buckets.join(cuts, "free").select("key", "fp", "class", F.inline("cuts"))
+    if not masks:
+        return buckets
+
+    def cuts(mask: int) -> Column:
+        return F.array(*[F.struct(_long(b).alias("block"), _long(mask & ~b).alias("left")) for b in _blocks(mask, count)])
+
+    known = F.create_map(*[c for m in masks for c in (_long(m), cuts(m))])
+    rows = buckets.select("key", "fp", "class", F.inline(F.element_at(known, F.col("free"))))
     key = F.xxhash64("key", "block", F.col("fp").bitwiseAND(F.col("block"))).alias("key")
     return rows.select(key, F.col("left").alias("free"), "fp", "class")
 
 
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
 def _search(distance: int):
     """Links of one part: a spanning forest of the others, and for each of them one link with the class."""
 
@@ -146,7 +154,7 @@ def _led(large: DataFrame, distance: int) -> DataFrame:
     bits = free.select("key", "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
     one = F.expr("shiftright(fp, bit) & 1")
     votes = bits.groupBy("key", "bit").agg(F.sum(one).alias("ones"), F.count("*").alias("n"))
-    center = votes.groupBy("key").agg(F.bit_or(F.when(F.expr("2 * ones > n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias("center"))
+    center = votes.groupBy("key").agg(F.bit_or(F.when(F.expr("2 * ones > n"), F.expr("shiftleft(1L, bit)")).otherwise(_long(0))).alias("center"))
     near = free.join(center, "key").groupBy("key").agg(F.min(F.struct(apart("fp", "center").alias("d"), "fp")).alias("near"))
     leader = stored(near.select("key", F.col("near.fp").alias("leader")), "leaders")
     linked = F.when(F.col("class").isNull() & (apart("fp", "leader") <= distance), F.col("leader")).otherwise(F.col("class"))
@@ -155,8 +163,7 @@ def _led(large: DataFrame, distance: int) -> DataFrame:
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``a, b``: links among distinct fingerprints ``fp``, not all, but enough for the same components."""
-    none = F.lit(None).cast("long")
-    entries = nodes.select(F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("free"), "fp", none.alias("class"))
+    entries = nodes.select(_long(0).alias("key"), _long(-1).alias("free"), "fp", F.lit(None).cast("long").alias("class"))
     entries = stored(_split(entries, distance + 1), "buckets")
     out = []
     while True:
