@@ -12,8 +12,9 @@ import numpy as np
 
 GROUP_BYTES = 1 << 20
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Primes below 2 ** 31 and bases: a letter times a power has 40 bits, so a sum of 2 ** 23 of them fits 64.
+_FIELDS = ((2147483647, 1267650607), (2147483629, 779458963))
+_SUM_PLACES = 1 << 23
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -46,23 +47,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        ups = np.full(size, U(_BASE))
-        downs = np.full(size, U(_INVERSE))
-        ups[0] = downs[0] = 1
-        _powers[size] = np.multiply.accumulate(ups), np.multiply.accumulate(downs)
-    return _powers[size]
+def _power(n: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo the prime, at least n."""
+    have = _powers.get(prime)
+    if have is None or len(have[0]) < n:
+        have = tuple(np.ones(1, dtype=np.uint64) for _ in range(2))
+        for k, step in enumerate((base, pow(base, -1, prime))):
+            row = have[k]
+            while len(row) < n:
+                row = np.concatenate([row, row * U(pow(step, len(row), prime)) % U(prime)])
+            have = (row, have[1]) if k == 0 else (have[0], row)
+        _powers[prime] = have
+    return have
+
+
+def _prefix_sums(values: np.ndarray, prime: int) -> np.ndarray:
+    """Sums up to each place, equal to the true ones modulo the prime; no sum leaves 64 bits."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    for k in range(0, len(values), _SUM_PLACES):
+        part = values[k : k + _SUM_PLACES]
+        np.cumsum(part, out=sums[k + 1 : k + 1 + len(part)])
+        sums[k + 1 : k + 1 + len(part)] += sums[k] % U(prime)
+    return sums
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of ``buf[start:end]`` for every pair: a polynomial by prefix sums, then mixed."""
-    up, down = _power(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + U(1)) * up[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of ``buf[start:end]`` for every pair: polynomials modulo two primes by prefix sums, then mixed.
+    (A polynomial modulo a power of two is the same for some unequal words of 1024 bytes, whatever its base.)"""
+    letters, h = buf.astype(np.uint64) + U(1), (ends - starts).astype(np.uint64)
+    for prime, base in _FIELDS:
+        up, down = _power(len(buf) + 1, prime, base)
+        sums = _prefix_sums(letters * up[: len(buf)], prime)
+        apart = (sums[ends] % U(prime) + U(prime) - sums[starts] % U(prime)) * down[starts] % U(prime)
+        h = mix(h * U(0x9E3779B97F4A7C15) + apart)
+    return h
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,10 +27,18 @@ from statloom.llm.storage import stored
 SENTENCES = 2
 WORDS = 12
 CHUNK_BYTES = 6_000_000
+_BASE = 0x9E3779B97F4A7C15
 _MARKS = np.isin(np.arange(256), list(b".!?,;:"))
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
+def _powers(n: int, step: int) -> np.ndarray:
+    """Powers modulo 2 ** 64; enough for runs, which have few sentences."""
+    out = np.full(n, B.U(step))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def sentences(buf: np.ndarray, starts: np.ndarray):
     """``(document, begin, end, next)`` of each sentence of a group; ``next`` is where the following one begins."""
     space = _SPACE[buf]
@@ -60,7 +68,7 @@ def spans(buf: np.ndarray, starts: np.ndarray):
     last = np.maximum(np.searchsorted(total, before + WORDS), np.arange(len(doc)) + SENTENCES - 1)
     first = np.flatnonzero((last < len(doc)) & (doc[np.minimum(last, len(doc) - 1)] == doc))
     last = last[first]
-    up, down = B._power(len(doc) + 1)
+    up, down = _powers(len(doc) + 1, _BASE), _powers(len(doc) + 1, pow(_BASE, -1, 1 << 64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(B.span_hashes(buf, begin, stop) * up[: len(doc)])])
     return doc, begin, stop, following, first, last, B.mix((sums[last + 1] - sums[first]) * down[first] + (last - first).astype(np.uint64))
 
