@@ -17,8 +17,10 @@ from statloom.llm import bytesets as B
 
 BLOCK = "bucket int, keys binary, hashes binary, classes binary, ready boolean"
 ANSWER = "chunk int, keys binary, hashes binary, classes binary"
-#: A hash of so many keys in one batch is hot there.
+#: A hash of so many keys in one portion is hot there.
 BATCH_HOT = 200
+#: Pairs that a task sorts and sends at a time.
+PORTION = 1 << 19
 #: Class of hashes that were hot in some batch; others have the bit length of their number of keys.
 TOP = 255
 #: Expected entries of a range. It sets how many ranges there are, never what one may hold.
@@ -58,6 +60,28 @@ def cuts_of(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]])
 
 
+def _portions(produce: Callable, pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (hash, key) pairs of a frame by hash and key, some ``PORTION`` at a time, however large the frame is."""
+    held, size = [], 0
+
+    def distinct():
+        h, k = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((k, h))
+        h, k = h[order], k[order]
+        once = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))
+        return h[once], k[once]
+
+    for h, k in produce(pdf):
+        if len(h):
+            held.append((h, k))
+            size += len(h)
+        if size >= PORTION:
+            yield distinct()
+            held, size = [], 0
+    if held:
+        yield distinct()
+
+
 def _frame(rows) -> pd.DataFrame:
     rows = [(a, k.tobytes(), h.tobytes(), c.tobytes(), ready) for a, k, h, c, ready in rows]
     return pd.DataFrame(rows, columns=["bucket", "keys", "hashes", "classes", "ready"])
@@ -67,15 +91,7 @@ def _blocks(produce: Callable, ranges: int):
     shift = B.U(64 - ranges.bit_length() + 1)
 
     def run(frames) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            found = [(h, k) for h, k in produce(pdf) if len(h)]
-            if not found:
-                continue
-            h, k = (np.concatenate(c) for c in zip(*found))
-            order = np.lexsort((k, h))
-            h, k = h[order], k[order]
-            once = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))
-            h, k = h[once], k[once]
+        for h, k in (p for pdf in frames for p in _portions(produce, pdf)):
             cuts = cuts_of(h)
             many = np.diff(cuts)
             hot = np.repeat(many >= BATCH_HOT, many)
@@ -132,15 +148,7 @@ def _later_blocks(produce: Callable, ranges: int):
     shift = B.U(64 - ranges.bit_length() + 1)
 
     def run(frames) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            found = [(h, k) for h, k in produce(pdf) if len(h)]
-            if not found:
-                continue
-            h, k = (np.concatenate(c) for c in zip(*found))
-            order = np.lexsort((k, h))
-            h, k = h[order], k[order]
-            once = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))
-            h, k = h[once], k[once]
+        for h, k in (p for pdf in frames for p in _portions(produce, pdf)):
             new = np.append(True, h[1:] != h[:-1])
             rows = []
             if not new.all():

@@ -42,6 +42,8 @@ SMALL_GROUP = 48
 #: Members of a large group whose tokens are counted in one task.
 PART_SETS = 256
 CHUNK_SETS = 20_000
+#: Rows whose texts are compared at a time.
+PIECE_ROWS = 500
 
 
 def tokens(texts: list[bytes], words: int = WORDS):
@@ -140,6 +142,13 @@ def _postings(percent: int):
     return run
 
 
+def _pieces(frames):
+    """Frames of few rows: the tokens of all texts of one are held at a time."""
+    for pdf in frames:
+        for k in range(0, len(pdf), PIECE_ROWS):
+            yield pdf.iloc[k : k + PIECE_ROWS]
+
+
 def _sides(words: int, pdf: pd.DataFrame, *sides: tuple[str, str]) -> dict:
     """Tokens of the sets named in the columns, each computed once."""
     found = {}
@@ -160,7 +169,7 @@ def _compare(words: int, percent: int):
     """Which pairs are linked."""
 
     def run(frames):
-        for pdf in frames:
+        for pdf in _pieces(frames):
             value = _sides(words, pdf, ("x", "text_x"), ("y", "text_y"))
             rows = []
             for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist()):
@@ -191,7 +200,7 @@ def _profiles(words: int, percent: int):
     """What a set has of its group's core, and the tokens beside the core of which a partner must have one."""
 
     def run(frames):
-        for pdf in frames:
+        for pdf in _pieces(frames):
             value = _sides(words, pdf, ("key", "text"))
             rows = []
             for group, key, core in zip(pdf["token"].tolist(), pdf["key"].tolist(), pdf["core"].tolist()):
