@@ -9,8 +9,9 @@ judged on the input. The work is split so that equal strings always meet and mos
    finds the anchors that lie in two documents or more. Equal segments are pre-aggregated: all but the one of the
    smallest document are answered as covered.
 2. That one document cuts the segment out and sends its bytes to a shard by anchor. Segments of an anchor with many
-   different surroundings are cut further by a second anchor, so that frequent phrases are spread.
-3. A shard sorts the suffixes of its distinct segments (induced sorting) and computes permuted common prefixes; runs
+   different surroundings are cut further by a second anchor, so that frequent phrases are spread; equal pieces are
+   aggregated once more.
+3. A shard leaves out segments that share only their anchor, no string, sorts the suffixes of the others (induced sorting) and computes permuted common prefixes; runs
    of the order with ``LENGTH`` bytes in common are equal strings, and each gets its smallest document.
 4. Answers return to their documents, which drop the bytes of strings that a smaller document has.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from statloom.llm import bytesets as B
 from statloom.llm import suffix
-from statloom.llm.exchange import cuts_of, number_of_ranges, spark_hash, together
+from statloom.llm.exchange import PORTION, cuts_of, number_of_ranges, spark_hash, together
 from statloom.llm.registry import query, table
 from statloom.llm.storage import stored
 
@@ -107,30 +108,39 @@ def _blocks(ranges: int):
     the others the answer is known."""
     shift = B.U(64 - ranges.bit_length() + 1)
 
+    def sent(parts):
+        h, c, d, new = _distinct(*(np.concatenate(x) for x in zip(*parts)))
+        shared = np.append(new[1:], True)[new] == False  # noqa: E712
+        later = ~new
+        rows = []
+        if later.any():
+            spread = int(B.mix(d[:1].view(np.uint64))[0] % B.U(ranges))
+            rows.append((spread, d[later].tobytes(), b"", c[later].tobytes(), np.full(int(later.sum()), _COVERED, np.uint8).tobytes()))
+        h, c, d, status = h[new], c[new], d[new], np.where(shared, _SHARED, _ALONE).astype(np.uint8)
+        # An anchor is the least of many hashes; mixed again, anchors are even over the ranges.
+        bucket = (B.mix(h) >> shift).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        h, c, d, status, bucket = h[order], c[order], d[order], status[order], bucket[order]
+        cuts = cuts_of(bucket)
+        rows += [(int(bucket[a]), d[a:b].tobytes(), h[a:b].tobytes(), c[a:b].tobytes(), status[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pd.DataFrame(rows, columns=["bucket", "docs", "anchors", "contents", "status"])
+
     def run(frames):
         for pdf in frames:
             docs = pdf["doc_id"].to_numpy(dtype=np.int64)
-            parts = []
+            parts, size = [], 0
             for first, _, buf, starts in B.groups([B.as_bytes(t) for t in pdf["text"]]):
                 found = _strings(buf, starts)
                 if found is not None:
                     begin, places = _segments(found[0], found[2])
                     content = B.span_hashes(buf, begin, begin + places + LENGTH - 1)
                     parts.append((found[0][begin], content, docs[first + np.searchsorted(starts, begin, side="right") - 1]))
-            if not parts:
-                continue
-            h, c, d, new = _distinct(*(np.concatenate(x) for x in zip(*parts)))
-            shared = np.append(new[1:], True)[new] == False  # noqa: E712
-            later = ~new
-            rows = []
-            if later.any():
-                spread = int(B.mix(d[:1].view(np.uint64))[0] % B.U(ranges))
-                rows.append((spread, d[later].tobytes(), b"", c[later].tobytes(), np.full(int(later.sum()), _COVERED, np.uint8).tobytes()))
-            h, c, d, status = h[new], c[new], d[new], np.where(shared, _SHARED, _ALONE).astype(np.uint8)
-            bucket = (h >> shift).astype(np.int64)
-            cuts = cuts_of(bucket)
-            rows += [(int(bucket[a]), d[a:b].tobytes(), h[a:b].tobytes(), c[a:b].tobytes(), status[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pd.DataFrame(rows, columns=["bucket", "docs", "anchors", "contents", "status"])
+                    size += len(begin)
+                if size >= PORTION:
+                    yield sent(parts)
+                    parts, size = [], 0
+            if size:
+                yield sent(parts)
 
     return run
 
@@ -172,8 +182,8 @@ def _answers(chunks: int):
     return run
 
 
-_SEGMENT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("places", pa.int32()), ("anchor", pa.int64()), ("bytes", pa.binary())])
-_SEGMENT_COLUMNS = "doc_id long, text_key long, start int, places int, anchor long, bytes binary"
+_SEGMENT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("places", pa.int32()), ("anchor", pa.int64()), ("split", pa.bool_()), ("bytes", pa.binary())])
+_SEGMENT_COLUMNS = "doc_id long, text_key long, start int, places int, anchor long, split boolean, bytes binary"
 
 
 def _named(doc: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -209,11 +219,11 @@ def _cut(documents: pa.Table, answers: pa.Table) -> pa.Table:
             b, n = begin[covered], places[covered]
             apart = np.append(True, (b[1:] != b[:-1] + n[:-1]) | (row[covered][1:] != row[covered][:-1]))
             head = np.flatnonzero(apart)
-            parts.append((row[covered][head], b[head] - starts[local[covered][head]], np.add.reduceat(n, head), np.zeros(len(head), np.uint64)))
+            parts.append((row[covered][head], b[head] - starts[local[covered][head]], np.add.reduceat(n, head), np.zeros(len(head), np.uint64), np.zeros(len(head), bool)))
             held.extend([None] * len(head))
         raw = buf.tobytes()
         whole = status == _CUT
-        name = anchors[begin]
+        name, split = anchors[begin], np.zeros(int(whole.sum()), dtype=bool)
         if (status == _SPLIT).any():
             inside = np.zeros(len(anchors), dtype=bool)
             for b, n in zip(begin[status == _SPLIT].tolist(), places[status == _SPLIT].tolist()):
@@ -223,28 +233,69 @@ def _cut(documents: pa.Table, answers: pa.Table) -> pa.Table:
             again = B.mix(anchors[b] ^ (seconds[b] << B.U(1)))
             begin, places, name = np.concatenate([begin[whole], b]), np.concatenate([places[whole], n]), np.concatenate([name[whole], again])
             row, local = np.concatenate([row[whole], row[k]]), np.concatenate([local[whole], local[k]])
+            split = np.append(split, np.ones(len(b), dtype=bool))
         else:
             begin, places, name, row, local = begin[whole], places[whole], name[whole], row[whole], local[whole]
-        parts.append((row, begin - starts[local], places, name))
+        parts.append((row, begin - starts[local], places, name, split))
         held.extend(raw[b : b + n + LENGTH - 1] for b, n in zip(begin.tolist(), places.tolist()))
     if not parts:
         return _SEGMENT.empty_table()
-    row, start, places, name = (np.concatenate(x) for x in zip(*parts))
+    row, start, places, name, split = (np.concatenate(x) for x in zip(*parts))
     doc, key = np.array([-1 if i is None else i for i in ids], dtype=np.int64)[row], np.array(keys, dtype=np.int64)[row]
-    columns = [doc, key, start.astype(np.int32), places.astype(np.int32), name.astype(np.uint64).view(np.int64)]
+    columns = [doc, key, start.astype(np.int32), places.astype(np.int32), name.astype(np.uint64).view(np.int64), split]
     return pa.Table.from_arrays([*map(pa.array, columns), pa.array(held, pa.binary())], schema=_SEGMENT)
 
 
 _FIRST = "doc_id long, text_key long, start int, places int, firsts binary"
 
 
+def _windows(t: np.ndarray) -> np.ndarray:
+    """Hash of the ``LENGTH`` bytes from every place."""
+    h, made, at = t.astype(np.uint64), None, 0
+    for bit in range(LENGTH.bit_length()):
+        if LENGTH >> bit & 1:
+            rest = h[at : len(t) - LENGTH + 1 + at]
+            made = rest if made is None else B.mix(made * B.U(0xD6E8FEB86659FD93)) + rest
+            at += 1 << bit
+        h = B.mix(h[: -(1 << bit)] * B.U(0xA0761D6478BD642F) + h[1 << bit :]) if len(h) > 1 << bit else h[:0]
+    return made
+
+
+def _joined(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments as one text for the suffix array, their sizes and where they begin. Bytes move up by one, so that 0
+    is the end of a segment; UTF-8 has no byte 0xFE or 0xFF."""
+    sizes = np.array([len(s) for s in segments], dtype=np.int64)
+    t = np.frombuffer(b"\xff".join(segments) + b"\xff", dtype=np.uint8) + np.uint8(1)
+    return t, sizes, np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+
+
+def _sharing(pdf: pd.DataFrame) -> np.ndarray:
+    """Which segments have a string whose hash another document's segment of the shard has too. Segments without one
+    meet only by a common anchor and need no place in the order."""
+    t, sizes, begins = _joined(pdf["bytes"].tolist())
+    valid = np.zeros(len(t) + 1, dtype=np.int8)
+    np.add.at(valid, begins, 1)
+    np.add.at(valid, begins + sizes - LENGTH + 1, -1)
+    places = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
+    h = _windows(t)[places]
+    segment = np.searchsorted(begins, places, side="right") - 1
+    order = np.argsort(h)
+    h, segment = h[order], segment[order]
+    owner = pdf["doc_id"].to_numpy(dtype=np.int64)[segment]
+    cuts = cuts_of(h)
+    several = np.minimum.reduceat(owner, cuts[:-1]) != np.maximum.reduceat(owner, cuts[:-1])
+    keep = np.zeros(len(sizes), dtype=bool)
+    keep[segment[np.repeat(several, np.diff(cuts))]] = True
+    return keep
+
+
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """The smallest document of each string of a shard's segments, for segments that have a string of a smaller one."""
+    pdf = pdf[_sharing(pdf)]
     segments = pdf["bytes"].tolist()
-    sizes = np.array([len(s) for s in segments], dtype=np.int64)
-    # Bytes move up by one, so that 0 is the end of a segment; UTF-8 has no byte 0xFE or 0xFF.
-    t = np.frombuffer(b"\xff".join(segments) + b"\xff", dtype=np.uint8) + np.uint8(1)
-    begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    if not segments:
+        return pdf[["doc_id", "text_key", "start", "places"]].assign(firsts=[])
+    t, sizes, begins = _joined(segments)
     order = suffix.suffix_array(t)
     common = suffix.common_prefixes(t, order)
     docs = pdf["doc_id"].to_numpy(dtype=np.int64)
@@ -336,8 +387,15 @@ def _prepared(documents: DataFrame):
     texts = named.withColumn("text_key", key).withColumn("chunk", chunk(doc, doc))
     segments = stored(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut, _SEGMENT_COLUMNS), "segments")
     shard = F.pmod(F.hash("anchor"), F.lit(int(shards)))
-    found = segments.filter("bytes IS NOT NULL").withColumn("shard", shard).groupBy("shard").applyInPandas(_shard, _FIRST)
-    found = found.unionByName(segments.filter("bytes IS NULL").select("doc_id", "text_key", "start", "places"), allowMissingColumns=True)
+    # Pieces of one anchor are often the same bytes in many documents: only those of the smallest one are sorted.
+    split = segments.filter("split AND bytes IS NOT NULL").withColumn("content", F.md5("bytes"))
+    least = stored(split.groupBy("anchor", "content").agg(F.min("doc_id").alias("least")), "pieces")
+    split = split.join(least, ["anchor", "content"])
+    again = split.filter("doc_id > least").select("doc_id", "text_key", "start", "places")
+    sorted_here = segments.filter("NOT split AND bytes IS NOT NULL").unionByName(split.filter("doc_id = least").select(*segments.columns))
+    found = sorted_here.withColumn("shard", shard).groupBy("shard").applyInPandas(_shard, _FIRST)
+    covered = segments.filter("bytes IS NULL").select("doc_id", "text_key", "start", "places").unionByName(again)
+    found = found.unionByName(covered, allowMissingColumns=True)
     found = found.unionByName(copies, allowMissingColumns=True)
     return found.withColumn("chunk", chunk(doc, doc)), chunk, key
 

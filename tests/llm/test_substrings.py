@@ -75,3 +75,34 @@ def test_suffix_array_and_common_prefixes(letters):
             while t[x + common[y]] == t[y + common[y]] and t[x + common[y]] != 0:
                 common[y] += 1
         assert suffix.common_prefixes(a, np.array(want)).tolist() == common
+
+
+def test_pieces_of_a_split_passage_meet_again(spark, monkeypatch):
+    """A phrase in different surroundings: after the split its middle is the same bytes in 300 documents."""
+    monkeypatch.setattr(substrings, "SPLIT", 3)
+    r = random.Random(8)
+    passage = "one long passage, shared by many documents, that is cut into several pieces by its anchors; " * 2
+    more = [(3000 + i, "".join(r.choice("abcdefgh ") for _ in range(60)) + passage + "".join(r.choice("abcdefgh ") for _ in range(60))) for i in range(300)]
+    assert listed(substrings.digest(documents(spark, more)), *COLUMNS) == brute(rows() + more)
+
+
+def test_ranges_are_even():
+    """Anchors are least values; their ranges still get about the same number of segments."""
+    r = random.Random(9)
+    texts = [bytes(r.randrange(97, 123) for _ in range(4000)) for _ in range(100)]
+    import pandas as pd
+
+    frame = pd.DataFrame({"doc_id": np.arange(100), "text": [t.decode() for t in texts]})
+    sizes = np.zeros(64)
+    for out in substrings._blocks(64)([frame]):
+        for bucket, anchors in zip(out["bucket"], out["anchors"]):
+            sizes[bucket] += len(anchors) // 8
+    assert sizes.max() < 1.5 * sizes.mean() and sizes.min() > 0
+
+
+def test_only_segments_that_share_a_string_are_sorted():
+    import pandas as pd
+
+    a, b = "x" * 10 + "the same fifty bytes are in both of these two texts....", "other words around the same phrase"
+    pdf = pd.DataFrame({"doc_id": [1, 2, 3, 4], "bytes": [a.encode(), (a + "tail").encode(), (b + "1" * 30).encode(), (b + "2" * 30).encode()]})
+    assert substrings._sharing(pdf).tolist() == [True, True, False, False]
