@@ -44,6 +44,8 @@ PART_SETS = 256
 CHUNK_SETS = 20_000
 #: Rows whose texts are compared at a time.
 PIECE_ROWS = 500
+#: Rows with texts or cores that a Python worker holds at a time.
+BATCH_ROWS = 1000
 
 
 def tokens(texts: list[bytes], words: int = WORDS):
@@ -248,7 +250,7 @@ def links(rows: DataFrame, sets: DataFrame, index: DataFrame, words: int = WORDS
         x = texts.select(F.col("key").alias("x"), F.col("text").alias("text_x"))
         y = texts.select(F.col("key").alias("y"), F.col("text").alias("text_y"))
         pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-        return stored(pairs.join(x, "x").join(y, "y").mapInPandas(_compare(words, percent), "x long, y long"), "links")
+        return stored(pairs.join(x, "x").join(y, "y").mapInPandas(_compare(words, percent), "x long, y long"), "links", BATCH_ROWS)
 
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"  # a bound by sizes alone
     pending = groups.select(F.col("key").alias("x"), F.col("key").alias("y")).filter("x <> y")
@@ -265,11 +267,11 @@ def links(rows: DataFrame, sets: DataFrame, index: DataFrame, words: int = WORDS
         large = large.select((F.col("least") if first else F.col("token")).alias("token"), "key").distinct()
         sizes = large.groupBy("token").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("parts"))
         part = F.pmod(F.hash("key"), F.col("parts")).alias("part")
-        member = stored(large.join(sizes, "token").select("token", "key", part).join(texts, "key"), "members")
+        member = stored(large.join(sizes, "token").select("token", "key", part).join(texts, "key"), "members", BATCH_ROWS)
         core = member.groupBy("token", "part").applyInPandas(_cores(words), "token long, core array<bigint>")
         core = core.groupBy("token").agg(F.array_distinct(F.flatten(F.collect_list("core"))).alias("core"))
         member = member.join(core, "token")
-        profile = stored(member.mapInPandas(_profiles(words, percent), _PROFILE), "profiles")
+        profile = stored(member.mapInPandas(_profiles(words, percent), _PROFILE), "profiles", BATCH_ROWS)
         leader = profile.groupBy("token").agg(F.max_by("key", F.struct("near", "key")).alias("leader"))
         led = stored(profile.join(leader, "token"), "leaders")
         direct = led.filter("key <> leader").select(F.col("key").alias("x"), F.col("leader").alias("y"))
@@ -314,13 +316,13 @@ def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     content = F.xxhash64(F.coalesce("text", F.lit(""))).alias("content")
-    signs = stored(rows.select("*", content).mapInPandas(_signatures(words), "doc_id long, content long, n long, key long"), "signatures")
+    signs = stored(rows.select("*", content).mapInPandas(_signatures(words), "doc_id long, content long, n long, key long"), "signatures", BATCH_ROWS)
     first = F.min(F.struct("doc_id", "content")).alias("first")
     sets = signs.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(first, F.max("n").alias("n"))
     sets = stored(sets.select("key", "n", "first.doc_id", "first.content"), "sets")
     total, number = signs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     chunks = max(2 * spark.sparkContext.defaultParallelism, -(-number // CHUNK_SETS))
-    answers = stored(repeated(rows.filter("doc_id IS NOT NULL"), _extended(words, percent), 0.3 * total, chunks), "answers")
+    answers = stored(repeated(rows.filter("doc_id IS NOT NULL"), _extended(words, percent), 0.3 * total, chunks), "answers", BATCH_ROWS)
     chunk = F.pmod(F.hash("key"), F.lit(int(chunks))).alias("chunk")
     index = sets.select(chunk, "key", "n").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_postings(percent), "token long, key long, n long")
     found = links(rows, sets, index, words, percent)
