@@ -1,22 +1,20 @@
-"""HTML by regular expressions on a documented subset: well-formed quotes, no nested tables, lists
-or forms, entities limited to the basic ones. Everything stays in Spark's own functions."""
+"""HTML of pages: visible text, noise, tables, lists, links. Elements come from :mod:`statloom.functions.markup`, so
+nested, unclosed and unquoted markup counts; entities are limited to the basic ones. Everything stays in Spark's own
+functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from statloom.functions import markup
 from statloom.functions import rules as R
-from statloom.functions.common import col
+from statloom.functions.common import col, first_of
 from statloom.functions.text import clean_cell, strip
 
-_HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
-TABLE = r"(?is)<table\b([^>]*)>(.*?)</table>"
-ROW = r"(?is)<tr\b[^>]*>(.*?)</tr>"
-CELL = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"
-LIST = r"(?is)<(?:ul|ol|dl)\b[^>]*>(.*?)</(?:ul|ol|dl)>"
-ITEM = r"(?is)<(?:li|dt|dd)\b[^>]*>(.*?)</(?:li|dt|dd)>"
-LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+LINK = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*["']([^"']*)["']"""
+#: One tag, with ``>`` inside quoted values.
+_TAG = r"""<[^<>"']*+(?:"[^"<]*+"[^<>"']*+|'[^'<]*+'[^<>"']*+)*+>|<[^>]*>"""
 _BLOCK_TAGS = ("div", "ul", "ol", "dl", "table", "section", "p", "span", "li", "td")
 
 # Basic entities.
@@ -31,38 +29,36 @@ def decode(c) -> Column:
 
 
 def without_hidden(html) -> Column:
-    return F.regexp_replace(col(html), _HIDDEN, "")
+    return F.regexp_replace(col(html), markup.HIDDEN, "")
 
 
 def page_text(html, separator: str = "") -> Column:
     """Visible text; adjacent elements are joined by the separator."""
-    return decode(F.regexp_replace(without_hidden(html), r"<[^>]*>", separator))
+    return decode(F.regexp_replace(without_hidden(html), _TAG, separator))
 
 
 def inner_text(fragment) -> Column:
     """Trimmed text of a fragment without separators."""
-    return strip(decode(F.regexp_replace(col(fragment), r"<[^>]*>", "")))
+    return strip(decode(F.regexp_replace(col(fragment), _TAG, "")))
 
 
 def cell_text(fragment) -> Column:
     """Cleaned text of a cell, nested elements separated by a space."""
-    return clean_cell(strip(decode(F.regexp_replace(col(fragment), r"<[^>]*>", " "))))
+    return clean_cell(strip(decode(F.regexp_replace(col(fragment), _TAG, " "))))
 
 
-def noise_pattern() -> str:
-    """Blocks of noise tags, and blocks whose class or id contains a noise word."""
-    parts = ["<!--.*?-->"]
-    parts += [rf"<{t}\b[^>]*>.*?</{t}>" for t in R.NOISE_TAGS]
-    classes, ids = "|".join(R.NOISE_CLASS_WORDS), "|".join(R.NOISE_ID_WORDS)
-    marked = (
-        rf"""[^>]*\b(?:class\s*=\s*["'][^"'>]*(?:{classes})[^"'>]*["']|id\s*=\s*["'][^"'>]*(?:{ids})[^"'>]*["'])[^>]*"""
-    )
-    parts += [rf"<{t}\b{marked}>.*?</{t}>" for t in _BLOCK_TAGS]
-    return "(?is)" + "|".join(parts)
+def without_noise(html) -> Column:
+    """The page without noise tags and without blocks whose class or id contains a noise word, each with all it holds."""
+    tags = [t for t in R.NOISE_TAGS if t not in ("script", "style")]
 
+    def noisy(m: Column) -> Column:
+        def says(name: str, words) -> Column:
+            return F.coalesce(markup.attribute(m["head"], name).rlike("(?i)" + "|".join(words)), F.lit(False))
 
-def without_noise(html) -> Column:
-    return F.regexp_replace(col(html), noise_pattern(), "")
+        marked = says("class", R.NOISE_CLASS_WORDS) | says("id", R.NOISE_ID_WORDS)
+        return m["name"].isin(*tags) | marked
+
+    return markup.without(without_hidden(html), (*tags, *_BLOCK_TAGS), noisy)
 
 
 def clean_page_text(html) -> Column:
@@ -72,7 +68,7 @@ def clean_page_text(html) -> Column:
 
 def text_of(fragment) -> Column:
     """Text of a fragment, tags dropped."""
-    return decode(F.regexp_replace(col(fragment), r"<[^>]*>", ""))
+    return decode(F.regexp_replace(col(fragment), _TAG, ""))
 
 
 def all_inner(html, pattern: str, group: int = 1) -> Column:
@@ -80,16 +76,24 @@ def all_inner(html, pattern: str, group: int = 1) -> Column:
 
 
 def tables(html, limit: int | None = None) -> Column:
-    found = all_inner(html, TABLE, 2)
-    return F.slice(found, 1, limit) if limit else found
+    """Inner markup of the tables, nested ones too."""
+    return first_of(markup.bodies(without_hidden(html), ("table",)), limit)
 
 
 def rows(table) -> Column:
-    return all_inner(table, ROW)
+    return markup.bodies(table, ("tr",))
 
 
 def cells(row) -> Column:
-    return all_inner(row, CELL)
+    return markup.bodies(row, ("td", "th"))
+
+
+def lists(html, limit: int | None = None) -> Column:
+    return first_of(markup.bodies(html, ("ul", "ol", "dl")), limit)
+
+
+def items(body) -> Column:
+    return markup.bodies(body, ("li", "dt", "dd"))
 
 
 def links(html) -> Column:
@@ -97,11 +101,8 @@ def links(html) -> Column:
 
 
 def title(html) -> Column:
-    found = F.regexp_extract(col(html), r"(?is)<title\b[^>]*>(.*?)</title>", 1)
+    found = F.regexp_extract(col(html), r"(?is)<title\b[^<>]*>(.*?)(?:</title>|$)", 1)
     return F.when(found == "", "No title").otherwise(strip(decode(found)))
 
 
-def attribute(tag, name: str) -> Column:
-    """Value of a quoted attribute, null when absent."""
-    pattern = rf"""(?is)\b{name}\s*=\s*["']([^"']*)["']"""
-    return F.when(col(tag).rlike(pattern), F.regexp_extract(col(tag), pattern, 1))
+attribute = markup.attribute

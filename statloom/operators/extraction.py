@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions import html, numbers, predicates, units, urls, years
+from statloom.functions import html, markup, numbers, predicates, units, urls, years
 from statloom.functions import rules as R
 from statloom.functions.common import all_matches, col, cut, each, first_of, let, regex, staged
 from statloom.functions.text import strip
@@ -174,30 +174,32 @@ def site_tables(pages: DataFrame) -> DataFrame:
     """Site-specific choice of tables: the first selector with a match decides, every other site
     reads all tables."""
 
-    def found(pattern: str, group: int) -> Column:
-        return F.regexp_extract_all("html", F.lit("(?is)" + pattern), F.lit(group))
+    page = html.without_hidden("html")
+
+    def says(name: str, pattern: str):
+        return lambda m: F.coalesce(html.attribute(m["head"], name).rlike("(?i)" + pattern), F.lit(False))
 
     def nested(blocks: Column) -> Column:
-        return F.flatten(F.transform(blocks, lambda x: html.tables(x)))
+        return F.flatten(F.transform(blocks, lambda x: markup.bodies(x, ("table",))))
 
     def classed(marker: str) -> Column:
-        return found(rf"""<table\b[^>]*\bclass\s*=\s*["'][^"'>]*{marker}[^"'>]*["'][^>]*>(.*?)</table>""", 1)
+        return markup.bodies(page, ("table",), says("class", marker))
 
     def inside(tag: str, marker: str) -> Column:
-        return nested(found(rf"""<({tag})\b[^>]*\bclass\s*=\s*["'][^"'>]*{marker}[^"'>]*["'][^>]*>(.*?)</\1>""", 2))
+        return nested(markup.bodies(page, (tag,), says("class", marker)))
 
     options = {
         "central_bank": [
-            classed(r"\btable-stat\b"), classed("stat"), classed("data"), inside("[a-z][a-z0-9]*", r"\bstatistiques\b"),
+            classed(r"\btable-stat\b"), classed("stat"), classed("data"), inside(markup.ANY, r"\bstatistiques\b"),
         ],
         "industry_portal": [
-            nested(found(r"""<div\b[^>]*\bid\s*=\s*["']dbs["'][^>]*>(.*?)</div>""", 1)),
-            classed(r"\bdata\b"), inside("[a-z][a-z0-9]*", r"\bentreprises\b"), inside("[a-z][a-z0-9]*", r"\bsecteurs\b"),
+            nested(markup.bodies(page, ("div",), says("id", "^dbs$"))),
+            classed(r"\bdata\b"), inside(markup.ANY, r"\bentreprises\b"), inside(markup.ANY, r"\bsecteurs\b"),
         ],
     }
     sections = F.concat(
         inside("div", "indicateur"), inside("div", "stat"), inside("section", "data"),
-        inside("[a-z][a-z0-9]*", r"\bstatistiques\b"), inside("[a-z][a-z0-9]*", r"\bindicateurs\b"), inside("div", "contenu"),
+        inside(markup.ANY, r"\bstatistiques\b"), inside(markup.ANY, r"\bindicateurs\b"), inside("div", "contenu"),
     )
     # One candidate list per option; only the list of the page's own site type is evaluated.
     ranked = (
@@ -244,10 +246,9 @@ def list_items_array(limit: int | None = None, as_of_year: int = R.DEFAULT_YEAR,
         )
 
     source = cleaned if cleaned is not None else html.without_noise("html")
-    lists = first_of(html.all_inner(source, html.LIST), limit)
     return _flat(
-        lists,
-        lambda x, li: _flat(F.transform(html.all_inner(x, html.ITEM), html.cell_text), lambda raw, ii: in_item(raw, li, ii)),
+        html.lists(source, limit),
+        lambda x, li: _flat(F.transform(html.items(x), html.cell_text), lambda raw, ii: in_item(raw, li, ii)),
     )
 
 
@@ -302,8 +303,10 @@ def _numbered(patterns) -> list:
 
 def data_blocks_array(blocks_per_page: int | None = None, values_per_block: int | None = None) -> Column:
     """Blocks whose class speaks of data."""
-    pattern = r"""(?is)<(ul|ol|dl|div)\b[^>]*\bclass\s*=\s*["'][^"'>]*(?:data|stat|info|metric)[^"'>]*["'][^>]*>(.*?)</\1>"""
-    blocks = first_of(F.regexp_extract_all("html", F.lit(pattern), F.lit(2)), blocks_per_page)
+    def speaks(m: Column) -> Column:
+        return F.coalesce(html.attribute(m["head"], "class").rlike("(?i)data|stat|info|metric"), F.lit(False))
+
+    blocks = first_of(markup.bodies(html.without_hidden("html"), ("ul", "ol", "dl", "div"), speaks), blocks_per_page)
 
     def in_block(body: Column, bi: Column) -> Column:
         accepted = F.filter(
@@ -534,11 +537,11 @@ def class_values(pages: DataFrame, rules=R.SITE_SELECTORS, cap: int | None = Non
     """First number of elements picked by tag and class tokens."""
 
     def elements(tag: str, token: str, inner: str) -> Column:
-        marker = rf"""[^>]*\bclass\s*=\s*["'](?:[^"'>]*\s)?{token}(?:\s[^"'>]*)?["']""" if token else ""
-        outer = F.regexp_extract_all("html", F.lit(rf"(?is)<({tag or r'[a-z][a-z0-9]*'})\b{marker}[^>]*>(.*?)</\1>"), F.lit(2))
-        if not inner:
-            return outer
-        return F.flatten(F.transform(outer, lambda x: html.all_inner(x, rf"(?is)<{inner}\b[^>]*>(.*?)</{inner}>")))
+        def classed(m: Column) -> Column:
+            return F.coalesce(html.attribute(m["head"], "class").rlike(rf"(?is)(?:^|\s){token}(?:\s|$)"), F.lit(False))
+
+        outer = markup.bodies(html.without_hidden("html"), (tag or markup.ANY,), classed if token else None)
+        return F.flatten(F.transform(outer, lambda x: markup.bodies(x, (inner,)))) if inner else outer
 
     def of(selectors) -> Column:
         def texts(i: int, selector) -> Column:
@@ -592,10 +595,10 @@ def script_urls(pages: DataFrame, cap: int | None = None) -> DataFrame:
 
 def forms(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Forms with named inputs: action, method, input map and submit URL."""
-    found = first_of(html.all_inner("html", r"(?is)(<form\b[^>]*>.*?</form>)"), limit)
-    listed = each(pages, ("page_id", "url"), found, "form_html", "form_idx")
-    head = F.regexp_extract("form_html", r"(?is)^(<form\b[^>]*>)", 1)
-    tags = html.all_inner("form_html", r"(?is)(<(?:input|select|textarea)\b[^>]*>)")
+    found = first_of(markup.elements(html.without_hidden("html"), ("form",)), limit)
+    listed = each(pages, ("page_id", "url"), found, "form", "form_idx")
+    head = F.col("form.head")
+    tags = F.regexp_extract_all("form.body", F.lit(r"(?is)<(?:input|select|textarea)\b[^<>]*>"), F.lit(0))
     pairs = F.transform(
         tags,
         lambda x: F.struct(

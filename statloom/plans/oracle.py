@@ -105,3 +105,15 @@ def page_text(expr: str, hidden: str | None = None, separator: str = "") -> str:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = f"replace({out}, {text(entity)}, {text(char)})"
     return out
+
+
+def noise_pattern() -> str:
+    """Blocks of noise tags, and blocks whose class or id contains a noise word, where none holds another of its name."""
+    parts = ["<!--.*?-->"]
+    parts += [rf"<{t}\b[^>]*>.*?</{t}>" for t in R.NOISE_TAGS]
+    classes, ids = "|".join(R.NOISE_CLASS_WORDS), "|".join(R.NOISE_ID_WORDS)
+    marked = (
+        rf"""[^>]*\b(?:class\s*=\s*["'][^"'>]*(?:{classes})[^"'>]*["']|id\s*=\s*["'][^"'>]*(?:{ids})[^"'>]*["'])[^>]*"""
+    )
+    parts += [rf"<{t}\b{marked}>.*?</{t}>" for t in ("div", "ul", "ol", "dl", "table", "section", "p", "span", "li", "td")]
+    return "(?is)" + "|".join(parts)

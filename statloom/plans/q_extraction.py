@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from statloom.functions import advice, html
 from statloom.functions import rules as R
 from statloom.operators import extraction as X
-from statloom.plans.oracle import clean_number, has, number, page_text, rx, text as lit, with_views
+from statloom.plans.oracle import clean_number, has, number, noise_pattern, page_text, rx, text as lit, with_views
 from statloom.plans.registry import query
 
 _FIELDS = with_views("field_pages")
@@ -21,6 +21,18 @@ def _(t):
     return X.adjacent_pairs(t.view("html"))
 
 
+_MESSY_DETTE = "SELECT p_partkey AS page_id, '{0}' AS obs_key, 'Dette ' || p_brand AS indicator_name, CAST(p_size AS DOUBLE) AS value FROM part"
+
+
+@query("X01_nested_cells", "page_id:L obs_key:S indicator_name:S value:D", f"""
+SELECT p_partkey AS page_id, 'table_0_0_0' AS obs_key, 'Taux ' || p_brand || p_size || ',5 %' AS indicator_name, p_size + 0.5 AS value FROM part
+UNION ALL SELECT p_partkey, 'table_0_1_0', 'Dette ' || p_brand || p_size, CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE) FROM part
+UNION ALL {_MESSY_DETTE.format('table_0_1_1')} UNION ALL {_MESSY_DETTE.format('table_0_2_0')} UNION ALL {_MESSY_DETTE.format('table_1_0_0')}""")
+def _(t):
+    """An unclosed cell holds the next one; rows of a nested table are rows of both tables; comments hold no table."""
+    return X.adjacent_pairs(t.view("messy_pages"))
+
+
 @query("X02_header_tables", "page_id:L obs_key:S indicator_name:S value:D unit:S year:I raw_text:S", f"""
 SELECT p_partkey AS page_id, 'table_0_1_1' AS obs_key, 'Taux ' || p_brand AS indicator_name, p_size + 0.5 AS value, '%' AS unit, {_YEAR1} AS year,
   'Taux ' || p_brand || ': ' || p_size || ',5 %' AS raw_text FROM part
@@ -74,7 +86,7 @@ def _case(expr: str, pairs, tail: str) -> str:
 
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
-_CLEAN_TEXT = page_text("html", lit(html.noise_pattern()))
+_CLEAN_TEXT = page_text("html", lit(noise_pattern()))
 
 
 @query("X06_text_patterns", "page_id:L obs_key:S indicator_name:S value:D unit:S year:I", f"""
@@ -211,6 +223,14 @@ def _(t):
     return f.withColumn("inputs", F.array_join(pairs, "&"))
 
 
+@query("X16_unquoted_forms", "page_id:L form_idx:I action:S method:S inputs:S submit_url:S", """
+SELECT p_partkey AS page_id, 0 AS form_idx, '/q?a=1' AS action, 'post' AS method, 'k=' || p_partkey || '&go=Submit' AS inputs, 'https://www.ins.tn/q?a=1' AS submit_url FROM part""")
+def _(t):
+    f = X.forms(t.view("messy_pages"))
+    pairs = F.transform(F.map_entries("inputs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return f.withColumn("inputs", F.array_join(pairs, "&"))
+
+
 _INV_NUM = rx(R.INVENTORY_NUMBER)
 _INV_WORDS = rx(r"\b(?:" + "|".join(R.INVENTORY_WORDS) + r")\b")
 _INVENTORY_SQL = f"""{with_views('field_pages')}, f AS (SELECT page_id, url, html, regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>', 1) AS tabs FROM field_pages),

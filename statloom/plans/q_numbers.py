@@ -8,6 +8,7 @@ from statloom.functions import html, labels, numbers, text, units, years
 from statloom.functions import rules as R
 from statloom.operators import records
 from statloom.plans.oracle import (
+    noise_pattern,
     clean_number, has, labels as case_labels, number, page_text, rx, text as lit, with_views,
 )
 from statloom.plans.registry import query
@@ -303,11 +304,18 @@ def _(t):
 
 @query("N25_page_text", "page_id:L visible:S cleaned:S", f"""
 {with_views('sites')} SELECT page_id, {page_text('html')} AS visible,
-  {page_text('html', lit(html.noise_pattern()))} AS cleaned FROM sites""")
+  {page_text('html', lit(noise_pattern()))} AS cleaned FROM sites""")
 def _(t):
     return t.view("sites").select("page_id", html.page_text("html").alias("visible"), html.clean_page_text("html").alias("cleaned"))
 
 
+@query("N25_nested_noise", "page_id:L cleaned:S", """
+SELECT p_partkey AS page_id, 'Page ' || p_partkey || 'Taux ' || p_brand || p_size || ',5 %Dette ' || p_brand || p_size || '9' AS cleaned FROM part""")
+def _(t):
+    """Noise blocks go with the blocks that they hold; an unclosed script ends with the page."""
+    return t.view("messy_pages").select("page_id", html.clean_page_text("html").alias("cleaned"))
+
+
 _QUALITY = (
     "least(1.0, 0.5 + CASE WHEN length({n}) > 8 AND regexp_matches({n}, '[A-Za-zÀ-ÿ]') THEN 0.2 ELSE 0 END "
     "+ CASE WHEN {u} <> '' THEN 0.1 ELSE 0 END + CASE WHEN abs({v}) BETWEEN 0.01 AND 1000000 THEN 0.2 ELSE 0 END)"

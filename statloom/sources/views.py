@@ -44,6 +44,15 @@ SELECT CAST(p_partkey AS BIGINT) AS page_id,
 FROM part
 """
 
+_MESSY_PAGES = """
+SELECT CAST(p_partkey AS BIGINT) AS page_id, concat('https://www.ins.tn/brut/', CAST(p_partkey AS STRING)) AS url,
+       concat('<div class="main-menu"><div>Menu ', p_brand, '</div><ul><li>Taux 1</ul></div><NAV><nav>x</nav>y</NAV>Page ', CAST(p_partkey AS STRING),
+         '<!-- <table><tr><td>Taux caché</td><td>1</td></tr></table> --><table class=data><tr><td>Taux ', p_brand, '<td title="a>b">', CAST(p_size AS STRING), ',5 %</tr>',
+         '<tr><td><table><tr><td>Dette ', p_brand, '</td><td>', CAST(p_size AS STRING), '</td></tr></table></td><td>9</td></tr></table></td></tr>',
+         '<form action=/q?a=1 METHOD=post><div><input name=k value=', CAST(p_partkey AS STRING), '><input type=submit name=go></div></form><script>var t = "</p>"; <ul') AS html
+FROM part
+"""
+
 _API_JSON = """
 SELECT CAST(o_custkey % 25 AS BIGINT) AS page_id, CAST(o_orderkey AS BIGINT) AS o1,
        concat('[{"page":1,"total":2},[{"indicator":{"id":"NY.GDP","value":"GDP"},"country":{"id":"TN","value":"Tunisia"},"date":"',
@@ -202,6 +211,7 @@ WHERE n_urls > 0) listed
 VIEWS: dict[str, str] = {
     "obs": _OBS,
     "html": _HTML,
+    "messy_pages": _MESSY_PAGES,
     "api_json": _API_JSON,
     "tasks": _TASKS,
     "results": _RESULTS,
@@ -222,6 +232,7 @@ SPARK_VIEWS: dict[str, str] = {"task_urls": _TASK_URLS_SPARK}
 BASES: dict[str, tuple[str, ...]] = {
     "obs": ("part",),
     "html": ("part",),
+    "messy_pages": ("part",),
     "api_json": ("orders",),
     "tasks": ("orders",),
     "results": ("lineitem",),
