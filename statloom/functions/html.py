@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import markup
 from statloom.functions import rules as R
-from statloom.functions.common import col, first_of
+from statloom.functions.common import col, first_of, let
 from statloom.functions.text import clean_cell, strip
 
 LINK = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*["']([^"']*)["']"""
@@ -58,7 +58,13 @@ def without_noise(html) -> Column:
         marked = says("class", R.NOISE_CLASS_WORDS) | says("id", R.NOISE_ID_WORDS)
         return m["name"].isin(*tags) | marked
 
-    return markup.without(without_hidden(html), (*tags, *_BLOCK_TAGS), noisy)
+    words = "|".join(dict.fromkeys((*R.NOISE_CLASS_WORDS, *R.NOISE_ID_WORDS)))
+    hint = rf"""(?i)<(?:{"|".join(tags)})(?=[\s/>])|(?:class|id)\s*=\s*["']?[^"'<>]*(?:{words})"""
+
+    def kept(page: Column) -> Column:
+        return F.when(page.rlike(hint), markup.without(page, (*tags, *_BLOCK_TAGS), noisy)).otherwise(page)
+
+    return let(without_hidden(html), kept)
 
 
 def clean_page_text(html) -> Column:

@@ -38,6 +38,26 @@ _STACK = "array<struct<name:string,at:int,kept:boolean>>"
 _DONE = "array<struct<from:int,to:int,name:string,next:int>>"
 
 
+#: Attributes and end of an opening tag.
+_REST = r"""(?=[\s/>])[^<>"']*+(?:"[^"<]*+"[^<>"']*+|'[^'<]*+'[^<>"']*+)*+(?<!/)>"""
+
+
+def _whole(tags: Sequence[str], inner: str = "", name: str = "t") -> str:
+    """A complete element of these tags that holds text and complete ``inner`` elements only."""
+    followed = "|".join(dict.fromkeys((*tags, *STRUCTURE)))
+    text = rf"[^<]++|<(?!/?(?:{followed})(?=[\s/>]))"
+    return rf"<(?<{name}>{'|'.join(tags)}){_REST}(?<{name}b>(?:{text}{'|' + inner if inner else ''})*+)</\k<{name}>\s*+>"
+
+
+_CELL = _whole(("td", "th"), name="c")
+_ROW = _whole(("tr",), _CELL, "r")
+_TABLE = _whole(("table",), rf"{_ROW}|{_whole(('thead', 'tbody', 'tfoot'), _ROW.replace('<r', '<q').replace('<c', '<d'), 's')}", "t")
+_ITEM = _whole(("li", "dt", "dd"), name="i")
+_LIST = _whole(("ul", "ol", "dl"), _ITEM, "l")
+#: Elements that a plain search finds as the fold does, if all their tags belong to such elements.
+_PLAIN = {("td", "th"): _CELL, ("tr",): _ROW, ("table",): _TABLE, ("li", "dt", "dd"): _ITEM, ("ul", "ol", "dl"): _LIST}
+
+
 def _token(tags: Sequence[str]) -> str:
     """One token: a tag of these names, with its quoted values, or the longest run without one."""
     name = rf"/?(?:{'|'.join(tags)})(?=[\s/>])"
@@ -68,19 +88,16 @@ def _step(state: Column, m: Column) -> Column:
     """Stack (innermost first) and finished elements after one tag."""
     stack, done = state["stack"], state["done"]
     entry = F.struct(m["name"].alias("name"), m["at"].alias("at"), m["kept"].alias("kept"))
+    # Where the nearest open element of this name is, from 1; 0 without one.
     place = F.array_position(stack["name"], m["name"]).cast("int")
-
-    def after(place: Column) -> Column:
-        rest = F.slice(stack, place + 1, F.greatest(F.size(stack), F.lit(1)))
-        inside, own = F.slice(stack, 1, F.greatest(place - 1, F.lit(0))), F.slice(stack, F.greatest(place, F.lit(1)), F.least(place, F.lit(1)))
-        ended = F.concat(done, _closed(inside, m["at"], m["at"]), _closed(own, m["at"], m["at"] + 1))
-        return F.struct(rest.alias("stack"), ended.alias("done"))
-
+    inside, own = F.slice(stack, 1, place - 1), F.slice(stack, place, F.lit(1))
+    ended = F.concat(done, _closed(inside, m["at"], m["at"]), _closed(own, m["at"], m["at"] + 1))
+    closed = F.struct(F.slice(stack, place + 1, F.size(stack)).alias("stack"), ended.alias("done"))
     full = F.size(stack) >= DEPTH
     beside = F.when(full, F.concat(done, _closed(F.slice(stack, 1, 1), m["at"], m["at"]))).otherwise(done)
     pushed = F.struct(F.concat(F.array(entry), F.when(full, F.slice(stack, 2, DEPTH)).otherwise(stack)).alias("stack"), beside.alias("done"))
     empty = F.struct(stack.alias("stack"), F.concat(done, _closed(F.array(entry), m["at"], m["at"] + 1)).alias("done"))
-    return F.when(m["kind"] == "open", pushed).when(m["kind"] == "empty", empty).otherwise(let(place, after))
+    return F.when(m["kind"] == "open", pushed).when(m["kind"] == "empty", empty).when(place > 0, closed).otherwise(state)
 
 
 def _spans(marks: Column, end: Column) -> Column:
@@ -89,8 +106,8 @@ def _spans(marks: Column, end: Column) -> Column:
 
     def portion(state: Column, k: Column) -> Column:
         start = F.struct(state["stack"].alias("stack"), F.array().cast(_DONE).alias("done"))
-        folded = F.reduce(F.slice(marks, k * PORTION + 1, F.lit(PORTION)), start, _step)
-        return let(folded, lambda f: F.struct(f["stack"].alias("stack"), F.concat(state["done"], f["done"]).alias("done")))
+        joined = lambda f: F.struct(f["stack"].alias("stack"), F.concat(state["done"], f["done"]).alias("done"))
+        return F.reduce(F.slice(marks, k * PORTION + 1, F.lit(PORTION)), start, _step, joined)
 
     portions = F.sequence(F.lit(0), F.floor(F.size(marks) / PORTION).cast("int"))
     return F.reduce(portions, nothing, portion, lambda s: F.sort_array(F.concat(s["done"], _closed(s["stack"], end, end))))
@@ -123,7 +140,21 @@ def attribute(tag, name: str) -> Column:
 
 
 def bodies(html, tags: Sequence[str], keep: Callable[[Column], Column] | None = None) -> Column:
-    return F.transform(elements(html, tags, keep), lambda e: e["body"])
+    """Inner markup of the elements. Where every tag of these names belongs to a complete element with nothing but
+    complete cells, rows or items inside, a search gives the same as the fold and is taken."""
+    if keep is not None or tuple(tags) not in _PLAIN:
+        found = F.transform(elements(html, tags, keep), lambda e: e["body"])
+        return F.when(has_tag(html, tags), found).otherwise(F.array().cast("array<string>"))
+
+    def chosen(plain: Column) -> Column:
+        complete = F.regexp_count(col(html), F.lit(rf"(?i)</?(?:{'|'.join(tags)})(?=[\s/>])")) == 2 * F.size(plain)
+        return F.when(complete, plain).otherwise(F.transform(elements(html, tags), lambda e: e["body"]))
+
+    return F.coalesce(let(F.regexp_extract_all(col(html), F.lit("(?is)" + _PLAIN[tuple(tags)]), F.lit(2)), chosen), F.array().cast("array<string>"))
+
+
+def has_tag(html, tags: Sequence[str]) -> Column:
+    return F.coalesce(col(html).rlike(rf"(?i)<(?:{'|'.join(tags)})(?=[\s/>])"), F.lit(False))
 
 
 def without(html, tags: Sequence[str], keep: Callable[[Column], Column]) -> Column:

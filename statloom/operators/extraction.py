@@ -18,7 +18,8 @@ from statloom.functions import html, markup, numbers, predicates, units, urls, y
 from statloom.functions import rules as R
 from statloom.functions.common import all_matches, col, cut, each, first_of, let, regex, staged
 from statloom.functions.text import strip
-from statloom.operators import records
+from statloom.operators import merging, records
+from statloom.sources import payloads
 
 _PAGE = ("page_id", "url")
 
@@ -58,7 +59,28 @@ def _flat(array: Column, body: Callable) -> Column:
 # -- tables ------------------------------------------------------------------------------------
 
 
-def adjacent_pairs_array(limit: int | None = None) -> Column:
+def with_cells(pages: DataFrame, source, name: str = "cells") -> DataFrame:
+    """Adds the inner markup of every cell, per table and row. Each level is made once a page and stays a column, so that
+    the methods share it and no expression nests the levels."""
+    return _celled(staged(pages, {"_tables": html.tables(source)}), name)
+
+
+def _celled(tables: DataFrame, name: str = "cells") -> DataFrame:
+    rows = staged(tables, {"_rows": F.transform("_tables", lambda t: html.rows(t))}).drop("_tables")
+    return staged(rows, {name: F.transform("_rows", lambda table: F.transform(table, lambda r: html.cells(r)))}).drop("_rows")
+
+
+def with_items(pages: DataFrame, source, name: str = "items") -> DataFrame:
+    """Adds the inner markup of every list item, per list."""
+    lists = staged(pages, {"_lists": html.lists(source)})
+    return staged(lists, {name: F.transform("_lists", lambda x: html.items(x))}).drop("_lists")
+
+
+def _cleaned(pages: DataFrame) -> DataFrame:
+    return staged(pages.select(*_PAGE, "html"), {"cleaned": html.without_noise("html")})
+
+
+def adjacent_pairs_array(limit: int | None = None, cells="cells") -> Column:
     """Every adjacent cell pair of the first tables whose label is an indicator."""
 
     def in_row(row: Column, ti: Column, ri: Column) -> Column:
@@ -76,17 +98,17 @@ def adjacent_pairs_array(limit: int | None = None) -> Column:
                 ),
             )
 
-        return let(F.transform(html.cells(row), html.inner_text), pairs)
+        return let(F.transform(row, html.inner_text), pairs)
 
-    found = _flat(html.tables("html", limit), lambda tb, ti: _flat(html.rows(tb), lambda row, ri: in_row(row, ti, ri)))
+    found = _flat(first_of(cells, limit), lambda rows, ti: _flat(rows, lambda row, ri: in_row(row, ti, ri)))
     return _plausible(found)
 
 
 def adjacent_pairs(pages: DataFrame) -> DataFrame:
-    return records.enrich(explode_observations(pages, adjacent_pairs_array()))
+    return records.enrich(explode_observations(with_cells(pages, "html"), adjacent_pairs_array()))
 
 
-def header_tables_array(limit: int | None = None, as_of_year: int = R.DEFAULT_YEAR, cleaned: Column | None = None) -> Column:
+def header_tables_array(limit: int | None = None, as_of_year: int = R.DEFAULT_YEAR, cells="cells") -> Column:
     """Label by value column with the year of the column header; noise removed. The header row is read
     once per table and used for all its rows."""
     url = F.col("url")
@@ -109,25 +131,21 @@ def header_tables_array(limit: int | None = None, as_of_year: int = R.DEFAULT_YE
             )
             return F.filter(listed, lambda m: predicates.is_clean_indicator(label) & years.in_period(m["year"]))
 
-        return F.when(ri > 0, let(F.transform(html.cells(row), html.cell_text), values)).otherwise(_none())
+        return F.when(ri > 0, let(F.transform(row, html.cell_text), values)).otherwise(_none())
 
     def in_table(rows: Column, ti: Column) -> Column:
-        headers = F.transform(html.cells(F.get(rows, F.lit(0))), html.cell_text)
+        headers = F.transform(F.get(rows, F.lit(0)), html.cell_text)
         return let(headers, lambda h: _flat(rows, lambda row, ri: in_row(row, h, ti, ri)))
 
-    source = cleaned if cleaned is not None else html.without_noise("html")
-    return _flat(html.tables(source, limit), lambda tb, ti: let(html.rows(tb), lambda rows: in_table(rows, ti)))
+    return _flat(first_of(cells, limit), in_table)
 
 
 def _none() -> Column:
-    return F.array().cast(
-        "array<struct<method:string,obs_key:string,o1:int,o2:int,o3:int,indicator_name:string,value:double,"
-        "unit:string,year:int,raw_text:string,confidence_score:double>>"
-    )
+    return F.array().cast(f"array<{payloads.OBSERVATION}>")
 
 
 def header_tables(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
-    return explode_observations(pages, header_tables_array(as_of_year=as_of_year))
+    return explode_observations(with_cells(_cleaned(pages), "cleaned"), header_tables_array(as_of_year=as_of_year))
 
 
 def first_two_cells(pages: DataFrame, limit: int | None = None) -> DataFrame:
@@ -144,30 +162,26 @@ def first_two_cells(pages: DataFrame, limit: int | None = None) -> DataFrame:
         def long_label(texts: Column) -> Column:
             return F.when(F.length(F.get(texts, F.lit(0))) > 3, value(texts))
 
-        return let(F.transform(html.cells(row), html.inner_text), long_label)
+        return let(F.transform(row, html.inner_text), long_label)
 
-    found = _flat(html.tables("html", limit), lambda tb, ti: F.transform(html.rows(tb), lambda row, ri: in_row(row, ti, ri)))
-    return explode_observations(pages, F.filter(found, lambda m: m["value"].isNotNull()))
+    found = _flat(first_of("cells", limit), lambda rows, ti: F.transform(rows, lambda row, ri: in_row(row, ti, ri)))
+    return explode_observations(with_cells(pages, "html"), F.filter(found, lambda m: m["value"].isNotNull()))
 
 
 def labelled_table_values(pages: DataFrame, chosen: Column | None = None) -> DataFrame:
     """Guarded parser over the first two cells of each row. ``chosen`` holds the tables to read."""
 
     def in_row(row: Column, ti: Column, ri: Column) -> Column:
-        def value(cells: Column) -> Column:
-            raw = html.inner_text(F.get(cells, F.lit(1)))
-            return let(
-                raw,
-                lambda r: _observation(
-                    "specialized", "row", 0.7, [ti, ri], html.cell_text(F.get(cells, F.lit(0))), numbers.parse_table_value(r), F.lit(""), r
-                ),
-            )
-
-        return let(html.cells(row), value)
+        return let(
+            html.inner_text(F.get(row, F.lit(1))),
+            lambda r: _observation(
+                "specialized", "row", 0.7, [ti, ri], html.cell_text(F.get(row, F.lit(0))), numbers.parse_table_value(r), F.lit(""), r
+            ),
+        )
 
-    tables = chosen if chosen is not None else html.tables("html")
-    found = _flat(tables, lambda tb, ti: F.transform(html.rows(tb), lambda row, ri: in_row(row, ti, ri)))
-    return explode_observations(pages, F.filter(found, lambda m: (m["indicator_name"] != "") & m["value"].isNotNull()))
+    celled = _celled(staged(pages, {"_tables": chosen if chosen is not None else html.tables("html")}))
+    found = _flat(F.col("cells"), lambda rows, ti: F.transform(rows, lambda row, ri: in_row(row, ti, ri)))
+    return explode_observations(celled, F.filter(found, lambda m: (m["indicator_name"] != "") & m["value"].isNotNull()))
 
 
 def site_tables(pages: DataFrame) -> DataFrame:
@@ -220,7 +234,7 @@ def site_tables(pages: DataFrame) -> DataFrame:
 # -- lists and blocks --------------------------------------------------------------------------
 
 
-def list_items_array(limit: int | None = None, as_of_year: int = R.DEFAULT_YEAR, cleaned: Column | None = None) -> Column:
+def list_items_array(limit: int | None = None, as_of_year: int = R.DEFAULT_YEAR, items="items") -> Column:
     """``name: value``, ``name - value`` and ``name = value`` items of the first lists. The first form
     with a valid name and a number wins."""
     url = F.col("url")
@@ -245,15 +259,11 @@ def list_items_array(limit: int | None = None, as_of_year: int = R.DEFAULT_YEAR,
             ),
         )
 
-    source = cleaned if cleaned is not None else html.without_noise("html")
-    return _flat(
-        html.lists(source, limit),
-        lambda x, li: _flat(F.transform(html.items(x), html.cell_text), lambda raw, ii: in_item(raw, li, ii)),
-    )
+    return _flat(first_of(items, limit), lambda x, li: _flat(F.transform(x, html.cell_text), lambda raw, ii: in_item(raw, li, ii)))
 
 
 def list_items(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
-    return explode_observations(pages, list_items_array(as_of_year=as_of_year))
+    return explode_observations(with_items(_cleaned(pages), "cleaned"), list_items_array(as_of_year=as_of_year))
 
 
 # A separator followed by a number: without it the pattern cannot match.
@@ -301,12 +311,18 @@ def _numbered(patterns) -> list:
     return [(i, (p, 3 if has_unit else 2)) for i, (p, has_unit) in enumerate(patterns)]
 
 
-def data_blocks_array(blocks_per_page: int | None = None, values_per_block: int | None = None) -> Column:
-    """Blocks whose class speaks of data."""
+def with_blocks(pages: DataFrame) -> DataFrame:
+    """Adds the inner markup of blocks whose class speaks of data."""
+
     def speaks(m: Column) -> Column:
         return F.coalesce(html.attribute(m["head"], "class").rlike("(?i)data|stat|info|metric"), F.lit(False))
 
-    blocks = first_of(markup.bodies(html.without_hidden("html"), ("ul", "ol", "dl", "div"), speaks), blocks_per_page)
+    return staged(pages, {"blocks": markup.bodies(html.without_hidden("html"), ("ul", "ol", "dl", "div"), speaks)})
+
+
+def data_blocks_array(blocks_per_page: int | None = None, values_per_block: int | None = None) -> Column:
+    """Values of blocks whose class speaks of data."""
+    blocks = first_of("blocks", blocks_per_page)
 
     def in_block(body: Column, bi: Column) -> Column:
         accepted = F.filter(
@@ -325,7 +341,7 @@ def data_blocks_array(blocks_per_page: int | None = None, values_per_block: int
 
 
 def data_blocks(pages: DataFrame) -> DataFrame:
-    return records.enrich(explode_observations(pages, data_blocks_array()))
+    return records.enrich(explode_observations(with_blocks(pages), data_blocks_array()))
 
 
 # -- text patterns -----------------------------------------------------------------------------
@@ -348,12 +364,12 @@ def text_patterns_array(as_of_year: int = R.DEFAULT_YEAR, text: Column | None =
             ),
         )
 
-    found = let(text if text is not None else html.clean_page_text("html"), in_text)
+    found = let(text if text is not None else html.text_of(F.col("cleaned")), in_text)
     return F.coalesce(found, _none())
 
 
 def text_patterns(pages: DataFrame, text: Column | None = None, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
-    return explode_observations(pages, text_patterns_array(as_of_year, text))
+    return explode_observations(pages if text is not None else _cleaned(pages), text_patterns_array(as_of_year, text))
 
 
 def government_patterns_array() -> Column:
@@ -472,26 +488,35 @@ def generic_patterns(pages: DataFrame) -> DataFrame:
     return records.enrich(explode_observations(pages, generic_patterns_array()))
 
 
+def json_array() -> Column:
+    """Values of an API payload: the items of a pair from the item API, else the numbers of an object."""
+    paired = F.contains(F.lower("url"), F.lit("worldbank.org")) & F.startswith(F.ltrim("html"), F.lit("["))
+    return _plausible(F.when(paired, payloads.api_items_array("html")).otherwise(payloads.flat_numbers_array("html")))
+
+
 def all_methods(pages: DataFrame, as_of_year: int = R.DEFAULT_YEAR) -> DataFrame:
     """Every method in one pass: the page is read once, its visible text and its noise-free form are
-    made once, and all values leave in one array. The clean methods come under prefixed keys, so keys
-    are unique per page without an anti-join."""
+    made once, and all values leave in one array. The content type chooses the base methods of each row: API
+    payloads give the values of their JSON, other pages those of their HTML. The clean methods and the generic patterns
+    read both; the clean ones come under prefixed keys, so keys are unique per page without an anti-join."""
     prepared = staged(
         pages.select(*_PAGE, "html"), {"visible": html.page_text("html"), "cleaned": html.without_noise("html")}
     )
+    prepared = with_items(with_cells(with_cells(with_blocks(prepared), "html"), "cleaned", "clean_cells"), "cleaned")
     visible, cleaned = F.col("visible"), F.col("cleaned")
-    base = [
-        adjacent_pairs_array(), data_blocks_array(), bank_patterns_array(visible), piped_lines_array(visible),
-        finance_patterns_array(visible), generic_patterns_array(),
+    in_html = [
+        adjacent_pairs_array(), data_blocks_array(), bank_patterns_array(visible), piped_lines_array(visible), finance_patterns_array(visible),
     ]
+    is_api = urls.source_analysis("url")["content_type"] == "api_data"
+    base = F.when(is_api, json_array()).otherwise(F.concat(*in_html))
     clean = [
-        header_tables_array(as_of_year=as_of_year, cleaned=cleaned), list_items_array(as_of_year=as_of_year, cleaned=cleaned),
+        header_tables_array(as_of_year=as_of_year, cells="clean_cells"), list_items_array(as_of_year=as_of_year),
         text_patterns_array(as_of_year, html.text_of(cleaned)), government_patterns_array(),
     ]
     prefixed = F.transform(
         F.concat(*clean), lambda m: m.withField("obs_key", F.concat(F.lit("clean_"), m["obs_key"]))
     )
-    found = explode_observations(prepared, *base, prefixed)
+    found = explode_observations(prepared, base, generic_patterns_array(), prefixed)
     year = F.coalesce("year", years.from_record("raw_text", "indicator_name"), F.lit(as_of_year))
     return staged(found, {"year": year.cast("int")})
 
@@ -654,6 +679,16 @@ def inventory(pages: DataFrame, anchors: int | None = None, listed: int | None =
 # -- profiles ----------------------------------------------------------------------------------
 
 
+def second_methods(pages: DataFrame) -> DataFrame:
+    """The other route: first two cells of tables, patterns and elements of known sites, numbers of JSON at any depth."""
+    objects = pages.filter(F.startswith(F.ltrim("html"), F.lit("{")) | F.startswith(F.ltrim("html"), F.lit("[")))
+    numbers_in = payloads.nested_numbers(objects.select(*_PAGE, "html"), "html").withColumns(
+        {"method": F.lit("json_nested"), "unit": F.lit(""), "raw_text": F.concat_ws(": ", "obs_key", F.col("value").cast("string")), "confidence_score": F.lit(0.7)}
+    )
+    found = [first_two_cells(pages), site_patterns(pages), class_values(pages), numbers_in]
+    return merging.union_all(found)
+
+
 def pattern_profile(texts: DataFrame, patterns=R.PROFILE_PATTERNS, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Match count and first five matches per named pattern with at least one match."""
     found = F.array(

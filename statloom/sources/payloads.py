@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from statloom.functions import numbers
 from statloom.functions import rules as R
-from statloom.functions.common import each
+from statloom.functions.common import col, each
 from statloom.functions.text import parse_json
+from statloom.session import cut_lineage
 
+#: Depth up to which all documents are walked in one chain, and levels between two checkpoints of a chain.
+BAND = 12
+CHAIN = 24
 _ITEM = (
     "array<struct<indicator:struct<id:string,value:string>,country:struct<id:string,value:string>,date:string,value:double>>"
 )
@@ -31,6 +35,51 @@ def api_items(payloads: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
+#: One extracted value, as the extraction arrays hold it.
+OBSERVATION = (
+    "struct<method:string,obs_key:string,o1:int,o2:int,o3:int,indicator_name:string,value:double,unit:string,year:int,"
+    "raw_text:string,confidence_score:double>"
+)
+
+
+def _observed(method: str, key: Column, place, name: Column, value: Column, unit: str, year, raw: Column, confidence: float) -> Column:
+    return F.struct(
+        F.lit(method).alias("method"), key.alias("obs_key"), place.cast("int").alias("o1"), F.lit(None).cast("int").alias("o2"),
+        F.lit(None).cast("int").alias("o3"), name.alias("indicator_name"), value.alias("value"), F.lit(unit).alias("unit"),
+        year.cast("int").alias("year"), raw.alias("raw_text"), F.lit(confidence).alias("confidence_score"),
+    )
+
+
+def api_items_array(content) -> Column:
+    """As :func:`api_items`, as one array per payload; other payloads have an empty one."""
+    items = F.from_json(F.get_json_object(col(content), "$[1]"), _ITEM)
+
+    def row(item: Column, idx: Column) -> Column:
+        date = F.coalesce(item["date"], idx.cast("string"))
+        indicator = F.coalesce(item["indicator"]["value"], F.lit("GDP"))
+        country = F.coalesce(item["country"]["value"], F.lit("Tunisia"))
+        return _observed(
+            "json_worldbank", F.concat_ws("_", F.lit("wb"), date, idx.cast("string")), idx, F.concat_ws(" ", indicator, country, date),
+            item["value"], "USD", F.when(date.rlike("^[0-9]+$"), date.try_cast("int")).otherwise(R.DEFAULT_YEAR), F.to_json(item), 0.95,
+        )
+
+    found = F.filter(F.transform(items, row), lambda m: m["value"].isNotNull())
+    return F.coalesce(found, F.array().cast(f"array<{OBSERVATION}>"))
+
+
+def flat_numbers_array(content) -> Column:
+    """As :func:`flat_numbers`, as one array per payload; what is no JSON object has an empty one."""
+    members = F.map_entries(F.try_variant_get(parse_json(content), "$", "map<string,variant>"))
+
+    def row(member: Column, idx: Column) -> Column:
+        value, key = number_of(member["value"]), member["key"]
+        raw = F.concat(key, F.lit(": "), value.cast("string"))
+        return _observed("json_generic", F.concat(F.lit("json_"), key), idx, key, value, "", F.lit(None), raw, 0.8)
+
+    numeric = F.filter(F.transform(members, row), lambda m: m["value"].isNotNull() & numbers.is_quick_value(m["value"]))
+    return F.coalesce(numeric, F.array().cast(f"array<{OBSERVATION}>"))
+
+
 def _exploded(df: DataFrame, variant: str, outer: bool = False) -> DataFrame:
     """Adds pos, key and value of each member of a variant object or array."""
     tvf = df.sparkSession.tvf
@@ -52,26 +101,55 @@ def flat_numbers(payloads: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-def number_of(variant: str) -> Column:
+def number_of(variant) -> Column:
     """Value of a numeric or boolean variant, null for other kinds (text is not converted)."""
+    variant = col(variant)
     kind = F.schema_of_variant(variant)
     number = F.try_variant_get(variant, "$", "double")
     flag = F.try_variant_get(variant, "$", "boolean").cast("int").cast("double")
     return F.when(kind == "BOOLEAN", flag).when(kind.rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), number)
 
 
-def walk(documents: DataFrame, content: str = "content", depth: int = 12, stop_at: str | None = None) -> DataFrame:
-    """Every leaf of a JSON document with its path. Level by level: a container is replaced by its
-    members, a leaf stays one row, so the plan is one chain of ``depth`` lateral joins without unions.
-
-    Adds ``path`` (array of steps), ``last_key`` (null directly inside a list) and ``node``. With
-    ``stop_at`` an object below that key is kept whole. A document nested deeper than ``depth`` fails
-    the job rather than losing values."""
+def nesting(content) -> Column:
+    """How deep the containers of a JSON text are nested, 0 without any. Texts are taken out first, then brackets are
+    counted in one linear fold."""
+    brackets = F.regexp_replace(F.regexp_replace(col(content), r'(?s)"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+    deeper = lambda s, d: F.struct((s["at"] + d).alias("at"), F.greatest(s["most"], s["at"] + d).alias("most"))
+    return F.coalesce(F.reduce(steps, zero, deeper, lambda s: s["most"]), F.lit(0))
+
+
+def walk(documents: DataFrame, content: str = "content", stop_at: str | None = None) -> DataFrame:
+    """Every leaf of a JSON document with its path. Level by level: a container is replaced by its members, a leaf stays
+    one row, so the plan is a chain of lateral joins without unions.
+
+    The depth comes from the data: one pass over the texts gives the largest nesting, which ends the chain. Documents
+    much deeper than others are walked apart, in bands of at most four times the depth of the band before, so that
+    shallow ones don't pay for them; long chains are checkpointed.
+
+    Adds ``path`` (array of steps), ``last_key`` (null directly inside a list) and ``node``. With ``stop_at`` an object
+    below that key is kept whole."""
+    deepest = documents.agg(F.max(nesting(content))).first()[0] or 0  # one number
+    if deepest <= BAND:
+        return _walked(documents, content, deepest, stop_at)
+    bands, low, high = [], -1, BAND
+    while low < deepest:
+        inside = documents.filter((nesting(content) > low) & (nesting(content) <= high))
+        bands.append(_walked(inside, content, min(high, deepest), stop_at))
+        low, high = high, 4 * high
+    out = bands[0]
+    for more in bands[1:]:
+        out = out.union(more)
+    return out
+
+
+def _walked(documents: DataFrame, content: str, depth: int, stop_at: str | None) -> DataFrame:
     keep = [c for c in documents.columns if c != content]
     level = documents.select(
         *keep, parse_json(content).alias("node"), F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("last_key")
     )
-    for _ in range(depth):
+    for k in range(depth):
         kind = F.schema_of_variant("node")
         opens = kind.rlike("^(?:OBJECT|ARRAY)")
         if stop_at is not None:
@@ -86,18 +164,15 @@ def walk(documents: DataFrame, content: str = "content", depth: int = 12, stop_a
             F.when(is_member, F.array_append("path", step)).otherwise(F.col("path")).alias("path"),
             F.when(is_member, F.col("key")).otherwise(F.col("last_key")).alias("last_key"),
         )
-    unopened = F.schema_of_variant("node").rlike("^(?:OBJECT<[^>]|ARRAY<(?!VOID))")
-    if stop_at is not None:
-        unopened = unopened & ~F.coalesce(F.col("last_key") == stop_at, F.lit(False))
-    too_deep = F.raise_error(F.lit(f"document is nested deeper than {depth} levels; raise depth")).cast("string")
-    # In the column every reader filters on, so the failure cannot be optimised away.
-    return level.withColumn("last_key", F.when(unopened, too_deep).otherwise(F.col("last_key")))
+        if (k + 1) % CHAIN == 0 and k + 1 < depth:
+            level = cut_lineage(level)
+    return level
 
 
-def nested_numbers(documents: DataFrame, content: str = "content", depth: int = 12) -> DataFrame:
+def nested_numbers(documents: DataFrame, content: str = "content") -> DataFrame:
     """Numeric fields at any depth. Scalars directly inside lists and the keys id, code and status
     are skipped."""
-    leaves = walk(documents, content, depth).filter(
+    leaves = walk(documents, content).filter(
         F.col("last_key").isNotNull() & ~F.lower("last_key").isin("id", "code", "status")
     )
     keep = [c for c in documents.columns if c != content]
@@ -106,10 +181,10 @@ def nested_numbers(documents: DataFrame, content: str = "content", depth: int =
     ).filter("value IS NOT NULL")
 
 
-def value_maps(documents: DataFrame, content: str = "content", key: str = "extracted_values", depth: int = 12) -> DataFrame:
+def value_maps(documents: DataFrame, content: str = "content", key: str = "extracted_values") -> DataFrame:
     """Every object below the key at any depth, with its path and its number of entries."""
     keep = [c for c in documents.columns if c != content]
-    found = walk(documents, content, depth, stop_at=key).filter(
+    found = walk(documents, content, stop_at=key).filter(
         (F.col("last_key") == key) & F.startswith(F.schema_of_variant("node"), F.lit("OBJECT"))
     )
     shown = F.transform("path", lambda s: F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("["), s, F.lit("]"))).otherwise(F.concat(F.lit("."), s)))

@@ -61,6 +61,23 @@ SELECT CAST(o_custkey % 25 AS BIGINT) AS page_id, CAST(o_orderkey AS BIGINT) AS
 FROM orders
 """
 
+_MIXED_PAGES = """
+SELECT CAST(5000000000 + o1 AS BIGINT) AS page_id, concat('https://api.worldbank.org/v2/country/TN/', CAST(o1 AS STRING)) AS url, content AS html
+FROM api_json
+UNION ALL
+SELECT CAST(6000000000 + p_partkey AS BIGINT) AS page_id, concat('https://api.example.org/v2/name/', CAST(p_partkey AS STRING)) AS url,
+       concat('{"population":', CAST(p_size * 1000 AS STRING), ',"active":true,"area":', CAST(p_size AS STRING), '.5,"year":2020,"name":"', p_name, '","deep":{"density":7}}') AS html
+FROM part
+UNION ALL
+SELECT CAST(8000000000 + p_partkey AS BIGINT) AS page_id, concat('https://news.example.org/o/', CAST(p_partkey AS STRING)) AS url,
+       concat('{"deep":[{"a":{"taux":', CAST(p_size AS STRING), ',"code":5}}],"ok":true}') AS html
+FROM part
+UNION ALL
+SELECT CAST(7000000000 + p_partkey AS BIGINT) AS page_id, concat('https://news.example.org/t/', CAST(p_partkey AS STRING)) AS url,
+       concat('<table><tr><td>Taux ', p_brand, '</td><td>', CAST(p_size AS STRING), ',5 %</td></tr></table>') AS html
+FROM part
+"""
+
 _TASKS = """
 SELECT CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE concat('t', CAST(o_orderkey AS STRING)) END AS task_id,
        CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' ELSE 'cancelled' END AS status,
@@ -213,6 +230,7 @@ VIEWS: dict[str, str] = {
     "html": _HTML,
     "messy_pages": _MESSY_PAGES,
     "api_json": _API_JSON,
+    "mixed_pages": _MIXED_PAGES,
     "tasks": _TASKS,
     "results": _RESULTS,
     "urls": _URLS,
@@ -234,6 +252,7 @@ BASES: dict[str, tuple[str, ...]] = {
     "html": ("part",),
     "messy_pages": ("part",),
     "api_json": ("orders",),
+    "mixed_pages": ("api_json", "part"),
     "tasks": ("orders",),
     "results": ("lineitem",),
     "urls": ("pages", "part"),

@@ -109,12 +109,38 @@ def test_nested_json_walk(spark):
     assert got == {"a": 1.0, "b_c": 1.0, "b_d_1_e": 4.5}
 
 
-def test_too_deep_documents_fail_instead_of_losing_values(spark):
-    doc = '{"x":' * 6 + "1" + "}" * 6
-    df = spark.createDataFrame([(1, doc)], "dump_id int, content string")
-    assert payloads.nested_numbers(df, depth=6).count() == 1
-    with pytest.raises(Exception, match="deeper than 4"):
-        payloads.nested_numbers(df, depth=4).select("obs_key").collect()
+def test_deep_documents_among_shallow_ones_give_all_leaves(spark, monkeypatch):
+    """The depth comes from the data: 40 and 70 levels beside one, brackets inside texts don't count."""
+    monkeypatch.setattr(payloads, "CHAIN", 10)
+
+    def deep(n):
+        return '{"v":%d,"x":[' % n * n + "1" + "]}" * n
+
+    rows = [(1, '{"a": 1, "t": "[[[{{{ \\" ["}'), (2, deep(20)), (3, deep(35)), (4, None), (5, ""), (6, "[1, 2"), (7, '{"a": {"b": {}}}'), (8, "7")]
+    df = spark.createDataFrame(rows, "dump_id int, content string")
+    assert [r.n for r in df.select(payloads.nesting("content").alias("n")).collect()] == [1, 40, 70, 0, 0, 1, 3, 0]
+    got = {}
+    for r in payloads.nested_numbers(df).collect():
+        got.setdefault(r.dump_id, []).append((r.obs_key, r.value))
+    assert got[1] == [("a", 1.0)] and set(got) == {1, 2, 3}
+    for i, n in ((2, 20), (3, 35)):
+        assert sorted(got[i]) == sorted(("x_0_" * k + "v", float(n)) for k in range(n))
+
+
+def test_second_route_reads_escalated_pages_only(spark, tables, monkeypatch):
+    seen = []
+    second = extraction.second_methods
+    monkeypatch.setattr(extraction, "second_methods", lambda pages: seen.append(pages) or second(pages))
+    pages = tables.view("mixed_pages")
+    pipeline.escalated(pages)
+    few = seen[0]
+    assert few.count() == 400 < pages.count()
+    assert "FileScan" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mixed_tables_are_one_narrow_stage(tables):
+    plan = extraction.all_methods(tables.view("mixed_pages"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 def test_flat_numbers_reject_years(spark):
