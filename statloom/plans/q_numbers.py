@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import html, labels, numbers, text, units, years
 from statloom.functions import rules as R
-from statloom.operators import records
+from statloom.operators import extraction, records
 from statloom.plans.oracle import (
     noise_pattern,
     clean_number, has, labels as case_labels, number, page_text, rx, text as lit, with_views,
@@ -231,9 +231,8 @@ SELECT p_partkey AS page_id, i AS column_index, CASE WHEN i = 1 AND 2016 + p_siz
   CASE WHEN i > 0 THEN CASE i WHEN 1 THEN CASE WHEN 2016 + p_size % 12 BETWEEN 2018 AND 2025 THEN 2016 + p_size % 12 END ELSE 2023 END END AS record_year
 FROM part, (VALUES (0), (1), (2)) v(i)""")
 def _(t):
-    first_row = html.rows(F.get(html.tables("html"), F.lit(0)))
-    headers = F.transform(html.cells(F.get(first_row, F.lit(0))), html.cell_text)
-    pages = t.view("html").select("page_id", "url", headers.alias("headers"))
+    headers = F.transform(F.get(F.get("cells", F.lit(0)), F.lit(0)), html.cell_text)
+    pages = extraction.with_cells(t.view("html"), "html").select("page_id", "url", headers.alias("headers"))
     cols = pages.select("page_id", "url", "headers", F.posexplode("headers").alias("column_index", "header"))
     return cols.select("page_id", "column_index", years.from_headers("headers", "column_index", "url").alias("column_year"),
                        years.from_record("header", F.lit("")).alias("record_year"))
