@@ -8,7 +8,7 @@ is the encoding.
 For a unigram model an arc weighs minus the score of its piece. For a model of merges the weights lie on pairs: a pair
 of neighbouring pieces weighs nothing if merging their characters gives just these two, and infinitely much otherwise.
 Exactly one path has a finite weight, and it is the one that merging yields, since merges act on neighbours alone. So the
-search keeps one state for each place. Pair weights are computed when first met and remembered.
+search keeps one state for each place, tries long pieces first and enters no place twice. Pair weights are computed when first met and remembered.
 
 Word marks only begin pieces (or make them up), so the lattice is cut before each mark that follows another character;
 each distinct part is composed once and remembered, up to ``REMEMBERED`` parts a worker.
@@ -126,38 +126,48 @@ class Transducer:
         return self._finite(part) if self.merges else self._least(part)
 
     def _finite(self, part: str) -> bytes:
-        """The only path of finite weight: at each place the last piece of the one path that reaches it."""
-        n, arcs, pairs = len(part), self.arcs, self.pairs
-        last: list[str | None] = [None] * (n + 1)
-        for i in range(n):
-            before = last[i]
-            if before is None and i:
-                continue
-            j = i + 1
-            if part[i] not in self.ids:
-                last[j] = part[i]  # its bytes; it joins with no neighbour
-                continue
-            while True:
-                piece = part[i:j]
-                known = arcs.get(piece)
-                if known is None:
+        """The only path of finite weight, depth first and longest pieces first. One path at most reaches a place, so a
+        place from which the search failed is never entered again."""
+        n, arcs, pairs, ids = len(part), self.arcs, self.pairs, self.ids
+        path: list[str] = []
+        waiting: list[list[str]] = []  # pieces not yet tried at each place of the path
+        dead: set[int] = set()
+        i, here = 0, None
+        while i < n:
+            if here is None:
+                here = []
+                if part[i] in ids:
+                    for j in range(i + 1, n + 1):
+                        piece = part[i:j]
+                        known = arcs.get(piece)
+                        if known is None:
+                            break
+                        if known >= 0:
+                            here.append(piece)
+                else:
+                    here.append(part[i])  # its bytes; it joins with no neighbour
+            while here:
+                piece = here.pop()
+                j = i + len(piece)
+                if j in dead:
+                    continue
+                if not path or piece not in ids:
                     break
-                if known >= 0 and last[j] is None:
-                    if not i:
-                        last[j] = piece
-                    else:
-                        pair = before, piece
-                        free = pairs.get(pair)
-                        if free if free is not None else self._weighed(pair):
-                            last[j] = piece
-                if j == n:
+                pair = path[-1], piece
+                free = pairs.get(pair)
+                if free if free is not None else self._weighed(pair):
                     break
-                j += 1
+            else:
+                dead.add(i)
+                i -= len(path.pop())
+                here = waiting.pop()
+                continue
+            path.append(piece)
+            waiting.append(here)
+            i, here = j, None
         out: list[int] = []
-        while n:
-            piece = last[n]
+        for piece in reversed(path):
             self._emit(piece, out)
-            n -= len(piece)
         return np.array(out[::-1], dtype=_ID).tobytes()
 
     def _least(self, part: str) -> bytes:
