@@ -21,6 +21,7 @@ nothing. Other columns don't matter.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -130,45 +131,47 @@ class Transducer:
         place from which the search failed is never entered again."""
         n, arcs, pairs, ids = len(part), self.arcs, self.pairs, self.ids
         path: list[str] = []
-        waiting: list[list[str]] = []  # pieces not yet tried at each place of the path
         dead: set[int] = set()
-        i, here = 0, None
+        i, fresh = 0, True
         while i < n:
-            if here is None:
-                here = []
+            if fresh:  # the end of the longest piece
+                end = j = i + 1
                 if part[i] in ids:
-                    for j in range(i + 1, n + 1):
-                        piece = part[i:j]
-                        known = arcs.get(piece)
+                    while j < n:
+                        j += 1
+                        known = arcs.get(part[i:j])
                         if known is None:
                             break
                         if known >= 0:
-                            here.append(piece)
-                else:
-                    here.append(part[i])  # its bytes; it joins with no neighbour
-            while here:
-                piece = here.pop()
-                j = i + len(piece)
-                if j in dead:
-                    continue
-                if not path or piece not in ids:
-                    break
-                pair = path[-1], piece
-                free = pairs.get(pair)
-                if free if free is not None else self._weighed(pair):
-                    break
+                            end = j
+            while end > i:
+                if end not in dead:
+                    piece = part[i:end]
+                    if piece in ids:
+                        if not path:
+                            break
+                        pair = path[-1], piece
+                        free = pairs.get(pair)
+                        if free if free is not None else self._weighed(pair):
+                            break
+                    elif end == i + 1:
+                        break  # its bytes; they join with no neighbour
+                end -= 1
             else:
                 dead.add(i)
+                end = i - 1
                 i -= len(path.pop())
-                here = waiting.pop()
+                fresh = False
                 continue
             path.append(piece)
-            waiting.append(here)
-            i, here = j, None
-        out: list[int] = []
-        for piece in reversed(path):
-            self._emit(piece, out)
-        return np.array(out[::-1], dtype=_ID).tobytes()
+            i, fresh = end, True
+        try:
+            return array("i", [ids[p] for p in path]).tobytes()
+        except KeyError:
+            out: list[int] = []
+            for piece in reversed(path):
+                self._emit(piece, out)
+            return array("i", out[::-1]).tobytes()
 
     def _least(self, part: str) -> bytes:
         """The path of least weight, pieces weighing minus their score."""
@@ -205,21 +208,28 @@ class Transducer:
         if not self.ready:
             self._compile()
         known = self.known
-        parts = self.parts(self.prefix + text.replace(" ", MARK))
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for p in parts:
-                if p not in known:
-                    inner = self.cut(p)
-                    for q in inner:
-                        if q not in known:
-                            known[q] = self.shortest(q)
-                    if len(inner) > 1:
-                        known[p] = b"".join([known[q] for q in inner])
-            return b"".join([known[p] for p in parts])
+        if len(known) > REMEMBERED:
+            known.clear()
+        out = []
+        for p in self.parts(self.prefix + text.replace(" ", MARK)):
+            ids = known.get(p)
+            if ids is None:
+                ids = known[p] = self._composed(p)
+            out.append(ids)
+        return b"".join(out)
+
+    def _composed(self, part: str) -> bytes:
+        """Ids of a part met for the first time."""
+        inner = self.cut(part)
+        if len(inner) == 1:
+            return self.shortest(part)
+        known, out = self.known, []
+        for q in inner:
+            ids = known.get(q)
+            if ids is None:
+                ids = known[q] = self.shortest(q)
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         table_ = self.bytes_of
