@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from statloom.llm import bytesets as B
 from statloom.llm.components import components
 from statloom.llm.exchange import repeated, together
-from statloom.llm.registry import query, table
+from statloom.llm.registry import query, table, unused
 from statloom.llm.storage import stored
 
 WORDS = 4
@@ -311,8 +311,9 @@ def _within_core(led: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.greatest("key_a", "key_b").alias("x"), F.least("key_a", "key_b").alias("y")).distinct()
 
 
-def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` for every row of the documents."""
+def _labelled(documents: DataFrame, words: int, percent: int, tie: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, content, n, key) and their sets (key, doc_id, content, component): the first row of a set and
+    the name of its component. With ``tie``, rows of one id are one document."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     content = F.xxhash64(F.coalesce("text", F.lit(""))).alias("content")
@@ -327,10 +328,16 @@ def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     index = sets.select(chunk, "key", "n").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_postings(percent), "token long, key long, n long")
     found = links(rows, sets, index, words, percent)
     # Rows with one id and several sets tie these sets together.
+    edges = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
     twice = signs.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y")
     tied = signs.join(twice.select("doc_id", F.col("x").alias("b")), "doc_id").filter("n > 0").select(F.col("key").alias("a"), "b")
-    label = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")).union(tied)).withColumnRenamed("node", "key")
-    named = sets.join(label, "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    label = components(edges.union(tied) if tie else edges).withColumnRenamed("node", "key")
+    return signs, sets.join(label, "key", "left").select("key", "doc_id", "content", F.coalesce("component", "key").alias("component"))
+
+
+def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` for every row of the documents."""
+    signs, named = _labelled(documents, words, percent, tie=True)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_key = named.join(least, "component").select("key", "component_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -338,11 +345,24 @@ def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
 
 
 def one_of_each(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The document of the smallest id of each component, with all columns. Rows with a null id stay."""
-    kept = join(documents, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = documents.filter("doc_id IS NOT NULL")
-    named = named.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(documents.filter("doc_id IS NULL"))
+    """The document of the smallest id of each component, with all columns. Rows of one id with different texts are
+    documents of their own; of rows with one id and one text, the one of the least row hash stays. Documents without
+    words and rows with a null id stay."""
+    signs, named = _labelled(documents, words, percent, tie=False)
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "content")).alias("first")).select("first.*")
+    wordless = signs.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id", "content").distinct()
+    kept = first.unionByName(wordless)
+    content, mark = unused(documents, "__content", "__mark")
+    # A hash skips nulls, so it says where they are; maps have no hash.
+    hashed = [F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    rows = documents.filter("doc_id IS NOT NULL").withColumn(content, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn(mark, F.xxhash64(*hashed, *[c.isNull() for c in hashed]))
+    one = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(content).alias("content"), F.col(mark).alias("mark"))
+    one = one.groupBy("doc_id", "content").agg(F.min("mark").alias("mark")).join(kept, ["doc_id", "content"], "left_semi")
+    one = one.select(F.col("doc_id").alias("i"), F.col("content").alias("c"), F.col("mark").alias("m")).alias("one")
+    same = (F.col("all.doc_id") == F.col("one.i")) & (F.col(f"all.{content}") == F.col("one.c")) & (F.col(f"all.{mark}") == F.col("one.m"))
+    single = rows.dropDuplicates(["doc_id", content, mark]).alias("all").join(one, same, "left_semi").drop(content, mark)
+    return single.union(documents.filter("doc_id IS NULL"))
 
 
 @query("op10_ngram_jaccard")

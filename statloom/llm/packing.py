@@ -24,7 +24,6 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +58,7 @@ class Encoder:
     times faster; texts with unusual characters or added tokens go through the tokenizer itself."""
 
     def __init__(self, path: str, ranks_path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

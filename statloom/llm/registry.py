@@ -39,5 +39,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as make it differ from every column of the table."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.registry import query, table
+from statloom.llm.registry import query, table, unused
 from statloom.session import fresh_dir
 
 LEDGER = "blob string, rule string, version int, found array<struct<start:int,end:int,kind:string,place:int>>"
@@ -82,10 +82,11 @@ def redact(documents: DataFrame, ledger: str, mask: str = "[secret]", rules: tup
     ``n_chars``, if there is one, follows the text."""
     blob = F.sha2(F.coalesce("text", F.lit("")), 256)
     _extend(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", blob), ledger, rules)
-    known = _known(documents, ledger, rules).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
-    joined = documents.join(known, blob == F.col("__blob"), "left")
+    b, found = unused(documents, "__blob", "__found")
+    known = _known(documents, ledger, rules).select(F.col("blob").alias(b), F.col("found").alias(found))
+    joined = documents.join(known, blob == F.col(b), "left")
     # From the last span to the first, so that earlier positions stay right; ``left`` is where the text after begins.
-    spans = F.reverse(_ordered("__found"))
+    spans = F.reverse(_ordered(found))
     start = F.struct(F.lit("").alias("after"), F.length("text").alias("left"))
 
     def step(state, span):
@@ -93,10 +94,10 @@ def redact(documents: DataFrame, ledger: str, mask: str = "[secret]", rules: tup
         return F.struct(after.alias("after"), span["start"].alias("left"))
 
     masked = F.aggregate(_merged(spans), start, step, lambda s: F.concat(_cut(F.lit(0), s["left"]), s["after"]))
-    text = F.when(F.size("__found") > 0, masked).otherwise(F.col("text"))
+    text = F.when(F.size(found) > 0, masked).otherwise(F.col("text"))
     out = joined.withColumn("text", text)
     if "n_chars" in documents.columns:
-        changed = F.when(F.size("__found") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        changed = F.when(F.size(found) > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed.cast(documents.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in documents.columns])
 
@@ -149,7 +150,8 @@ def _extend(texts: DataFrame, ledger: str, rules: tuple[Rule, ...]) -> None:
         spark.read.schema(LEDGER).parquet(ledger).select("blob", F.concat_ws(":", "rule", "version").alias("pair"))
         .groupBy("blob").agg(F.collect_set("pair").alias("seen"))
     )
-    # The first path of each blob stands for it, so no text is grouped; copies of one blob meet in partial sums.
+    # The first path of each blob stands for it, so no text is grouped; copies of one blob meet in partial sums. Equal
+    # rows of one path are one.
     blobs = texts.groupBy("blob").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)), "doc_id")["doc_id"]).alias("doc_id"))
     pairs = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     todo = (
@@ -157,7 +159,7 @@ def _extend(texts: DataFrame, ledger: str, rules: tuple[Rule, ...]) -> None:
         .select("blob", "doc_id", F.array_except(pairs, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
         .filter("size(todo) > 0")
     )
-    one = texts.withColumnsRenamed({"blob": "b", "doc_id": "d"}).join(todo, (F.col("b") == F.col("blob")) & F.col("d").eqNullSafe(F.col("doc_id")))
+    one = texts.dropDuplicates(["blob", "doc_id"]).withColumnsRenamed({"blob": "b", "doc_id": "d"}).join(todo, (F.col("b") == F.col("blob")) & F.col("d").eqNullSafe(F.col("doc_id")))
     lines = F.array(*[
         F.struct(
             "blob", F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"),

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from statloom.llm import bytesets as B
 from statloom.llm.exchange import later, together
-from statloom.llm.registry import query, table
+from statloom.llm.registry import query, table, unused
 from statloom.llm.storage import stored
 
 SENTENCES = 2
@@ -84,10 +84,10 @@ def _name(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return B.mix(h ^ B.mix(doc.view(np.uint64) + B.U(1)))
 
 
-def _drop(kept_text: bool, schema: pa.Schema):
+def _drop(kept_text: bool, schema: pa.Schema, id_name: str):
     def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
         known = np.unique(_name(together(answers["keys"].to_pylist(), np.int64), together(answers["hashes"].to_pylist(), np.uint64)))
-        ids, texts = documents["__doc"].to_pylist(), documents["text"].to_pylist()
+        ids, texts = documents[id_name].to_pylist(), documents["text"].to_pylist()
         out, rows = list(texts), []
         for at, end, buf, starts in B.groups([B.as_bytes(t) for t in texts]):
             doc, begin, stop, following, first, last, h = spans(buf, starts)
@@ -137,8 +137,9 @@ def _applied(documents: DataFrame, columns: list[str], kept_text: bool, schema:
     answers = stored(later(named, _hashes, total / 45, chunks), "runs")  # about one run in 45 bytes
     doc = F.col("doc_id").cast("long")
     chunk = F.pmod(F.when(doc.isNotNull(), F.hash(doc)).otherwise(F.hash("text")), F.lit(int(chunks))).cast("int")
-    texts = documents.select(*columns, doc.alias("__doc"), chunk.alias("__chunk"))
-    return texts.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_drop(kept_text, schema), spark_schema)
+    i, c = unused(documents, "__doc", "__chunk")
+    texts = documents.select(*columns, doc.alias(i), chunk.alias(c))
+    return texts.groupBy(c).cogroup(answers.groupBy("chunk")).applyInArrow(_drop(kept_text, schema, i), spark_schema)
 
 
 def digest(documents: DataFrame) -> DataFrame:

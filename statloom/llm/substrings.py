@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from statloom.llm import bytesets as B
 from statloom.llm import suffix
 from statloom.llm.exchange import PORTION, cuts_of, number_of_ranges, spark_hash, together
-from statloom.llm.registry import query, table
+from statloom.llm.registry import query, table, unused
 from statloom.llm.storage import stored
 
 LENGTH = 50
@@ -316,7 +316,7 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
 _DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _drop(kept_text: bool, schema: pa.Schema):
+def _drop(kept_text: bool, schema: pa.Schema, id_name: str, key_name: str):
     """Rows of one chunk with what stays of their text, or with the digest of it."""
 
     def run(documents: pa.Table, found: pa.Table) -> pa.Table:
@@ -324,7 +324,7 @@ def _drop(kept_text: bool, schema: pa.Schema):
         for doc, key, start, places, firsts in zip(*(found[c].to_pylist() for c in ("doc_id", "text_key", "start", "places", "firsts"))):
             marks.setdefault((doc, key), []).append((start, places, firsts))
         texts, rows = [], []
-        for doc, key, text in zip(*(documents[c].to_pylist() for c in ("__doc", "__key", "text"))):
+        for doc, key, text in zip(*(documents[c].to_pylist() for c in (id_name, key_name, "text"))):
             raw = B.as_bytes(text)
             spans = removed_spans(doc, len(raw), marks[doc, key]) if (doc, key) in marks else []
             ends = [0, *(e for _, e in spans)]
@@ -403,8 +403,9 @@ def _prepared(documents: DataFrame):
 def _applied(documents: DataFrame, columns: list[str], kept_text: bool, schema: pa.Schema, spark_schema) -> DataFrame:
     found, chunk, key = _prepared(documents)
     doc = F.col("doc_id").cast("long")
-    texts = documents.select(*columns, doc.alias("__doc"), key.alias("__key"), chunk(doc, F.xxhash64("text")).alias("__chunk"))
-    return texts.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(_drop(kept_text, schema), spark_schema)
+    i, k, c = unused(documents, "__doc", "__key", "__chunk")
+    texts = documents.select(*columns, doc.alias(i), key.alias(k), chunk(doc, F.xxhash64("text")).alias(c))
+    return texts.groupBy(c).cogroup(found.groupBy("chunk")).applyInArrow(_drop(kept_text, schema, i, k), spark_schema)
 
 
 def digest(documents: DataFrame) -> DataFrame:

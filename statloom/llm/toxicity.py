@@ -153,7 +153,8 @@ def fit_chain(rows: list[np.ndarray], labels: dict[str, np.ndarray], keys: np.nd
 
 
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seeds: dict = SEEDS) -> Chain:
-    """Fit on at most ``fit_rows`` labelled documents, drawn by a hash of their id; only these features reach the driver."""
+    """Fit on at most ``fit_rows`` labelled documents, drawn by a hash of their id; only these features reach the driver.
+    Of several rows of one id, the one of the least feature hash counts."""
     drawn = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").alias("key"), F.col("toxic").cast("int"))
@@ -161,7 +162,8 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seeds
     texts = documents.select(F.col("doc_id").alias("key"), "text")
     # The drawn side has at most ``fit_rows`` rows of two numbers.
     sample = texts.join(F.broadcast(drawn), "key").mapInPandas(featurise, "key long, toxic int, features binary")
-    pdf = sample.toPandas().sort_values("key", kind="stable").drop_duplicates("key")
+    one = F.min(F.struct(F.xxhash64("features"), "toxic", "features")).alias("one")
+    pdf = sample.groupBy("key").agg(one).select("key", "one.toxic", "one.features").toPandas().sort_values("key", ignore_index=True)
     rows = [np.frombuffer(b, dtype=np.uint64) for b in pdf["features"]]
     toxic = pdf["toxic"].to_numpy(dtype=float) if len(pdf) else np.empty(0)
     named = {}

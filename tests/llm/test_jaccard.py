@@ -54,6 +54,19 @@ def test_one_of_each(spark):
     assert kept.count(None) == 2 and 10 in kept and not {11, 12, 26} & set(kept) and {16, 17, 21} <= set(kept)
 
 
+def test_one_of_each_keeps_different_texts_of_one_id(spark):
+    a, b = "a clean text of its own with seven words more", "another text that shares nothing at all"
+    near = [(901, a + " x" * k) for k in (0, 0)] + [(901, b), (902, b), (903, None), (903, ""), (904, a)]
+    table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(near)], "doc_id long, text string, __mark int")
+    table = table.selectExpr("*", "0 AS __content", "map(1, __mark) AS other")
+    out = jaccard.one_of_each(table)
+    assert out.columns == table.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=repr)[:2] == [(901, a), (901, b)] and len(got) == 3 and got.count((901, a)) == 1
+    assert {i for i, _ in got} == {901, 903}
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, jaccard.one_of_each(table.repartition(7, "__mark")).collect()))
+
+
 def test_empty_table(spark):
     assert jaccard.join(empty(spark)).count() == 0
     assert jaccard.one_of_each(empty(spark)).count() == 0

@@ -1,11 +1,12 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from statloom.llm import packing
 from tests.conftest import FOLDER
-from tests.llm.helpers import documents, rows
+from tests.llm.helpers import clashing, documents, empty, rows
 from tests.llm.test_jaccard import brute as near_groups
 from tests.llm.test_secrets import brute as secret_digest
 from tests.llm.test_substrings import brute as repeats
@@ -36,3 +37,23 @@ def test_run_on_given_tables(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == [c.split()[0] for c in packing.SCHEMA.split(", ")] and out.count() > 100
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near duplicates", "repeated substrings", "secrets", "packing"]
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    odd = ["__doc", "__key", "__chunk", "__blob", "__found", "__id", "__content", "__mark"]
+    docs = clashing(documents(spark, [(801, "password = abcdefghijklmnop1234 and so on")]))
+    docs = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(odd)])
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "near duplicates", "repeated substrings", "secrets"):
+        out = stages[name](spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        assert [tuple(r) for r in out.select(*odd).distinct().collect()] == [tuple(range(len(odd)))], name
+        if name != "toxicity":  # there the text decides, whatever the id
+            assert out.filter("doc_id IS NULL").count() == 2, name
+    assert "[secret]" in out.filter("doc_id = 801").first().text
+
+
+def test_stages_take_an_empty_table(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("near duplicates", "repeated substrings", "secrets", "packing"):
+        assert stages[name](spark, empty(spark), FOLDER).count() == 0, name

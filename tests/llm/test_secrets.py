@@ -79,3 +79,10 @@ def test_query_matches_sql(name, spark, duck):
     names = sorted(df.columns)
     want = con.execute(f"SELECT {', '.join(names)} FROM ({SQL[name]})").fetchall()
     assert listed(df, *names) == sorted(want, key=repr)
+
+
+def test_equal_rows_are_scanned_once(spark):
+    seven = spark.createDataFrame([(5, "token = abcdefghijklmnop1234")] * 7, "doc_id long, text string")
+    path = fresh_dir(spark, "ledger")
+    assert secrets.scan(seven, path).filter("size(found) > 0").count() == 7
+    assert spark.read.parquet(path).count() == len(secrets.RULES)
