@@ -91,24 +91,36 @@ def _constant(p: float, n_earlier: int) -> Linear:
     return Linear(np.empty(0, np.uint64), empty, np.zeros(n_earlier), float(np.log(p / (1 - p))))
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> Linear:
-    """Features are chosen by chi-square on the rows given; weights by gradient steps with a momentum."""
+def _coded(rows: list[np.ndarray], at_a_time: int = 500) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sorted distinct hashes and every row as places in them. Rows are taken in portions, so what is held beside
+    the rows is their places and one portion."""
+    names = np.empty(0, np.uint64)
+    for k in range(0, len(rows), at_a_time):
+        names = np.unique(np.concatenate([names, *rows[k : k + at_a_time]]))
+    return names, [np.searchsorted(names, row).astype(np.int32) for row in rows]
+
+
+def fit_linear(names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> Linear:
+    """``rows``: distinct places in ``names``. Features are chosen by chi-square on the rows given; weights by gradient
+    steps with a momentum."""
     n, n_pos = len(y), int(y.sum())
     if n_pos == 0 or n_pos == n:
         return _constant(1e-9 if n_pos == 0 else 1 - 1e-9, earlier.shape[1])
-    flat = np.concatenate(rows) if rows else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    names, inverse, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    hits = np.bincount(inverse, weights=y[owner], minlength=len(names))
+    seen, hits = np.zeros(len(names)), np.zeros(len(names))
+    for row, positive in zip(rows, y):
+        seen[row] += 1
+        if positive:
+            hits[row] += 1
     expected = seen * n_pos / n
     spread = np.where((seen >= 2) & (seen < n), (hits - expected) ** 2 / np.maximum(expected * (1 - seen / n), 1e-9), 0.0)
     chosen = np.sort(np.argsort(-spread, kind="stable")[:FEATURES])
     chosen = chosen[spread[chosen] > 0]
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
-    at = place[inverse]
     x = np.zeros((n, len(chosen) + earlier.shape[1] + 1), dtype=np.float32)
-    x[owner[at >= 0], at[at >= 0]] = 1.0
+    for i, row in enumerate(rows):
+        at = place[row]
+        x[i, at[at >= 0]] = 1.0
     x[:, len(chosen) : -1] = earlier
     x[:, -1] = 1.0
     # Both classes weigh the same; the bias is put back to the base rate of half afterwards, so 0.5 separates them.
@@ -126,18 +138,15 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, steps
     return Linear(names[chosen], w[:k].astype(float), w[k:-1].astype(float), float(w[-1]))
 
 
-def _scores(model: Linear, rows: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(rows))
-    if len(model.features) == 0:
-        return out
-    for i, r in enumerate(rows):
-        at = np.minimum(np.searchsorted(model.features, r), len(model.features) - 1)
-        out[i] = model.weights[at[model.features[at] == r]].sum()
-    return out
+def _scores(model: Linear, names: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    weights = np.zeros(len(names))
+    weights[np.searchsorted(names, model.features)] = model.weights
+    return np.array([weights[row].sum() for row in rows])
 
 
 def fit_chain(rows: list[np.ndarray], labels: dict[str, np.ndarray], keys: np.ndarray) -> Chain:
     """``rows``: sorted distinct feature hashes; ``labels``: 0/1 by category, in the order of the chain."""
+    names, rows = _coded(rows)
     fold = (B.mix(keys.astype(np.uint64)) % B.U(FOLDS)).astype(int)
     earlier = np.empty((len(rows), 0))
     models = []
@@ -145,9 +154,9 @@ def fit_chain(rows: list[np.ndarray], labels: dict[str, np.ndarray], keys: np.nd
         out_of_fold = np.zeros(len(rows))
         for k in range(FOLDS):
             train, held = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            model = fit_linear([rows[i] for i in train], y[train], earlier[train])
-            out_of_fold[held] = model.probability(_scores(model, [rows[i] for i in held]), earlier[held])
-        models.append(fit_linear(rows, y, earlier))
+            model = fit_linear(names, [rows[i] for i in train], y[train], earlier[train])
+            out_of_fold[held] = model.probability(_scores(model, names, [rows[i] for i in held]), earlier[held])
+        models.append(fit_linear(names, rows, y, earlier))
         earlier = np.column_stack([earlier, out_of_fold])
     return Chain(tuple(labels), tuple(models))
 
