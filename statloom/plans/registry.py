@@ -26,7 +26,7 @@ class Query:
     sql: str | None
 
     def frame(self, spark, folder: str) -> DataFrame:
-        df = self.build(Tables(spark, folder))
+        df = self.build(Tables(spark, folder, spread=True))
         return df.select(*[_typed(name, kind) for name, kind in self.columns])
 
     def checking_sql(self) -> str | None:

@@ -13,11 +13,13 @@ TABLE_NAMES = (
 
 
 class Tables:
-    """``tables.pages`` reads a parquet table, ``tables.view('obs')`` a derived view."""
+    """``tables.pages`` reads a parquet table, ``tables.view('obs')`` a derived view. With ``spread``, as in all registered
+    queries, tables that texts are made of are dealt over all cores."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, spread: bool = False):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.spread = spread
         self._cache: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
@@ -35,15 +37,15 @@ class Tables:
         self._cache[name] = rows
 
     def wide(self, name: str) -> DataFrame:
-        """A table that texts are read from or rendered from, dealt over all cores. A parquet file is cut into tasks by
-        its row groups, and a group of narrow rows holds up to a million pages, so the scan alone would leave most cores
-        idle. ``statloom.text.tasks`` in the session sets another number of tasks; streams keep the scan's own."""
+        """A table that texts are read from or rendered from. A parquet file is cut into tasks by its row groups, and a group
+        of narrow rows holds up to a million pages, so the scan alone would leave most cores idle: with ``spread`` the
+        rows are dealt out before texts are made. ``statloom.text.tasks`` in the session asks for a number of tasks;
+        streams keep the scan's own."""
         rows = getattr(self, name)
-        if rows.isStreaming:
-            return rows
-        cores = self.spark.sparkContext.defaultParallelism
-        tasks = self.spark.conf.get("statloom.text.tasks", None) or max(3 * cores, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return rows.repartition(int(tasks))
+        tasks = self.spark.conf.get("statloom.text.tasks", None)
+        if tasks is None and self.spread:
+            tasks = max(3 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return rows if tasks is None or rows.isStreaming else rows.repartition(int(tasks))
 
     def view(self, name: str) -> DataFrame:
         key = f"view:{name}"

@@ -16,7 +16,7 @@ def test_rows_of_one_row_group_are_dealt_over_all_cores(spark, tmp_path, view, b
         "orders": "CAST(id AS BIGINT) o_orderkey, CAST(id AS BIGINT) o_custkey, 1000.5 o_totalprice",
     }[base]
     spark.range(0, 2000, 1, 1).selectExpr(*rows.split(", ")).write.parquet(str(tmp_path / f"{base}.parquet"))
-    made = Tables(spark, str(tmp_path)).view(view)
+    made = Tables(spark, str(tmp_path), spread=True).view(view)
     sizes = [r["n"] for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 2000
     assert len(sizes) >= 3 * spark.sparkContext.defaultParallelism and max(sizes) < 200
