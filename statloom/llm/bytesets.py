@@ -10,7 +10,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-GROUP_BYTES = 1 << 20
+#: Expected bytes of a group. Hashes of every place take some hundred times as much memory in each Python worker.
+GROUP_BYTES = 1 << 19
 U = np.uint64
 #: Primes below 2 ** 31 and bases: a letter times a power has 40 bits, so a sum of 2 ** 23 of them fits 64.
 _FIELDS = ((2147483647, 1267650607), (2147483629, 779458963))

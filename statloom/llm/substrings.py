@@ -41,6 +41,8 @@ GRAIN = 16
 #: Expected size of one group of work. They set how many groups there are, never what a group may hold.
 CHUNK_BYTES = 6_000_000
 SHARD_BYTES = 3_000_000
+#: Documents that a Python worker holds at a time.
+BATCH_ROWS = 1000
 #: An anchor with so many different segments is split by a second anchor.
 SPLIT = 500
 
@@ -383,7 +385,7 @@ def _prepared(documents: DataFrame):
     doc = F.col("doc_id")
     ranges = number_of_ranges(total / 18)  # about one anchor in 18 bytes
     answers = named.mapInPandas(_blocks(ranges), _BLOCK).groupBy("bucket").applyInPandas(_answers(int(chunks)), _ANSWER)
-    answers = stored(answers.unionByName(copies.withColumn("chunk", chunk(doc, doc)), allowMissingColumns=True), "anchors")
+    answers = stored(answers.unionByName(copies.withColumn("chunk", chunk(doc, doc)), allowMissingColumns=True), "anchors", BATCH_ROWS)
     texts = named.withColumn("text_key", key).withColumn("chunk", chunk(doc, doc))
     segments = stored(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut, _SEGMENT_COLUMNS), "segments")
     shard = F.pmod(F.hash("anchor"), F.lit(int(shards)))

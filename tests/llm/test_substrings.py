@@ -106,3 +106,21 @@ def test_only_segments_that_share_a_string_are_sorted():
     a, b = "x" * 10 + "the same fifty bytes are in both of these two texts....", "other words around the same phrase"
     pdf = pd.DataFrame({"doc_id": [1, 2, 3, 4], "bytes": [a.encode(), (a + "tail").encode(), (b + "1" * 30).encode(), (b + "2" * 30).encode()]})
     assert substrings._sharing(pdf).tolist() == [True, True, False, False]
+
+
+def test_workers_hold_few_documents_at_a_time(spark, monkeypatch):
+    """Texts reach the workers in small batches, and their hashes are made in small groups."""
+    held, seen = [], {}
+    plain = substrings.stored
+
+    def noted(df, purpose, batch_rows=None):
+        seen[purpose] = batch_rows
+        return plain(df, purpose, batch_rows)
+
+    monkeypatch.setattr(substrings, "stored", noted)
+    out = substrings.digest(documents(spark))
+    assert listed(out, *COLUMNS) == brute(rows())
+    assert seen["anchors"] is not None and seen["anchors"] <= 1000
+    for _, _, buf, _ in substrings.B.groups([b"x" * 1000] * 3000):
+        held.append(len(buf))
+    assert max(held) <= 1 << 19 and sum(held) == 3000 * 1001
