@@ -20,7 +20,7 @@ def _(t):
 
 @query("T01_observations", "page_id:L obs_key:S indicator_name:S value:D unit:S year:I", QUERIES["X04_list_items"].sql)
 def _(t):
-    live = Tables(t.spark, t.folder)
+    live = Tables(t.spark, t.folder, spread=t.spread)
     live.set("part", S.landed(t.spark, t.path("par[t]"), t.part.schema))
     return S.extract_incrementally(live.view("html"), X.list_items)
 

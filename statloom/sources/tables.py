@@ -39,13 +39,13 @@ class Tables:
     def wide(self, name: str) -> DataFrame:
         """A table that texts are read from or rendered from. A parquet file is cut into tasks by its row groups, and a group
         of narrow rows holds up to a million pages, so the scan alone would leave most cores idle: with ``spread`` the
-        rows are dealt out before texts are made. ``statloom.text.tasks`` in the session asks for a number of tasks;
-        streams keep the scan's own."""
+        rows are dealt out before texts are made. ``statloom.text.tasks`` in the session asks for a number of tasks.
+        Rows of a stream are dealt out in each batch."""
         rows = getattr(self, name)
         tasks = self.spark.conf.get("statloom.text.tasks", None)
         if tasks is None and self.spread:
             tasks = max(3 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return rows if tasks is None or rows.isStreaming else rows.repartition(int(tasks))
+        return rows if tasks is None else rows.repartition(int(tasks))
 
     def view(self, name: str) -> DataFrame:
         key = f"view:{name}"

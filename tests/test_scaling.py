@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from statloom.functions import markup
 from statloom.operators import extraction
+from statloom.plans import load_all
+from statloom.plans.registry import QUERIES
 from statloom.sources.tables import Tables
 
 
@@ -39,3 +41,14 @@ def test_attribute_forms(spark):
     tags = ['<a id="x y">', "<a id='x\"y'>", "<a id=x>", "<a id = x/y b=2>", '<a id="">', "<a data-id=1>", '<a id="x', "<a>", '<a id="x>']
     read = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i int, t string").select("i", markup.attribute("t", "id").alias("v"))
     assert [r["v"] for r in read.orderBy("i").collect()] == ["x y", 'x"y', "x", "x/y", "", None, None, None, None]
+
+
+def test_rows_of_a_stream_are_dealt_over_all_cores(spark, tmp_path):
+    part = "CAST(id AS BIGINT) p_partkey, 'Brand#1' p_brand, 'n' p_name, CAST(id % 50 AS INT) p_size, 901.5 p_retailprice"
+    spark.range(0, 2000, 1, 1).selectExpr(*part.split(", ")).write.parquet(str(tmp_path / "part.parquet"))
+    load_all()
+    found = QUERIES["T01_observations"].frame(spark, str(tmp_path))
+    once = QUERIES["X04_list_items"].frame(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, once.select(*found.columns).collect()), key=repr)
+    written = [r["n"] for r in found.groupBy(F.input_file_name()).agg(F.countDistinct("page_id").alias("n")).collect()]
+    assert sum(written) == 2000 and max(written) < 200
