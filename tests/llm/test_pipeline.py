@@ -57,3 +57,24 @@ def test_stages_take_an_empty_table(spark):
     stages = dict(corpus_pipeline.STAGES)
     for name in ("near duplicates", "repeated substrings", "secrets", "packing"):
         assert stages[name](spark, empty(spark), FOLDER).count() == 0, name
+
+
+def test_stages_make_workers_give_freed_memory_back(spark):
+    """A stage can be called alone, so each prepares the workers."""
+    wanted = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
+
+    def seen(frames):
+        import os
+
+        import pyarrow as pa
+
+        for frame in frames:
+            yield frame.assign(pool=pa.default_memory_pool().backend_name, **{n: os.environ.get(n, "") for n in wanted})
+
+    environment = spark.sparkContext.environment
+    for name in ("near duplicates", "repeated substrings", "packing"):
+        for key in wanted:
+            environment.pop(key, None)
+        dict(corpus_pipeline.STAGES)[name](spark, empty(spark), FOLDER)
+        found = spark.range(1).mapInPandas(seen, "id long, pool string, " + ", ".join(f"{n} string" for n in wanted)).first().asDict()
+        assert found["pool"] == "system" and {n: found[n] for n in wanted} == wanted, name
