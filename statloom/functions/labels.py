@@ -34,8 +34,8 @@ def target_category(name, targets=R.TARGETS, keywords=R.TARGET_KEYWORDS) -> Colu
     return chain([(low == "", F.lit("unknown")), *by_entry, *by_word], F.lit("other"))
 
 
-def topic_scores(text, source, topics=R.TOPICS) -> dict[str, Column]:
-    low, src = F.lower(col(text)), F.lower(col(source))
+def topic_scores(low: Column, src: Column, topics=R.TOPICS) -> dict[str, Column]:
+    """Points of each topic for a text and a source in lower case."""
     return {
         name: count_in(low, spec["keywords"]) * 2 + count_in(src, spec["keywords"]) * 3 + count_in(low, spec["indicators"])
         for name, spec in topics.items()
@@ -43,22 +43,29 @@ def topic_scores(text, source, topics=R.TOPICS) -> dict[str, Column]:
 
 
 def topic(text, source, topics=R.TOPICS) -> Column:
-    """Best-scoring topic; the first one wins a tie."""
-    ranked = F.array(
-        *[
-            F.struct(score.alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("topic"))
-            for i, (name, score) in enumerate(topic_scores(text, source, topics).items())
-        ]
-    )
-    best = let(F.array_max(ranked), lambda b: F.when(b["score"] > 0, b["topic"]).otherwise("general"))
+    """Best-scoring topic; the first one wins a tie. Text and source are lower-cased once, not for every term."""
+
+    def ranked(low: Column, src: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(score.alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("topic"))
+                for i, (name, score) in enumerate(topic_scores(low, src, topics).items())
+            ]
+        )
+
+    scored = let(F.lower(col(text)), lambda low: let(F.lower(col(source)), lambda src: F.array_max(ranked(low, src))))
+    best = let(scored, lambda b: F.when(b["score"] > 0, b["topic"]).otherwise("general"))
     return F.when(F.coalesce(col(text), F.lit("")) == "", "empty_content").otherwise(best)
 
 
 def page_class(text, url) -> Column:
-    low, link = F.lower(col(text)), F.lower(col(url))
-    by_text = [(any_in(low, terms), F.lit(v)) for terms, v in R.PAGE_CLASSES_TEXT]
-    by_url = [(any_in(link, terms), F.lit(v)) for terms, v in R.PAGE_CLASSES_URL]
-    return chain(by_text + by_url, F.lit(R.PAGE_CLASS_DEFAULT))
+    def classed(low: Column) -> Column:
+        link = F.lower(col(url))
+        by_text = [(any_in(low, terms), F.lit(v)) for terms, v in R.PAGE_CLASSES_TEXT]
+        by_url = [(any_in(link, terms), F.lit(v)) for terms, v in R.PAGE_CLASSES_URL]
+        return chain(by_text + by_url, F.lit(R.PAGE_CLASS_DEFAULT))
+
+    return let(F.lower(col(text)), classed)
 
 
 def content_category(text, url) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import rules as R
 from statloom.functions.common import (
-    all_matches, any_in, between, chain, clamp, col, count_in, first_of, hits_in, n_matches, n_words,
+    all_matches, any_in, between, chain, clamp, col, count_in, first_of, hits_in, let, n_matches, n_words,
 )
 from statloom.functions.html import inner_text, tables
 
@@ -67,15 +67,14 @@ def national_context(text) -> dict[str, Column]:
 
 
 def context_density(text) -> dict[str, Column]:
-    low = F.lower(col(text))
-    a = count_in(low, R.DENSITY_INSTITUTIONS)
-    b = count_in(low, R.DENSITY_PLACES)
-    c = count_in(low, R.DENSITY_TERMS)
+    def found(*lists) -> Column:
+        return let(F.lower(col(text)), lambda low: sum((count_in(low, terms) for terms in lists[1:]), count_in(low, lists[0])))
+
     return {
-        "institutional_density": a,
-        "geographic_density": b,
-        "term_density": c,
-        "overall_score": (a + b + c) / 3,
+        "institutional_density": found(R.DENSITY_INSTITUTIONS),
+        "geographic_density": found(R.DENSITY_PLACES),
+        "term_density": found(R.DENSITY_TERMS),
+        "overall_score": found(R.DENSITY_INSTITUTIONS, R.DENSITY_PLACES, R.DENSITY_TERMS) / 3,
     }
 
 
@@ -91,8 +90,7 @@ def site_context(text, groups=R.SITE_CONTEXT) -> dict[str, Column]:
 
 def data_density(text) -> Column:
     """Numbers plus five per table word, over the word count, at most one."""
-    low = F.lower(col(text))
-    tables = F.regexp_count(low, F.lit("tableau")) + F.regexp_count(low, F.lit("table"))
+    tables = let(F.lower(col(text)), lambda low: F.regexp_count(low, F.lit("tableau")) + F.regexp_count(low, F.lit("table")))
     raw = (F.regexp_count(col(text), F.lit(r"[0-9]+")) + tables * 5) / F.greatest(n_words(text), F.lit(1))
     return F.when(F.length(col(text)) == 0, 0.0).otherwise(F.least(raw, F.lit(1.0)))
 
@@ -111,30 +109,32 @@ def temporal_references(text, n_years: int | None = None, n_months: int | None =
 
 
 def credibility(text) -> Column:
-    low = F.lower(col(text))
-    points = (
-        any_in(low, R.CREDIBLE_INSTITUTIONS).cast("int") * 2
-        + any_in(low, R.CREDIBLE_METHOD).cast("int")
-        + any_in(low, R.CREDIBLE_REFERENCE).cast("int")
-    )
-    return chain([(points >= 3, F.lit("high")), (points >= 2, F.lit("medium"))], F.lit("low"))
+    def points(low: Column) -> Column:
+        return (
+            any_in(low, R.CREDIBLE_INSTITUTIONS).cast("int") * 2
+            + any_in(low, R.CREDIBLE_METHOD).cast("int")
+            + any_in(low, R.CREDIBLE_REFERENCE).cast("int")
+        )
+
+    level = lambda n: chain([(n >= 3, F.lit("high")), (n >= 2, F.lit("medium"))], F.lit("low"))
+    return let(let(F.lower(col(text)), points), level)
 
 
 def topic_terms_found(text, topic, topics=R.TOPICS) -> Column:
     """How many indicator terms of the row's topic the text contains; null for other topics."""
-    low = F.lower(col(text))
-    return chain(
-        [(col(topic) == name, count_in(low, spec["indicators"])) for name, spec in topics.items()],
-        F.lit(None).cast("int"),
-    )
+    def found(low: Column) -> Column:
+        counts = [(col(topic) == name, count_in(low, spec["indicators"])) for name, spec in topics.items()]
+        return chain(counts, F.lit(None).cast("int"))
+
+    return let(F.lower(col(text)), found)
 
 
 def topic_hits(text, topic, topics=R.TOPICS) -> Column:
-    low = F.lower(col(text))
-    return chain(
-        [(col(topic) == name, hits_in(low, spec["indicators"])) for name, spec in topics.items()],
-        F.array().cast("array<string>"),
-    )
+    def found(low: Column) -> Column:
+        hits = [(col(topic) == name, hits_in(low, spec["indicators"])) for name, spec in topics.items()]
+        return chain(hits, F.array().cast("array<string>"))
+
+    return let(F.lower(col(text)), found)
 
 
 def specialisation(text, topic, topics=R.TOPICS) -> Column:
@@ -188,19 +188,28 @@ def analysis_quality(text, density, credible, n_hits, model_success=False) -> Co
 
 def page_richness(text, html, url) -> Column:
     """Richness of a page from tables, terms, numbers, URL words, lists and institutions."""
-    low, h = F.lower(col(text)), col(html)
-    numbers = n_matches(low, _NUMBER)
-    total = (
+    h = col(html)
+
+    def of_text(low: Column) -> Column:
+        by_numbers = lambda n: chain([(n > 30, F.lit(0.25)), (n > 15, F.lit(0.15)), (n > 5, F.lit(0.1))], F.lit(0.0))
+        return F.struct(
+            F.least(count_in(low, R.RICHNESS_TERMS) * 0.04, F.lit(0.3)).alias("terms"),
+            let(n_matches(low, _NUMBER), by_numbers).alias("numbers"),
+            F.least(count_in(low, R.RICHNESS_SPECIAL) * 0.05, F.lit(0.2)).alias("special"),
+            F.when(any_in(low, R.RICHNESS_INSTITUTIONS), 0.15).otherwise(0.0).alias("institutions"),
+        )
+
+    total = lambda t: (
         F.when(h.rlike(r"(?i)<table\b"), 0.3).otherwise(0.0)
         + F.when(F.exists(tables(html), lambda x: inner_text(x).rlike("[0-9]")), 0.2).otherwise(0.0)
-        + F.least(count_in(low, R.RICHNESS_TERMS) * 0.04, F.lit(0.3))
-        + chain([(numbers > 30, F.lit(0.25)), (numbers > 15, F.lit(0.15)), (numbers > 5, F.lit(0.1))], F.lit(0.0))
+        + t["terms"]
+        + t["numbers"]
         + F.when(any_in(F.lower(col(url)), R.RICHNESS_URL), 0.2).otherwise(0.0)
         + F.when(F.regexp_count(h, F.lit(r"(?i)<(?:ul|ol|dl)\b")) > 3, 0.1).otherwise(0.0)
-        + F.least(count_in(low, R.RICHNESS_SPECIAL) * 0.05, F.lit(0.2))
-        + F.when(any_in(low, R.RICHNESS_INSTITUTIONS), 0.15).otherwise(0.0)
+        + t["special"]
+        + t["institutions"]
     )
-    return F.least(total, F.lit(1.0))
+    return F.least(let(let(F.lower(col(text)), of_text), total), F.lit(1.0))
 
 
 def exploration_potential(score) -> Column:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from statloom.functions import markup
+from statloom.functions import labels, markup, scores
 from statloom.operators import extraction
 from statloom.plans import load_all
 from statloom.plans.registry import QUERIES
@@ -52,3 +52,16 @@ def test_rows_of_a_stream_are_dealt_over_all_cores(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, once.select(*found.columns).collect()), key=repr)
     written = [r["n"] for r in found.groupBy(F.input_file_name()).agg(F.countDistinct("page_id").alias("n")).collect()]
     assert sum(written) == 2000 and max(written) < 200
+
+
+def test_scores_lower_case_a_text_once(spark):
+    """Not once for every term: on long texts that was most of the work of the analyses."""
+    made = [
+        labels.topic("text", "source"), labels.page_class("text", "url"), scores.context_density("text")["overall_score"],
+        scores.data_density("text"), scores.credibility("text"), scores.topic_terms_found("text", "topic"), scores.topic_hits("text", "topic"),
+        scores.page_richness("text", "html", "url"),
+    ]
+    assert [str(c).count("lower(text)") for c in made] == [1] * len(made)
+    rows = spark.createDataFrame([("PIB et INFLATION: BCT, BANQUE CENTRALE", "www.INS.tn"), (None, "x"), ("", None)], "text string, source string")
+    found = rows.select(labels.topic("text", "source").alias("topic"), scores.context_density("text")["overall_score"].alias("d"), scores.credibility("text").alias("c")).collect()
+    assert [(r.topic, r.d is None, r.c) for r in found] == [("monetary_financial", False, "medium"), ("empty_content", True, "low"), ("empty_content", False, "low")]
