@@ -16,6 +16,18 @@ from statloom.functions import urls
 from statloom.session import cut_lineage
 
 
+#: Expected links of a task. It sets how many tasks rank and join them, never how many links there may be.
+TASK_LINKS = 200_000
+
+
+def dealt_links(links: DataFrame) -> DataFrame:
+    """The links by source page, in as many tasks as their number asks for. Addresses are so alike that a shuffle of them is
+    small; by its bytes alone the same few tasks would get more links the more there are, and must sort them."""
+    kept = cut_lineage(links.select("src_url", "dst_url"))
+    least = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept.repartition(max(least, -(-kept.count() // TASK_LINKS)), "src_url")
+
+
 def ranked_links(links: DataFrame, per_page: int = 5) -> DataFrame:
     """First links of each page, priority links first, then by address. The cap prunes inside every
     task before the shuffle."""
@@ -28,7 +40,10 @@ def ranked_links(links: DataFrame, per_page: int = 5) -> DataFrame:
 def crawl(links: DataFrame, starts: DataFrame, max_depth: int = 3, max_pages: int | None = None, per_page: int = 5) -> DataFrame:
     """Visited pages per site: site, url, depth. ``links`` has src_url and dst_url, ``starts`` has site
     and url. With ``max_pages`` each site visits at most so many, within a level by address."""
-    follow = cut_lineage(ranked_links(links, per_page).select("src_url", "dst_url"))
+    follow = cut_lineage(ranked_links(dealt_links(links), per_page).select("src_url", "dst_url"))
+    # A checkpoint keeps the size that was estimated for the plan it cut, and rendered links are estimated far too small: without
+    # the hint all of them are broadcast. A merge sorts them in parts and can spill.
+    follow = follow.hint("merge")
     visited = cut_lineage(starts.select("site", "url").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for depth in range(1, max_depth):
@@ -36,7 +51,7 @@ def crawl(links: DataFrame, starts: DataFrame, max_depth: int = 3, max_pages: in
             frontier.join(follow, F.col("url") == F.col("src_url"))
             .select("site", F.col("dst_url").alias("url"))
             .distinct()
-            .join(visited.select("site", "url"), ["site", "url"], "left_anti")
+            .join(visited.select("site", "url").hint("merge"), ["site", "url"], "left_anti")
         )
         room = reached
         if max_pages is not None:

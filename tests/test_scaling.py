@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.functions import labels, markup, scores
-from statloom.operators import extraction
+from statloom.operators import crawl, extraction
 from statloom.plans import load_all
 from statloom.plans.registry import QUERIES
+from statloom.session import cut_lineage
 from statloom.sources.tables import Tables
 
 
@@ -65,3 +66,25 @@ def test_scores_lower_case_a_text_once(spark):
     rows = spark.createDataFrame([("PIB et INFLATION: BCT, BANQUE CENTRALE", "www.INS.tn"), (None, "x"), ("", None)], "text string, source string")
     found = rows.select(labels.topic("text", "source").alias("topic"), scores.context_density("text")["overall_score"].alias("d"), scores.credibility("text").alias("c")).collect()
     assert [(r.topic, r.d is None, r.c) for r in found] == [("monetary_financial", False, "medium"), ("empty_content", True, "low"), ("empty_content", False, "low")]
+
+
+def test_crawl_ranks_links_in_tasks_that_grow_with_them(spark, monkeypatch):
+    """A shuffle of few bytes is put into few tasks, however many links it holds."""
+    pairs = [(f"s{k % 20}", f"s{(k * 7 + k // 20) % 20}") for k in range(200)] + [(None, "s1"), ("s2", None), ("s3", "s4"), ("s3", "s4")]
+    links = spark.createDataFrame(pairs, "src_url string, dst_url string")
+    starts = spark.createDataFrame([("x", "s0"), ("y", "s1")], "site string, url string")
+    few = sorted(tuple(r) for r in crawl.crawl(links, starts).collect())
+    monkeypatch.setattr(crawl, "TASK_LINKS", 10)
+    assert crawl.ranked_links(crawl.dealt_links(links)).rdd.getNumPartitions() == 21
+    assert sorted(tuple(r) for r in crawl.crawl(links, starts).collect()) == few and len(few) > 10
+
+
+def test_crawl_does_not_broadcast_links(spark, monkeypatch):
+    """Nor the visited pages: their estimated size is no bound."""
+    plans = []
+    monkeypatch.setattr(crawl, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut_lineage(df))
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src_url string, dst_url string")
+    found = crawl.crawl(links, spark.createDataFrame([("x", "a")], "site string, url string"))
+    assert sorted(tuple(r) for r in found.collect()) == [("x", "a", 0), ("x", "b", 1), ("x", "c", 2)]
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) == 2 and not any("Broadcast" in p for p in joined)
