@@ -8,6 +8,7 @@ from statloom.operators import crawl, extraction
 from statloom.plans import load_all
 from statloom.plans.registry import QUERIES
 from statloom.session import cut_lineage
+from statloom.sources import tables
 from statloom.sources.tables import Tables
 
 
@@ -25,6 +26,15 @@ def test_rows_of_one_row_group_are_dealt_over_all_cores(spark, tmp_path, view, b
     assert len(sizes) >= 3 * spark.sparkContext.defaultParallelism and max(sizes) < 200
 
 
+def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """So that the longest of them does not."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    rows = "CAST(id AS BIGINT) p_partkey, 'Brand#1' p_brand, 'n' p_name, CAST(id % 50 AS INT) p_size, 901.5 p_retailprice"
+    spark.range(0, 2000, 1, 1).selectExpr(*rows.split(", ")).write.parquet(str(tmp_path / "part.parquet"))
+    made = Tables(spark, str(tmp_path), spread=True).view("html")
+    assert made.rdd.getNumPartitions() == 200 and made.count() == 2000
+
+
 CLASSED = [
     ('<p class="x valeur y">12 dinars</p>', True), ("<p CLASS='valeur'>12 dinars</p>", True), ("<p class = valeur>12 dinars</p>", True),
     ('<p title="a>b" class="VALEUR">12 dinars</p>', True), ('<p class="valeurs">12 dinars</p>', False), ("<p>valeur class 12</p>", False),
