@@ -13,6 +13,7 @@ the stack is bounded by ``DEPTH``.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ PORTION = 256
 HIDDEN = r"(?is)<!--(?:.*?-->|.*)|<script\b[^<>]*>(?:.*?</script\s*>|.*)|<style\b[^<>]*>(?:.*?</style\s*>|.*)"
 
 _STACK = "array<struct<name:string,at:int,kept:boolean>>"
+_ELEMENTS = "array<struct<head:string,body:string,name:string>>"
 _DONE = "array<struct<from:int,to:int,name:string,next:int>>"
 
 
@@ -56,6 +58,8 @@ _ITEM = _whole(("li", "dt", "dd"), name="i")
 _LIST = _whole(("ul", "ol", "dl"), _ITEM, "l")
 #: Elements that a plain search finds as the fold does, if all their tags belong to such elements.
 _PLAIN = {("td", "th"): _CELL, ("tr",): _ROW, ("table",): _TABLE, ("li", "dt", "dd"): _ITEM, ("ul", "ol", "dl"): _LIST}
+#: A complete element with complete elements inside, four levels in all.
+_BALANCED = reduce(lambda inner, name: _whole(STRUCTURE, inner, name), "jklm", "")
 
 
 def _token(tags: Sequence[str]) -> str:
@@ -132,7 +136,38 @@ def _spans(marks: Column, end: Column) -> Column:
 
 def elements(html, tags: Sequence[str], keep: Callable[[Column], Column] | None = None) -> Column:
     """Array of ``head`` (the opening tag), ``body`` (its inner markup) and ``name`` of all elements of these tags, in the
-    order of the page, nested ones too. ``keep`` tests a struct of name and head."""
+    order of the page, nested ones too. ``keep`` tests a struct of name and head.
+
+    Where the tags all belong to complete elements that hold complete elements of other names only, a search gives the same
+    as the fold and is taken. A page with more tags than the stack may hold is always folded."""
+    if not set(tags) <= set(STRUCTURE):
+        return _folded(html, tags, keep)
+    opening = rf"(?is)<(?:{'|'.join(tags)}){_REST}"
+    whole = rf"{opening}((?:[^<]++|<(?!/?(?:{'|'.join(STRUCTURE)})(?=[\s/>]))|{_BALANCED})*+)</(?:{'|'.join(tags)})\s*+>"
+
+    def searched(page: Column) -> Column:
+        def one(text: Column) -> Column:
+            head, body = F.regexp_extract(text, opening, 0), F.regexp_extract(text, whole, 1)
+            name = F.lower(F.regexp_extract(text, r"^<([A-Za-z0-9]+)", 1))
+            return F.struct(head.alias("head"), body.alias("body"), name.alias("name"))
+
+        def chosen(texts: Column) -> Column:
+            # The search takes the closing tag of any of these names.
+            matched = F.forall(texts, lambda x: x.rlike(rf"(?is)^<({'|'.join(tags)})(?=[\s/>]).*</\1\s*>$"))
+            complete = F.regexp_count(page, F.lit(rf"(?i)</?(?:{'|'.join(tags)})(?=[\s/>])")) == 2 * F.size(texts)
+            found = F.transform(texts, one)
+            wanted = found if keep is None else F.filter(found, lambda e: keep(F.struct(e["name"], e["head"])))
+            return F.when(complete & matched, wanted).otherwise(_folded(page, tags, keep))
+
+        opened = F.regexp_count(page, F.lit(rf"(?i)<(?:{'|'.join(STRUCTURE)})(?=[\s/>])"))
+        plain = let(F.regexp_extract_all(page, F.lit(whole), F.lit(0)), chosen)
+        return F.when(opened <= DEPTH, plain).otherwise(_folded(page, tags, keep))
+
+    return F.coalesce(let(col(html), searched), F.array().cast(_ELEMENTS))
+
+
+def _folded(html, tags: Sequence[str], keep: Callable[[Column], Column] | None = None) -> Column:
+    """As :func:`elements`, by the fold."""
     followed = (ANY,) if ANY in tags else tuple(dict.fromkeys((*tags, *STRUCTURE)))
 
     def wanted(m: Column) -> Column:
@@ -146,7 +181,7 @@ def elements(html, tags: Sequence[str], keep: Callable[[Column], Column] | None
 
         return F.transform(let(_marks(tokens, followed, wanted), lambda m: _spans(m, F.size(tokens))), one)
 
-    return F.coalesce(let(F.regexp_extract_all(col(html), F.lit(_token(followed)), F.lit(0)), cut), F.array().cast("array<struct<head:string,body:string,name:string>>"))
+    return F.coalesce(let(F.regexp_extract_all(col(html), F.lit(_token(followed)), F.lit(0)), cut), F.array().cast(_ELEMENTS))
 
 
 def attribute(tag, name: str) -> Column:
@@ -156,14 +191,18 @@ def attribute(tag, name: str) -> Column:
     return F.when(col(tag).rlike(pattern), F.regexp_extract(col(tag), pattern, 1))
 
 
-def bodies(html, tags: Sequence[str], keep: Callable[[Column], Column] | None = None, hint: str | None = None) -> Column:
+def bodies(
+    html, tags: Sequence[str], keep: Callable[[Column], Column] | None = None, hint: str | None = None, search: bool = False
+) -> Column:
     """Inner markup of the elements. Where every tag of these names belongs to a complete element with nothing but
     complete cells, rows or items inside, a search gives the same as the fold and is taken. ``hint`` is a pattern that a
-    page with a wanted element must match: other pages are not cut into tokens."""
+    page with a wanted element must match: other pages are not cut into tokens. ``search`` asks for the search of
+    :func:`elements` too, which makes the plan larger."""
+    found_by = elements if search else _folded
     nothing = F.array().cast("array<string>")
 
     def folded(page: Column) -> Column:
-        found = F.transform(elements(page, tags, keep), lambda e: e["body"])
+        found = F.transform(found_by(page, tags, keep), lambda e: e["body"])
         may = has_tag(page, tags) if hint is None else has_tag(page, tags) & page.rlike(hint)
         return F.when(may, found).otherwise(nothing)
 
@@ -173,7 +212,7 @@ def bodies(html, tags: Sequence[str], keep: Callable[[Column], Column] | None =
     def searched(page: Column) -> Column:
         def chosen(plain: Column) -> Column:
             complete = F.regexp_count(page, F.lit(rf"(?i)</?(?:{'|'.join(tags)})(?=[\s/>])")) == 2 * F.size(plain)
-            return F.when(complete, plain).otherwise(F.transform(elements(page, tags), lambda e: e["body"]))
+            return F.when(complete, plain).otherwise(F.transform(_folded(page, tags), lambda e: e["body"]))
 
         found = let(F.regexp_extract_all(page, F.lit("(?is)" + _PLAIN[tuple(tags)]), F.lit(2)), chosen)
         return F.when(has_tag(page, tags), found).otherwise(nothing)

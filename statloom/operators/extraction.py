@@ -318,7 +318,7 @@ def with_blocks(pages: DataFrame) -> DataFrame:
         return F.coalesce(html.attribute(m["head"], "class").rlike("(?i)data|stat|info|metric"), F.lit(False))
 
     hint = markup.attribute_hint("class", "data|stat|info|metric")
-    return staged(pages, {"blocks": markup.bodies(html.without_hidden("html"), ("ul", "ol", "dl", "div"), speaks, hint)})
+    return staged(pages, {"blocks": markup.bodies(html.without_hidden("html"), ("ul", "ol", "dl", "div"), speaks, hint, search=True)})
 
 
 def data_blocks_array(blocks_per_page: int | None = None, values_per_block: int | None = None) -> Column:

@@ -121,3 +121,31 @@ def test_hostile_pages_take_linear_time(spark, unit):
 
     seconds(2000)
     assert seconds(16000) < 2.5 * max(seconds(8000), 0.6)
+
+
+COMPLETE = [
+    ('<div><FORM action=/q><div class="a>b"><ul><li>x</li></ul></div>y</form ></div>', [("<FORM action=/q>", '<div class="a>b"><ul><li>x</li></ul></div>y', "form")]),
+    ("<form>a</form><b><form id='2'></form>", [("<form>", "a", "form"), ("<form id='2'>", "", "form")]),
+    ("no form here", []),
+]
+BROKEN = [
+    "<div><form>a</div>b</form>", "<form>a<form>b</form>c</form>", "<form><div>a</form>", "<form/>a", "<form>a</form><form>b", "<form title='x>a</form>", None,
+    "<div><ul><form><table><tr><td><table><tr><td>deep</td></tr></table></td></tr></table></form></ul></div>", "<div>" * 260 + "<form><ul>a</ul></form>",
+    "<form>" + "<form>" * 300 + "x", "<form>" + "<div>a</div>" * 300 + "</form>",
+]
+
+
+def test_complete_elements_are_not_folded(spark, monkeypatch):
+    monkeypatch.setattr(markup, "_folded", lambda *a: F.raise_error(F.lit("folded")).cast(markup._ELEMENTS))
+    pages = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(COMPLETE)], "i int, html string")
+    found = pages.select("i", markup.elements("html", ("form",)).alias("e")).orderBy("i").collect()
+    assert [[tuple(e) for e in r.e] for r in found] == [e for _, e in COMPLETE]
+
+
+def test_search_of_elements_gives_what_the_fold_gives(spark):
+    mixed = ["<ul>a</ol></ul>", "<ul class=x>a<div>b</div></ul><ol>c</ol>", "<OL>a<table></table></ol>", "<ul>a</ul title='>'>"]
+    pages = spark.createDataFrame([(p,) for p in [p for p, _ in COMPLETE] + BROKEN + mixed], "html string")
+    classed = lambda m: F.coalesce(markup.attribute(m["head"], "class") == "x", F.lit(False))
+    for tags, keep in ((("form",), None), (("ul", "ol"), None), (("ul", "ol"), classed)):
+        read = pages.select(markup.elements("html", tags, keep).alias("a"), markup._folded("html", tags, keep).alias("b")).collect()
+        assert [r.a for r in read] == [r.b for r in read]
