@@ -36,8 +36,13 @@ def matrix(vectors, width: int) -> np.ndarray:
 
 
 def sample(rows: DataFrame, n: int) -> np.ndarray:
-    """At most n vectors, drawn by a hash of their id, as a matrix."""
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("vec").toPandas()["vec"]
+    """At most n vectors, drawn by a hash of their id, as a matrix. The driver gets n vectors, not n of each task."""
+    keyed = rows.select(F.xxhash64("vec_id").alias("hash"), "vec_id", "vec")
+    last = keyed.select("hash", "vec_id").orderBy("hash", "vec_id").limit(n).agg(F.max(F.struct("hash", "vec_id")).alias("last")).select("last.*").first()
+    upto = (F.col("hash") < last[0]) | ((F.col("hash") == last[0]) & (F.col("vec_id") <= last[1]))
+    # Rows of one id may be many, so the limit stays, and is reached before the rows are collected.
+    found = keyed.filter(upto).orderBy("hash", "vec_id", "vec").limit(n).repartition(1).toPandas()
+    drawn = [v for _, _, v in sorted((h, i, list(v)) for h, i, v in zip(found["hash"], found["vec_id"], found["vec"]))]
     width = max((len(v) for v in drawn), default=0)
     out = np.zeros((len(drawn), width))
     for i, v in enumerate(drawn):
@@ -49,7 +54,8 @@ def in_blocks(index: DataFrame, queries: DataFrame, kernel: Callable, schema: st
     """``kernel(queries, vectors)`` for each cell. Large cells and large sets of queries are split, so that a task never
     holds more than about ``CELL_ROWS`` vectors and ``QUERY_ROWS`` queries. ``index``: (cell, vec_id, row, ...), a stored
     table where ``row`` tells rows of one id apart; ``queries``: (cell, query_id, vec, ...)."""
-    sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
+    # Cells are few. Without the hint the other side may be broadcast: files of repeated vectors are a hundredth of their rows.
+    sizes = F.broadcast(index.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts")))
     number = queries.select("query_id", F.xxhash64("vec")).distinct().count()
     blocks = max(1, -(-number // QUERY_ROWS))
     vectors = index.join(sizes, "cell").withColumn("part", F.pmod(F.hash("row"), "parts")).drop("parts", "row")

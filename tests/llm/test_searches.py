@@ -3,7 +3,8 @@ import math
 import numpy as np
 import pytest
 
-from statloom.llm import exact_search, neighbours
+from statloom.llm import exact_search, neighbours, vectors as V
+from statloom.llm.storage import stored
 from tests.conftest import FOLDER
 from tests.llm.helpers import clashing, listed
 
@@ -110,3 +111,21 @@ def test_router_is_tuned_on_queries_left_out():
     near = np.argsort(-(fresh @ x[:2000].T), axis=1)[:, :20]
     visited, home = router.visited(fresh), router.homes(x[:2000])
     assert (home[near][:, :, None] == visited[:, None, :]).any(axis=2).mean() >= 0.93
+
+
+def test_blocks_broadcast_the_sizes_only(spark):
+    """Repeated vectors make a small file of large rows, which must not go through the driver."""
+    r = np.random.default_rng(1)
+    index = stored(spark.createDataFrame([(i % 3, i, r.bytes(512), i) for i in range(3000)], "cell int, vec_id long, vec binary, row long"), "index")
+    one = r.bytes(512)
+    queries = stored(spark.createDataFrame([(i % 3, i, one) for i in range(3000)], "cell int, query_id long, vec binary").coalesce(1), "asked")
+    plan = V.in_blocks(index, queries, lambda q, v: None, "query_id long, vec_id long, score double")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "BuildLeft" not in plan
+
+
+def test_sample_is_drawn_by_hash_and_id(spark):
+    """Also where rows of one id are more than the sample."""
+    table = spark.createDataFrame([(i % 40 if i % 2 else 7, [float(i), 1.0]) for i in range(400)], "vec_id long, vec array<double>").repartition(16)
+    order = sorted((h, i, list(v)) for h, i, v in table.selectExpr("xxhash64(vec_id)", "vec_id", "vec").collect())
+    for n in (1, 5, 90, 400, 1000):
+        assert V.sample(table, n).tolist() == [v for _, _, v in order[:n]]
