@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from statloom.functions import labels, markup, scores
-from statloom.operators import crawl, extraction
+from statloom.functions import html, labels, markup, scores
+from statloom.functions import rules as R
+from statloom.operators import crawl, extraction, filtering
 from statloom.plans import load_all
 from statloom.plans.registry import QUERIES
 from statloom.session import cut_lineage
@@ -98,3 +99,50 @@ def test_crawl_does_not_broadcast_links(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == [("x", "a", 0), ("x", "b", 1), ("x", "c", 2)]
     joined = [p for p in plans if "Join" in p]
     assert len(joined) == 2 and not any("Broadcast" in p for p in joined)
+
+
+def test_hidden_parts_are_dropped_once_a_page(spark):
+    """Once from the page and once from what remains without noise."""
+    pages = spark.createDataFrame([(1, "http://a.org", "<p>x</p>")], "page_id long, url string, html string")
+    plan = extraction.all_methods(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</script") == 2 * markup.HIDDEN.count("</script")
+
+
+def test_validated_confidence_is_not_copied_into_the_filter(spark):
+    obs = spark.createDataFrame([("PIB", 1.0, "md", 2020, "PIB: 1")], "indicator_name string, value double, unit string, year int, raw_text string")
+    valid = filtering.strict_validation(obs, raw_text="raw_text").filter("reject_reason IS NULL").select("strict_confidence")
+    plan = valid._jdf.queryExecution().optimizedPlan().toString()
+    assert all(len(line) < 1500 for line in plan.splitlines() if line.lstrip(" +-:").startswith("Filter"))
+
+
+def test_texts_without_a_sign_are_left_as_they_are(spark):
+    texts = ["", "a &amp; b", "a > b", "<b>a</b> &lt;i&gt;", "x < y", "<!-- gone -->z", "<script>no", "&amp;lt;", "plain", None]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", html.page_text("t").alias("a"), html.page_text(F.concat("t", F.lit(""))).alias("b"), html.without_noise("t").alias("c"))
+    assert [r.a for r in found.orderBy("i").collect()] == ["", "a & b", "a > b", "a <i>", "x < y", "z", "", "&lt;", "plain", None]
+    assert all(r.a == r.b for r in found.collect())
+    assert [r.c for r in found.orderBy("i").collect()] == ["", *texts[1:5], "z", "", *texts[7:]]
+
+
+def test_words_of_patterns_leave_no_match_out(spark, monkeypatch):
+    """Random texts made of the words, numbers and signs of the patterns, with letters that only ignoring case makes equal."""
+    import random
+
+    r = random.Random(11)
+    words = sorted({w for listed in extraction._WORDS.values() for w in listed if w})
+    pieces = words + [w.upper() for w in words] + ["ınflation", "İnflatİon", "claſſ", "popUlation", "Réserves", "Taux de Chômage", "md", "MDT", " millions", " habitants", "%", "usd", ": ", " = ", "-", '"', ">", "<", "12,5", "3.4", "1 200", "2021", "e5", " ", "name", "<td>taux x</td><td>12</td>", '"date": "2021", "value": 3.5']
+    texts = spark.createDataFrame([(i, "".join(r.choice(pieces) for _ in range(r.randint(1, 14)))) for i in range(3000)], "i int, t string").cache()
+    sets = {
+        "text": (extraction._numbered(R.TEXT_PATTERNS), True), "bank": (extraction._numbered(R.BANK_PATTERNS), True),
+        "finance": (extraction._numbered(R.FINANCE_PATTERNS), True), "generic": ([(i, (p, g)) for i, (p, g) in enumerate(R.GENERIC_PATTERNS)], True),
+        "gov": ([(i, (p.lower(), 1)) for i, p in enumerate(R.GOV_PATTERNS)], False),
+    }
+
+    def found():
+        cols = [extraction._matches("t" if fold else F.lower("t"), p, lambda v: v, ignore_case=fold).alias(name) for name, (p, fold) in sets.items()]
+        return texts.select("i", *cols).orderBy("i").collect()
+
+    guarded = found()
+    monkeypatch.setattr(extraction, "_WORDS", {})
+    assert guarded == found()
+    assert all(any(row[name] for row in guarded) for name in sets)
